@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from . import scalar_queries
+
+_MODULES = [scalar_queries]
+
+FLAGSHIP = "r8_context_packages"
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for m in _MODULES for name, s in m.SQL.items()}
