@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -20,8 +20,8 @@ from .components import components
 ROWS, BANDS = 5, 30
 SHINGLE = 5
 STEP = 0x9E3779B1
-#: Of the 128 one-bit coordinates that two sets with a Jaccard of 0.8 share, this many may differ (8 sigma).
-SKETCH_BITS, SKETCH_MAY_DIFFER = 128, 42
+#: One bit of so many coordinates is kept to tell unlike sets apart before they are compared.
+SKETCH_BITS = 128
 
 
 def _sigma(x: np.ndarray) -> np.ndarray:
@@ -100,23 +100,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, _SETS.field(1).type)], schema=_SETS)
 
 
-def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of the candidate pairs (u, v), those with 100 * intersection >= percent * union of the full sets."""
     ids = C.table(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-    wanted = docs.join(C.broadcast_if_small(ids, ids.count()), "doc_id", "left_semi")
-    sets = C.table(wanted.mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
-    one = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    two = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+    wanted = sets.join(C.broadcast_if_small(ids, ids.count()), "doc_id", "left_semi")
+    one = wanted.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
+    two = wanted.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(one, "u").join(two, "v").withColumn("same", F.size(F.array_intersect("a", "b")))
-    links = C.table(both.where(F.col("same") * 100 >= (F.size("a") + F.size("b") - F.col("same")) * percent).select("u", "v").distinct(), "links")
-    C.drop(ids, sets)
-    return links
+    return C.table(both.where(F.col("same") * 100 >= (F.size("a") + F.size("b") - F.col("same")) * percent).select("u", "v").distinct(), "links")
 
 
-def _alike(percent: int):
-    """Bounds that every pair over the similarity keeps: set sizes, and the one-bit sketches but for 1 in 10^9."""
+def _alike(percent: int) -> Column:
+    """What every pair over the similarity keeps to, between facts (n, c, s1, s2) and (k, d, t1, t2).
+
+    c and d count the shingles that some other candidate has too: no more can be shared. The sketches' bits differ as
+    a binomial of (1 - similarity) / 2; beyond 6.5 deviations is 1 in 10^9.
+    """
+    most = F.least("c", "d")
+    chance = (100 - percent) / 200
+    differ = SKETCH_BITS * chance + 6.5 * (SKETCH_BITS * chance * (1 - chance)) ** 0.5
     off = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    return (F.least("n", "k") * 100 >= F.greatest("n", "k") * percent) & (off <= SKETCH_MAY_DIFFER)
+    return (most * 100 >= (F.col("n") + F.col("k") - most) * percent) & (off <= int(differ))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -125,9 +129,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Texts are lower-cased (A-Z) and cut at ASCII white space; a set holds the distinct 5-word shingles, or the whole
     sequence of fewer words. Documents are linked when 100 * intersection >= percent * union (percent from 80 on);
     component_id is the smallest doc_id that can be reached. Null, empty and blank texts have no shingles and are their
-    own component. Equal sets are one class from the start, so copies never meet as pairs. A bucket's members are first
-    held against its smallest member only; after those links are known, members still in different components are
-    compared with each other. A null doc_id gives a null component_id and is kept. Rows that repeat a doc_id are
+    own component. Equal sets are one class from the start, so copies never meet as pairs. Sets that share too few shingles
+    with all other candidates leave. A bucket's members are first held against one of them only; after those links are
+    known, members still in different components are compared with each other, each pair in one bucket. A null doc_id gives a null component_id and is kept. Rows that repeat a doc_id are
     the same document when their texts are equal. Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -140,18 +144,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     spread = reps.select("doc_id", F.explode("bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("bucket", "hub")
     members = C.table(spread.join(C.table(crowded, "crowded"), "bucket"), "members")
-    facts = reps.select("doc_id", "n", "s1", "s2")
-    other = facts.toDF("v", "k", "t1", "t2")
-    first = members.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    first = first.join(facts.withColumnRenamed("doc_id", "u"), "u").join(other, "v").where(_alike(percent)).select("u", "v")
-    links = _links(docs, C.table(first, "pairs"), percent)
+    wanted = members.select("doc_id").distinct()
+    wanted = C.table(wanted, "wanted")
+    sets = C.table(docs.join(C.broadcast_if_small(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    # shingles that no other candidate has can be in no link
+    own = sets.select("doc_id", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1").groupBy("doc_id").agg(F.count("*").alias("r"))
+    facts = reps.join(wanted, "doc_id", "left_semi").join(own, "doc_id", "left").withColumn("c", F.col("n") - F.coalesce("r", F.lit(0)))
+    facts = C.table(facts.where(F.col("c") * 100 >= F.col("n") * percent).select("doc_id", "n", "c", "s1", "s2", "bands"), "facts")
+    narrow = facts.drop("bands")
+    other = narrow.toDF("v", "k", "d", "t1", "t2")
+    # a bucket's hub is the member that shares most of its shingles: the likeliest middle of a group of near copies
+    alive = C.table(members.join(narrow.select("doc_id", (F.col("c") / F.col("n")).alias("shared")), "doc_id"), "alive")
+    hubs = alive.groupBy("bucket").agg(F.min_by("doc_id", F.struct(-F.col("shared"), "doc_id")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
+    alive = C.table(alive.select("bucket", "doc_id").join(hubs, "bucket"), "alive")
+    first = alive.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
+    first = first.join(narrow.withColumnRenamed("doc_id", "u"), "u").join(other, "v").where(_alike(percent)).select("u", "v")
+    links = _links(sets, C.table(first, "pairs"), percent)
     found = C.table(components(links), "found").withColumnRenamed("node", "doc_id")
-    placed = members.select("bucket", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = alive.select("bucket", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rest = C.table(placed.join(mixed, "bucket").join(facts, "doc_id"), "rest")
-    right = rest.select("bucket", F.col("doc_id").alias("v"), F.col("component").alias("other"), F.col("n").alias("k"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    second = rest.withColumnRenamed("doc_id", "u").join(right, (rest["bucket"] == right["bucket"]) & (F.col("component") < F.col("other")) & _alike(percent))
-    more = _links(docs, C.table(second.select("u", "v").distinct(), "pairs"), percent)
+    right = rest.select(F.col("bucket").alias("place"), F.col("doc_id").alias("v"), F.col("component").alias("other"), F.col("n").alias("k"), F.col("c").alias("d"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("bands").alias("theirs"))
+    once = F.array_min(F.array_intersect("bands", "theirs")) == F.col("bucket")  # a pair comes from one of its buckets only
+    second = rest.withColumnRenamed("doc_id", "u").join(right, (F.col("bucket") == F.col("place")) & (F.col("component") < F.col("other")) & _alike(percent) & once)
+    more = _links(sets, C.table(second.select("u", "v").distinct(), "pairs"), percent)
     done = C.table(components(links.unionByName(more)), "done") if not more.isEmpty() else found.withColumnRenamed("doc_id", "node")
     merged = classes.join(done.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(C.table(merged, "merged"), ["f1", "f2"], "left")
