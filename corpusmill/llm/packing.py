@@ -10,8 +10,8 @@ partitions. Rounds are then laid end to end, and the stream is cut every `window
 from __future__ import annotations
 
 import base64
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,15 +25,11 @@ from . import common as C
 WINDOW, PACKET = 1024, 256
 END_ID = 0
 
-#: Before a lone space between two characters that are not white space, the pattern always starts a new piece.
-_BREAK = re.compile(r"(?<=\S)(?= \S)")
 
+class Ids:
+    """Ids of texts, as bytes. ranks: a .tiktoken file; pattern: the pieces' pattern; kind: u2 or u4, little-endian.
 
-class Ids(dict):
-    """Run of text -> its ids as bytes, remembered; emptied when it holds C.CACHE_WORDS runs.
-
-    ranks: a .tiktoken file; pattern: the pieces' pattern. Each run that _BREAK cuts off is encoded by itself, which
-    gives the ids of the whole text, as no piece and so no merge crosses such a break.
+    A dictionary of words seen before costs more than it saves: most misses are words that occur once.
     """
 
     def __init__(self, ranks: str, pattern: str, kind: str):
@@ -41,19 +37,11 @@ class Ids(dict):
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self._kind = kind
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= C.CACHE_WORDS:
-            self.clear()
-        ids = np.array(self._encode(run), self._kind).tobytes()
-        if len(run) < 40:
-            self[run] = ids
-        return ids
+        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _BREAK.split(text)))
+        return array(self.code, self.encode(text)).tobytes()
 
 
 _IDS = pa.schema([("row", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("ids", pa.binary()), ("n", pa.int64())])
