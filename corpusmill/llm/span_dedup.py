@@ -123,7 +123,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = C.table(src.mapInArrow(_emit_spans, _SPANS_DDL), "spans")
     firsts = found.where("not again").groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("h", "keeper")
     firsts = C.table(firsts, "firsts")
-    later = found.where("not again").join(C.broadcast_if_small(firsts, firsts.count()), "h").where("doc_id > keeper").select("doc_id", "first", "past")
+    later = found.where("not again").join(firsts, "h").where("doc_id > keeper").select("doc_id", "first", "past")
     # a span that its own document repeats: all but the earliest go, wherever the first of all is
     inner = found.where("again").select("doc_id", "first", "past")
     return later.unionByName(inner).groupBy("doc_id").agg(F.collect_set(F.struct("first", "past")).alias("cut"))
@@ -138,4 +138,4 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
     """
     cut = C.table(repeated_spans(docs), "cut")
     changed = C.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("text is not null")
-    return changed.join(C.broadcast_if_small(cut, 40 * cut.count()), "doc_id").mapInArrow(_remove, _CLEAN_DDL)
+    return changed.join(cut, "doc_id").mapInArrow(_remove, _CLEAN_DDL)
