@@ -73,7 +73,7 @@ def extract_imports(files: DataFrame) -> DataFrame:
     each = each.select("from_path", F.col("m.b").alias("bindings"), F.col("m.s").alias("specifier"))
     braces = F.regexp_extract("bindings", r"\{([^}]*)\}", 1)
     plain = F.trim(F.regexp_replace(F.regexp_replace("bindings", r"\{[^}]*\}", ""), r"[,\s]+$", ""))
-    named = each.select("from_path", "specifier", F.explode(F.filter(F.transform(F.split(braces, ","), F.trim), lambda x: x != "")).alias("b"))
+    named = each.select("from_path", "specifier", F.explode(F.filter(F.transform(F.split(braces, ","), lambda x: F.trim(x)), lambda x: x != "")).alias("b"))
     named = named.select("from_path", F.regexp_extract("b", r"([A-Za-z_$][\w$]*)$", 1).alias("name"), F.regexp_extract("b", r"^(?:type\s+)?([A-Za-z_$][\w$]*)", 1).alias("imported_name"), "specifier", F.lit(False).alias("is_default"))
     whole = each.where(plain != "").select("from_path", F.regexp_extract(plain, r"([A-Za-z_$*][\w$]*)\s*$", 1).alias("name"), F.when(plain.startswith("*"), F.lit("*")).otherwise(F.lit("default")).alias("imported_name"), "specifier", (~plain.startswith("*")).alias("is_default"))
     return named.unionByName(whole)

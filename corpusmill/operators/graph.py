@@ -156,7 +156,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000)
     at = ends.select("pair_id", F.col("distance").alias("step"), F.col("node").cast("string").alias("node"), "parent")
     way = at
     for _ in range(longest):
-        at = at.where("parent is not null").select("pair_id", (F.col("step") - 1).alias("step"), F.col("parent").alias("node")).join(seen.select("pair_id", F.col("node").cast("string").alias("node"), "parent"), ["pair_id", "node"]).select("pair_id", "step", "node", "parent")
+        before = at.where("parent is not null").select("pair_id", (F.col("step") - 1).alias("step"), F.col("parent").alias("node"))
+        at = _settle(before.join(seen.select("pair_id", F.col("node").cast("string").alias("node"), "parent"), ["pair_id", "node"]).select("pair_id", "step", "node", "parent"))
         way = way.unionByName(at)
     return pairs.select("pair_id").join(ends.select("pair_id", "distance"), "pair_id", "left").join(way.select("pair_id", "step", "node"), "pair_id", "left")
 

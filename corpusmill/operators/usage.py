@@ -16,6 +16,11 @@ def provenance(code: Column) -> Column:
     return F.when(code == ACTUAL, "actual").when(code == ESTIMATED, "estimated").otherwise("unknown")
 
 
+def round6(c: Column) -> Column:
+    """Six places, halves up."""
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
 def prices(spark: SparkSession, rows=X.PRICES) -> DataFrame:
     return spark.createDataFrame(rows, "provider string, model string, currency string, input_per_million double, output_per_million double")
 
@@ -49,7 +54,7 @@ def compute_cost(priced: DataFrame) -> DataFrame:
         F.when(F.col("currency").isNull(), "no price for this model").when(F.col("total_tokens").isNull(), "token total unknown")
         .when(F.col("input_tokens").isNull() | F.col("output_tokens").isNull(), "token split unknown").when(F.col("input_per_million").isNull() | F.col("output_per_million").isNull(), "price unknown")
     )
-    amount = F.round(F.col("input_tokens") / 1e6 * F.col("input_per_million") + F.col("output_tokens") / 1e6 * F.col("output_per_million"), 6)
+    amount = round6(F.col("input_tokens") / 1e6 * F.col("input_per_million") + F.col("output_tokens") / 1e6 * F.col("output_per_million"))
     return priced.withColumns({"cost": F.when(note.isNull(), amount), "cost_src": F.when(note.isNull(), F.greatest(F.col("total_src"), F.lit(ESTIMATED))).otherwise(UNKNOWN), "cost_note": note})
 
 
@@ -63,7 +68,7 @@ def sum_cost(amount: str = "cost", src: str = "cost_src", currency: str = "curre
     """Aggregates: cost only where all known amounts share one currency, rounded to 6 places; and its provenance."""
     known = F.col(amount).isNotNull()
     lo, hi = F.min(F.when(known, F.col(currency))), F.max(F.when(known, F.col(currency)))
-    return [F.when(lo == hi, F.round(F.sum(amount), 6)).alias("cost"), F.when(lo == hi, F.max(F.when(known, F.col(src)))).otherwise(UNKNOWN).alias("cost_src"), F.when(lo == hi, lo).alias("currency")]
+    return [F.when(lo == hi, round6(F.sum(amount))).alias("cost"), F.when(lo == hi, F.max(F.when(known, F.col(src)))).otherwise(UNKNOWN).alias("cost_src"), F.when(lo == hi, lo).alias("currency")]
 
 
 def usage_statistics(usage: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def scope_consumption(usage: DataFrame, scopes: DataFrame) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("scope_kind"), F.col(c).cast("string").alias("scope_value")) for k, c in kinds.items()]))
     each = usage.select("total_tokens", "cost", pairs.alias("s")).select("total_tokens", "cost", "s.*")
     wanted = each.join(F.broadcast(scopes.select("scope_kind", "scope_value").distinct()), ["scope_kind", "scope_value"], "left_semi")
-    return wanted.groupBy("scope_kind", "scope_value").agg(F.sum("total_tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+    return wanted.groupBy("scope_kind", "scope_value").agg(F.sum("total_tokens").alias("tokens"), round6(F.sum("cost")).alias("cost"))
 
 
 def budget_status(usage: DataFrame, budgets: DataFrame) -> DataFrame:

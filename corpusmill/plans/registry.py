@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scalar_queries
+from . import corpus_queries, scalar_queries, search_queries
 
-_MODULES = [scalar_queries]
+_MODULES = [scalar_queries, corpus_queries, search_queries]
 
 FLAGSHIP = "r8_context_packages"
 

@@ -159,7 +159,7 @@ USAGE = """raw_usage AS (
 ), costed AS (
   SELECT u.*, p.currency, p.pin, p.pout,
     CASE WHEN p.currency IS NULL THEN 'no price for this model' WHEN total_tokens IS NULL THEN 'token total unknown' WHEN input_tokens IS NULL OR output_tokens IS NULL THEN 'token split unknown' END AS cost_note,
-    round(input_tokens / 1e6 * pin + output_tokens / 1e6 * pout, 6) AS cost0 FROM usage u LEFT JOIN prices p USING (provider, model)
+    floor((input_tokens / 1e6 * pin + output_tokens / 1e6 * pout) * 1e6 + 0.5) / 1e6 AS cost0 FROM usage u LEFT JOIN prices p USING (provider, model)
 ), priced AS (SELECT * EXCLUDE (cost0), CASE WHEN cost_note IS NULL THEN cost0 END AS cost, CASE WHEN cost_note IS NULL THEN greatest(total_src, 1) ELSE 2 END AS cost_src FROM costed)"""
 
 KINDS = ["scan", "context_build", "search", "summary", "agent_run", "error"]
