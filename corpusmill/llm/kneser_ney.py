@@ -122,8 +122,8 @@ def train(trusted: DataFrame) -> DataFrame:
 class Model:
     """Sorted keys and values of one shard, and log p of any n-gram whose two bytes before the last fall in it."""
 
-    def __init__(self, rows):
-        kind, key, value = (np.asarray(x) for x in (rows["kind"], rows["key"], rows["value"]))
+    def __init__(self, rows: pa.Table):
+        kind, key, value = (rows.column(c).to_numpy() for c in ("kind", "key", "value"))
         self.tables = {}
         for k in np.unique(kind):
             at = kind == k
@@ -192,7 +192,7 @@ def perplexities(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS
     for s in range(shards):
         # grams and contexts too short to have those two bytes go to every shard
         rows = model.where(F.col("kind").between(-1, 2) | (own == s)) if shards > 1 else model
-        shared = spark.sparkContext.broadcast(Model(rows.toPandas()))
+        shared = spark.sparkContext.broadcast(Model(rows.toArrow()))
         out = out.mapInArrow(partial(_score, model=shared, shard=s, shards=shards), _SCORES_DDL)
     return out.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"))
 
