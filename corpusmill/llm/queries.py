@@ -105,8 +105,8 @@ WITH r AS (
   FROM r
 ), c AS (
   SELECT *, {_uuid_sql("'conversion|' || refers_to")} AS conversion_id, {_uuid_sql("'metadata|' || refers_to")} AS metadata_id,
-    trim(regexp_replace(replace(replace(replace(replace(replace(replace(bare, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
-      '[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(10), 'g')) AS plain, chr(13) || chr(10) AS crlf
+    regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(bare, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+      '[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS plain, chr(13) || chr(10) AS crlf
   FROM i
 ), b AS (
   SELECT page_id, refers_to, target_uri, payload, 'metadata' AS record_type, metadata_id AS record_id, 'application/warc-fields' AS content_type,

@@ -26,7 +26,7 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]*>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"[ \t\r]*\n[ \t\r\n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"[ \t\r]*\n[ \t\r\n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def responses_from_pages(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
