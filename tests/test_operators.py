@@ -186,3 +186,16 @@ def test_no_cartesian_product_in_search(spark, capsys):
     hits.explain()
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+
+
+def test_exports(spark, tmp_path):
+    daily = spark.createDataFrame([("2024-01-01", 2, 5)], "date string, scans int, tokens_used int")
+    corpus.export_daily_csv(daily, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert back.columns == corpus.DAILY_COLUMNS and tuple(back.select("scans", "errors", "tokens_used").first()) == ("2", "0", "5")
+    nodes, edges = spark.createDataFrame([("n:a", "file")], "id string, kind string"), spark.createDataFrame([("n:a", "n:b", "calls")], "src string, dst string, kind string")
+    corpus.export_graph_json(nodes, edges, str(tmp_path / "json"))
+    assert sorted(r.record_type for r in spark.read.json(str(tmp_path / "json")).collect()) == ["edge", "node"]
+    u = spark.createDataFrame([("1", datetime.datetime(2024, 1, 2))], "id string, occurred_at timestamp")
+    corpus.append_usage(u, str(tmp_path / "usage"))
+    assert spark.read.parquet(str(tmp_path / "usage")).where("day = date'2024-01-02'").count() == 1

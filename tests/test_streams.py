@@ -71,3 +71,31 @@ def test_incremental_index(spark, tmp_path):
 def test_ttl(spark):
     c = spark.createDataFrame([(1, None), (2, T0), (3, T0 + datetime.timedelta(days=1))], "key int, expires_at timestamp")
     assert sorted(r[0] for r in streams.ttl_filter(c, F.lit(T0)).select("key").collect()) == [1, 3]
+
+
+@pytest.fixture()
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+def test_latency_ema(spark, events, tmp_path, rocks):
+    from corpusmill.operators import activity
+
+    batch, stream = events
+    drain(streams.stream_latency_ema(stream), "ema", tmp_path, "append")
+    got = {(r.kind, r.event_id): r.ema for r in spark.table("ema").collect()}
+    assert len(got) == batch.count()
+    want = activity.latency_ema(batch, "kind", "value", ["ts", "event_id"]).where("kind = 'view'").orderBy("ord").collect()
+    assert [v for (k, _), v in sorted(got.items()) if k == "view"] == [r.ema for r in want]
+
+
+def test_limit_alerts(spark, events, tmp_path, rocks):
+    batch, stream = events
+    limits = spark.createDataFrame([("view", 100.0), ("click", 1e9)], "scope string, token_limit double")
+    used = stream.select(F.col("kind").alias("scope"), "tokens")
+    drain(streams.stream_limit_alerts(used, limits), "alerts", tmp_path, "append")
+    out = spark.table("alerts").collect()
+    assert [r.scope for r in out] == ["view"] and out[0].used > 100
