@@ -110,19 +110,31 @@ def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return C.table(both.where(F.col("same") * 100 >= (F.size("a") + F.size("b") - F.col("same")) * percent).select("u", "v").distinct(), "links")
 
 
-def _alike(percent: int) -> Column:
-    """What every pair over the similarity keeps to, between facts (n, c, s1, s2) and (k, d, t1, t2).
+def _alike(percent: int, mine: str, theirs: str) -> Column:
+    """What every pair over the similarity keeps to, between facts (n, s1, s2) and (k, t1, t2).
 
-    c and d count the shingles that some other candidate has too: no more can be shared. The sketches' bits differ as
-    a binomial of (1 - similarity) / 2; beyond 6.5 deviations is 1 in 10^9.
+    mine and theirs count the shingles that the pair may share. The sketches' bits differ as a binomial of
+    (1 - similarity) / 2; beyond 6.5 deviations is 1 in 10^9.
     """
-    most = F.least("c", "d")
+    most = F.least(mine, theirs)
     chance = (100 - percent) / 200
     differ = SKETCH_BITS * chance + 6.5 * (SKETCH_BITS * chance * (1 - chance)) ** 0.5
     off = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
     return (most * 100 >= (F.col("n") + F.col("k") - most) * percent) & (off <= int(differ))
 
 
+def _rare(sets: DataFrame) -> DataFrame:
+    """(a, null, r1, r3): how many shingles of document a nobody else has, and at most two others have; and (a, b, ...):
+    each pair of documents, a < b, that share a shingle of two or three documents. Sums only: the least, the greatest and
+    the exclusive or of at most three ids give all of them."""
+    seen = sets.select("doc_id", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("df"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor("doc_id").alias("all")).where("df <= 3")
+    seen = seen.withColumn("mid", F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi")))
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), (F.lit(None).cast("long") if b is None else F.col(b)).alias("b"))
+    two, three = [pair("lo", None), pair("hi", None), pair("lo", "hi")], [pair("mid", None), pair("lo", "mid"), pair("mid", "hi")]
+    each = F.when(F.col("df") == 1, F.array(pair("lo", None))).when(F.col("df") == 2, F.array(*two)).otherwise(F.array(*two, *three))
+    return seen.select("df", F.inline(each)).groupBy("a", "b").agg(F.count_if(F.col("df") == 1).alias("r1"), F.count("*").alias("r3"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row for each row of docs.
 
@@ -131,7 +143,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     component_id is the smallest doc_id that can be reached. Null, empty and blank texts have no shingles and are their
     own component. Equal sets are one class from the start, so copies never meet as pairs. Sets that share too few shingles
     with all other candidates leave. A bucket's members are first held against one of them only; after those links are
-    known, members still in different components are compared with each other, each pair in one bucket. A null doc_id gives a null component_id and is kept. Rows that repeat a doc_id are
+    known, members still in different components are compared with each other, each pair in one bucket; pairs that share
+    a shingle of no more than three documents are compared anyway, and all others must do without those shingles. A null doc_id gives a null component_id and is kept. Rows that repeat a doc_id are
     the same document when their texts are equal. Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -147,27 +160,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     wanted = members.select("doc_id").distinct()
     wanted = C.table(wanted, "wanted")
     sets = C.table(docs.join(C.broadcast_if_small(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    # shingles that no other candidate has can be in no link
-    own = sets.select("doc_id", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1").groupBy("doc_id").agg(F.count("*").alias("r"))
-    facts = reps.join(wanted, "doc_id", "left_semi").join(own, "doc_id", "left").withColumn("c", F.col("n") - F.coalesce("r", F.lit(0)))
-    facts = C.table(facts.where(F.col("c") * 100 >= F.col("n") * percent).select("doc_id", "n", "c", "s1", "s2", "bands"), "facts")
+    # shingles that no other candidate has can be in no link; those of two or three documents only in a few, all known
+    rare = C.table(_rare(sets), "rare")
+    facts = reps.join(wanted, "doc_id", "left_semi").join(rare.where("b is null").select(F.col("a").alias("doc_id"), "r1", "r3"), "doc_id", "left")
+    facts = facts.withColumn("c", F.col("n") - F.coalesce("r1", F.lit(0))).withColumn("c3", F.col("n") - F.coalesce("r3", F.lit(0)))
+    facts = C.table(facts.where(F.col("c") * 100 >= F.col("n") * percent).select("doc_id", "n", "c", "c3", "s1", "s2", "bands"), "facts")
     narrow = facts.drop("bands")
-    other = narrow.toDF("v", "k", "d", "t1", "t2")
+    other = narrow.toDF("v", "k", "d", "d3", "t1", "t2")
     # a bucket's hub is the member that shares most of its shingles: the likeliest middle of a group of near copies
     alive = C.table(members.join(narrow.select("doc_id", (F.col("c") / F.col("n")).alias("shared")), "doc_id"), "alive")
     hubs = alive.groupBy("bucket").agg(F.min_by("doc_id", F.struct(-F.col("shared"), "doc_id")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
     alive = C.table(alive.select("bucket", "doc_id").join(hubs, "bucket"), "alive")
     first = alive.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    first = first.join(narrow.withColumnRenamed("doc_id", "u"), "u").join(other, "v").where(_alike(percent)).select("u", "v")
+    first = first.join(narrow.withColumnRenamed("doc_id", "u"), "u").join(other, "v").where(_alike(percent, "c", "d")).select("u", "v")
     links = _links(sets, C.table(first, "pairs"), percent)
     found = C.table(components(links), "found").withColumnRenamed("node", "doc_id")
     placed = alive.select("bucket", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rest = C.table(placed.join(mixed, "bucket").join(facts, "doc_id"), "rest")
-    right = rest.select(F.col("bucket").alias("place"), F.col("doc_id").alias("v"), F.col("component").alias("other"), F.col("n").alias("k"), F.col("c").alias("d"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("bands").alias("theirs"))
+    right = rest.select(F.col("bucket").alias("place"), F.col("doc_id").alias("v"), F.col("component").alias("other"), F.col("n").alias("k"), F.col("c3").alias("d3"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("bands").alias("theirs"))
     once = F.array_min(F.array_intersect("bands", "theirs")) == F.col("bucket")  # a pair comes from one of its buckets only
-    second = rest.withColumnRenamed("doc_id", "u").join(right, (F.col("bucket") == F.col("place")) & (F.col("component") < F.col("other")) & _alike(percent) & once)
-    more = _links(sets, C.table(second.select("u", "v").distinct(), "pairs"), percent)
+    second = rest.withColumnRenamed("doc_id", "u").join(right, (F.col("bucket") == F.col("place")) & (F.col("component") < F.col("other")) & _alike(percent, "c3", "d3") & once)
+    # pairs that share a rare shingle are held against the wider bound, whatever their buckets
+    few = rare.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    few = few.join(narrow.withColumnRenamed("doc_id", "u"), "u").join(other, "v").where(_alike(percent, "c", "d")).select("u", "v")
+    of = lambda end, name: found.select(F.col("doc_id").alias(end), F.col("component").alias(name))
+    apart = few.join(of("u", "cu"), "u", "left").join(of("v", "cv"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    more = _links(sets, C.table(second.select("u", "v").unionByName(apart).distinct(), "pairs"), percent)
     done = C.table(components(links.unionByName(more)), "done") if not more.isEmpty() else found.withColumnRenamed("doc_id", "node")
     merged = classes.join(done.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(C.table(merged, "merged"), ["f1", "f2"], "left")
