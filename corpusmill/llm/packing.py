@@ -29,19 +29,36 @@ END_ID = 0
 class Ids:
     """Ids of texts, as bytes. ranks: a .tiktoken file; pattern: the pieces' pattern; kind: u2 or u4, little-endian.
 
-    A dictionary of words seen before costs more than it saves: most misses are words that occur once.
+    vocabulary: the same vocabulary as a json file of tokenizers, which encodes what tiktoken cannot: texts that hold
+    an added token of the json, where added_tokens says that these count as such, and texts on which tiktoken panics
+    (white space of a million characters). A dictionary of words seen before costs more than it saves: most misses are
+    words that occur once.
     """
 
-    def __init__(self, ranks: str, pattern: str, kind: str):
+    def __init__(self, ranks: str, pattern: str, kind: str, vocabulary: str | None = None, added_tokens: bool = False):
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.code = {"<u2": "H", "<u4": "I"}[kind]
+        self.added: list[str] = []
+        self.slow = None
+        if vocabulary:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(vocabulary)
+            self.slow.encode_special_tokens = not added_tokens
+            self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()] if added_tokens else []
 
     def of(self, text: str) -> bytes:
-        return array(self.code, self.encode(text)).tobytes()
+        if not any(t in text for t in self.added):
+            try:
+                return array(self.code, self.encode(text)).tobytes()
+            except BaseException as e:  # pyo3's PanicException is no Exception and cannot be imported
+                if type(e).__name__ != "PanicException" or self.slow is None:
+                    raise
+        return array(self.code, self.slow.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _IDS = pa.schema([("row", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("ids", pa.binary()), ("n", pa.int64())])
@@ -49,10 +66,10 @@ _IDS_DDL = "row long, part long, doc_id long, source string, ids binary, n long"
 _kept: dict[tuple, Ids] = {}
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str, kind: str) -> Iterator[pa.RecordBatch]:
+def _tokenise(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str, kind: str, vocabulary: str | None, added_tokens: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    key = (ranks, pattern, kind)
+    key = (ranks, pattern, kind, vocabulary, added_tokens)
     ids = _kept.get(key) or _kept.setdefault(key, Ids(*key))
     part, at, end = TaskContext.get().partitionId(), 0, np.array([END_ID], kind).tobytes()
     size = len(end)
@@ -88,24 +105,30 @@ def _cut(batches: Iterator[pa.RecordBatch], kind: str, window: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[i : i + 100_000]), _PIECES)], schema=_PIECES)
 
 
-def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, window: int = WINDOW, packet: int = PACKET, shares: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, window: int = WINDOW, packet: int = PACKET, shares: dict[str, float] | None = None, vocabulary: str | None = None, added_tokens: bool = False) -> DataFrame:
     """docs (doc_id, text, source, ...) -> one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     A document is the ids of its text (null: none) and END_ID; every id lies in exactly one piece, sequences are full
     but for the last. shares: a source's part of each window; the default is its part of all tokens, so that queues run
     dry together. Sources missing from shares get what is left over evenly. At any window's end a source is behind or
     ahead of its share by less than a packet and a quantum, as long as no queue is empty. Null and
-    repeated doc_ids are packed row by row; an empty table gives no rows; extra columns are ignored.
+    repeated doc_ids are packed row by row; an empty table gives no rows; extra columns are ignored. vocabulary: see Ids. added_tokens:
+    its added tokens (<|endoftext|>) get their own ids where a text holds them, as tokenizers' encode gives by default;
+    otherwise they are text like any other.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     if ranks is None or pattern is None:
         import public_tokenizers
 
+        if ranks is None:
+            vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
         ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    if added_tokens and not vocabulary:
+        raise ValueError("added_tokens needs the vocabulary's json file")
     kind = "<u2"
     src = C.plain(docs, "doc_id", "text", "source").withColumn("doc_id", F.col("doc_id").cast("long"))
-    ids = C.table(src.mapInArrow(partial(_tokenise, ranks=ranks, pattern=pattern, kind=kind), _IDS_DDL), "ids")
+    ids = C.table(src.mapInArrow(partial(_tokenise, ranks=ranks, pattern=pattern, kind=kind, vocabulary=vocabulary, added_tokens=added_tokens), _IDS_DDL), "ids")
     lengths = ids.select("row", "part", F.coalesce("source", F.lit("")).alias("queue"), "n")
     by_queue = lengths.groupBy("queue").agg(F.sum("n").alias("tokens"))
     total = by_queue.agg(F.sum("tokens")).first()[0] or 0

@@ -21,7 +21,7 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    return packing.pack(_read(spark, sf_dir, "documents"), added_tokens=True)
 
 
 def op3_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,27 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_gives_the_ids_of_tokenizers(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusmill.llm import queries
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "a" + " " * 2_000_000 + "b", "<|endoftext|" + " " * 1_000_000 + ">", "plain <| text |>", None]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert 50256 in ids[0]
+    df = spark.createDataFrame([(i, x, "s") for i, x in enumerate(texts)], "doc_id long, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (queries.op2_mixture_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, df, "")):
+        found = defaultdict(int)
+        for r in out.collect():
+            assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+            found[r.doc_id] += r.length
+        assert found == {i: len(x) for i, x in ids.items()}
+
+
 def test_packing_given_shares(spark):
     rnd = random.Random(2)
     docs = [(i, prose(rnd, 300), "ab"[i % 2]) for i in range(60)]
