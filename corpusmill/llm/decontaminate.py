@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Window sizes in words; an item takes the largest that is at most 2/3 of it, so that a window at every half
-#: window of a document always falls inside a leaked item.
+#: Window sizes in words; an item takes at most the largest that is at most 2/3 of it, so that a window at every half
+#: window of a document always falls inside a leaked item (see plan).
 SIZES = (1, 2, 4, 8, 16, 32)
 #: Items in one broadcast index. More items are taken in blocks of this many, one pass over the documents each.
 BLOCK_ITEMS = 20_000
+#: A window size at which a length of items needs more is not taken for it.
 MAX_REPETITIONS = 20
+#: Edited copies on which a length of items is measured.
+TRIALS = 300
 WORDS_AT_ONCE = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -96,41 +99,87 @@ def best_match(item: list, region: list, limit: int) -> tuple[int, int] | None:
     return best
 
 
-def repetitions(items: list[list[int]], edit_share: float, recall: float, trials: int = 400) -> int:
-    """Repetitions after which an item with edit_share of its words edited is a candidate with probability recall.
+def _edited(item: list[int], edit_share: float, rnd: random.Random) -> list[int]:
+    copy = list(item)
+    for _ in range(int(edit_share * len(item))):
+        i = rnd.randrange(len(copy))
+        kind = rnd.randrange(3)
+        if kind == 0:
+            copy[i] = rnd.getrandbits(63)
+        elif kind == 1 and len(copy) > 1:
+            del copy[i]
+        else:
+            copy.insert(i, rnd.getrandbits(63))
+    return copy
 
-    Measured on up to `trials` edited copies of the items themselves, which keeps their own word frequencies.
+
+def repetitions(items: list[list[int]], size: int, edit_share: float, recall: float, trials: int = TRIALS) -> int | None:
+    """Repetitions at this window size after which an edited copy of one of items is a candidate with probability
+    recall; None where MAX_REPETITIONS do not reach it.
+
+    Measured on edited copies of the items themselves, which keeps their own word frequencies. The copies stand among
+    other words; a copy without a full window is a miss.
+    """
+    rnd, step = random.Random(7), max(1, size // 2)
+    a, b, own, theirs, at_a, at_b = [], [], [], [], 0, 0
+    for t in range(trials):
+        item = items[t % len(items)]
+        copy = _edited(item, edit_share, rnd)
+        starts = np.arange(rnd.randrange(step), len(copy) - size + 1, step)
+        own.append(np.column_stack([np.full(max(0, len(item) - size + 1), t), at_a + np.arange(max(0, len(item) - size + 1))]))
+        theirs.append(np.column_stack([np.full(len(starts), t), at_b + starts]))
+        a += item + [0] * (2 * size)
+        b += copy + [rnd.getrandbits(63) for _ in range(2 * size)]
+        at_a, at_b = len(a), len(b)
+    h_a, h_b = np.array(a, np.uint64), np.array(b, np.uint64)
+    mine, there = np.concatenate(own), np.concatenate(theirs)
+    left, enough = np.ones(trials, bool), min(1.0, recall + (recall * (1 - recall) / trials) ** 0.5)  # a standard error more
+    for rep in range(MAX_REPETITIONS):
+        mine, there = mine[left[mine[:, 0]]], there[left[there[:, 0]]]
+        mark = C.mix64(np.arange(1, trials + 1, dtype=np.uint64))  # copies meet their own items only
+        hit = np.isin(keys(h_b, there[:, 1], size, rep) ^ mark[there[:, 0]], keys(h_a, mine[:, 1], size, rep) ^ mark[mine[:, 0]])
+        left[there[hit, 0]] = False
+        if 1 - left.mean() >= enough:
+            return rep + 1
+    return None
+
+
+def _length(n: int) -> int:
+    """Items are measured by length; those of many windows together, on the shortest of them."""
+    return min(n, 4 * SIZES[-1])
+
+
+def plan(items: list[list[int]], edit_share: float, recall: float) -> tuple[dict[int, int], dict[int, int]]:
+    """(length -> window size, window size -> repetitions) that reach recall at every length of items.
+
+    A length takes window_size() or the next smaller one, whichever makes fewer passes over the documents in all, and
+    still smaller ones where neither reaches recall. ValueError where none does.
     """
-    rnd = random.Random(7)
-    misses = []
-    pool = [x for x in items if len(x) >= 8] or items
-    for t in range(min(trials, 4 * len(pool))):
-        item = pool[t % len(pool)]
-        copy = list(item)
-        for _ in range(int(edit_share * len(item))):
-            i = rnd.randrange(len(copy))
-            kind = rnd.randrange(3)
-            if kind == 0:
-                copy[i] = rnd.getrandbits(63)
-            elif kind == 1 and len(copy) > 1:
-                del copy[i]
-            else:
-                copy.insert(i, rnd.getrandbits(63))
-        size = window_size(len(item))
-        if len(copy) < size or len(item) < size:
+    pools: dict[int, list[list[int]]] = {}
+    for x in sorted(items, key=len):
+        pools.setdefault(_length(len(x)), []).append(x)
+    need: dict[int, dict[int, int]] = {}
+    for n, pool in pools.items():
+        need[n] = {}
+        for tried, size in enumerate(s for s in reversed(SIZES) if s <= window_size(n)):
+            if tried > 1 and need[n]:
+                break
+            found = repetitions(pool[:TRIALS], size, edit_share, recall)
+            if found:
+                need[n][size] = found
+        if not need[n]:
+            raise ValueError(f"items of {n} words: no window finds copies with {edit_share:.0%} of words edited at a recall of {recall} in {MAX_REPETITIONS} repetitions")
+    best: tuple[int, dict[int, int], dict[int, int]] | None = None
+    for most in range(1, MAX_REPETITIONS + 1):
+        sizes = {n: max((s for s, r in by.items() if r <= most), default=0) for n, by in need.items()}
+        if 0 in sizes.values():
             continue
-        a, b = padded(item), padded(copy)
-        own = np.arange(len(item) - size + 1)
-        theirs = np.arange(rnd.randrange(max(1, size // 2)), len(copy) - size + 1, max(1, size // 2))
-        if len(theirs):
-            hit = sum(bool(np.isin(keys(b, theirs, size, r), keys(a, own, size, r)).any()) for r in range(8))
-            misses.append(1 - hit / 8)
-    if not misses:
-        return 1
-    for r in range(1, MAX_REPETITIONS):
-        if 1 - sum(m**r for m in misses) / len(misses) >= recall:
-            return r
-    return MAX_REPETITIONS
+        reps: dict[int, int] = {}
+        for n, s in sizes.items():
+            reps[s] = max(reps.get(s, 0), need[n][s])
+        if best is None or sum(reps.values()) < best[0]:
+            best = (sum(reps.values()), sizes, reps)
+    return (best[1], best[2]) if best else ({}, {})
 
 
 class Index:
@@ -142,13 +191,13 @@ class Index:
         self.items = [x for x in self.items if x[1]]
         self.word_sets = [frozenset(w) for _, w in self.items]
         self.edit_share = edit_share
-        self.reps = repetitions([w for _, w in self.items[:200]], edit_share, recall)
+        sizes, self.reps = plan([w for _, w in self.items], edit_share, recall)
         self.tables: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         by_size: dict[int, list[int]] = {}
         for k, (_, w) in enumerate(self.items):
-            by_size.setdefault(window_size(len(w)), []).append(k)
+            by_size.setdefault(sizes[_length(len(w))], []).append(k)
         for size, ks in by_size.items():
-            for rep in range(self.reps):
+            for rep in range(self.reps[size]):
                 made = [(keys(padded(self.items[k][1]), np.arange(len(self.items[k][1]) - size + 1), size, rep), k) for k in ks]
                 key = np.concatenate([x for x, _ in made])
                 item = np.concatenate([np.full(len(x), k) for x, k in made])
@@ -161,7 +210,7 @@ class Index:
 
     @property
     def by_rep(self):
-        return [(rep, [t for t in self.tables if t[1] == rep]) for rep in range(self.reps)]
+        return [(rep, [t for t in self.tables if t[1] == rep]) for rep in range(max(self.reps.values(), default=0))]
 
     def candidates(self, h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
         """(document, item, where the item would start) for documents h[begin:end]; the place is kept to 4 words."""

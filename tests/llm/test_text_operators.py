@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import common, decontaminate, line_dedup, span_dedup, warc, weak_rules
@@ -162,6 +163,26 @@ def test_leaks_are_found_and_exact(spark):
     assert decontaminate.benchmark_leaks(df.limit(0), bench).count() == 0 and decontaminate.benchmark_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_every_length_reach_the_recall():
+    rnd = random.Random(11)
+    own = lambda n: [f"v{rnd.randrange(5000)}" for _ in range(n)]
+    items = [(i, own(300)) for i in range(200)] + [(1000 + n * 100 + i, own(n)) for n in (10, 24, 48) for i in range(100)]
+    ix = decontaminate.Index([(i, " ".join(w)) for i, w in items], 0.15, 0.95)
+    hashes = common.WordHashes()
+    found = defaultdict(list)
+    for i, words in items[150:]:
+        copy = list(words)
+        for _ in range(int(0.15 * len(words))):
+            at = rnd.randrange(len(copy))
+            copy[at : at + 1] = rnd.choice([[], ["edited"], [copy[at], "edited"]])
+        text = own(rnd.randrange(40, 80)) + copy + own(40)
+        found[len(words)].append(i in {x[1] for x in ix.leaks([hashes.array(text)])})
+    assert all(sum(x) >= 0.93 * len(x) for x in found.values()), {n: sum(x) / len(x) for n, x in found.items()}
+    with pytest.raises(ValueError):
+        decontaminate.plan([[1, 2, 3, 4]], 1.0, 1.0)
+    assert decontaminate.plan([], 0.15, 0.95) == ({}, {})
+
+
 def brute_facts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
