@@ -35,7 +35,7 @@ def op4_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup.drop_repeated_spans(_read(spark, sf_dir, "documents"))
+    return span_dedup.drop_repeated_spans(_read(spark, sf_dir, "documents"), by_content=True)
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

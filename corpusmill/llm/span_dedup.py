@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,51 @@ from . import common as C
 #: before white space, at a line break, and after LONGEST words, so that a passage of 50 words that starts with a
 #: sentence always holds a whole span, however it is punctuated.
 SENTENCES, WORDS, LONGEST = 3, 20, 16
+#: By content, a sentence of so many words or more is cut before each word whose hash is the least among so many words
+#: in a row, and not after LONGEST. Pieces have at most so many words, and copies of a passage fall in step within so
+#: many wherever it begins or ends: any passage of 50 words holds a span (10 + 3 * 10 + 10).
+LEAST_OF = 10
 
 _WORDS = re.compile(r"\S+")
 _END = re.compile(r"[.!?][\"')\]»”]*$")
 
 
-def sentences(text: str) -> list[tuple[int, int, int, list[str]]]:
-    """(begin, end, words, the lower-cased words) of each sentence; white space between sentences belongs to none."""
+def content_ends(words: list[str], ends: list[int], hashes: C.WordHashes) -> list[int]:
+    """One past the last word of each piece of the sentences that end at ends; words are lower-cased."""
+    n = len(words)
+    cut = np.zeros(n + 1, bool)
+    cut[ends] = True
+    k = n - LEAST_OF + 1
+    if k > 0:
+        h, sentence = hashes.array(words), np.cumsum(cut)
+        least, at = h[:k].copy(), np.arange(k)
+        for j in range(1, LEAST_OF):
+            less = h[j : j + k] < least
+            least[less] = h[j : j + k][less]
+            at[less] = np.flatnonzero(less) + j
+        cut[at[sentence[:k] == sentence[LEAST_OF - 1 : n]]] = True
+        cut[0] = False
+    return np.flatnonzero(cut).tolist()
+
+
+def sentences(text: str, hashes: C.WordHashes | None = None) -> list[tuple[int, int, int, list[str]]]:
+    """(begin, end, words, the words) of each sentence; white space between sentences belongs to none.
+
+    hashes: cut long sentences by content, with these hashes of words.
+    """
+    if hashes is not None:
+        places, ends, at = [], [], 0
+        for line in text.split("\n"):
+            for m in _WORDS.finditer(line):
+                places.append((at + m.start(), at + m.end(), m.group()))
+                if _END.search(m.group()):
+                    ends.append(len(places))
+            if places and (not ends or ends[-1] < len(places)):
+                ends.append(len(places))
+            at += len(line) + 1
+        words = [w for _, _, w in places]
+        ends = content_ends([w.lower() for w in words], ends, hashes)
+        return [(places[a][0], places[b - 1][1], b - a, words[a:b]) for a, b in zip([0, *ends], ends)]
     out = []
     at = 0
     for line in text.split("\n"):
@@ -44,9 +83,19 @@ def sentences(text: str) -> list[tuple[int, int, int, list[str]]]:
     return out
 
 
-def units(text: str) -> tuple[list[int], list[int]]:
+def units(text: str, words_seen: C.WordHashes | None = None) -> tuple[list[int], list[int]]:
     """Word count and hash of each sentence: what sentences() finds, without the places."""
     counts, hashes = [], []
+    if words_seen is not None:
+        every, ends = [], []
+        for line in text.lower().split("\n"):
+            words = line.split()
+            n = len(every)
+            ends += [i for i, w in enumerate(words, n + 1) if i == n + len(words) or w[-1] in _CLOSERS and _END.search(w)]
+            every += words
+        ends = content_ends(every, ends, words_seen)
+        starts = [0, *ends[:-1]] if ends else []
+        return [b - a for a, b in zip(starts, ends)], [xxhash.xxh3_64_intdigest(" ".join(every[a:b])) for a, b in zip(starts, ends)]
     for line in text.lower().split("\n"):
         words = line.split()
         start = 0
@@ -75,14 +124,15 @@ _SPANS = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("past", pa.i
 _SPANS_DDL = "doc_id long, first int, past int, h long, again boolean"
 
 
-def _emit_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_spans(batches: Iterator[pa.RecordBatch], by_content: bool) -> Iterator[pa.RecordBatch]:
+    hashes = C.WordHashes() if by_content else None
     for b in batches:
         rows: list[tuple] = []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             if doc is None or not text:
                 continue
             seen: set[int] = set()
-            for i, j, h in spans(*units(text)):
+            for i, j, h in spans(*units(text, hashes)):
                 rows.append((doc, i, j, h, h in seen))
                 seen.add(h)
         if rows:
@@ -93,11 +143,12 @@ _CLEAN = pa.schema([("doc_id", pa.int64()), ("clean", pa.string()), ("n_sentence
 _CLEAN_DDL = "doc_id long, clean string, n_sentences long, n_removed long"
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], by_content: bool) -> Iterator[pa.RecordBatch]:
+    hashes = C.WordHashes() if by_content else None
     for b in batches:
         rows = []
         for doc, text, cut in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "cut"))):
-            own = sentences(text)
+            own = sentences(text, hashes)
             gone = np.zeros(len(own) + 1, np.int64)
             for c in cut:
                 gone[c["first"]] += 1
@@ -113,14 +164,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CLEAN)] if rows else [pa.array([], f.type) for f in _CLEAN], schema=_CLEAN)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, by_content: bool = False) -> DataFrame:
     """docs (doc_id, text) -> doc_id, cut array<struct<first, past>>: sentences covered by non-first repeated spans.
 
     The first of a span is the one in the smallest doc_id, and there the earliest. Only documents that lose something.
     """
     C.prepare(docs.sparkSession)
     src = C.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = C.table(src.mapInArrow(_emit_spans, _SPANS_DDL), "spans")
+    found = C.table(src.mapInArrow(partial(_emit_spans, by_content=by_content), _SPANS_DDL), "spans")
     firsts = found.where("not again").groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("h", "keeper")
     firsts = C.table(firsts, "firsts")
     later = found.where("not again").join(firsts, "h").where("doc_id > keeper").select("doc_id", "first", "past")
@@ -129,13 +180,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return later.unionByName(inner).groupBy("doc_id").agg(F.collect_set(F.struct("first", "past")).alias("cut"))
 
 
-def drop_repeated_spans(docs: DataFrame) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, by_content: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, clean, n_sentences, n_removed for the documents that lose sentences.
 
     clean is the text without the sentences that a non-first repeated span covers; all else is as it was but for
     spaces at the cuts. Texts that stay as they are have no row; null and empty texts never change, nor do rows with a
     null doc_id. Rows that repeat a doc_id are the same document. Case and white space do not tell spans apart.
+    by_content: cut long sentences by content, so that passages meet wherever they begin (see LEAST_OF).
     """
-    cut = C.table(repeated_spans(docs), "cut")
+    cut = C.table(repeated_spans(docs, by_content), "cut")
     changed = C.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("text is not null")
-    return changed.join(cut, "doc_id").mapInArrow(_remove, _CLEAN_DDL)
+    return changed.join(cut, "doc_id").mapInArrow(partial(_remove, by_content=by_content), _CLEAN_DDL)

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import common, decontaminate, line_dedup, span_dedup, warc, weak_rules
+from corpusmill.llm import common, decontaminate, line_dedup, queries, span_dedup, warc, weak_rules
 
 ODD = [(1, "a b\nc d", "s", "x"), (1, "a b\nc d", "s", "x"), (2, None, None, "y"), (3, "", "s", None), (None, "a b\n", "t", "x"), (4, "long " * 30_000, "s", "x")]
 ODD_DDL = "doc_id long, text string, source string, keys string"
@@ -82,6 +82,28 @@ def test_spans_are_brute_force(spark):
     assert got == brute_spans(docs)
 
 
+def test_spans_meet_wherever_a_passage_begins(spark, tmp_path):
+    rnd = random.Random(12)
+    own = lambda n, stop: " ".join(f"o{rnd.randrange(10**9)}" + ("." if rnd.random() < stop else "") for _ in range(n))
+    docs, passages = [], {}
+    for i in range(150):
+        stop = rnd.choice([0, 0.03, 0.07, 0.3])
+        p = " ".join(f"p{rnd.randrange(10**9)}" + ("." if rnd.random() < stop else "") for _ in range(rnd.randrange(50, 60)))
+        docs.append((i, f"{own(rnd.randrange(40), stop)} {p} {own(rnd.randrange(40), stop)}"))
+        docs.append((1000 + i, f"{own(rnd.randrange(40), stop)} {p.upper()} {own(rnd.randrange(40), stop)}"))
+        passages[1000 + i] = set(p.upper().split())
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: set(r.clean.split()) for r in queries.op5_sentence_span_dedup(spark, str(tmp_path)).collect()}
+    texts = dict(docs)
+    assert set(got) == set(passages)
+    assert all(len(passages[i] & w) <= 30 and set(texts[i].split()) - passages[i] <= w for i, w in got.items())
+    hashes = common.WordHashes()
+    for t in [*texts.values(), "", " \n ", "one", "a " * 30, "A b. C\n\nd e? f"]:
+        pieces = span_dedup.sentences(t, hashes)
+        assert [x.lower() for p in pieces for x in p[3]] == t.lower().split() and all(0 < p[2] <= 10 and t[p[0] : p[1]].split() == p[3] for p in pieces)
+        assert [p[2] for p in pieces] == span_dedup.units(t, hashes)[0]
+
+
 def test_span_texts_and_odd_rows(spark):
     p = "One two three four five six seven. Eight nine ten eleven twelve thirteen. Last words of it are these ones here."
     df = spark.createDataFrame([(1, f"A start. {p} An end.", 0), (2, f"Other start. {p} Another end.", 0), (None, p, 0), (3, None, 0)], "doc_id long, text string, cut int")
