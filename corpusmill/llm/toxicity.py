@@ -26,8 +26,8 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 APART = ".-_*'~·,/\\:;#^`\""
 #: Longer words are read as they are: e-mail addresses, digests, links.
 LONGEST_DISGUISE = 24
-#: At most so many features are candidates (those in most toxic training texts), and so many weighed ones are kept.
-CANDIDATES, LEXICON = 200_000, 20_000
+#: Weighed features in one broadcast. More are taken in shards of about this many, one pass over the documents each.
+SHARD_FEATURES = 400_000
 #: The logistic model is fitted on this many training texts at most (by hash of the id).
 FIT_ROWS = 50_000
 
@@ -173,23 +173,27 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
 
 
-def trigrams(docs: DataFrame, most: int = 500_000) -> dict[str, int]:
-    """The letter trigrams of all words of docs; of more than `most` different ones, the commonest."""
+def trigrams(docs: DataFrame) -> dict[str, int]:
+    """The letter trigrams of all words of docs: a table that the alphabets bound."""
     counted = C.plain(docs, "text").mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r[0]: r[1] for r in counted.orderBy(F.desc("n"), "gram").limit(most).collect()}
+    return _fetched(counted)
 
 
-def _feature_counts(batches: Iterator[pa.RecordBatch], model, only) -> Iterator[pa.RecordBatch]:
+def _fetched(pairs: DataFrame) -> dict:
+    """Two columns as a dictionary; as Arrow, since rows take several times the memory."""
+    t = pairs.toArrow()
+    return dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))
+
+
+def _feature_counts(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     words, counts = Words(model.value), Counter()
-    allowed = only.value if only else None
 
     def out():
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
 
     for b in batches:
         for t in b.column("text").to_pylist():
-            own = features(words.of(t or ""))
-            counts.update(own & allowed if allowed is not None else own)
+            counts.update(features(words.of(t or "")))
         if len(counts) > 500_000:
             yield from out()
             counts.clear()
@@ -200,15 +204,31 @@ _RAW = pa.schema([("doc_id", pa.int64()), ("top", pa.float64()), ("second", pa.f
 _RAW_DDL = "doc_id long, top double, second double, total double, size double"
 
 
-def _weigh(batches: Iterator[pa.RecordBatch], model, weights) -> Iterator[pa.RecordBatch]:
+_PART = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("top", pa.float64()), ("second", pa.float64()), ("total", pa.float64())])
+_PART_DDL = "doc_id long, text string, top double, second double, total double"
+
+
+def _weigh(batches: Iterator[pa.RecordBatch], model, weights, last: bool) -> Iterator[pa.RecordBatch]:
+    """Adds the hits of one shard of the weights to top, second and total; the last shard's rows are _RAW, others _PART."""
     words, w = Words(model.value), weights.value
+    schema = _RAW if last else _PART
     for b in batches:
         rows = []
-        for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        for doc, t, top, second, total in zip(*(b.column(c).to_pylist() for c in _PART.names)):
             own = features(words.of(t or ""))
-            hits = sorted((w[f] for f in own if f in w), reverse=True)
-            rows.append((doc, hits[0] if hits else 0.0, hits[1] if len(hits) > 1 else 0.0, math.log1p(sum(hits)), math.log1p(len(own))))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RAW)] if rows else [pa.array([], f.type) for f in _RAW], schema=_RAW)
+            hits = sorted([w[f] for f in own if f in w] + [top, second], reverse=True)
+            total += sum(hits) - top - second
+            rows.append((doc, hits[0], hits[1], math.log1p(total), math.log1p(len(own))) if last else (doc, t, hits[0], hits[1], total))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+
+def _lexicon(toxic: DataFrame, clean: DataFrame, letters, bad: int, good: int) -> DataFrame:
+    """(feature, sure): the log ratio of rates, less two standard errors, of every feature where that is over 0.3."""
+    counted = lambda df, n: df.mapInArrow(partial(_feature_counts, model=letters), "feature string, n long").groupBy("feature").agg(F.sum("n").alias(n))
+    both = counted(toxic, "n").where("n >= 3").join(counted(clean, "m").hint("merge"), "feature", "left")
+    n, m = F.col("n") + 0.5, F.coalesce("m", F.lit(0)) + 0.5
+    sure = F.log((n / bad) / (m / good)) - 2 * F.sqrt(1 / n + 1 / m)
+    return both.select("feature", sure.alias("sure")).where("sure > 0.3")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -244,21 +264,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     toxic, clean = train.where("toxic = 1").select("text"), train.where("toxic = 0").select("text")
     sizes = {r[0]: r[1] for r in known.join(src.select("doc_id"), "doc_id").groupBy("toxic").count().collect()}
     letters = spark.sparkContext.broadcast(CharModel([trigrams(src), trigrams(toxic)]))
-    seen = toxic.mapInArrow(partial(_feature_counts, model=letters, only=None), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where("n >= 3")
-    often = {r[0]: r[1] for r in seen.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
-    only = spark.sparkContext.broadcast(frozenset(often))
-    there = {r[0]: r[1] for r in clean.mapInArrow(partial(_feature_counts, model=letters, only=only), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    bad, good = sizes.get(1, 0) + 1, sizes.get(0, 0) + 1
-    scored = {}
-    for f, n in often.items():
-        m = there.get(f, 0)
-        a, b = (n + 0.5) / bad, (m + 0.5) / good
-        # the log ratio of rates, less two standard errors
-        sure = math.log(a / b) - 2 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-        if sure > 0.3:
-            scored[f] = sure
-    weights = dict(sorted(scored.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
-    raw = C.table(src.mapInArrow(partial(_weigh, model=letters, weights=spark.sparkContext.broadcast(weights)), _RAW_DDL), "raw")
+    lexicon = C.table(_lexicon(toxic, clean, letters, sizes.get(1, 0) + 1, sizes.get(0, 0) + 1), "lexicon")
+    shards = max(1, -(-lexicon.count() // SHARD_FEATURES))
+    raw = src.select("doc_id", "text", *(F.lit(0.0).alias(c) for c in ("top", "second", "total")))
+    for k in range(shards):
+        weights = spark.sparkContext.broadcast(_fetched(lexicon.where(F.pmod(F.xxhash64("feature"), F.lit(shards)) == k)))
+        last = k + 1 == shards
+        raw = C.table(raw.mapInArrow(partial(_weigh, model=letters, weights=weights, last=last), _RAW_DDL if last else _PART_DDL), "raw")
     columns = ["top", "second", "total", "size"]
     sample = raw.join(C.broadcast_if_small(known, known.count()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select(*columns, "toxic").limit(FIT_ROWS).collect()
     w = fit_logistic(np.array([r[:4] for r in sample], float).reshape(len(sample), 4), np.array([r[4] for r in sample], float))

@@ -195,3 +195,20 @@ def test_toxicity_held_out(spark):
     assert {r.predicted for r in out if r.doc_id in (900, 901)} == {0} and [r.predicted for r in out if r.doc_id is None] == [1]
     assert {r.score for r in toxicity.toxicity(df, lab.limit(0)).collect()} == {0.5}
     assert toxicity.toxicity(df.limit(0), lab).count() == 0
+
+
+def test_toxicity_weighs_every_feature(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = ["z" + a + b + c for a in letters for b in letters for c in letters] + ["y" + a + b + c for a in letters for b in letters for c in letters[:8]]
+    rare = sorted(w for w in rare if all(a != b for a, b in zip(w, w[1:])))
+    assert len(rare) > 20_000
+    known = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(i, " ".join(rare[k % 20 :: 20])) for k, i in enumerate(known[:100])] + [(i, "some calm words of no harm") for i in known[100:600]]
+    labels = [(i, int(k < 100)) for k, (i, _) in enumerate(docs)]
+    docs += [(2000, "some calm words " + " ".join(rare[:40])), (2001, "some calm words " + " ".join(rare[-40:])), (2002, "some calm words")]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.toxicity(df, lab).where("doc_id >= 2000").collect()}
+    assert abs(score[2000] - score[2001]) < 1e-6 and score[2001] > score[2002]
+    monkeypatch.setattr(toxicity, "SHARD_FEATURES", 9000)
+    again = {r.doc_id: r.score for r in toxicity.toxicity(df, lab).where("doc_id >= 2000").collect()}
+    assert all(abs(again[i] - x) < 1e-9 for i, x in score.items())
