@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -17,8 +18,8 @@ from pyspark.sql.window import Window
 
 #: Rows in an Arrow batch handed to Python; keeps a batch of long texts small.
 ARROW_ROWS = 512
-#: A table may be broadcast only up to this many (narrow) rows.
-BROADCAST_ROWS = 1_000_000
+#: A table may be broadcast only up to this many bytes, as measured by broadcast_if_small(). Beyond it both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
 #: Words remembered by a Python worker before its cache is emptied.
 CACHE_WORDS = 400_000
 
@@ -26,14 +27,16 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local
+    master; elsewhere an error, since executors do not see each other's disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        _own[app] = tempfile.mkdtemp(prefix="spark-corpusmill-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_corpusmill"
+        _own[app] = tempfile.mkdtemp(prefix="spark-corpusmill-")
     return _own[app]
 
 
@@ -57,7 +60,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Removes tables made by table() that no result reads any more."""
+    """Removes tables made by table() that no result reads any more. What a result still reads stays with it."""
     for t in tables:
         spark, path = t.sparkSession, getattr(t, "table_path", None)
         if path:
@@ -74,9 +77,48 @@ def _forget() -> None:
             shutil.rmtree(path, ignore_errors=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """rows: the counted rows of df. Beyond the limit Spark picks a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of df's rows in memory: 16 a row, 8 a field, and what strings, binaries and arrays of numbers hold. Runs df."""
+    row = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            row = row + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith("array"):
+            row = row + 8 * F.greatest(F.size(c), F.lit(0))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its measured bytes are within the limit; beyond it the join is left to shuffles.
+
+    df should be a stored table: it is read once more to be measured.
+    """
+    return F.broadcast(df) if measured_bytes(df) <= limit else df.hint("merge")
+
+
+def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with names of our own (c0, c1, ...), and name -> own name. Names that differ in case only, or not at all, stay
+    apart; the first column with exactly the name stands for it, else the first in any case."""
+    own = [f"c{i}" for i in range(len(df.columns))]
+    of: dict[str, str] = {}
+    for key in (str, str.lower):
+        for name, mine in zip(df.columns, own):
+            of.setdefault(key(name), mine)
+    return df.toDF(*own), of
+
+
+def column_of(of: dict[str, str], name: str) -> str | None:
+    return of.get(name, of.get(name.lower()))
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, nulls: bool = False) -> DataFrame:
+    """docs less the rows whose doc_id is in gone's only column; all columns stay as they are. nulls: a null in gone
+    takes away the rows with a null doc_id. gone should be a stored table."""
+    own, of = by_position(docs)
+    there = broadcast_if_small(gone.toDF("gone"))
+    mine = F.col(column_of(of, "doc_id"))
+    same = mine.eqNullSafe(F.col("gone")) if nulls else mine == F.col("gone")
+    return own.join(there, same, "left_anti").toDF(*docs.columns)
 
 
 class WordHashes(dict):
@@ -155,8 +197,8 @@ def running_total(df: DataFrame, groups: list[str], block: str, order: list[str]
 
 def plain(docs: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns; missing ones become null strings. Extra columns never reach an operator."""
-    have = {c.lower() for c in docs.columns}
-    return docs.select(*[F.col(f"`{c}`") if c.lower() in have else F.lit(None).cast("string").alias(c) for c in cols])
+    own, of = by_position(docs)
+    return own.select(*[(F.lit(None).cast("string") if column_of(of, c) is None else F.col(column_of(of, c))).alias(c) for c in cols])
 
 
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:

@@ -23,8 +23,9 @@ from . import common as C
 #: Window sizes in words; an item takes at most the largest that is at most 2/3 of it, so that a window at every half
 #: window of a document always falls inside a leaked item (see plan).
 SIZES = (1, 2, 4, 8, 16, 32)
-#: Items in one broadcast index. More items are taken in blocks of this many, one pass over the documents each.
-BLOCK_ITEMS = 20_000
+#: Items and words in one broadcast index (some hundred bytes a word). More are taken in blocks of so many, one pass over
+#: the documents each; an item with more words is a block of its own.
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 500_000
 #: A window size at which a length of items needs more is not taken for it.
 MAX_REPETITIONS = 20
 #: Edited copies on which a length of items is measured.
@@ -278,32 +279,36 @@ def _search(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch
             yield from emit(ids, docs)
 
 
-def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, items: int, words: int) -> Iterator[list[tuple[int, str]]]:
     block: list[tuple[int, str]] = []
+    held = 0
     for r in C.plain(benchmark, "item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == size:
+        n = len(words_of(r[1]))
+        if block and (len(block) == items or held + n > words):
             yield block
-            block = []
+            block, held = [], 0
+        block.append((r[0], r[1]))
+        held += n
     if block:
         yield block
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.15, recall: float = 0.95, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.15, recall: float = 0.95, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Where benchmark items (item_id, text) occur in docs (doc_id, text), up to edit_share of their words edited.
 
     One row for each document and item found: doc_id, item_id, start_word (the match's last word less the item's
     length), end_word, item_words, distance (words). Words are lower-cased letters and digits. Null and empty texts and items
     match nothing; items of the same text each match; rows repeating a doc_id give their own rows; extra columns are
-    ignored. The benchmark is the stated query set: it is read in blocks of block_items, each a broadcast index of
-    bounded size and one pass over the documents.
+    ignored, whatever their names. A text of any length is searched whole, in memory of its own length. The benchmark is
+    the stated query set: it is read in blocks of block_items and block_words, each a broadcast index of bounded size and
+    one pass over the documents.
     """
     spark: SparkSession = docs.sparkSession
     C.prepare(spark)
     src = C.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     out = C.empty_like(spark, "doc_id long, item_id long, end_word long, item_words long, distance long")
     made = []
-    for block in _blocks(benchmark, block_items):
+    for block in _blocks(benchmark, block_items, block_words):
         index = spark.sparkContext.broadcast(Index(block, edit_share, recall))
         made.append(src.mapInArrow(partial(_search, index=index), out.schema))
     for m in made:
@@ -312,7 +317,10 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.15) -> DataFrame:
-    """docs without those that hold a benchmark item; columns and kept rows unchanged. Null doc_ids stay."""
-    gone = C.table(benchmark_leaks(docs, benchmark, edit_share).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(C.broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """docs without those that hold a benchmark item; columns and kept rows unchanged.
 
+    Null doc_ids stay; rows that share a doc_id go when one of them holds an item; null and empty texts hold none; an
+    empty table or benchmark takes nothing away; further columns may have any names.
+    """
+    gone = C.table(benchmark_leaks(docs, benchmark, edit_share).select("doc_id").distinct(), "gone")
+    return C.without_ids(docs, gone)

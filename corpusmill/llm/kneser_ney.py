@@ -104,10 +104,11 @@ def train(trusted: DataFrame) -> DataFrame:
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # a lower order counts the different bytes seen before a gram
         levels[k] = C.table(levels[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count("*").alias("c")), "grams")
-    lower, parts = None, []
+    lower, parts, stored = None, [], []
     for k in range(1, ORDER + 1):
         p, contexts = _smoothed(levels[k], k, lower)
         lower = C.table(p, "p")
+        stored.append(lower)
         parts += [lower.select(F.lit(k).alias("kind"), F.col("gram").alias("key"), F.log("p").cast("float").alias("value"))]
         if k > 1:
             parts += [contexts.select(F.lit(-k).alias("kind"), F.col("context").alias("key"), F.log("gamma").cast("float").alias("value"))]
@@ -116,7 +117,9 @@ def train(trusted: DataFrame) -> DataFrame:
     model = parts[0]
     for x in parts[1:]:
         model = model.unionByName(x)
-    return C.table(model, "model")
+    model = C.table(model, "model")
+    C.drop(*levels.values(), *stored)
+    return model
 
 
 class Model:
@@ -181,7 +184,11 @@ def _score(batches: Iterator[pa.RecordBatch], model, shard: int, shards: int) ->
 
 
 def perplexities(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs (doc_id, text, lang) -> doc_id, lang, n_bytes, perplexity (a byte; null for texts without bytes), row by row."""
+    """docs (doc_id, text, lang) -> doc_id, lang, n_bytes, perplexity (a byte; null for texts without bytes), row by row.
+
+    Each n-gram of a text is looked up in the shard that it is dealt to; a shard is one broadcast of shard_rows rows at most
+    and one pass, after which it is given up. Rows of the model that belong to all shards (n-grams of one byte or two) are few.
+    """
     spark = docs.sparkSession
     C.prepare(spark)
     out = C.plain(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.lit(0.0).alias("log_p"))
@@ -193,7 +200,9 @@ def perplexities(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS
         # grams and contexts too short to have those two bytes go to every shard
         rows = model.where(F.col("kind").between(-1, 2) | (own == s)) if shards > 1 else model
         shared = spark.sparkContext.broadcast(Model(rows.toArrow()))
-        out = out.mapInArrow(partial(_score, model=shared, shard=s, shards=shards), _SCORES_DDL)
+        before, out = out, C.table(out.mapInArrow(partial(_score, model=shared, shard=s, shards=shards), _SCORES_DDL), "scores")
+        shared.destroy()
+        C.drop(before)
     return out.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"))
 
 
@@ -203,14 +212,16 @@ def perplexity_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float
     trusted_ids (doc_id): trusted texts. Four in five train the model; the fifth, by crc32 of the id, sets thresholds on
     text that it has not seen. A language's threshold is slack times that quantile of its held-out perplexities;
     languages without any, and null, take that of all held-out ones. kept: perplexity is at most the threshold; texts without bytes are not kept. Without trusted documents thresholds are null and
-    every document with text is kept. Repeated rows are scored one by one; extra columns are ignored.
+    every document with text is kept. Repeated rows are scored one by one, texts of any length whole; a null doc_id is
+    scored and never trusted; an empty table gives no rows; extra columns are ignored, whatever their names.
     """
     docs = C.plain(docs, "doc_id", "text", "lang")
-    ids = C.table(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
-    small = C.broadcast_if_small(ids, ids.count())
+    ids = C.table(C.plain(trusted_ids, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
+    small = C.broadcast_if_small(ids)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = train(docs.join(small, "doc_id", "left_semi").where(~held_out))
-    scored = C.table(perplexities(docs, model), "scored")
+    scored = perplexities(docs, model)
+    C.drop(model)
     marked = scored.join(small, "doc_id", "left_semi").where(held_out & F.col("perplexity").isNotNull())
     q = F.percentile_approx("perplexity", quantile, 10_000) * slack
     by_lang = marked.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(q.alias("own"))

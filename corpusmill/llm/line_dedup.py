@@ -25,27 +25,35 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     return often.groupBy("site").agg(F.collect_list("key").alias("keys"))
 
 
-def drop_site_lines(docs: DataFrame, site: Column, text: str = "text", ratio: float = 0.1, min_pages: int = 5, into: str | None = None, dropped: str | None = None) -> DataFrame:
+def drop_site_lines(docs: DataFrame, site: Column | str, text: str = "text", ratio: float = 0.1, min_pages: int = 5, into: str | None = None, dropped: str | None = None) -> DataFrame:
     """docs with boilerplate lines cut out of the text column (or a copy of it, into); rows and other columns unchanged.
 
+    site: an expression over docs, or the name of a column (a missing one: all rows are of one site).
     A line (cut at \\n, compared without outer spaces) goes from every page of a site when more than ratio of the
     site's pages, and at least min_pages, carry it. Blank lines stay. Null texts stay null and count as pages; a null site is
-    a site of its own; repeated rows count as pages of their own; an empty table stays empty. dropped: an extra
-    column with the number of lines cut.
+    a site of its own; repeated rows count as pages of their own; an empty table stays empty; a text of any
+    length is cut whole. dropped: an extra column with the number of lines cut; columns named like into or dropped are
+    replaced, others may have any names.
     """
-    lines = F.split(F.col(text), "\n", -1)
-    key = F.coalesce(site.cast("string"), F.lit(""))
-    rare = C.table(boilerplate(docs.select(key.alias("site"), lines.alias("lines")), ratio, min_pages), "boilerplate")
-    size = rare.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
-    rare = C.broadcast_if_small(rare.select(F.col("site").alias("__site"), F.col("keys").alias("__keys")), sum(size))
-    named = docs.withColumn("__own_site", key).join(rare, F.col("__own_site") == F.col("__site"), "left")
-    stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__keys", _key(x)))
-    cut = F.when(F.col("__keys").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))
-    out = named.withColumn("__cut", cut)
-    if dropped:
-        out = out.withColumn(dropped, F.when(F.col("__keys").isNull(), 0).otherwise(F.coalesce(F.size(lines) - F.size(stay), F.lit(0))).cast("long"))
-    kept = [F.col("__cut").alias(c) if c == (into or text) else F.col(f"`{c}`") for c in docs.columns + ([into] if into and into not in docs.columns else [])]
-    return out.select(*kept, *([F.col(dropped)] if dropped else []))
+    if isinstance(site, str):
+        own, of = C.by_position(docs)
+        own = own.withColumn("site_of", F.lit("") if C.column_of(of, site) is None else F.col(C.column_of(of, site)).cast("string"))
+    else:
+        own, of = C.by_position(docs.select("*", site.cast("string")))
+    key = own.columns[-1]  # the site stands last
+    body = F.col(C.column_of(of, text))
+    lines = F.split(body, "\n", -1)
+    own = own.withColumn(key, F.coalesce(F.col(key), F.lit("")))
+    rare = C.table(boilerplate(own.select(F.col(key).alias("site"), lines.alias("lines")), ratio, min_pages), "boilerplate")
+    rare = C.broadcast_if_small(rare)
+    named = own.join(rare, F.col(key) == F.col("site"), "left")
+    stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("keys", _key(x)))
+    cut = F.when(F.col("keys").isNull(), body).otherwise(F.array_join(stay, "\n"))
+    n_cut = F.when(F.col("keys").isNull(), 0).otherwise(F.coalesce(F.size(lines) - F.size(stay), F.lit(0))).cast("long")
+    put = {into or text: cut} | ({dropped: n_cut} if dropped else {})
+    out = [(c, put.pop(c).alias(c) if c in put else F.col(mine)) for c, mine in zip(docs.columns, own.columns)]
+    out += [(c, value) for c, value in put.items()]
+    return named.select(*[value for _, value in out]).toDF(*[c for c, _ in out])
 
 
 def visible_lines(html: Column) -> Column:

@@ -83,31 +83,39 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(s):
                 f1.append(None), f2.append(None), s1.append(None), s2.append(None), bands.append(None)
                 continue
-            fp = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+            fp = _fingerprint(s)
             sig = signature(s)
             one, two = sketch(sig)
             f1.append(int(fp[0])), f2.append(int(fp[1])), s1.append(one), s2.append(two), bands.append(band_keys(sig))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t.type) for x, t in zip((n, f1, f2, s1, s2, bands), list(_SIGNED)[1:]))], schema=_SIGNED)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SETS = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SETS_DDL = "f1 long, f2 long, shingles array<long>"
+
+
+def _fingerprint(shingles: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = C.WordHashes()
     for b in batches:
-        made = [C.shingle_set(hashes.array(C.words_lower(t)), SHINGLE).view(np.int64) for t in C.texts(b)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, _SETS.field(1).type)], schema=_SETS)
+        made = [s for t in C.texts(b) if len(s := C.shingle_set(hashes.array(C.words_lower(t)), SHINGLE))]
+        prints = np.array([_fingerprint(s) for s in made], np.int64).reshape(len(made), 2)
+        yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([s.view(np.int64) for s in made], _SETS.field(2).type)], schema=_SETS)
 
 
 def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (u, v), those with 100 * intersection >= percent * union of the full sets."""
-    ids = C.table(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-    wanted = sets.join(C.broadcast_if_small(ids, ids.count()), "doc_id", "left_semi")
-    one = wanted.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    two = wanted.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+    """Of the candidate pairs (u, v) of nodes, those with 100 * intersection >= percent * union of the full sets."""
+    ids = C.table(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ids")
+    wanted = sets.join(C.broadcast_if_small(ids), "node", "left_semi")
+    one = wanted.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    two = wanted.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(one, "u").join(two, "v").withColumn("same", F.size(F.array_intersect("a", "b")))
-    return C.table(both.where(F.col("same") * 100 >= (F.size("a") + F.size("b") - F.col("same")) * percent).select("u", "v").distinct(), "links")
+    links = C.table(both.where(F.col("same") * 100 >= (F.size("a") + F.size("b") - F.col("same")) * percent).select("u", "v").distinct(), "links")
+    C.drop(ids, pairs)
+    return links
 
 
 def _alike(percent: int, mine: str, theirs: str) -> Column:
@@ -124,10 +132,10 @@ def _alike(percent: int, mine: str, theirs: str) -> Column:
 
 
 def _rare(sets: DataFrame) -> DataFrame:
-    """(a, null, r1, r3): how many shingles of document a nobody else has, and at most two others have; and (a, b, ...):
-    each pair of documents, a < b, that share a shingle of two or three documents. Sums only: the least, the greatest and
+    """(a, null, r1, r3): how many shingles of node a nobody else has, and at most two others have; and (a, b, ...):
+    each pair of nodes, a < b, that share a shingle of two or three nodes. Sums only: the least, the greatest and
     the exclusive or of at most three ids give all of them."""
-    seen = sets.select("doc_id", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("df"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor("doc_id").alias("all")).where("df <= 3")
+    seen = sets.select("node", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("all")).where("df <= 3")
     seen = seen.withColumn("mid", F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi")))
     pair = lambda a, b: F.struct(F.col(a).alias("a"), (F.lit(None).cast("long") if b is None else F.col(b)).alias("b"))
     two, three = [pair("lo", None), pair("hi", None), pair("lo", "hi")], [pair("mid", None), pair("lo", "mid"), pair("mid", "hi")]
@@ -141,63 +149,78 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Texts are lower-cased (A-Z) and cut at ASCII white space; a set holds the distinct 5-word shingles, or the whole
     sequence of fewer words. Documents are linked when 100 * intersection >= percent * union (percent from 80 on);
     component_id is the smallest doc_id that can be reached. Null, empty and blank texts have no shingles and are their
-    own component. Equal sets are one class from the start, so copies never meet as pairs. Sets that share too few shingles
+    own component. Equal sets are one node from the start, so copies never meet as pairs. Sets that share too few shingles
     with all other candidates leave. A bucket's members are first held against one of them only; after those links are
     known, members still in different components are compared with each other, each pair in one bucket; pairs that share
-    a shingle of no more than three documents are compared anyway, and all others must do without those shingles. A null doc_id gives a null component_id and is kept. Rows that repeat a doc_id are
-    the same document when their texts are equal. Extra columns are ignored.
+    a shingle of no more than three nodes are compared anyway, and all others must do without those shingles.
+
+    Rows that repeat a doc_id are one document, whatever their texts: each text may link it, and all its rows get the
+    same component. Copies with a null doc_id count as texts, but name no component: their component_id is the smallest doc_id
+    of their component, null where it has none, and they are kept. Texts of any length are hashed whole. An empty table
+    gives no rows; extra columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    C.prepare(spark)
+    C.prepare(docs.sparkSession)
     docs = C.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = C.table(docs.mapInArrow(_sign, _SIGNED_DDL), "signed")
-    classes = C.table(signed.where("f1 is not null and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), "doc_id").where("f1 = g1 and f2 = g2")
-    reps = C.table(reps.select("doc_id", F.col("n_shingles").alias("n"), "s1", "s2", "bands").dropDuplicates(["doc_id"]), "reps")
-    spread = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    crowded = spread.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("bucket", "hub")
-    members = C.table(spread.join(C.table(crowded, "crowded"), "bucket"), "members")
-    wanted = members.select("doc_id").distinct()
-    wanted = C.table(wanted, "wanted")
-    sets = C.table(docs.join(C.broadcast_if_small(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    # shingles that no other candidate has can be in no link; those of two or three documents only in a few, all known
+    some = signed.where("f1 is not null")
+    classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first(F.struct("s1", "s2", "bands")).alias("sig"))
+    classes = C.table(classes.select("f1", "f2", "rep", "n", "sig.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    # rows of one doc_id with different texts are one document: their nodes are linked from the start
+    many = some.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("a"), F.max(F.struct("f1", "f2")).alias("b")).where("a <> b").select("doc_id")
+    many = C.table(some.join(C.broadcast_if_small(C.table(many, "many")), "doc_id", "left_semi").join(classes.select("f1", "f2", "node"), ["f1", "f2"]).select("doc_id", "node").distinct(), "many_nodes")
+    own = C.table(many.groupBy("doc_id").agg(F.min("node").alias("u")).join(many, "doc_id").where("u < node").select("u", F.col("node").alias("v")).distinct(), "own")
+    reps = classes.select("node", "n", "s1", "s2", "bands")
+    spread = reps.select("node", F.explode("bands").alias("bucket"))
+    crowded = C.table(spread.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "crowded")
+    members = C.table(spread.join(crowded, "bucket"), "members")
+    wanted = C.table(members.select("node").distinct().join(classes.select("node", "rep", "f1", "f2"), "node"), "wanted")
+    prints = wanted.select("node", "f1", "f2")
+    ids = C.broadcast_if_small(C.table(wanted.select("rep").distinct(), "rep_ids"))  # a null stands for all rows without an id
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    sets = C.table(texts.mapInArrow(_sets, _SETS_DDL).join(C.broadcast_if_small(prints), ["f1", "f2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+    # shingles that no other candidate has can be in no link; those of two or three nodes only in a few, all known
     rare = C.table(_rare(sets), "rare")
-    facts = reps.join(wanted, "doc_id", "left_semi").join(rare.where("b is null").select(F.col("a").alias("doc_id"), "r1", "r3"), "doc_id", "left")
+    facts = reps.join(wanted.select("node"), "node", "left_semi").join(rare.where("b is null").select(F.col("a").alias("node"), "r1", "r3"), "node", "left")
     facts = facts.withColumn("c", F.col("n") - F.coalesce("r1", F.lit(0))).withColumn("c3", F.col("n") - F.coalesce("r3", F.lit(0)))
-    facts = C.table(facts.where(F.col("c") * 100 >= F.col("n") * percent).select("doc_id", "n", "c", "c3", "s1", "s2", "bands"), "facts")
+    facts = C.table(facts.where(F.col("c") * 100 >= F.col("n") * percent).select("node", "n", "c", "c3", "s1", "s2", "bands"), "facts")
     narrow = facts.drop("bands")
     other = narrow.toDF("v", "k", "d", "d3", "t1", "t2")
     # a bucket's hub is the member that shares most of its shingles: the likeliest middle of a group of near copies
-    alive = C.table(members.join(narrow.select("doc_id", (F.col("c") / F.col("n")).alias("shared")), "doc_id"), "alive")
-    hubs = alive.groupBy("bucket").agg(F.min_by("doc_id", F.struct(-F.col("shared"), "doc_id")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
-    alive = C.table(alive.select("bucket", "doc_id").join(hubs, "bucket"), "alive")
-    first = alive.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    first = first.join(narrow.withColumnRenamed("doc_id", "u"), "u").join(other, "v").where(_alike(percent, "c", "d")).select("u", "v")
-    links = _links(sets, C.table(first, "pairs"), percent)
-    found = C.table(components(links), "found").withColumnRenamed("node", "doc_id")
-    placed = alive.select("bucket", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    shared = C.table(members.join(narrow.select("node", (F.col("c") / F.col("n")).alias("shared")), "node"), "shared")
+    hubs = shared.groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("shared"), "node")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
+    alive = C.table(shared.select("bucket", "node").join(hubs, "bucket"), "alive")
+    first = alive.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    first = first.join(narrow.withColumnRenamed("node", "u"), "u").join(other, "v").where(_alike(percent, "c", "d")).select("u", "v")
+    close = _links(sets, C.table(first, "pairs"), percent)
+    links = close.unionByName(own)
+    found = C.table(components(links), "found")
+    placed = alive.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = C.table(placed.join(mixed, "bucket").join(facts, "doc_id"), "rest")
-    right = rest.select(F.col("bucket").alias("place"), F.col("doc_id").alias("v"), F.col("component").alias("other"), F.col("n").alias("k"), F.col("c3").alias("d3"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("bands").alias("theirs"))
+    rest = C.table(placed.join(mixed, "bucket").join(facts, "node"), "rest")
+    right = rest.select(F.col("bucket").alias("place"), F.col("node").alias("v"), F.col("component").alias("other"), F.col("n").alias("k"), F.col("c3").alias("d3"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("bands").alias("theirs"))
     once = F.array_min(F.array_intersect("bands", "theirs")) == F.col("bucket")  # a pair comes from one of its buckets only
-    second = rest.withColumnRenamed("doc_id", "u").join(right, (F.col("bucket") == F.col("place")) & (F.col("component") < F.col("other")) & _alike(percent, "c3", "d3") & once)
+    second = rest.withColumnRenamed("node", "u").join(right, (F.col("bucket") == F.col("place")) & (F.col("component") < F.col("other")) & _alike(percent, "c3", "d3") & once)
     # pairs that share a rare shingle are held against the wider bound, whatever their buckets
     few = rare.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    few = few.join(narrow.withColumnRenamed("doc_id", "u"), "u").join(other, "v").where(_alike(percent, "c", "d")).select("u", "v")
-    of = lambda end, name: found.select(F.col("doc_id").alias(end), F.col("component").alias(name))
+    few = few.join(narrow.withColumnRenamed("node", "u"), "u").join(other, "v").where(_alike(percent, "c", "d")).select("u", "v")
+    of = lambda end, name: found.select(F.col("node").alias(end), F.col("component").alias(name))
     apart = few.join(of("u", "cu"), "u", "left").join(of("v", "cv"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
     more = _links(sets, C.table(second.select("u", "v").unionByName(apart).distinct(), "pairs"), percent)
-    done = C.table(components(links.unionByName(more)), "done") if not more.isEmpty() else found.withColumnRenamed("doc_id", "node")
-    merged = classes.join(done.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(C.table(merged, "merged"), ["f1", "f2"], "left")
+    done = C.table(components(links.unionByName(more)), "done") if not more.isEmpty() else found
+    # a component's name is the least doc_id of its nodes
+    named = classes.select("f1", "f2", "node", "rep").join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    merged = C.table(named.join(least, "component").select("f1", "f2", "component_id"), "merged")
+    C.drop(many, own, crowded, members, wanted, sets, rare, facts, shared, alive, found, rest, close, more, classes, *([] if done is found else [done]))
+    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(merged, ["f1", "f2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without the documents that near_duplicates() does not keep; columns and kept rows unchanged.
+    """docs without the documents that near_duplicates() does not keep; columns and kept rows unchanged, whatever their names.
 
-    The smallest doc_id of a group stays. Rows that repeat a kept doc_id stay too, as do rows with a null doc_id.
+    The smallest doc_id of a group stays, with all its rows. Rows with a null doc_id stay too, as do those without text.
     """
-    gone = C.table(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(C.broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = C.table(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "gone")
+    return C.without_ids(docs, gone)

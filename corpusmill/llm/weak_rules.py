@@ -113,7 +113,11 @@ START = ((0.30, 0.55, 0.15), (0.03, 0.57, 0.40))
 
 @dataclass(frozen=True)
 class LabelModel:
-    """prior: log odds of good before any vote. weight[rule][vote]: what a vote adds to the log odds."""
+    """prior: log odds of good before any vote. weight[rule][vote]: what a vote adds to the log odds.
+
+    The posterior is that of the fitted accuracies with two restrictions, which keep rules in their sense where data say
+    little: no vote counts against its own side, and an abstention counts for neither.
+    """
 
     prior: float
     weight: dict[str, dict[int, float]]
@@ -154,7 +158,7 @@ def quality_votes(docs: DataFrame) -> DataFrame:
 
     kept is false where base_failed (under 50 words, or more than half of the words in repeated 3-word windows), else
     p_good >= 0.5. A null text counts as empty: no words, base_failed. Repeated rows and null ids give a row each;
-    an empty table gives none. Extra columns are ignored. The model sees counts of vote patterns of all documents:
+    an empty table gives none. Texts of any length are read whole. Extra columns are ignored, whatever their names. The model sees counts of vote patterns of all documents:
     at most 3^12 rows however many documents there are.
     """
     spark = docs.sparkSession
@@ -170,7 +174,9 @@ def quality_votes(docs: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
-    """docs that quality_votes() keeps; columns unchanged. Rows that share a doc_id go only when none of them is kept."""
-    gone = quality_votes(docs).groupBy("doc_id").agg(F.max("kept").alias("__kept")).where("not __kept")
-    gone = C.table(gone.select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(C.broadcast_if_small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """docs that quality_votes() keeps; columns unchanged, whatever their names.
+
+    Rows that share a doc_id, or a null one, go only when none of them is kept.
+    """
+    gone = quality_votes(docs).groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select("doc_id")
+    return C.without_ids(docs, C.table(gone, "gone"), nulls=True)

@@ -58,17 +58,26 @@ def test_is_brute_force(spark, docs, percent):
 
 
 def test_odd_rows(spark):
-    """A null id has no component and is kept; repeated rows give a row each; extra and clashing columns do not matter."""
-    data = [(1, "a b c d e f", "x", 9), (1, "a b c d e f", "x", 9), (2, "a b c d e f", None, 1), (None, "a b c d e f", "x", None), (3, None, "x", 2)]
-    df = spark.createDataFrame(data, "doc_id long, text string, bucket string, component long")
+    """Null ids join a component but name none; repeated rows give a row each; extra and clashing columns do not matter."""
+    data = [(1, "a b c d e f", "x", 9), (1, "a b c d e f", "x", 9), (2, "a b c d e f", None, 1), (None, "a b c d e f", "x", None), (3, None, "x", 2), (None, "alone with no id at all", "x", 1), (None, None, "x", 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, bucket string, component long").toDF("doc_id", "text", "gone", "Text")
     got = sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str)
-    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, 2, None, True)] or [g for g in got if g[0] is not None] == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, 2, 1, True), (None, 2, None, True), (None, 0, None, True)], key=str)
     kept = minhash.drop_near_duplicates(df)
-    assert kept.columns == df.columns and sorted(r[0] or 0 for r in kept.collect()) == [0, 1, 1, 3]
+    assert kept.columns == df.columns and sorted(r[0] or 0 for r in kept.collect()) == [0, 0, 0, 1, 1, 3]
     empty = df.limit(0)
     assert minhash.near_duplicates(empty).count() == 0 and minhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts_are_one_document(spark):
+    rnd = random.Random(8)
+    a, b, c = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(100)) for _ in range(3))
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    data = [(5, a), (5, b), (7, near(a)), (8, near(b)), (9, c), (10, c + " more"), (9, "short one")]
+    got = {(i, t): k for i, t, k in spark.createDataFrame(data, "doc_id long, text string").join(minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "component_id").distinct(), "doc_id").collect()}
+    assert got == {(i, t): (5 if i < 9 else 9) for i, t in data}
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(40)] + [(100, 101), (200, 200)]
     got = dict(components(spark.createDataFrame(chain, "u long, v long")).collect())
