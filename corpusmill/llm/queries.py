@@ -94,6 +94,10 @@ def _uuid_sql(text: str) -> str:
     return "'<urn:uuid:' || " + " || '-' || ".join(f"substr(md5({text}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
 
+_NAMES = "MAP {" + ", ".join(f"'{n}': '{c if c != chr(39) else c * 2}'" for n, c in warc.ENTITIES.items()) + "}"
+_NUMBER = "CASE WHEN regexp_matches(r, '^&#[xX]') THEN ('0x' || regexp_extract(r, '^&#[xX]([0-9a-fA-F]+)', 1))::BIGINT WHEN starts_with(r, '&#') THEN regexp_extract(r, '^&#([0-9]+)', 1)::BIGINT END"
+_CHARACTER = f"CASE WHEN starts_with(r, '&#') THEN CASE WHEN ({_NUMBER}) BETWEEN 1 AND 55295 OR ({_NUMBER}) BETWEEN 57344 AND 1114111 THEN chr(({_NUMBER})::INTEGER) ELSE chr(65533) END ELSE coalesce(n[regexp_extract(r, '^&(.*);$', 1)], r) END"
+
 _WARC_SQL = f"""
 WITH r AS (
   SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages
@@ -103,15 +107,18 @@ WITH r AS (
       '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'),
       '(?i)<(?:/(?:p|div|li|h[1-6]|title|article|nav|tr|table|section)|br/?)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS bare
   FROM r
+), e AS (
+  SELECT *, {_NAMES} AS n, regexp_extract_all(bare, '{warc.REFERENCE}') AS refs, string_split_regex(bare, '{warc.REFERENCE}') AS parts FROM i
+), d AS (
+  SELECT * EXCLUDE (n, refs, parts), replace(array_to_string(list_transform(list_zip(parts, list_transform(refs, lambda r: {_CHARACTER})), lambda x: x[1] || coalesce(x[2], '')), ''), chr(160), ' ') AS text FROM e
 ), c AS (
   SELECT *, {_uuid_sql("'conversion|' || refers_to")} AS conversion_id, {_uuid_sql("'metadata|' || refers_to")} AS metadata_id,
-    regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(bare, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
-      '[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS plain, chr(13) || chr(10) AS crlf
-  FROM i
+    regexp_replace(regexp_replace(text, '[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS plain, chr(13) || chr(10) AS crlf
+  FROM d
 ), b AS (
   SELECT page_id, refers_to, target_uri, payload, 'metadata' AS record_type, metadata_id AS record_id, 'application/warc-fields' AS content_type,
     'payload-digest: sha1:' || sha1(payload) || crlf || 'payload-length: ' || strlen(payload) || crlf || 'has-conversion: ' || conversion_id || crlf
-    || 'HTTP/1.1 200 OK' || crlf || 'Content-Type: text/html; charset=utf-8' || crlf || 'Content-Length: ' || strlen(payload) || crlf AS block FROM c
+    || 'source-line: HTTP/1.1 200 OK' || crlf || 'Content-Type: text/html; charset=utf-8' || crlf || 'Content-Length: ' || strlen(payload) || crlf AS block FROM c
   UNION ALL
   SELECT page_id, refers_to, target_uri, payload, 'conversion', conversion_id, 'text/plain', plain FROM c
 )

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import gzip
+import html.entities
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from . import common as C
 
 CRLF = "\r\n"
+#: What stands for a character in HTML: by number, by hexadecimal number, or by name.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+#: Name -> character: the names of HTML 4 and &apos;. Other names stay as they are written.
+ENTITIES = {n: chr(c) for n, c in html.entities.name2codepoint.items()} | {"apos": "'"}
 
 
 def record_uuid(*parts: Column) -> Column:
@@ -19,18 +31,46 @@ def sha1_digest(text: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.sha1(text))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of an HTML payload: no scripts, styles, comments or tags; blocks on lines of their own; entities decoded."""
-    t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "")
+def decoded(text: Column, names: dict[str, str] = ENTITIES) -> Column:
+    """text with its character references resolved, each once; numbers that are no character become U+FFFD."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+    def character(ref: Column) -> Column:
+        body = F.substring_index(F.substring(ref, 2, 40), ";", 1)
+        number = F.when(body.startswith("#x") | body.startswith("#X"), F.conv(F.substring(body, 3, 8), 16, 10).cast("long")).when(body.startswith("#"), F.substring(body, 2, 8).cast("long"))
+        good = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(number.isNotNull(), char).otherwise(F.coalesce(F.try_element_at(known, body), ref))
+
+    marks = F.regexp_extract_all(text, F.lit(REFERENCE), 0)
+    parts = F.arrays_zip(F.split(text, REFERENCE, -1).alias("text"), F.transform(marks, character).alias("char"))
+    whole = F.array_join(F.transform(parts, lambda p: F.concat(p["text"], F.coalesce(p["char"], F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
+def plain_text(page: Column) -> Column:
+    """Text of an HTML payload: no scripts, styles, comments or tags; blocks on lines of their own; references resolved
+    (a non-breaking space becomes a space)."""
+    t = F.regexp_replace(page, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "")
     t = F.regexp_replace(t, r"(?i)<(?:/(?:p|div|li|h[1-6]|title|article|nav|tr|table|section)|br/?)>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = F.translate(decoded(F.regexp_replace(t, r"<[^>]*>", "")), "\u00a0", " ")
     return F.regexp_replace(F.regexp_replace(t, r"[ \t\r]*\n[ \t\r\n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
+def named_fields(headers: Column) -> Column:
+    """HTTP headers as lines of named fields: a line without a field name, such as the status line, is called source-line."""
+    lines = F.filter(F.split(headers, "\r?\n", -1), lambda x: F.trim(x) != "")
+    named = F.transform(lines, lambda x: F.when(x.rlike(r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+:"), x).otherwise(F.concat(F.lit("source-line: "), F.trim(x))))
+    return F.array_join(F.transform(named, lambda x: F.concat(x, F.lit(CRLF))), "")
+
+
 def responses_from_pages(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """pages (page_id, url, html) -> response records: page_id, record_id, target_uri, date, source_headers, payload."""
+    """pages (page_id, url, html) -> response records: page_id, record_id, target_uri, date, source_headers, payload.
+
+    A table of pages has neither date nor headers: date is the caller's, the headers are the least that a response has.
+    """
+    own, of = C.by_position(pages)
+    pages = own.select(*[F.col(C.column_of(of, c)).alias(c) for c in ("page_id", "url", "html")])
     body = F.coalesce(F.col("html"), F.lit(""))
     uri = F.coalesce(F.col("url"), F.lit(""))
     headers = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF))
@@ -43,11 +83,14 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
     metadata: the response's HTTP headers, payload digest and length as warc-fields, and the id of its conversion;
     conversion: the payload's plain text. Both refer to the response (refers_to), keep target URI and date, and
-    carry the digest and length of their own block; payload_digest is the source payload's. Null payloads count as
-    empty and convert to an empty block; repeated rows give repeated records; extra columns are ignored.
+    carry the digest and length of their own block; payload_digest is the source payload's. Null payloads and headers count as
+    empty and convert to an empty block; other null columns stay null; payloads of any length are converted whole;
+    repeated rows give repeated records; an empty table gives none; extra columns are ignored, whatever their names.
     """
+    own, of = C.by_position(responses)
+    responses = own.select(*[F.col(C.column_of(of, c)).alias(c) for c in ("page_id", "record_id", "target_uri", "date", "source_headers", "payload")])
     payload = F.coalesce(F.col("payload"), F.lit(""))
-    base = responses.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.coalesce("source_headers", F.lit("")).alias("source_headers"), sha1_digest(payload).alias("payload_digest"), F.octet_length(payload).alias("payload_bytes"), plain_text(payload).alias("plain"))
+    base = responses.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", named_fields(F.coalesce("source_headers", F.lit(""))).alias("source_headers"), sha1_digest(payload).alias("payload_digest"), F.octet_length(payload).alias("payload_bytes"), plain_text(payload).alias("plain"))
     base = base.withColumn("conversion_id", record_uuid(F.lit("conversion"), F.col("refers_to")))
     fields = F.concat(
         F.lit("payload-digest: "), "payload_digest", F.lit(CRLF + "payload-length: "), F.col("payload_bytes").cast("string"),
@@ -60,15 +103,71 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
 
 def record_text(records: DataFrame) -> DataFrame:
-    """One column, value: the WARC record of each row of derivatives(), without its last line break."""
+    """One column, value: the WARC record of each row of derivatives(), with the two line breaks at its end. A field whose
+    value is null is left out."""
     head = F.concat_ws(
         CRLF, F.lit("WARC/1.1"), *[F.concat(F.lit(name + ": "), F.col(c).cast("string")) for name, c in (
             ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
             ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))],
     )
-    return records.select(F.concat(head, F.lit(CRLF + CRLF), F.col("block"), F.lit(CRLF)).alias("value"))
+    return records.select(F.concat(head, F.lit(CRLF + CRLF), F.col("block"), F.lit(CRLF + CRLF)).alias("value"))
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str
+
+
+class _WarcWriter(DataSourceWriter):
+    """A file for each partition, written under another name and renamed when all are complete."""
+
+    def __init__(self, uri: str):
+        self.uri = uri.rstrip("/")
+
+    def _at(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.uri) if "://" in self.uri else (fs.LocalFileSystem(), self.uri)
+
+    def write(self, rows: Iterator) -> _Written:
+        import uuid
+
+        from pyspark import TaskContext
+
+        system, folder = self._at()
+        system.create_dir(folder, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
+        with system.open_output_stream(f"{folder}/_{name}", compression=None) as out:
+            for row in rows:
+                out.write(gzip.compress(row[0].encode(), mtime=0))
+        return _Written(name)
+
+    def commit(self, messages: list) -> None:
+        system, folder = self._at()
+        for m in messages:
+            system.move(f"{folder}/_{m.name}", f"{folder}/{m.name}")
+
+    def abort(self, messages: list) -> None:
+        system, folder = self._at()
+        for m in messages:
+            if m is not None:
+                system.delete_file(f"{folder}/_{m.name}")
+
+
+class WarcSink(DataSource):
+    """df.write.format("warc").mode("append").save(path): one gzip member for each value of the only column."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def writer(self, schema, overwrite: bool) -> _WarcWriter:
+        return _WarcWriter(self.options["path"])
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Gzipped WARC files under path, one for each partition; every record ends with two line breaks."""
-    record_text(records).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
+    """Files of gzipped records under path, one for each partition and one gzip member for each record, so that a reader can
+    start at any of them. path: of a file system that pyarrow knows (a shared folder, hdfs://, s3://, gs://)."""
+    C.prepare(records.sparkSession)
+    records.sparkSession.dataSource.register(WarcSink)
+    record_text(records).write.format("warc").mode("append").save(path)
