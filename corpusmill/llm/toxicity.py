@@ -1,7 +1,7 @@
 """Toxicity behind a noisy channel: disguised words are restored by Viterbi decoding, then the text is scored.
 
-A word that has digits or signs among its letters, a letter three times in a row, or single letters set apart may be
-a disguise. Its lattice offers, for each character, what it may stand for; a character trigram model, of the words
+A word that has digits or signs among its letters, a letter twice in a row, or single letters set apart may be
+a disguise, however long it is. Its lattice offers, for each character, what it may stand for; a character trigram model, of the words
 of all documents and those of toxic training texts alike, finds the likeliest path. Restored words and their
 beginnings carry weights learnt from labels, and a small logistic model turns a text's weights into a probability.
 """
@@ -24,8 +24,8 @@ from . import common as C
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 #: Signs between letters that may stand for nothing.
 APART = ".-_*'~·,/\\:;#^`\""
-#: Longer words are read as they are: e-mail addresses, digests, links.
-LONGEST_DISGUISE = 24
+#: A restored word whose letters are less likely than this, on the geometric mean, is no word: what is written is kept.
+LEAST_LIKELY = 0.01
 #: Weighed features in one broadcast. More are taken in shards of about this many, one pass over the documents each.
 SHARD_FEATURES = 400_000
 #: The logistic model is fitted on this many training texts at most (by hash of the id).
@@ -66,7 +66,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             j += 1
         run = j - i
         if c.isalpha():
-            ways = [(c, -0.1 if run == 1 else -0.7)] + ([(c + c, -0.7)] if run > 1 else [])
+            ways = [(c, -0.1)] if run == 1 else [(c + c, -0.2), (c, -3.5)] if run == 2 else [(c, -0.7), (c + c, -0.7)]
         else:
             ways = [(x * k, -1.0 - 0.2 * (run > k)) for x in SIGNS.get(c, "") for k in ((1, 2) if run > 1 else (1,))]
             if c in APART or not ways:
@@ -78,8 +78,11 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-def restore(word: str, model: CharModel) -> str:
-    """The likeliest plain word for a disguised one: Viterbi over the lattice, with the last two letters as state."""
+def restore(word: str, model: CharModel) -> str | None:
+    """The likeliest plain word for a disguised one: Viterbi over the lattice, with the last two letters as state.
+
+    None where the letters found are no likely word, as in digests and numbers of parts.
+    """
     states: dict[str, tuple[float, str]] = {EDGE * 2: (0.0, "")}
     for ways in lattice(word):
         after: dict[str, tuple[float, str]] = {}
@@ -92,7 +95,10 @@ def restore(word: str, model: CharModel) -> str:
                 if now not in after or s > after[now][0]:
                     after[now] = (s, path + letters)
         states = after
-    return max((s + model.log_p(state + EDGE), path) for state, (s, path) in states.items())[1]
+    path = max((s + model.log_p(state + EDGE), path) for state, (s, path) in states.items())[1]
+    spelt = EDGE * 2 + path + EDGE
+    likely = sum(model.log_p(spelt[i : i + 3]) for i in range(len(spelt) - 2)) / (len(spelt) - 2)
+    return path if path and likely >= math.log(LEAST_LIKELY) else None
 
 
 _EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”„…¡¿"
@@ -100,13 +106,17 @@ _INNER_EDGES = _EDGES.translate({ord(c): None for c in "@$!|+(<"})
 
 
 def disguised(word: str) -> bool:
-    """word: lower-cased, without signs at its ends that stand for nothing."""
-    if len(word) < 3 or len(word) > LONGEST_DISGUISE:
+    """word: lower-cased, without signs at its ends that stand for nothing. Numbers are none, nor is what has no letter and
+    no sign that looks like one."""
+    if len(word) < 3:
         return False
     if word.isalpha():
-        return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+        return any(map(str.__eq__, word, word[1:]))
     letters = sum(map(str.isalpha, word))
-    return letters * 2 >= len(word) or letters >= 2 and all(c.isalpha() or c in SIGNS for c in word)
+    if letters * 2 >= len(word):
+        return True
+    like = all(c.isalpha() or c in SIGNS for c in word)
+    return like and (letters > 0 or any(not c.isdigit() for c in word) and not any(map(str.isdigit, word)))
 
 
 class Words(dict):
@@ -119,28 +129,35 @@ class Words(dict):
         if len(self) >= C.CACHE_WORDS:
             self.clear()
         plain = written.strip(_EDGES)
-        if self.model and not plain.isalpha() or self.model and disguised(plain):
+        if self.model:
             inner = written.strip(_INNER_EDGES)
-            if disguised(inner) and not (plain.isalpha() and not disguised(plain)):
-                plain = restore(inner, self.model)
+            bare = len(plain) > 2 and plain.isalpha()  # signs at most at its ends, where they stand for nothing
+            if disguised(plain if bare else inner):
+                plain = restore(inner, self.model) or plain
         self[written] = plain
         return plain
 
     def of(self, text: str) -> list[str]:
-        """The plain words of a text; four or more single characters in a row are one word set apart."""
+        """The plain words of a text; three or more single characters in a row are one word set apart."""
         written = text.lower().split()
-        out, apart = [], []
-        for w in written:
-            if len(w) == 1:
-                apart.append(w)
-                continue
-            if apart:
-                out += [self["".join(apart)]] if len(apart) > 3 else [self[a] for a in apart]
-                apart = []
-            out.append(self[w])
-        if apart:
-            out += [self["".join(apart)]] if len(apart) > 3 else [self[a] for a in apart]
-        return out
+        lone = [i for i, w in enumerate(written) if len(w) == 1]
+        if not lone:
+            return list(map(self.__getitem__, written))
+        out, at = [], 0
+        for begin, end in _runs(lone):
+            out += map(self.__getitem__, written[at:begin])
+            out += [self["".join(written[begin:end])]] if end - begin > 2 else [self[w] for w in written[begin:end]]
+            at = end
+        return out + list(map(self.__getitem__, written[at:]))
+
+
+def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, one past the last) of each run of numbers that follow on each other."""
+    begin = 0
+    for i in range(1, len(places) + 1):
+        if i == len(places) or places[i] != places[i - 1] + 1:
+            yield places[begin], places[i - 1] + 1
+            begin = i
 
 
 def features(words: list[str]) -> set[str]:
@@ -157,7 +174,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def spill():
         for w, n in held.items():
             w = w.strip(_EDGES)
-            if w.isalpha() and len(w) <= 40:
+            if w.isalpha():
                 w = EDGE * 2 + w + EDGE
                 for i in range(len(w) - 2):
                     grams[w[i : i + 3]] += n
@@ -252,15 +269,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels are learnt only from ids whose crc32, as text, mod 5 is not 0; held_out marks the others. score is between
     0 and 1; empty and null texts are scored as texts without hits. Labels that are null or name no document are
     passed over; a document with labels of both kinds counts as both. Without labels every score is 0.5. Null ids are not
-    held out. Repeated rows are scored one by one; extra columns are ignored.
+    held out. Repeated rows are scored one by one, texts of any length whole; an empty table gives no rows; extra columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     src = C.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(remainder != 0)
+    known = C.plain(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(remainder != 0)
     known = C.table(known.distinct(), "known")
-    train = src.join(C.broadcast_if_small(known, known.count()), "doc_id")
+    marked = C.broadcast_if_small(known)
+    train = src.join(marked, "doc_id")
     toxic, clean = train.where("toxic = 1").select("text"), train.where("toxic = 0").select("text")
     sizes = {r[0]: r[1] for r in known.join(src.select("doc_id"), "doc_id").groupBy("toxic").count().collect()}
     letters = spark.sparkContext.broadcast(CharModel([trigrams(src), trigrams(toxic)]))
@@ -270,9 +289,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for k in range(shards):
         weights = spark.sparkContext.broadcast(_fetched(lexicon.where(F.pmod(F.xxhash64("feature"), F.lit(shards)) == k)))
         last = k + 1 == shards
-        raw = C.table(raw.mapInArrow(partial(_weigh, model=letters, weights=weights, last=last), _RAW_DDL if last else _PART_DDL), "raw")
+        before, raw = raw, C.table(raw.mapInArrow(partial(_weigh, model=letters, weights=weights, last=last), _RAW_DDL if last else _PART_DDL), "raw")
+        weights.destroy()
+        C.drop(before)
+    letters.destroy()
     columns = ["top", "second", "total", "size"]
-    sample = raw.join(C.broadcast_if_small(known, known.count()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select(*columns, "toxic").limit(FIT_ROWS).collect()
+    sample = raw.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select(*columns, "toxic").limit(FIT_ROWS).collect()
+    C.drop(known, lexicon)
     w = fit_logistic(np.array([r[:4] for r in sample], float).reshape(len(sample), 4), np.array([r[4] for r in sample], float))
     odds = F.lit(float(w[4]))
     for c, k in zip(columns, w):
