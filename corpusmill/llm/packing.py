@@ -61,6 +61,17 @@ class Ids:
         return array(self.code, self.slow.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def id_kind(ranks: str, vocabulary: str | None) -> str:
+    """The narrowest of u2 and u4 that holds every id of the vocabulary."""
+    with open(ranks, "rb") as f:
+        most = max((int(line.split()[1]) for line in f), default=0)
+    if vocabulary:
+        from tokenizers import Tokenizer
+
+        most = max([most, *Tokenizer.from_file(vocabulary).get_added_tokens_decoder()])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 _IDS = pa.schema([("row", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("ids", pa.binary()), ("n", pa.int64())])
 _IDS_DDL = "row long, part long, doc_id long, source string, ids binary, n long"
 _kept: dict[tuple, Ids] = {}
@@ -112,7 +123,8 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
     but for the last. shares: a source's part of each window; the default is its part of all tokens, so that queues run
     dry together. Sources missing from shares get what is left over evenly. At any window's end a source is behind or
     ahead of its share by less than a packet and a quantum, as long as no queue is empty. Null and
-    repeated doc_ids are packed row by row; an empty table gives no rows; extra columns are ignored. vocabulary: see Ids. added_tokens:
+    repeated doc_ids are packed row by row, null sources as one queue; texts of any length are packed whole; an empty
+    table gives no rows; extra columns are ignored, whatever their names. vocabulary: see Ids. added_tokens:
     its added tokens (<|endoftext|>) get their own ids where a text holds them, as tokenizers' encode gives by default;
     otherwise they are text like any other.
     """
@@ -126,7 +138,7 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
         ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     if added_tokens and not vocabulary:
         raise ValueError("added_tokens needs the vocabulary's json file")
-    kind = "<u2"
+    kind = id_kind(ranks, vocabulary)
     src = C.plain(docs, "doc_id", "text", "source").withColumn("doc_id", F.col("doc_id").cast("long"))
     ids = C.table(src.mapInArrow(partial(_tokenise, ranks=ranks, pattern=pattern, kind=kind, vocabulary=vocabulary, added_tokens=added_tokens), _IDS_DDL), "ids")
     lengths = ids.select("row", "part", F.coalesce("source", F.lit("")).alias("queue"), "n")

@@ -120,10 +120,33 @@ def test_resharding(spark, tmp_path):
     one = {r.doc_id: r for r in out}
     assert (one[2000].size, one[2000].text_crc32, one[2000].old_shard) == (8, 0, 0) and (one[2001].size, one[2001].text_crc32) == (10, zlib.crc32("é".encode()))
     assert resharding.reshard(df.limit(0), F.col("old")).count() == 0
-    few = spark.createDataFrame([(i, "y" * 10, i % 2) for i in range(40)], "doc_id long, text string, old int")
-    place = resharding.reshard(few, F.col("old"), shards=4, old_shards=4)
-    resharding.rewrite(few, place, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+@pytest.mark.parametrize("old, new", [(8, 4), (3, 7), (4, 4)])
+def test_resharding_is_the_plain_line_and_rewrites_in_place(spark, tmp_path, old, new):
+    """Sorted by size class the rows of an old shard make a line; the flow cuts it; a row goes where its middle lies."""
+    rnd = random.Random(old)
+    docs = [(i, "y" * rnd.randrange(60), rnd.randrange(old), "e") for i in range(200)] + [(None, t, 1, "e") for t in ("a", "a", "b", None)] + [(7, "other text", 2, "e"), (7, "other text", 2, "e"), (7, None, 0, "e")]
+    path = str(tmp_path / "table")
+    spark.createDataFrame(docs, "doc_id long, text string, shard int, Size string").write.partitionBy("shard").parquet(path)
+    df = spark.read.parquet(path)
+    place = resharding.reshard(df, "shard", shards=new, old_shards=old)
+    rows = place.collect()
+    assert len(rows) == len(docs)
+    supply = [sum(r.size for r in rows if r.old_shard == i) for i in range(old)]
+    flow = resharding.min_cost_flow(supply, resharding.even_capacities(sum(supply), new))
+    got = defaultdict(int)
+    for r in rows:
+        got[r.old_shard, r.shard] += r.size
+    largest = max(r.size for r in rows)
+    assert set(got) <= set(flow) and all(abs(got[k] - n) <= largest for k, n in flow.items())
+    assert sum(r.size for r in rows if r.moved) <= sum(n for (i, j), n in flow.items() if i != j) + largest * len(flow)
+    before = sorted(map(str, df.select("doc_id", "text", "Size").collect()))
+    want = sorted((str((r.doc_id, r.text_crc32)), r.shard) for r in rows)
+    resharding.rewrite(df, "shard", place, path, old_shards=old)
+    after = spark.read.parquet(path)
+    assert sorted(map(str, after.select("doc_id", "text", "Size").collect())) == before
+    assert sorted((str((r.doc_id, zlib.crc32((r.text or "").encode()))), r.shard) for r in after.collect()) == want
 
 
 def test_kneser_ney_sums_to_one_and_shards_agree(spark):
@@ -155,11 +178,14 @@ def test_perplexity_quality(spark):
 
 
 def test_restore():
-    model = toxicity.CharModel([{toxicity.EDGE * 2 + "i": 5}, _grams("idiot moron clown scum pathetic loser trash".split())])
+    model = toxicity.CharModel([{toxicity.EDGE * 2 + "i": 5}, _grams("idiot moron clown scum pathetic loser trash stupid ass letter".split())])
     words = toxicity.Words(model)
     want = {"1d10t": "idiot", "m0r0n": "moron", "cl0wn!!": "clown", "s.c.u.m": "scum", "idiooooot": "idiot", "p4th3t1c": "pathetic", "tr@sh,": "trash", "(loser)": "loser", "plain": "plain", "2024": "2024", "": ""}
+    want |= {"i" * 30 + "diot": "idiot", "s-t-u-p-i-d-" + "-" * 20: "stupid", "stuupid": "stupid", "trraash": "trash", "a$$": "ass", "letter": "letter", "$100": "100", "04dbebab91ab85687d33eeaaf9ac699e": "04dbebab91ab85687d33eeaaf9ac699e"}
+    want |= {"-".join("stupid" * 9): "stupid" * 9}  # 107 characters
     assert {w: words[w] for w in want} == want
-    assert words.of("You i d i o t a b") == ["you", "idiotab"] or words.of("You i d i o t now")[1] == "idiot"
+    assert words.of("You i d i o t a b c d now") == ["you", words["idiotabcd"], "now"] and words.of("You i d i o t now") == ["you", "idiot", "now"]
+    assert words.of("a b word c") == ["a", "b", "word", "c"] and words.of("") == []
 
 
 def _grams(words):
