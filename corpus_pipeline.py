@@ -14,8 +14,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The site is the document's source; n_chars, where there is one, follows the new text."""
-    out = line_dedup.drop_site_lines(docs, F.col("source"))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    out = line_dedup.drop_site_lines(docs, "source")
+    own, of = common.by_position(out)
+    n_chars = common.column_of(of, "n_chars")
+    return own.withColumn(n_chars, F.length(common.column_of(of, "text")).cast("long")).toDF(*out.columns) if n_chars else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
