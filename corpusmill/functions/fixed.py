@@ -101,5 +101,6 @@ Return a JSON object with exactly these keys:
 ITEM_CAP_TOKENS, PACKAGE_CAP_TOKENS, PACKAGE_CAP_ITEMS = 2000, 12000, 20
 CLIP_CHARS, PROMPT_CHARS, SNIPPET_CHARS = 2000, 12000, 140
 HISTORY_DAYS = 90
-DEFINITION_KINDS = "class interface enum function method property variable type_alias namespace constant constructor".split()
-"""Kinds of symbols that define something; imports and exports do not."""
+
+# --- fixed values: kinds of symbols that define something, unlike imports and exports ---
+DEFINITION_KINDS = "class interface function method constructor property variable constant enum enum-member type-alias".split()

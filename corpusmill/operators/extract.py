@@ -14,7 +14,7 @@ from ..functions import scalars as S
 _DECLARATION = r"^\s*(export\s+)?(default\s+)?((?:(?:public|private|protected|static|async|abstract|readonly|declare)\s+)*)(class|interface|enum|function|type|namespace|const|let|var|def)\s+\*?([A-Za-z_$][\w$]*)"
 _METHOD = r"^\s+((?:(?:public|private|protected|static|async|readonly|get|set)\s+)*)([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*(?::[^{;]+)?\{\s*$"
 _NO_METHODS = ["if", "for", "while", "switch", "catch", "return", "function"]
-_KIND = {"type": "type_alias", "const": "constant", "let": "variable", "var": "variable", "def": "function"}
+_KIND = {"type": "type-alias", "const": "constant", "let": "variable", "var": "variable", "def": "function"}
 #: References are not looked for in files with more lines.
 MAX_LINES = 20_000
 

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-
-
-def _settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration's table: a checkpoint in the shared folder, or a written table in the warehouse."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_corpusmill_steps/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .stored import stored as _settle
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -10,23 +10,24 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed as X
 from ..functions import scalars as S
+from .stored import stored
 
 KIND_ORDER = ["file", "symbol", "module", "summary", "dependency"]
 _WORD = r"[^a-z0-9_]+"
 
 
-def build_search_entities(files: DataFrame | None = None, symbols: DataFrame | None = None, modules: DataFrame | None = None, summaries: DataFrame | None = None, dependencies: DataFrame | None = None) -> DataFrame:
+def build_search_entities(files: DataFrame | None = None, symbols: DataFrame | None = None, modules: DataFrame | None = None, summaries: DataFrame | None = None, dependencies: DataFrame | None = None, clip: int | None = None) -> DataFrame:
     """One table of everything that can be found: kind, key, title, path, def_kind, name (identifier), body, search_text.
 
-    Bodies are clipped to 2000 characters; search_text is the lower-cased name, path and body. Widths of identifiers
-    (identifier_lengths) let fuzzy candidates be cut by length.
+    search_text is the lower-cased name, path and body. clip: keep so many characters of a body only (X.CLIP_CHARS); words
+    behind them are then not found. Widths of identifiers (identifier_lengths) let fuzzy candidates be cut by length.
     """
     parts = []
-    clip = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, X.CLIP_CHARS)
+    whole = lambda c: F.coalesce(c, F.lit("")) if clip is None else F.substring(F.coalesce(c, F.lit("")), 1, clip)
     null = F.lit(None).cast("string")
 
     def part(df, kind, key, title, path, def_kind, name, body):
-        parts.append(df.select(F.lit(kind).alias("kind"), key.alias("key"), title.alias("title"), path.alias("path"), def_kind.alias("def_kind"), name.alias("name"), clip(body).alias("body")))
+        parts.append(df.select(F.lit(kind).alias("kind"), key.alias("key"), title.alias("title"), path.alias("path"), def_kind.alias("def_kind"), name.alias("name"), whole(body).alias("body")))
 
     if files is not None:
         part(files, "file", F.col("path"), S.basename(F.col("path")), F.col("path"), null, S.basename(F.col("path")), F.col("content"))
@@ -72,9 +73,9 @@ def vocabulary_matches(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     out = None
     for t, n in ((short, 2), (long, 3)):
         posted = tokens.where(F.length("token") >= n).select("token", F.explode(grams(F.col("token"), n)).alias("g"))
-        freq = posted.groupBy("g").agg(F.count("*").alias("df"))
-        asked = t.select("term", F.explode(grams(F.col("term"), n)).alias("g")).join(freq, "g", "left").na.fill(0, ["df"])
-        rarest = asked.groupBy("term").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+        asked = t.select("term", F.explode(grams(F.col("term"), n)).alias("g"))
+        freq = posted.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
+        rarest = asked.join(freq, "g", "left").na.fill(0, ["df"]).groupBy("term").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
         hit = rarest.join(posted, "g").where(F.contains("token", F.col("term"))).select("term", "token")
         out = hit if out is None else out.unionByName(hit)
     return out
@@ -83,25 +84,23 @@ def vocabulary_matches(terms: DataFrame, tokens: DataFrame) -> DataFrame:
 def fuzzy_join(terms: DataFrame, identifiers: DataFrame) -> DataFrame:
     """terms (term), identifiers (token) -> term, token, distance: all pairs within the term's fuzzy threshold k.
 
-    A term cut into k + 1 pieces keeps one piece whole, moved by at most k, in any token within distance k: pairs are
-    joined on (piece, its text), then verified with a bounded edit distance. Terms shorter than k + 1 have threshold 0.
+    A term cut into k + 1 pieces keeps one of them whole in any token within distance k. If that piece is moved by d there and
+    the token is longer by e, the edits before it are |d| at least and those after it |e - d|, and together they are k at most. So
+    pairs are joined on (length of the term, number of the piece, its text), tokens giving only those places; each pair found is
+    verified with a bounded edit distance. Terms shorter than k + 1 have threshold 0.
     """
-    k = S.fuzzy_threshold(F.length("term"))
-    t = terms.select("term", k.alias("k")).where("k > 0 or length(term) > 0")
-    seg = t.select("term", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.length("term").alias("n"))
-    lo = F.floor(F.col("i") * F.col("n") / (F.col("k") + 1)).cast("int")
-    hi = F.floor((F.col("i") + 1) * F.col("n") / (F.col("k") + 1)).cast("int")
-    seg = seg.withColumn("at", lo).withColumn("piece", F.expr("substring(term, cast(floor(i * n / (k + 1)) as int) + 1, cast(floor((i + 1) * n / (k + 1)) as int) - cast(floor(i * n / (k + 1)) as int))")).withColumn("len", hi - lo).where("len > 0")
-    lengths = [r[0] for r in seg.select("len").distinct().orderBy("len").limit(256).collect()]  # widths of pieces: a handful
-    ids = identifiers.select("token", F.length("token").alias("m"))
-    posted = None
-    for width in lengths:
-        p = ids.where(F.col("m") >= width).select("token", "m", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("m") - width + 1), lambda i: F.substring(F.col("token"), i, F.lit(width)))).alias("pos", "piece"))
-        posted = p if posted is None else posted.unionByName(p)
-    if posted is None:
-        return identifiers.sparkSession.createDataFrame([], "term string, token string, distance int")
-    near = (F.abs(F.col("pos") - F.col("at")) <= F.col("k")) & (F.abs(F.col("m") - F.col("n")) <= F.col("k"))
-    pairs = seg.join(posted, "piece").where(near).select("term", "token", "k").distinct()
+    begin = lambda i: F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int")
+    t = terms.where(F.length("term") > 0).select("term", F.length("term").alias("n"), S.fuzzy_threshold(F.length("term")).alias("k"))
+    cut = lambda df: df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumns({"at": begin(F.col("i")), "len": begin(F.col("i") + 1) - begin(F.col("i"))})
+    asked = cut(t).select("term", "n", "i", "k", F.expr("substring(term, at + 1, len)").alias("piece"))
+    # the lengths of terms that a token of m letters can meet: |m - n| <= k, and k is 1, 2 or a quarter of n, rounded up
+    lengths = t.select("n", "k").distinct()
+    m = F.length("token")
+    ids = identifiers.where(m > 0).select("token", m.alias("m"), F.explode(F.sequence(F.greatest(F.lit(1), (m * 3 / 4).cast("int") - 3), (m * 4 / 3).cast("int") + 3)).alias("n"))
+    ids = ids.join(lengths, "n").withColumn("e", F.col("m") - F.col("n")).where(F.abs("e") <= F.col("k"))
+    moved = cut(ids).withColumn("d", F.explode(F.sequence(-F.col("k"), F.col("k")))).where("abs(d) + abs(e - d) <= k and at + d >= 0 and at + d + len <= m")
+    posted = moved.select("token", "n", "i", F.expr("substring(token, at + d + 1, len)").alias("piece"))
+    pairs = asked.join(posted, ["n", "i", "piece"]).select("term", "token", "k").distinct()
     return pairs.withColumn("distance", F.levenshtein("term", "token")).where("distance <= k").select("term", "token", "distance")
 
 
@@ -114,38 +113,74 @@ def lexical_score(term: Column, name: Column, text: Column, fuzzy: Column) -> Co
     return F.greatest(F.coalesce(own, F.lit(0.0)), F.coalesce(other, F.lit(0.0)), F.coalesce(fuzzy * 0.3, F.lit(0.0)))
 
 
-def search(entities: DataFrame, queries: DataFrame, limit: int = 20, kinds: list[str] | None = None, fuzzy: bool = True, least: float = 0.0, scorer: Callable[..., Column] = lexical_score) -> DataFrame:
+def _tie(kind: Column, def_kind: Column) -> Column:
+    """Order among equal scores: definitions, then kinds in order."""
+    is_def = (kind == "symbol") & F.coalesce(def_kind.isin(X.DEFINITION_KINDS), F.lit(False))
+    order = F.coalesce(*[F.when(kind == k, F.lit(i)) for i, k in enumerate(KIND_ORDER)])
+    return order + F.when(is_def, 0).otherwise(len(KIND_ORDER))
+
+
+def search_postings(entities: DataFrame) -> DataFrame:
+    """(word, key, tie, in_name, at_start, whole): all that scoring needs of an entity, a row for each different word of its
+    name and for each of its whole text.
+
+    Words are those of build_postings and, for terms like auth.ts or déjà, the pieces between white space. in_name: from the
+    name; at_start: the name begins with it; whole: it is the name.
+    """
+    name = F.lower(F.coalesce("name", F.lit("")))
+    words = lambda c: F.explode(F.array_distinct(F.concat(F.split(c, _WORD), F.split(c, r"\s+")))).alias("word")
+    tie, no = _tie(F.col("kind"), F.col("def_kind")).alias("tie"), F.lit(False)
+    own = entities.select("key", tie, name.alias("n"), words(name))
+    own = own.select("word", "key", "tie", F.lit(True).alias("in_name"), F.startswith("n", F.col("word")).alias("at_start"), (F.col("n") == F.col("word")).alias("whole"))
+    text = entities.select("key", tie, words(F.col("search_text"))).select("word", "key", "tie", no.alias("in_name"), no.alias("at_start"), no.alias("whole"))
+    return own.unionByName(text).where("word <> ''")
+
+
+def search(entities: DataFrame, queries: DataFrame, limit: int = 20, kinds: list[str] | None = None, fuzzy: bool = True, least: float = 0.0, scorer: Callable[..., Column] | None = None) -> DataFrame:
     """queries (query_id, q) over entities -> query_id, rank, score, kind, key, title, path, snippet.
 
-    A term matches words (token by token) that hold it or, by edit distance, words of a name. Scores of a query are the mean
-    over its terms; ties go to definitions, then kinds in order, then keys. Candidates come from joins on words.
+    A term matches words that hold it or, by edit distance, words of a name. Scores of a query are the mean
+    over its terms; ties go to definitions, then kinds in order, then keys. Terms meet the vocabulary and the vocabulary
+    meets postings, both by equi joins; lexical_score() follows from the word that matched and its place, so no text is read
+    until the best hits are known. scorer(term, name, text, similarity): another score, which reads the texts of all candidates.
     """
     entities = entities.where(F.col("kind").isin(kinds)) if kinds else entities
-    terms = query_term_table(queries)
+    terms = stored(query_term_table(queries).select("query_id", "term"))
     words = terms.select("term").distinct()
-    postings = build_postings(entities)
-    vocabulary = postings.groupBy("token").agg(F.bool_or("in_name").alias("named"))
-    inner = F.transform(F.filter(F.split("term", _WORD), lambda t: t != ""), lambda t: t)  # terms like auth.ts reach postings word by word
-    lead = words.select("term", F.element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), 1).alias("longest"))
-    holds = vocabulary_matches(lead.select(F.col("longest").alias("term")).distinct(), vocabulary.select("token")).withColumnRenamed("term", "longest")
-    found = lead.join(holds, "longest").select("term", "token", F.lit(None).cast("double").alias("sim"))
+    postings = stored(search_postings(entities))
+    vocabulary = stored(postings.groupBy("word").agg(F.bool_or("in_name").alias("named"), F.first(F.col("word").rlike(r"[^a-z0-9_]")).alias("odd")))
+    odd = F.col("term").rlike(r"[^a-z0-9_]")
+    found = None
+    for mine, theirs in ((words.where(~odd), vocabulary.where("not odd")), (words.where(odd), vocabulary.where("odd"))):
+        part = vocabulary_matches(mine, theirs.select(F.col("word").alias("token"))).select("term", F.col("token").alias("word"), F.lit(None).cast("double").alias("sim"))
+        found = part if found is None else found.unionByName(part)
     if fuzzy:
-        near = fuzzy_join(words, vocabulary.where("named").select("token"))
+        near = fuzzy_join(words, vocabulary.where("named and not odd").select(F.col("word").alias("token")))
         sim = 1 - F.col("distance") / F.greatest(F.length("term"), F.length("token"))
-        found = found.unionByName(near.select("term", "token", sim.alias("sim")))
-    cand = found.join(postings.select("token", "key", "in_name"), "token").groupBy("term", "key").agg(F.max(F.when(F.col("in_name"), F.col("sim"))).alias("sim"))
-    scored = cand.join(entities.select("key", "name", "search_text"), "key").withColumn("s", scorer(F.col("term"), F.col("name"), F.col("search_text"), F.col("sim"))).where("s > 0").select("term", "key", "s")
+        found = found.unionByName(near.select("term", F.col("token").alias("word"), sim.alias("sim")))
+    found = stored(found.withColumns({"same": F.col("term") == F.col("word"), "ahead": F.startswith("word", F.col("term")), "odd": odd}))
+    each = found.join(postings, "word")
+    if scorer is None:
+        held = F.when(F.col("sim").isNotNull(), F.when(F.col("in_name"), F.col("sim") * 0.3).otherwise(0.0)).otherwise(
+            F.when(F.col("whole") & F.col("same"), 1.0).when(F.col("at_start") & F.col("ahead"), 0.8).when(F.col("in_name") & F.col("same") & ~F.col("odd"), 0.6)
+            .when(F.col("in_name"), 0.4).when(F.col("same") & ~F.col("odd"), 0.3).otherwise(0.2))
+        scored = each.groupBy("term", "key").agg(F.max(held).alias("s"), F.first("tie").alias("tie")).where("s > 0")
+    else:
+        cand = each.groupBy("term", "key").agg(F.max(F.when(F.col("in_name"), F.col("sim"))).alias("sim"), F.first("tie").alias("tie"))
+        cand = cand.repartition(int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # narrow rows, costly to score: not to be merged
+        s = scorer(F.col("term"), F.col("name"), F.col("search_text"), F.col("sim"))
+        scored = cand.join(entities.select("key", "name", "search_text"), "key").select("term", "key", "tie", s.alias("s")).where("s > 0")
     n_terms = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    total = terms.select("query_id", "term").join(scored, "term").groupBy("query_id", "key").agg(F.sum("s").alias("s")).join(F.broadcast(n_terms), "query_id")
-    total = total.select("query_id", "key", F.round(F.col("s") / F.col("n"), 6).alias("score")).where((F.col("score") > 0) & (F.col("score") >= least))
-    ranked = rank_hits(total.join(entities.select("kind", "key", "def_kind", "title", "path", "body"), "key"), limit)
-    return ranked.select("query_id", "rank", "score", "kind", "key", "title", "path", S.make_snippet(F.col("body")).alias("snippet"))
+    total = terms.join(scored, "term").groupBy("query_id", "key").agg(F.sum("s").alias("s"), F.first("tie").alias("tie")).join(n_terms, "query_id")
+    total = total.select("query_id", "key", "tie", F.round(F.col("s") / F.col("n"), 6).alias("score")).where((F.col("score") > 0) & (F.col("score") >= least))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "tie", "key")
+    best = total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("tie")
+    return best.join(entities.select("kind", "key", "title", "path", "body"), "key").select("query_id", "rank", "score", "kind", "key", "title", "path", S.make_snippet(F.col("body")).alias("snippet"))
 
 
 def rank_hits(scored: DataFrame, limit: int = 20) -> DataFrame:
-    is_def = F.coalesce(F.col("def_kind").isin(X.DEFINITION_KINDS), F.lit(False)).cast("int")
-    order = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KIND_ORDER)])
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), is_def.desc(), order, "key")
+    """scored (query_id, key, kind, def_kind, score, ...) with rank: the best limit rows of each query."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), _tie(F.col("kind"), F.col("def_kind")), "key")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 

@@ -65,19 +65,47 @@ def read_hash_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return found.where(F.col("version") == SNAPSHOT_VERSION).select("path", "hash")
 
 
-def save_context(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
-    """Replaces the whole stored context: tables go to a new version folder, then one small row points to it."""
+_POINTER_DDL = "seq long, version string, tables map<string, array<string>>"
+#: A table of so many folders is written anew as one.
+MOST_FOLDERS = 16
+
+
+def _pointer(spark: SparkSession, root: str) -> tuple[int, dict[str, list[str]]]:
+    """Number and tables (name -> folders, the oldest first) of the last version; (0, {}) where nothing is stored."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return 0, {}
+    last = spark.read.schema(_POINTER_DDL).json(f"{root}/current").orderBy(F.desc("seq"), F.desc("version")).first()
+    return (last[0], dict(last[2])) if last else (0, {})
+
+
+def save_context(spark: SparkSession, tables: dict[str, DataFrame], root: str, changes: bool = False) -> str:
+    """Stores a version of the context: tables go to a new folder, then one small row with the next number points to them.
+
+    The tables given are the whole context. With changes, they hold the rows of changed paths only: those of a path replace
+    all that it had, and tables that are not given stay as they are.
+    """
+    seq, have = _pointer(spark, root)
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>").coalesce(1).write.mode("append").json(f"{root}/current")
+    now = {name: (have.get(name, []) if changes else []) + [f"{version}/{name}"] for name in tables} | ({n: f for n, f in have.items() if n not in tables} if changes else {})
+    spark.createDataFrame([(seq + 1, version, now)], _POINTER_DDL).coalesce(1).write.mode("append").json(f"{root}/current")
+    if any(len(f) > MOST_FOLDERS for f in now.values()):
+        return save_context(spark, load_context(spark, root), root)
     return version
 
 
 def load_context(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables of the version written last."""
-    pointer = spark.read.schema("version string, tables array<string>").json(f"{root}/current").select("version", "tables", "_metadata.file_modification_time").orderBy(F.desc("file_modification_time")).first()
-    return {name: spark.read.parquet(f"{root}/{pointer[0]}/{name}") for name in pointer[1]}
+    """The tables of the last version; none where nothing is stored. Of a path in several folders the newest rows count."""
+    _, tables = _pointer(spark, root)
+    read = lambda name: [spark.read.parquet(f"{root}/{f}").withColumn("__at", F.lit(int(i))) for i, f in enumerate(tables[name])]
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]), allowMissingColumns=True)
+    many = {n for n, f in tables.items() if len(f) > 1}
+    if not many:
+        return {n: spark.read.parquet(f"{root}/{f[0]}") for n, f in tables.items()}
+    newest = union(read("files")).groupBy("path").agg(F.max("__at").alias("__at"))  # every change has the files it is about
+    return {n: (union(read(n)).join(newest, ["path", "__at"]).drop("__at") if n in many else spark.read.parquet(f"{root}/{f[0]}")) for n, f in tables.items()}
 
 
 def ordered_symbols(symbols: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import snapshots
 from ..operators import usage as U
+from ..operators.stored import forget, stored
 from ..sources import corpus
 
 
@@ -87,31 +88,31 @@ class _Alerts(StatefulProcessor):
 
 def stream_limit_alerts(usage: DataFrame, limits: DataFrame, ttl_ms: int = 40 * 86_400_000) -> DataFrame:
     """usage (scope, tokens) and limits (scope, token_limit): one row when a scope's total first passes its limit."""
-    j = usage.join(F.broadcast(limits), "scope").select("scope", F.col("tokens").cast("double").alias("tokens"), F.col("token_limit").cast("double").alias("token_limit"))
+    j = usage.join(limits, "scope").select("scope", F.col("tokens").cast("double").alias("tokens"), F.col("token_limit").cast("double").alias("token_limit"))
     return j.groupBy("scope").transformWithStateInPandas(_Alerts(ttl_ms), "scope string, used double, token_limit double", "append", "processingTime")
 
 
 def stream_incremental_index(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, once: bool = True):
-    """Files that arrive (path, content) are merged into the stored context under root, batch by batch.
+    """Files that arrive (path, content and, if known, modified_at) are merged into the stored context under root.
 
-    A batch writes a new version of files, hashes and symbols and then its pointer, so one that runs twice changes nothing.
+    Of several arrivals of a path in a micro-batch the newest counts; without modified_at, the greatest content. Only files
+    whose hash is new go through extract and are written, as changes of files, hashes and symbols; every other stored table
+    stays as it is. A micro-batch that runs twice changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        files = batch.groupBy("path").agg(F.max("content").alias("content"))
-        try:
-            prev = corpus.load_context(spark, root)
-        except Exception:  # nothing is stored yet
-            prev = {"files": files.limit(0), "hashes": snapshots.hash_snapshot(files.limit(0)), "symbols": extract(files.limit(0))}
+        newest = F.max_by("content", "modified_at") if "modified_at" in batch.columns else F.max("content")
+        files = batch.groupBy("path").agg(newest.alias("content"))
+        have = corpus.load_context(spark, root)
         new = snapshots.hash_snapshot(files)
-        again = new.join(prev["hashes"], ["path", "hash"], "left_anti").select("path")
-        fresh = files.join(again, "path", "left_semi")
-        out = {
-            "files": snapshots.merge_upsert(prev["files"], files, ["path"], ["content"]), "hashes": snapshots.merge_upsert(prev["hashes"], new, ["path"], ["hash"]),
-            "symbols": prev["symbols"].join(again, "path", "left_anti").unionByName(extract(fresh)),
-        }
-        corpus.save_context(spark, out, root)
+        again = (new.join(have["hashes"].select("path", "hash"), ["path", "hash"], "left_anti") if have else new).select("path", "hash")
+        again = stored(again)
+        if again.isEmpty():
+            return
+        fresh = stored(files.join(again.select("path"), "path", "left_semi"))
+        corpus.save_context(spark, {"files": fresh, "hashes": again, "symbols": extract(fresh)}, root, changes=True)
+        forget(again, fresh)
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import extract
+from corpusmill.operators import extract, snapshots
 from corpusmill.sources import corpus
 from corpusmill.streaming import streams
 
@@ -49,23 +49,64 @@ def test_dedup(spark, events, tmp_path):
     assert spark.table("dedup").count() == batch.count()
 
 
-def test_incremental_index(spark, tmp_path):
+def test_incremental_index(spark, tmp_path, monkeypatch):
     src, root = tmp_path / "in", str(tmp_path / "store")
-    schema = "path string, content string"
+    schema = "path string, content string, modified_at timestamp"
 
     def arrive(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        spark.createDataFrame([(p, c, T0 + datetime.timedelta(minutes=m)) for p, c, m in rows], schema).coalesce(1).write.mode("append").parquet(str(src))
 
     def run():
         streams.stream_incremental_index(spark.readStream.schema(schema).parquet(str(src)), extract.extract_symbols, root, str(tmp_path / "ck")).awaitTermination(120)
 
-    arrive([("a.ts", "class A {\n}\n"), ("b.ts", "class B {\n}\n")])
+    def names():
+        return sorted(r[0] for r in corpus.load_context(spark, root)["symbols"].select("name").collect())
+
+    summaries = spark.createDataFrame([("a.ts", "kept")], "target string, overview string")
+    old = spark.createDataFrame([("z.ts", "class Z {\n}\n")], "path string, content string")
+    corpus.save_context(spark, {"files": old, "hashes": snapshots.hash_snapshot(old), "symbols": extract.extract_symbols(old), "summaries": summaries, "edges": spark.createDataFrame([("x", "y", "calls")], "src string, dst string, kind string")}, root)
+    arrive([("a.ts", "class A {\n}\n", 0), ("b.ts", "class B {\n}\n", 0)])
     run()
-    arrive([("b.ts", "class B2 {\n}\n"), ("c.ts", "enum C {\n}\n")])
+    assert names() == ["A", "B", "Z"]
+    arrive([("b.ts", "class Newest {\n}\n", 9), ("b.ts", "class Older {\n}\n", 5), ("c.ts", "enum C {\n}\n", 1), ("a.ts", "no symbols now", 2), ("z.ts", "class Z {\n}\n", 3)])
     run()
     out = corpus.load_context(spark, root)
-    assert sorted(r[0] for r in out["symbols"].select("name").collect()) == ["A", "B2", "C"]
-    assert out["files"].count() == out["hashes"].count() == 3
+    assert names() == ["C", "Newest", "Z"]
+    assert out["files"].count() == out["hashes"].count() == 4
+    assert out["summaries"].count() == out["edges"].count() == 1
+    n, tables = corpus._pointer(spark, root)
+    assert len(tables["files"]) == 3 and spark.read.parquet(f"{root}/{tables['files'][-1]}").count() == 3  # z.ts has not changed
+    monkeypatch.setattr(corpus, "MOST_FOLDERS", 3)
+    arrive([("c.ts", "class D {\n}\n", 10)])
+    run()
+    assert names() == ["D", "Newest", "Z"] and len(corpus._pointer(spark, root)[1]["files"]) == 1
+
+
+def test_a_broken_store_is_an_error(spark, tmp_path):
+    one = spark.createDataFrame([("a",)], "path string")
+    version = corpus.save_context(spark, {"files": one}, str(tmp_path))
+    import shutil
+
+    shutil.rmtree(tmp_path / version)
+    with pytest.raises(Exception):
+        corpus.load_context(spark, str(tmp_path))["files"].count()
+    assert corpus.load_context(spark, str(tmp_path / "nothing")) == {}
+
+
+def test_usage_windows(spark, events, tmp_path):
+    batch, stream = events
+    usage = lambda df: df.select(F.col("ts").alias("occurred_at"), F.col("kind").alias("provider"), F.col("tokens").cast("double").alias("total_tokens"), F.lit(0).alias("total_src"), F.lit(1.0).alias("cost"), F.lit(1).alias("cost_src"), F.lit("USD").alias("currency"))
+    for name, slide in (("tumbling", None), ("sliding", "30 minutes")):
+        drain(streams.stream_usage_windows(usage(stream), slide=slide), name, tmp_path, "complete")
+        assert same(spark.table(name), streams.stream_usage_windows(usage(batch), slide=slide))
+
+
+def test_usage_source(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "openai", T0, 5), ("2", None, None, None)], "id string, provider string, occurred_at timestamp, input_tokens long")
+    rows.write.json(str(tmp_path / "in"))
+    assert sorted(tuple(r) for r in corpus.usage_source(spark, str(tmp_path / "in")).select("id", "provider", "input_tokens").na.fill("-").na.fill(-1).collect()) == [("1", "openai", 5), ("2", "-", -1)]
+    drain(corpus.usage_source(spark, str(tmp_path / "in"), stream=True).select("id", "occurred_at"), "usage", tmp_path)
+    assert sorted(r[0] for r in spark.table("usage").collect()) == ["1", "2"]
 
 
 def test_ttl(spark):
