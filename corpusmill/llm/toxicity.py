@@ -26,6 +26,8 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 APART = ".-_*'~·,/\\:;#^`\""
 #: A restored word whose letters are less likely than this, on the geometric mean, is no word: what is written is kept.
 LEAST_LIKELY = 0.01
+#: A doubled letter is natural where both trigrams that hold it have at least this log chance.
+NATURAL = math.log(0.02)
 #: Weighed features in one broadcast. More are taken in shards of about this many, one pass over the documents each.
 SHARD_FEATURES = 400_000
 #: The logistic model is fitted on this many training texts at most (by hash of the id).
@@ -132,11 +134,16 @@ class Words(dict):
         if self.model:
             inner = written.strip(_INNER_EDGES)
             bare = len(plain) > 2 and plain.isalpha()  # signs at most at its ends, where they stand for nothing
-            if disguised(plain if bare else inner):
+            if disguised(plain if bare else inner) and not (bare and self.natural(plain)):
                 plain = restore(inner, self.model) or plain
         self[written] = plain
         return plain
 
+    def natural(self, word: str) -> bool:
+        """Whether every doubled letter of a word is one that words double there (the tt of letter)."""
+        spelt = EDGE + word + EDGE
+        return all(self.model.log_p(spelt[i : i + 3]) >= NATURAL and self.model.log_p(spelt[i + 1 : i + 4]) >= NATURAL for i in range(len(word)) if spelt[i + 1] == spelt[i + 2])
+
     def of(self, text: str) -> list[str]:
         """The plain words of a text; three or more single characters in a row are one word set apart."""
         written = text.lower().split()
