@@ -8,7 +8,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +26,22 @@ _WORDS = re.compile(r"\S+")
 _END = re.compile(r"[.!?][\"')\]»”]*$")
 
 
-def content_ends(words: list[str], ends: list[int], hashes: C.WordHashes) -> list[int]:
-    """One past the last word of each piece of the sentences that end at ends; words are lower-cased."""
-    n = len(words)
+def content_ends(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One past the last word of each piece of the sentences that end at ends; h: hashes of the lower-cased words."""
+    n = len(h)
     cut = np.zeros(n + 1, bool)
     cut[ends] = True
     k = n - LEAST_OF + 1
     if k > 0:
-        h, sentence = hashes.array(words), np.cumsum(cut)
+        sentence = np.cumsum(cut)
         least, at = h[:k].copy(), np.arange(k)
         for j in range(1, LEAST_OF):
             less = h[j : j + k] < least
-            least[less] = h[j : j + k][less]
+            np.copyto(least, h[j : j + k], where=less)
             at[less] = np.flatnonzero(less) + j
         cut[at[sentence[:k] == sentence[LEAST_OF - 1 : n]]] = True
         cut[0] = False
-    return np.flatnonzero(cut).tolist()
+    return np.flatnonzero(cut)
 
 
 def sentences(text: str, hashes: C.WordHashes | None = None) -> list[tuple[int, int, int, list[str]]]:
@@ -61,7 +60,7 @@ def sentences(text: str, hashes: C.WordHashes | None = None) -> list[tuple[int,
                 ends.append(len(places))
             at += len(line) + 1
         words = [w for _, _, w in places]
-        ends = content_ends([w.lower() for w in words], ends, hashes)
+        ends = content_ends(hashes.array([w.lower() for w in words]), np.array(ends, np.int64)).tolist()
         return [(places[a][0], places[b - 1][1], b - a, words[a:b]) for a, b in zip([0, *ends], ends)]
     out = []
     at = 0
@@ -83,60 +82,91 @@ def sentences(text: str, hashes: C.WordHashes | None = None) -> list[tuple[int,
     return out
 
 
-def units(text: str, words_seen: C.WordHashes | None = None) -> tuple[list[int], list[int]]:
-    """Word count and hash of each sentence: what sentences() finds, without the places."""
-    counts, hashes = [], []
-    if words_seen is not None:
-        every, ends = [], []
-        for line in text.lower().split("\n"):
-            words = line.split()
-            n = len(every)
-            ends += [i for i, w in enumerate(words, n + 1) if i == n + len(words) or w[-1] in _CLOSERS and _END.search(w)]
-            every += words
-        ends = content_ends(every, ends, words_seen)
-        starts = [0, *ends[:-1]] if ends else []
-        return [b - a for a, b in zip(starts, ends)], [xxhash.xxh3_64_intdigest(" ".join(every[a:b])) for a, b in zip(starts, ends)]
-    for line in text.lower().split("\n"):
-        words = line.split()
-        start = 0
-        for i, w in enumerate(words, 1):
-            if w[-1] in _CLOSERS and _END.search(w) or i - start == LONGEST:
-                counts.append(i - start), hashes.append(xxhash.xxh3_64_intdigest(" ".join(words[start:i])))
-                start = i
-        if start < len(words):
-            counts.append(len(words) - start), hashes.append(xxhash.xxh3_64_intdigest(" ".join(words[start:])))
-    return counts, hashes
+_CLOSERS = frozenset(".!?\"')]»”")
 
 
-_CLOSERS = frozenset(".!?\"')]»”")
+class _Ends(dict):
+    """Word -> whether a sentence ends with it; emptied when it holds C.CACHE_WORDS words."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= C.CACHE_WORDS:
+            self.clear()
+        self[word] = end = word[-1] in _CLOSERS and bool(_END.search(word))
+        return end
+
+
+_FACTOR = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 
 
-def spans(counts: list[int], hashes: list[int]) -> list[tuple[int, int, int]]:
-    """(first sentence, one past the last, hash) of the span that starts at each sentence, where one is left."""
-    raw = np.array(hashes, np.uint64).tobytes()
+def run_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each h[start:end], wherever it stands: differences of one running sum of h[k] * FACTOR^-k."""
+    n = len(h) + 1
+    if not _powers or len(_powers[0]) < n:
+        size = max(4096, 2 * n)
+        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, f, np.uint64))]) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64))]
+    up, down = _powers
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down[: n - 1])])
+    return C.mix64((total[ends] - total[starts]) * up[ends])
+
+
+def units(text: str, hashes: C.WordHashes, marks: _Ends, by_content: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Word count and hash of each sentence: what sentences() finds, without the places."""
+    words: list[str] = []
+    lines = []
+    for line in text.lower().split("\n"):
+        words += line.split()
+        lines.append(len(words))
+    end = np.fromiter(map(marks.__getitem__, words), bool, len(words))
+    ends = np.union1d(np.flatnonzero(end) + 1, np.array(lines, np.int64))
+    ends = ends[ends > 0]
+    h = hashes.array(words)
+    if by_content:
+        ends = content_ends(h, ends)
+    elif len(ends):
+        starts = np.concatenate([[0], ends[:-1]])
+        ends = np.concatenate([np.append(np.arange(a + LONGEST, b, LONGEST), b) for a, b in zip(starts, ends)])
+    starts = np.concatenate([np.zeros(min(1, len(ends)), np.int64), ends[:-1]])
+    return ends - starts, run_hashes(h, starts, ends)
+
+
+def spans(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, number of sentences and hash of the span that starts at each sentence, where one is left."""
     total = np.concatenate([[0], np.cumsum(counts)])
-    ends = np.maximum(np.searchsorted(total, total[:-1] + WORDS, "left"), np.arange(len(counts)) + SENTENCES)
-    digest = xxhash.xxh3_64_intdigest
-    return [(i, j, digest(raw[8 * i : 8 * j]) - (1 << 63)) for i, j in enumerate(ends.tolist()) if j <= len(counts)]
+    first = np.arange(len(counts))
+    past = np.maximum(np.searchsorted(total, total[:-1] + WORDS, "left"), first + SENTENCES)
+    whole = past <= len(counts)
+    first, past = first[whole], past[whole]
+    return first, past - first, run_hashes(hashes, first, past).view(np.int64)
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("past", pa.int32()), ("h", pa.int64()), ("again", pa.bool_())])
-_SPANS_DDL = "doc_id long, first int, past int, h long, again boolean"
+#: place holds a tag of the text (24 bits), the first sentence (31 bits) and how many there are (8 bits): a span has at most
+#: WORDS sentences, since each has a word.
+_SPANS = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("again", pa.bool_())])
+_SPANS_DDL = "h long, doc_id long, place long, again boolean"
+_TAGS = (1 << 24) - 1
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text, tag: the tag tells rows apart that share a doc_id."""
+    src = C.plain(docs, "doc_id", "text")
+    return src.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(F.lit(_TAGS)).alias("tag"))
 
 
 def _emit_spans(batches: Iterator[pa.RecordBatch], by_content: bool) -> Iterator[pa.RecordBatch]:
-    hashes = C.WordHashes() if by_content else None
+    hashes, marks = C.WordHashes(), _Ends()
     for b in batches:
-        rows: list[tuple] = []
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        rows: list[tuple[np.ndarray, ...]] = []
+        for doc, text, tag in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "tag"))):
             if doc is None or not text:
                 continue
-            seen: set[int] = set()
-            for i, j, h in spans(*units(text, hashes)):
-                rows.append((doc, i, j, h, h in seen))
-                seen.add(h)
+            first, size, h = spans(*units(text, hashes, marks, by_content))
+            if len(h):
+                again = np.ones(len(h), bool)
+                again[np.unique(h, return_index=True)[1]] = False  # all but the first of each
+                rows.append((h, np.full(len(h), doc, np.int64), tag << 39 | first << 8 | size, again))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SPANS)], schema=_SPANS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], schema=_SPANS)
 
 
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("clean", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())])
@@ -150,9 +180,9 @@ def _remove(batches: Iterator[pa.RecordBatch], by_content: bool) -> Iterator[pa.
         for doc, text, cut in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "cut"))):
             own = sentences(text, hashes)
             gone = np.zeros(len(own) + 1, np.int64)
-            for c in cut:
-                gone[c["first"]] += 1
-                gone[c["past"]] -= 1
+            for place in cut:
+                gone[place >> 8] += 1
+                gone[(place >> 8) + (place & 255)] -= 1
             gone = np.cumsum(gone)[:-1] > 0
             parts, at = [], 0
             for (begin, end, _, _), g in zip(own, gone):
@@ -165,29 +195,35 @@ def _remove(batches: Iterator[pa.RecordBatch], by_content: bool) -> Iterator[pa.
 
 
 def repeated_spans(docs: DataFrame, by_content: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, cut array<struct<first, past>>: sentences covered by non-first repeated spans.
+    """docs (doc_id, text) -> doc_id, tag, cut: the places (first sentence << 8 | sentences) that non-first repeated spans
+    cover. Only texts that lose something.
 
-    The first of a span is the one in the smallest doc_id, and there the earliest. Only documents that lose something.
+    The first of a span is the one in the smallest doc_id, and there the earliest. A text of any length is read whole, and
+    the groups of a hash are only counted and joined, so that no task holds a hot one.
     """
     C.prepare(docs.sparkSession)
-    src = C.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = C.table(src.mapInArrow(partial(_emit_spans, by_content=by_content), _SPANS_DDL), "spans")
+    found = C.table(_tagged(docs).mapInArrow(partial(_emit_spans, by_content=by_content), _SPANS_DDL), "spans")
     firsts = found.where("not again").groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("h", "keeper")
     firsts = C.table(firsts, "firsts")
-    later = found.where("not again").join(firsts, "h").where("doc_id > keeper").select("doc_id", "first", "past")
-    # a span that its own document repeats: all but the earliest go, wherever the first of all is
-    inner = found.where("again").select("doc_id", "first", "past")
-    return later.unionByName(inner).groupBy("doc_id").agg(F.collect_set(F.struct("first", "past")).alias("cut"))
+    later = found.where("not again").join(firsts, "h").where("doc_id > keeper").select("doc_id", "place")
+    # a span that its own text repeats: all but the earliest go, wherever the first of all is
+    inner = found.where("again").select("doc_id", "place")
+    cut = later.unionByName(inner).withColumn("tag", F.shiftright("place", 39)).groupBy("doc_id", "tag").agg(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << 39) - 1))).alias("cut"))
+    cut = C.table(cut, "cut")
+    C.drop(found, firsts)
+    return cut
 
 
 def drop_repeated_spans(docs: DataFrame, by_content: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, clean, n_sentences, n_removed for the documents that lose sentences.
+    """docs (doc_id, text, ...) -> doc_id, clean, n_sentences, n_removed for the rows that lose sentences.
 
     clean is the text without the sentences that a non-first repeated span covers; all else is as it was but for
     spaces at the cuts. Texts that stay as they are have no row; null and empty texts never change, nor do rows with a
-    null doc_id. Rows that repeat a doc_id are the same document. Case and white space do not tell spans apart.
-    by_content: cut long sentences by content, so that passages meet wherever they begin (see LEAST_OF).
+    null doc_id. Rows that repeat a doc_id are one document: what repeats only among them stays, and each text that loses
+    something to others, or to itself, has a row of its own. Case and white space do not tell spans apart. Spans are
+    compared by 64-bit hashes. Very long texts are cut whole; an empty table gives no rows; extra columns are ignored,
+    whatever their names. by_content: cut long sentences by content, so that passages meet wherever they begin (see LEAST_OF).
     """
-    cut = C.table(repeated_spans(docs, by_content), "cut")
-    changed = C.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("text is not null")
-    return changed.join(cut, "doc_id").mapInArrow(partial(_remove, by_content=by_content), _CLEAN_DDL)
+    cut = repeated_spans(docs, by_content)
+    changed = _tagged(docs).where("text is not null")
+    return changed.join(cut, ["doc_id", "tag"]).select("doc_id", "text", "cut").mapInArrow(partial(_remove, by_content=by_content), _CLEAN_DDL)

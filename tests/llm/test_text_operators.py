@@ -101,7 +101,7 @@ def test_spans_meet_wherever_a_passage_begins(spark, tmp_path):
     for t in [*texts.values(), "", " \n ", "one", "a " * 30, "A b. C\n\nd e? f"]:
         pieces = span_dedup.sentences(t, hashes)
         assert [x.lower() for p in pieces for x in p[3]] == t.lower().split() and all(0 < p[2] <= 10 and t[p[0] : p[1]].split() == p[3] for p in pieces)
-        assert [p[2] for p in pieces] == span_dedup.units(t, hashes)[0]
+        assert [p[2] for p in pieces] == span_dedup.units(t, hashes, span_dedup._Ends(), True)[0].tolist()
 
 
 def test_span_texts_and_odd_rows(spark):
@@ -112,27 +112,44 @@ def test_span_texts_and_odd_rows(spark):
 
 
 def test_warc_records(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a.b/c", "<title>T</title><p>x &amp;lt; y</p>"), (2, None, None), (1, "http://a.b/c", "<title>T</title><p>x &amp;lt; y</p>")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "http://a.b/c", "<title>T</title><p>x &amp;lt; y</p>", "x"), (2, None, None, "x"), (1, "http://a.b/c", "<title>T</title><p>x &amp;lt; y</p>", "x"), (3, "http://l", "<p>" + "é &amp; " * 300_000, "x")], "page_id long, url string, html string, Url string")
     out = warc.derivatives(warc.responses_from_pages(pages))
     rows = out.collect()
-    assert len(rows) == 6
+    assert len(rows) == 8
     by = {(r.page_id, r.record_type): r for r in rows}
     meta, conv = by[1, "metadata"], by[1, "conversion"]
     assert meta.refers_to == conv.refers_to and conv.record_id in meta.block and meta.payload_digest in meta.block and "Content-Type: text/html" in meta.block
+    assert all(re.match(r"[\w-]+: ", line) for r in rows if r.record_type == "metadata" for line in r.block.split("\r\n")[:-1])
     assert conv.block == "T\nx &lt; y" and conv.content_length == len(conv.block)
-    assert by[2, "conversion"].block == "" and by[2, "conversion"].target_uri == ""
+    assert by[2, "conversion"].block == "" and by[2, "conversion"].target_uri == "" and by[3, "conversion"].block == ("é & " * 300_000).strip()
     warc.write_warc(out.coalesce(1), str(tmp_path / "w"))
     import gzip
-
-    raw = b"".join(gzip.open(f).read() for f in (tmp_path / "w").glob("*.gz"))
+    import zlib
+
+    [file] = (tmp_path / "w").glob("*.warc.gz")
+    raw, members, text = file.read_bytes(), 0, b""
+    while raw:  # one gzip member a record
+        z = zlib.decompressobj(31)
+        record = z.decompress(raw)
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+        raw, members, text = z.unused_data, members + 1, text + record
+    assert members == 8 and text == gzip.open(file).read()
     at = n = 0
-    while at < len(raw):  # a reader of the format: headers, a blank line, as many bytes as they say, two line breaks
-        head, _, rest = raw[at:].partition(b"\r\n\r\n")
+    while at < len(text):  # a reader of the format: headers, a blank line, as many bytes as they say, two line breaks
+        head, _, rest = text[at:].partition(b"\r\n\r\n")
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
-        assert head.startswith(b"WARC/1.1\r\n") and raw[at + len(head) + 4 + size :].startswith(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\n") and text[at + len(head) + 4 + size :].startswith(b"\r\n\r\n")
         at += len(head) + 4 + size + 4
         n += 1
-    assert n == 6 and warc.derivatives(warc.responses_from_pages(pages.limit(0))).count() == 0
+    assert n == 8 and warc.derivatives(warc.responses_from_pages(pages.limit(0))).count() == 0
+
+
+def test_character_references_are_those_of_html(spark):
+    import html
+
+    texts = ["&eacute; &#233; &#xE9; &mdash; &apos;&quot; &amp;amp; &AMP; &nosuch; & &; &#0; &#55296; &#x110000; &#128512; x&lt;y&gt; &hearts;", "plain", "&", "&amp;", "a&#65;&#66;", ""]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(warc.decoded(F.col("t"))).collect()]
+    assert got == [html.unescape(t.replace("&AMP;", "&amp;AMP;")) for t in texts]
 
 
 def edits(a, b):
@@ -178,8 +195,9 @@ def test_leaks_are_found_and_exact(spark):
     true = {k for k, e in exact.items() if e <= int(0.15 * len(decontaminate.words_of(dict(items)[k[1]])))}
     assert got <= true and planted <= true and len(got & planted) >= 0.95 * len(planted)
     assert all(r.distance == exact[r.doc_id, r.item_id] for r in out)
-    in_blocks = decontaminate.benchmark_leaks(df, bench, block_items=7).collect()
-    assert planted & {(r.doc_id, r.item_id) for r in in_blocks} == planted & got or len(in_blocks) >= 0.95 * len(out)
+    for blocks in ({"block_items": 7}, {"block_words": 200}):  # windows and repetitions are chosen block by block
+        parts = decontaminate.benchmark_leaks(df, bench, **blocks).collect()
+        assert all(r.distance == exact[r.doc_id, r.item_id] for r in parts) and len({(r.doc_id, r.item_id) for r in parts} & planted) >= 0.95 * len(planted)
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(words) - {d for d, _ in got}
     assert decontaminate.benchmark_leaks(df.limit(0), bench).count() == 0 and decontaminate.benchmark_leaks(df, bench.limit(0)).count() == 0
