@@ -15,8 +15,6 @@ _DECLARATION = r"^\s*(export\s+)?(default\s+)?((?:(?:public|private|protected|st
 _METHOD = r"^\s+((?:(?:public|private|protected|static|async|readonly|get|set)\s+)*)([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*(?::[^{;]+)?\{\s*$"
 _NO_METHODS = ["if", "for", "while", "switch", "catch", "return", "function"]
 _KIND = {"type": "type-alias", "const": "constant", "let": "variable", "var": "variable", "def": "function"}
-#: References are not looked for in files with more lines.
-MAX_LINES = 20_000
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -81,10 +79,9 @@ def extract_imports(files: DataFrame) -> DataFrame:
 
 def extract_references(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """ref_id, path, name, kind, line of uses of known names: construct, extends, implements, property, call, write, read."""
-    small = files.where(F.size(F.split("content", "\n", -1)) <= MAX_LINES)
     one = r"(?:\b(new|extends|implements)\s+)?(\.)?([A-Za-z_$][\w$]*)(\s*\(|\s*=(?![=>]))?"
     m = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(one), i).alias(k) for i, k in ((1, "before"), (2, "dot"), (3, "name"), (4, "after"))])
-    uses = source_lines(small).select("path", "line", F.posexplode(m).alias("n", "m")).select("path", "line", "n", "m.*")
+    uses = source_lines(files).select("path", "line", F.posexplode(m).alias("n", "m")).select("path", "line", "n", "m.*")
     known = symbols.select("name").distinct()
     uses = uses.join(known, "name", "left_semi")
     kind = (

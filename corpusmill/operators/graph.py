@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from .stored import stored as _settle
+from .stored import together
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -104,15 +105,17 @@ def dependencies(edges: DataFrame, requests: DataFrame, direction: str = "out",
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int | None = None, max_rounds: int = 10_000) -> DataFrame:
     """seeds (node) -> seed, node, distance for everything within k edges (any number where k is None), the seed at 0."""
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance")).distinct()
-    frontier, d = seen, 0
+    frontier, d = _settle(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance")).distinct()), 0
+    found = [frontier]
+    seen = frontier
     while d < (max_rounds if k is None else k):
         d += 1
         step = frontier.join(e, "node").select("seed", F.col("next").alias("node")).distinct()
         frontier = _settle(step.join(seen, ["seed", "node"], "left_anti").withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
             return seen
-        seen = _settle(seen.unionByName(frontier))
+        found.append(frontier)
+        seen = together(found)
     if k is None:
         raise RuntimeError(f"not settled after {max_rounds} rounds")
     return seen
@@ -128,26 +131,28 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000)
     Breadth first for all pairs at once; of several parents the smallest is kept. Ways are read backwards by joins.
     """
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    seen = _settle(pairs.select("pair_id", F.col("src").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("distance")))
-    frontier, d = seen, 0
-    goals = pairs.select("pair_id", F.col("dst").alias("node"))
-    done = seen.join(goals, ["pair_id", "node"]).select("pair_id")
+    columns = ["pair_id", "node", "parent", "distance"]
+    frontier, d = _settle(pairs.select("pair_id", F.col("src").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("distance"))), 0
+    found, seen = [frontier], frontier
+    goals = _settle(pairs.select("pair_id", F.col("dst").alias("node")))
     while d < max_rounds:
         d += 1
-        step = frontier.join(done, "pair_id", "left_anti").join(e, "node").groupBy("pair_id", F.col("next").alias("node")).agg(F.min(F.col("node").cast("string")).alias("parent"))
-        frontier = _settle(step.join(seen, ["pair_id", "node"], "left_anti").withColumn("distance", F.lit(d)))
+        # a pair whose goal is in the frontier has its way; its frontier goes no further
+        open_ = frontier.join(frontier.join(goals, ["pair_id", "node"], "left_semi").select("pair_id"), "pair_id", "left_anti")
+        step = open_.join(e, "node").groupBy("pair_id", F.col("next").alias("node")).agg(F.min(F.col("node").cast("string")).alias("parent"))
+        frontier = _settle(step.join(seen, ["pair_id", "node"], "left_anti").withColumn("distance", F.lit(d)).select(*columns))
         if frontier.isEmpty():
             break
-        seen = _settle(seen.unionByName(frontier.select("pair_id", "node", "parent", "distance")))
-        done = seen.join(goals, ["pair_id", "node"]).select("pair_id")
+        found.append(frontier)
+        seen = together(found)
     ends = _settle(seen.join(goals, ["pair_id", "node"]))
     longest = ends.agg(F.max("distance")).first()[0] or 0
-    at = ends.select("pair_id", F.col("distance").alias("step"), F.col("node").cast("string").alias("node"), "parent")
-    way = at
+    steps = [_settle(ends.select("pair_id", F.col("distance").alias("step"), F.col("node").cast("string").alias("node"), "parent"))]
     for _ in range(longest):
-        before = at.where("parent is not null").select("pair_id", (F.col("step") - 1).alias("step"), F.col("parent").alias("node"))
-        at = _settle(before.join(seen.select("pair_id", F.col("node").cast("string").alias("node"), "parent"), ["pair_id", "node"]).select("pair_id", "step", "node", "parent"))
-        way = way.unionByName(at)
+        before = steps[-1].where("parent is not null").select("pair_id", (F.col("step") - 1).alias("step"), F.col("parent").alias("node"))
+        # a node's parent was found one round earlier
+        steps.append(_settle(before.join(seen.select("pair_id", F.col("node").cast("string").alias("node"), F.col("distance").alias("step"), "parent"), ["pair_id", "step", "node"]).select("pair_id", "step", "node", "parent")))
+    way = together(steps)
     return pairs.select("pair_id").join(ends.select("pair_id", "distance"), "pair_id", "left").join(way.select("pair_id", "step", "node"), "pair_id", "left")
 
 

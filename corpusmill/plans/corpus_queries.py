@@ -113,10 +113,10 @@ def e7_folder_modules(spark, d):
     return C.folder_modules(files(spark, d))
 
 
-@query(f"WITH {FILES}, {_DIRS} SELECT DISTINCT path, d AS dir FROM dirs WHERE d LIKE '%/d3' OR d = 'src1'")
+@query(f"WITH {FILES}, {_DIRS} SELECT DISTINCT path, d AS dir FROM dirs")
 def j10_join_ancestors(spark, d):
     f = files(spark, d)
-    dirs = C.folder_modules(f).select(F.col("path").alias("dir")).where("dir like '%/d3' or dir = 'src1'")
+    dirs = C.folder_modules(f).select(F.col("path").alias("dir"))
     return C.join_ancestors(f.select("path").distinct(), dirs).select("path", "dir")
 
 
@@ -335,7 +335,9 @@ def w5_latency_ema_unrounded(spark, d):
     return A.latency_ema_unrounded(activity(spark, d), "kind", "latency_ms", ["ts", "event_id"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {ACTIVITY}, r AS (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY ts, event_id) AS ord, latency_ms FROM activity WHERE latency_ms IS NOT NULL
+), e AS (SELECT kind, ord, latency_ms, latency_ms::DOUBLE AS ema FROM r WHERE ord = 1
+UNION ALL SELECT r.kind, r.ord, r.latency_ms, CASE WHEN e.ema = 0 THEN r.latency_ms ELSE floor(0.7::DOUBLE * e.ema + 0.3::DOUBLE * r.latency_ms + 0.5::DOUBLE) END FROM e JOIN r ON r.kind = e.kind AND r.ord = e.ord + 1) SELECT * FROM e""")
 def w5_latency_ema(spark, d):
     return A.latency_ema(activity(spark, d), "kind", "latency_ms", ["ts", "event_id"])
 

@@ -111,7 +111,8 @@ def f20_render_template(spark, d):
     return read(spark, d, "part").select("p_partkey", S.render_template("Part {name} of {brand} is {unknown}; {name}.", {"name": F.col("p_name"), "brand": F.col("p_brand")}).alias("text"))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN event_id % 6 < 2 THEN event_type END AS overview, CASE WHEN event_id % 6 < 2 THEN ['a', event_id::VARCHAR] END AS key_points,
+CASE event_id % 6 WHEN 2 THEN 'model output was not valid JSON' WHEN 3 THEN 'model output was not a JSON object' WHEN 4 THEN 'missing string field "overview"' WHEN 5 THEN '"keyPoints" must be an array of strings' END AS error FROM events""")
 def f21_parse_summary_json(spark, d):
     """Events as model answers: good ones, fenced ones, and each kind of bad one."""
     i = F.col("event_id")
@@ -141,7 +142,8 @@ def f24_f25_identifiers(spark, d):
     return files(spark, d).select("path", S.is_under(p, F.lit("src0")).alias("under"), S.is_under(p, F.lit("src1\\d3/")).alias("under_dir"), sym.alias("symbol"), S.symbol_node_id(sym).alias("symbol_node"), S.file_node_id(p).alias("node"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, unnest(range(0, len(s)))::INTEGER AS pos, unnest(s) AS sentence FROM l""")
 def f26_split_sentences(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(S.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -180,7 +182,8 @@ def p1_drop_ignored_dirs(spark, d):
     return P.drop_ignored_dirs(files(spark, d).select("path"), ["SRC3", "d7"], max_depth=2)
 
 
-@query()
+@query(f"""WITH {FILES}, n AS (SELECT path, split_part(path, '/', 1) AS a, split_part(path, '/', 2) AS b, split_part(path, '/', 3) AS c FROM files)
+SELECT path FROM n WHERE a <> 'src3' AND NOT (a = 'src4' AND starts_with(b, 'd1')) AND NOT (a = 'src5' AND b = 'd2') AND (c NOT LIKE '%.PY') AND NOT (a = 'src5' AND c LIKE '%.ts' AND NOT regexp_matches(c, '^f1.5\\.ts$'))""")
 def p2_apply_ignore_rules(spark, d):
     rules = P.parse_rules(spark, {"": "# rules\n*.PY\n!keep.PY\nsrc3/\n/src4/d1*\n", "src5": "d2/\n*.ts\n!f1?5.ts\n"})
     return P.apply_ignore_rules(files(spark, d).select("path"), rules)

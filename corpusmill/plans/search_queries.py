@@ -13,10 +13,12 @@ from ..operators import extract as E
 from ..operators import filters as P
 from ..operators import graph as G
 from ..operators import policy as L
+from ..operators import scan as C
 from ..operators import search as R
+from ..operators import snapshots as N
 from ..streaming import streams as ST
-from .scalar_queries import _CONTENT_SQL, _NEG, _POS, _STATEMENT_SQL, TERMS
-from .tables import EDGES, FILES, IMPORTS, REFS, SYMBOLS, edges, files, imports, order_files, read, refs, symbols
+from .scalar_queries import _CONTENT_SQL, _DENIED_SQL, _NEG, _POS, _STATEMENT_SQL, TERMS
+from .tables import EDGES, FILES, IMPORTS, REFS, SYMBOLS, edges, files, imports, order_files, read, refs, snapshots, symbols
 
 Q, SQL = {}, {}
 
@@ -194,7 +196,11 @@ def r6_j11_build_context(spark, d):
     return K.hits_to_context(hits, files(spark, d)).select("query_id", "ord", "path", "score")
 
 
-@query()
+_EXACT = _SEARCH[: _SEARCH.index("), s AS (")] + f"""), s AS (SELECT c.term, c.key, 1.0::DOUBLE AS s FROM (SELECT DISTINCT term, key FROM holds JOIN post USING (token)) c JOIN ent USING (key) WHERE list_contains({_WORDS.format('search_text')}, c.term)
+""" + _SEARCH[_SEARCH.index("), total AS (") :]
+
+
+@query(_EXACT + " SELECT query_id, rank, score, key FROM hits")
 def r5_scorer_seam(spark, d):
     """The same search under another scorer: exact words of the text only."""
     exact = lambda term, name, text, sim: F.when(F.array_contains(F.split(text, "[^a-z0-9_]+"), term), 1.0).otherwise(0.0)
@@ -208,6 +214,49 @@ def r5_cosine(spark, d):
     return e.join(head, "label").select("vec_id", F.round(R.cosine(F.col("embedding"), F.col("head")), 5).alias("score"))
 
 
+_NEAR = f""", {EDGES}, linked AS (SELECT DISTINCT n, other, kind, direction FROM (SELECT 'n:' || src AS n, 'n:' || dst AS other, kind, 'out' AS direction FROM edges UNION ALL SELECT 'n:' || dst, 'n:' || src, kind, 'in' FROM edges)
+), dep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY kind, other, direction) AS nth FROM linked) WHERE nth <= 3)"""
+
+
+@query(_SEARCH + _NEAR + """ SELECT query_id, rank, h.key, 'hit' AS part, NULL AS other, NULL AS relation, NULL AS direction, substr(f.content, 1, 30) AS overview FROM hits h LEFT JOIN (SELECT * FROM files WHERE doc_id % 4 <> 0) f ON f.path = h.path
+UNION ALL SELECT query_id, rank, h.key, 'dependency', other, dep.kind, direction, NULL FROM hits h JOIN dep ON h.kind = 'symbol' AND dep.n = 'n:' || substr(h.key, 8)""")
+def r7_relevant_context(spark, d):
+    hits = R.search(_entities(spark, d), _queries(spark, d))
+    known = read(spark, d, "documents").where("doc_id % 4 <> 0")
+    from .tables import path_expr
+
+    summaries = known.select(path_expr().alias("target"), F.lit("file").alias("kind"), F.substring("text", 1, 30).alias("overview"))
+    e = edges(spark, d).select(S.symbol_node_id(F.col("src").cast("string")).alias("src"), S.symbol_node_id(F.col("dst").cast("string")).alias("dst"), "kind")
+    return K.relevant_context(hits, e, summaries, limit=3)
+
+
+def _targets(spark, d):
+    """Parts as names of symbols, orders as files, regions as folders or nothing, and what the queries ask for as concepts."""
+    p = read(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("target_id"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("target"))
+    o = order_files(spark, d).select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("target_id"), F.col("path").alias("target"))
+    r = read(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("target_id"), F.when(F.col("r_regionkey") == 0, "src").otherwise(F.lit("..")).alias("target"))
+    q = _queries(spark, d).select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("target_id"), F.col("q").alias("target"))
+    return p.unionByName(o).unionByName(r).unionByName(q)
+
+
+@query(
+    _SEARCH + f""", {SYMBOLS}, order_files AS (SELECT 'src/o' || o_orderkey || '.ts' AS path, o_orderkey FROM orders), t AS (SELECT 'p' || p_partkey AS target_id, 'part' || p_partkey AS target FROM part UNION ALL SELECT 'o' || o_orderkey, path FROM order_files UNION ALL SELECT 'r' || r_regionkey, CASE WHEN r_regionkey = 0 THEN 'src' ELSE '..' END FROM region UNION ALL SELECT 'q' || query_id, q.q FROM q
+), sy AS (SELECT name, count(*) AS n, arg_min(kind || ' in ' || path || ', lines ' || start_line || ' to ' || end_line, (path, start_line, start_col, id)) AS e, arg_min(path, (path, start_line, start_col, id)) AS p FROM symbols GROUP BY 1
+), fi AS (SELECT path, count(id) AS n FROM order_files LEFT JOIN symbols USING (path) GROUP BY 1
+), co AS (SELECT 'q' || query_id AS target_id, count(*) AS n, arg_min(key, rank) AS best FROM hits GROUP BY 1)
+SELECT t.target_id, CASE WHEN sy.name IS NOT NULL THEN 'symbol' WHEN fi.path IS NOT NULL THEN 'file' WHEN target = 'src' THEN 'module' ELSE 'concept' END AS kind,
+  CASE WHEN sy.name IS NOT NULL THEN sy.p || '#' || target WHEN fi.path IS NOT NULL THEN target WHEN target = 'src' THEN 'src' ELSE co.best END AS subject,
+  CASE WHEN sy.name IS NOT NULL THEN sy.n WHEN fi.path IS NOT NULL OR target = 'src' THEN 1 ELSE coalesce(co.n, 0) END AS matches,
+  CASE WHEN sy.name IS NOT NULL THEN sy.e WHEN fi.path IS NOT NULL THEN 'typescript file with ' || fi.n || ' symbols' WHEN target = 'src' THEN 'folder of ' || (SELECT count(*) FROM order_files) || ' files with ' || (SELECT count(*) FROM symbols) || ' symbols' WHEN co.n IS NULL THEN 'nothing is known' ELSE 'concept found in ' || co.n || ' places, best ' || co.best END AS explanation
+FROM t LEFT JOIN sy ON sy.name = target LEFT JOIN fi ON fi.path = target LEFT JOIN co ON co.target_id = t.target_id"""
+)
+def r10_explain_targets(spark, d):
+    f, sym = order_files(spark, d).select("path", F.lit("typescript").alias("language")), symbols(spark, d)
+    none = spark.createDataFrame([], "src_path string, dst_path string")
+    mods = C.explain_modules(f, sym, none, C.folder_modules(f).select(F.col("path").alias("dir")))
+    return K.explain_targets(_targets(spark, d), sym, f, mods, _entities(spark, d))
+
+
 def _items(spark, d):
     """The context items of each query: what search found, and one instruction."""
     ctx = K.hits_to_context(R.search(_entities(spark, d), _queries(spark, d)), files(spark, d))
@@ -216,15 +265,41 @@ def _items(spark, d):
     return K.assemble_items({"instructions": rules, "search": found})
 
 
-@query()
+def _packages(spark, d):
+    """Packages of the queries; each asks in one of four repositories, of which r2 has no hashes and r3 no index."""
+    prev, cur = snapshots(spark, d)
+    repos = files(spark, d).select("repo_id").distinct().withColumn("available", F.col("repo_id") != "r3")
+    tasks = _queries(spark, d).select(F.col("query_id").alias("task_id"), F.concat(F.lit("r"), (F.col("query_id") % 5).cast("string")).alias("repo_id"))
+    return K.context_packages(_items(spark, d), K.stale_tasks(tasks, N.detect_freshness(prev.where("repo_id <> 'r2'"), cur, repos)))
+
+
+_PACKAGED = _SEARCH + f""", b AS (SELECT query_id, path, max(score) AS score, min(rank) AS first FROM hits GROUP BY 1, 2
+), it AS (
+  SELECT query_id AS task_id, 'rules' AS id, 'RULES.md' AS path, 'Answer: ' || q AS content, 1.0::DOUBLE AS score, 'instructions' AS kind FROM q
+  UNION ALL SELECT query_id, b.path, b.path, content, score, 'search' FROM b JOIN files f ON f.path = b.path
+), o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY CASE kind WHEN 'instructions' THEN 0 ELSE 3 END, score DESC, id, kind) AS ord FROM it
+), dn AS (SELECT *, regexp_extract(path, '[^/\\\\]*$') AS name FROM o
+), dc AS (SELECT *, """ + _DENIED_SQL + """ AS np FROM dn), de AS (SELECT *, CASE WHEN len(np) > 0 THEN np ELSE """ + _CONTENT_SQL.format("content") + """ END AS pats FROM dc
+), ac AS (SELECT *, ceil(length(content) / 4.0) > 2000 AS truncated, CASE WHEN ceil(length(content) / 4.0) > 2000 THEN regexp_replace(substr(content, 1, 8000), '\\s+$', '') || chr(10) || '… [truncated]' ELSE content END AS cut FROM de WHERE len(pats) = 0
+), tk AS (SELECT *, ceil(length(cut) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY task_id ORDER BY ord) AS n FROM ac
+), cu AS (SELECT *, (sum(tokens) OVER (PARTITION BY task_id ORDER BY ord))::BIGINT AS cum FROM tk
+), fi AS (SELECT *, greatest(coalesce(max(n) FILTER (cum <= 12000) OVER (PARTITION BY task_id), 0), coalesce(max(n) FILTER (kind = 'instructions') OVER (PARTITION BY task_id), 0)) AS fits FROM cu
+), ke AS (SELECT *, least(fits, greatest(20, coalesce(max(n) FILTER (n <= fits AND kind = 'instructions') OVER (PARTITION BY task_id), 0))) AS keep FROM fi
+), pk AS (SELECT *, CASE kind WHEN 'instructions' THEN 'instructions of the project' ELSE 'found by search with score ' || format('{:.3f}', score) END || CASE WHEN truncated THEN ', cut to the token limit' ELSE '' END AS reason FROM ke WHERE n <= keep
+), rc AS (SELECT task_id, count(*) FILTER (n <= keep) AS items, coalesce(sum(tokens) FILTER (n <= keep), 0)::BIGINT AS tokens, coalesce(sum(tokens) FILTER (n <= keep), 0) > 12000 AS over FROM ke GROUP BY 1)"""
+
+
+@query(_PACKAGED + " SELECT task_id, ord, kind, id, path, score, tokens, truncated, cum, reason FROM pk")
 def r8_context_packages(spark, d):
-    return K.context_packages(_items(spark, d))[0].select("task_id", "ord", "kind", "id", "path", "score", "tokens", "truncated", "cum")
+    return _packages(spark, d)[0].select("task_id", "ord", "kind", "id", "path", "score", "tokens", "truncated", "cum", "reason")
 
 
-@query()
+@query(_PACKAGED + """ SELECT r.task_id, '# Task ' || r.task_id || chr(10) || chr(10) || 'Index: ' || ['stale', 'stale', 'unknown', 'unavailable', 'unavailable'][r.task_id % 5 + 1] || chr(10) || chr(10) || 'Items: ' || r.items || ', tokens: ' || r.tokens || CASE WHEN r.over THEN chr(10) || chr(10) || 'Warning: over budget' ELSE '' END
+|| coalesce(chr(10) || chr(10) || p.body, '') || coalesce(chr(10) || chr(10) || x.body, '') AS text FROM rc r
+LEFT JOIN (SELECT task_id, string_agg('## ' || path || CASE WHEN truncated THEN ' (truncated)' ELSE '' END || chr(10) || chr(10) || 'Reason: ' || reason || chr(10) || chr(10) || cut, chr(10) || chr(10) ORDER BY ord) AS body FROM pk GROUP BY 1) p USING (task_id)
+LEFT JOIN (SELECT task_id, 'Left out: ' || any_value(c) || chr(10) || string_agg('- ' || path || ': ' || array_to_string(pats, ', '), chr(10) ORDER BY n) FILTER (n <= 10) AS body FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY id, path) AS n, count(*) OVER (PARTITION BY task_id) AS c FROM de WHERE len(pats) > 0) GROUP BY 1) x USING (task_id)""")
 def r9_render_packages(spark, d):
-    items, record, _ = K.context_packages(_items(spark, d))
-    return K.render_packages(items, record)
+    return K.render_packages(*_packages(spark, d))
 
 
 # --- items of conversations: a conversation is a task, its turns are items ---
@@ -289,9 +364,9 @@ def e9_scope_prompt_table(spark, d):
 # --- graphs ---
 
 
-@query(f"WITH {EDGES} SELECT DISTINCT node, neighbor FROM (SELECT src AS node, dst AS neighbor FROM edges UNION ALL SELECT dst, src FROM edges) JOIN part ON p_partkey = node AND p_size = 7")
+@query(f"WITH {EDGES} SELECT DISTINCT node, neighbor FROM (SELECT src AS node, dst AS neighbor FROM edges UNION ALL SELECT dst, src FROM edges) JOIN part ON p_partkey = node")
 def g2_neighbors(spark, d):
-    return G.neighbors(edges(spark, d), read(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("node")))
+    return G.neighbors(edges(spark, d), read(spark, d, "part").select(F.col("p_partkey").alias("node")))
 
 
 @query(f"WITH {EDGES}, b AS (SELECT DISTINCT p_partkey AS request_id, dst AS other, kind, 'out' AS direction FROM part JOIN edges ON src = p_partkey WHERE kind IN ('A', 'N') UNION SELECT p_partkey, src, kind, 'in' FROM part JOIN edges ON dst = p_partkey WHERE kind IN ('A', 'N')) SELECT request_id, other, kind, direction FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY kind, other, direction) AS n FROM b) WHERE n <= 5")
@@ -299,12 +374,13 @@ def g3_dependencies(spark, d):
     return G.dependencies(edges(spark, d), read(spark, d, "part").select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("node")), "both", ["A", "N"], 5)
 
 
-_HOPS = f"WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), h AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS distance FROM part WHERE p_partkey < 3 UNION SELECT seed, dst, distance + 1 FROM h JOIN e ON src = node WHERE distance < 2) SELECT seed, node, min(distance) AS distance FROM h GROUP BY 1, 2"
+_HOPS = f"WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), h AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS distance FROM part WHERE p_partkey % 50 = 0 UNION SELECT seed, dst, distance + 1 FROM h JOIN e ON src = node WHERE distance < 2) SELECT seed, node, min(distance) AS distance FROM h GROUP BY 1, 2"
 
 
 @query(_HOPS)
 def g4_k_hop(spark, d):
-    return G.k_hop(edges(spark, d), read(spark, d, "part").where("p_partkey < 3").select(F.col("p_partkey").alias("node")), 2)
+    """Asked for the parts whose key is divisible by 50, over all edges."""
+    return G.k_hop(edges(spark, d), read(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node")), 2)
 
 
 def _customer_chain(spark, d):
@@ -324,7 +400,7 @@ def g5_shortest_path_lengths(spark, d):
     return G.shortest_paths(_customer_chain(spark, d), p).select("pair_id", "distance").distinct()
 
 
-@query()
+@query("SELECT o_custkey AS pair_id, max(i) OVER (PARTITION BY o_custkey) AS distance, i AS step, o_orderkey::VARCHAR AS node FROM (SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS i FROM orders)")
 def g5_shortest_paths(spark, d):
     p = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("pair_id")).agg(F.min("o_orderkey").alias("src"), F.max("o_orderkey").alias("dst"))
     return G.shortest_paths(_customer_chain(spark, d), p)
@@ -341,7 +417,8 @@ def g6_scc(spark, d):
     return G.scc(_rings(spark, d))
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS i, count(*) OVER (PARTITION BY o_custkey)::INTEGER AS n, min(o_orderkey) OVER (PARTITION BY o_custkey) AS c FROM orders WHERE o_custkey % 2 = 0)
+SELECT c::VARCHAR AS cycle_id, i AS step, o_orderkey::VARCHAR AS node FROM o UNION ALL SELECT c::VARCHAR, n, c::VARCHAR FROM o WHERE i = 0""")
 def g6_cycles(spark, d):
     return G.cycles(_rings(spark, d))
 
@@ -376,7 +453,9 @@ def g1_build_graph(spark, d):
 # --- extraction ---
 
 
-@query()
+@query("""SELECT 'src/p' || p_partkey || '.ts' AS path, 'src/p' || p_partkey || '.ts#' || b.name || '@' || b.l || ':' || b.c AS id, b.name, b.kind, b.l AS start_line, b.e AS end_line, CASE WHEN b.name = 'size' THEN 'src/p' || p_partkey || '.ts#Part' || p_partkey || '@4:0' END AS parent_id,
+b.x AS exported, CASE WHEN b.name = 'size' THEN 'private' ELSE 'public' END AS visibility, CASE WHEN b.kind = 'class' THEN 'about ' || p_name END AS documentation
+FROM part, LATERAL (VALUES ('Part' || p_partkey, 'class', 4, 8, 0, true), ('size', 'method', 5, 7, 2, false), ('make' || p_partkey, 'function', 10, 13, 0, true), ('x', 'constant', 11, 11, 2, false)) AS b(name, kind, l, e, c, x)""")
 def e1_extract_symbols(spark, d):
     return E.extract_symbols(_sources(spark, d)).select("id", "path", "name", "kind", "start_line", "end_line", "parent_id", "exported", "visibility", "documentation")
 
@@ -397,7 +476,8 @@ def e2_extract_imports(spark, d):
     return E.extract_imports(_sources(spark, d))
 
 
-@query()
+@query("""SELECT 'src/p' || p_partkey || '.ts:' || b.l || ':' || b.n AS ref_id, 'src/p' || p_partkey || '.ts' AS path, b.name, b.kind, b.l AS line
+FROM part, LATERAL (VALUES ('Part' || p_partkey, 'construct', 11, 2), ('x', 'read', 12, 0), ('size', 'call', 12, 1)) AS b(name, kind, l, n)""")
 def e3_extract_references(spark, d):
     src = _sources(spark, d)
     return E.extract_references(src, E.extract_symbols(src))
@@ -408,7 +488,7 @@ def e4_extract_links(spark, d):
     return E.extract_links(read(spark, d, "pages"))
 
 
-@query()
+@query(f"WITH {FILES} SELECT path, CASE WHEN language = 'typescript' THEN NULL WHEN language = 'python' THEN 'ValueError: cannot read' ELSE 'unsupported language: ' || coalesce(language, 'None') END AS reason FROM files")
 def e5_extract_with(spark, d):
     def first_line(path, content):
         return [{"path": path, "line": content.split("\n", 1)[0][:80]}]
@@ -420,7 +500,8 @@ def e5_extract_with(spark, d):
     return rows.select("path", F.lit(None).cast("string").alias("reason")).unionByName(skipped)
 
 
-@query()
+@query("""WITH i AS (SELECT conv_id || '/' || turn AS id, turn, 'summary:turn:' || sha256(text) AS key, text FROM conversations), c AS (SELECT DISTINCT key FROM i WHERE turn = 0)
+SELECT id, key, CASE WHEN c.key IS NOT NULL THEN 'kept' ELSE length(text) || ' characters' END AS value, c.key IS NOT NULL AS cache_hit, NULL::VARCHAR AS error FROM i LEFT JOIN c USING (key)""")
 def e8_enrich_with_cache(spark, d):
     c = read(spark, d, "conversations")
     items = c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), E.cache_key(F.lit("turn"), F.col("text")).alias("key"), F.col("text").alias("content"))
@@ -438,7 +519,7 @@ def w8_brace_depth(spark, d):
 # --- policy ---
 
 
-def _packages(spark, d):
+def _policy_packages(spark, d):
     c = read(spark, d, "customer")
     i = F.col("c_custkey")
     return c.select(
@@ -457,13 +538,13 @@ _PACKAGES = """pk AS (SELECT c_custkey AS i, CASE WHEN c_custkey % 13 = 0 THEN c
 
 
 @query(f"WITH {_PACKAGES} SELECT tool_name, risk, status, status = 'unverified' AS override_required, CASE WHEN bad THEN 'unsafe tool name' END AS error FROM a")
-def a17_assess_packages(spark, d):
-    return L.assess_packages(_packages(spark, d)).select("tool_name", "risk", "status", "override_required", "error")
+def a17_assess_policy_packages(spark, d):
+    return L.assess_packages(_policy_packages(spark, d)).select("tool_name", "risk", "status", "override_required", "error")
 
 
 @query(f"WITH {_PACKAGES} SELECT tool_name, status <> 'blocked' AND (status <> 'unverified' OR i % 10 = 1) AS allowed, status = 'unverified' AS requires_override, i % 10 = 1 AS override_applied FROM a WHERE NOT bad")
 def a18_install_decision(spark, d):
-    p = _packages(spark, d)
+    p = _policy_packages(spark, d)
     o = p.where("key % 5 = 1").select("tool_name", F.lit(True).alias("granted"), F.when(F.col("key") % 10 == 1, "seen").otherwise(" \t").alias("note"))
     return L.install_decision(L.assess_packages(p), o)
 
@@ -546,8 +627,8 @@ def d5_usage_windows(spark, d):
 
 @query("SELECT event_id, event_type FROM events")
 def d6_dedup(spark, d):
-    e = _events(spark, d)
-    return e.unionByName(e).dropDuplicates(["event_id"]).select("event_id", F.col("kind").alias("event_type"))
+    e = _events(spark, d)  # every event is delivered twice
+    return ST.stream_dedup(e.unionByName(e)).select("event_id", F.col("kind").alias("event_type"))
 
 
 @query("SELECT event_id AS key, ts AS expires_at FROM events WHERE ts > TIMESTAMP '2024-01-10' OR event_id % 5 = 0")

@@ -29,7 +29,9 @@ def stream_usage_windows(usage: DataFrame, size: str = "1 hour", slide: str | No
 
 
 def stream_dedup(events: DataFrame, key: str = "event_id", time: str = "ts", late: str = "1 day") -> DataFrame:
-    """A key delivered again within the watermark is ignored."""
+    """A key delivered again within the watermark is ignored; in a batch, one delivered again at all."""
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
