@@ -108,7 +108,7 @@ WITH r AS (
       '(?i)<(?:/(?:p|div|li|h[1-6]|title|article|nav|tr|table|section)|br/?)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS bare
   FROM r
 ), e AS (
-  SELECT *, {_NAMES} AS n, regexp_extract_all(bare, '{warc.REFERENCE}') AS refs, string_split_regex(bare, '{warc.REFERENCE}') AS parts FROM i
+  SELECT *, {_NAMES} AS n, regexp_extract_all(bare, '&{warc.REFERENCE}') AS refs, string_split_regex(bare, '&{warc.REFERENCE}') AS parts FROM i
 ), d AS (
   SELECT * EXCLUDE (n, refs, parts), replace(array_to_string(list_transform(list_zip(parts, list_transform(refs, lambda r: {_CHARACTER})), lambda x: x[1] || coalesce(x[2], '')), ''), chr(160), ' ') AS text FROM e
 ), c AS (

@@ -14,10 +14,10 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from . import common as C
 
 CRLF = "\r\n"
-#: What stands for a character in HTML: by number, by hexadecimal number, or by name.
-REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
-#: Name -> character: the names of HTML 4 and &apos;. Other names stay as they are written.
-ENTITIES = {n: chr(c) for n, c in html.entities.name2codepoint.items()} | {"apos": "'"}
+#: What stands for a character in HTML, behind an ampersand: by number, by hexadecimal number, or by name.
+REFERENCE = r"(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+#: Name -> character: &apos; and the names of HTML 4, the commonest first. Other names stay as they are written.
+ENTITIES = {"amp": "&", "quot": '"', "lt": "<", "gt": ">", "nbsp": "\u00a0", "apos": "'"} | {n: chr(c) for n, c in html.entities.name2codepoint.items()}
 
 
 def record_uuid(*parts: Column) -> Column:
@@ -35,17 +35,21 @@ def decoded(text: Column, names: dict[str, str] = ENTITIES) -> Column:
     """text with its character references resolved, each once; numbers that are no character become U+FFFD."""
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
-    def character(ref: Column) -> Column:
-        body = F.substring_index(F.substring(ref, 2, 40), ";", 1)
+    def resolved(piece: Column) -> Column:
+        """piece: what follows an ampersand, up to the next one."""
+        body = F.substring_index(piece, ";", 1)
         number = F.when(body.startswith("#x") | body.startswith("#X"), F.conv(F.substring(body, 3, 8), 16, 10).cast("long")).when(body.startswith("#"), F.substring(body, 2, 8).cast("long"))
         good = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-        return F.when(number.isNotNull(), char).otherwise(F.coalesce(F.try_element_at(known, body), ref))
+        char = F.when(body.startswith("#"), F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")).otherwise(F.try_element_at(known, body))
+        put = F.concat(char, F.substr(piece, F.length(body) + 2))
+        return F.when(piece.rlike("^" + REFERENCE), F.coalesce(put, F.concat(F.lit("&"), piece))).otherwise(F.concat(F.lit("&"), piece))
 
-    marks = F.regexp_extract_all(text, F.lit(REFERENCE), 0)
-    parts = F.arrays_zip(F.split(text, REFERENCE, -1).alias("text"), F.transform(marks, character).alias("char"))
-    whole = F.array_join(F.transform(parts, lambda p: F.concat(p["text"], F.coalesce(p["char"], F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    def whole(t: Column) -> Column:
+        pieces = F.split(t, "&", -1)
+        return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), resolved), ""))
+
+    # text is a variable inside the lambda and so worked out once
+    return F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("&")), whole(t)).otherwise(t))[0]
 
 
 def plain_text(page: Column) -> Column:
