@@ -77,6 +77,15 @@ NEGATIVE_MARKERS = "vulnerab issue problem bug fail error risk incorrect broken
 POSITIVE_MARKERS = "secure correct works pass good clean safe proper resolved fixed handled mitigated".split()
 NEGATION = r"\b(?:not|no|never|hardly|no longer|isn'?t|doesn'?t|won'?t)\b"
 
+# --- fixed values: patterns of versions, clauses of version ranges, sentence ends, topics, package names and commands ---
+VERSION = r"v?(\d+)(?:\.(\d+))?(?:\.(\d+))?"
+RANGE_CLAUSE = r"(>=|<=|>|<|=|\^|~)?\s*(?:v)?(\d+)(?:\.(\d+))?(?:\.(\d+))?"
+SENTENCE_END = r"(?<=[.!?])\s+|\n+"
+QUOTED_TOPIC = "[`\"']([^`\"'\\n]{1,60})[`\"']"
+NAMED_TOPIC = r"\b[A-Z][A-Za-z0-9_]{1,60}\b"
+SAFE_NAME = r"^[a-zA-Z0-9._@/+:-]+$"
+DANGEROUS = r"[\r\n;]"
+
 # --- fixed values: prompts ---
 FILE_PROMPT = """Write a concise summary of the source code in {path}.
 

@@ -67,11 +67,16 @@ def latency_ema(events: DataFrame, key: str, value: str, order: list[str]) -> Da
 
 
 def latency_ema_unrounded(events: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """The last value of the same average without rounding, in closed form: weights 0.3 * 0.7^k, the first 0.7^(n-1)."""
-    w = Window.partitionBy(key)
-    r = events.where(F.col(value).isNotNull()).withColumn("back", F.count("*").over(w) - F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
-    weight = F.pow(F.lit(0.7), F.col("back")) * F.when(F.col("back") == F.col("n") - 1, 1.0).otherwise(0.3)
-    return r.groupBy(key).agg(F.sum(weight * F.col(value)).alias("ema"))
+    """The last value of the same average without rounding, in closed form: weights 0.3 * 0.7^k, the first 0.7^(n-1).
+
+    Only a key's first event and its last 2000 count: 0.7^2000 is below the least positive double.
+    """
+    known = events.where(F.col(value).isNotNull())
+    place = F.struct(*order)
+    first = known.groupBy(key).agg(F.min_by(value, place).alias("first"), F.count("*").alias("n"))
+    last = known.withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])) - 1).where("back < 2000")
+    sums = last.join(first, key).groupBy(key).agg(F.sum(F.when(F.col("back") < F.col("n") - 1, F.pow(F.lit(0.7), F.col("back")) * 0.3 * F.col(value))).alias("recent"), F.max(F.pow(F.lit(0.7), F.col("n") - 1) * F.col("first")).alias("oldest"))
+    return sums.select(key, (F.coalesce("recent", F.lit(0.0)) + F.col("oldest")).alias("ema"))
 
 
 def savings_report(contexts: DataFrame, corpora: DataFrame) -> DataFrame:

@@ -32,6 +32,21 @@ def link_definitions(imports: DataFrame, exports: DataFrame) -> DataFrame:
     return named.select("import_id", "symbol_id").unionByName(default.select("import_id", "symbol_id"))
 
 
+#: Lines of a file in a block; a reference meets only the spans that reach into its block.
+LINE_BLOCK = 256
+
+
+def spans_around(refs: DataFrame, spans: DataFrame) -> DataFrame:
+    """refs (ref_id, path, line) and spans (path, lo, hi, ...) -> ref_id and the columns of each span that holds the line.
+
+    Spans are dealt to the blocks of lines that they reach into, so a long file's references are not tried against all of
+    its spans, and no file is one group.
+    """
+    block = lambda c: F.floor(F.col(c) / LINE_BLOCK)
+    dealt = spans.withColumn("block", F.explode(F.sequence(block("lo"), block("hi"))))
+    return refs.select("ref_id", "path", "line", block("line").alias("block")).join(dealt, ["path", "block"]).where("line between lo and hi").drop("block", "path", "line")
+
+
 def resolve_references(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """refs (ref_id, path, name, line), symbols (id, path, name, kind, parent_id, start_line, end_line, start_col) -> ref_id, target.
 
@@ -40,7 +55,7 @@ def resolve_references(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     order = F.struct("start_line", "start_col", "id")
     boxes = symbols.where(F.col("kind").isin("class", "interface", "enum")).select("path", F.col("id").alias("box"), F.col("start_line").alias("lo"), F.col("end_line").alias("hi"), order.alias("o"))
-    inside = refs.join(boxes, "path").where("line between lo and hi").groupBy("ref_id").agg(F.min_by("box", "o").alias("parent_id"))
+    inside = spans_around(refs, boxes).groupBy("ref_id").agg(F.min_by("box", "o").alias("parent_id"))
     members = symbols.where("parent_id is not null").groupBy("parent_id", "name").agg(F.min_by("id", order).alias("member"))
     tops = symbols.where("parent_id is null").groupBy("path", "name").agg(F.min_by("id", order).alias("top"))
     j = refs.join(inside, "ref_id", "left").join(members, ["parent_id", "name"], "left").join(tops, ["path", "name"], "left")
@@ -78,7 +93,7 @@ def build_graph(symbols: DataFrame, refs: DataFrame, imports: DataFrame, files:
     links = targets.select(file("from_path").alias("src"), file("target").alias("dst"), F.lit("imports").alias("kind"))
     resolved = refs.join(resolve_references(refs, symbols), "ref_id")
     spans = symbols.select("path", F.col("id").alias("owner"), F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
-    owner = refs.join(spans, "path").where("line between lo and hi").groupBy("ref_id").agg(F.min_by("owner", F.struct(F.col("hi") - F.col("lo"), "owner")).alias("owner"))
+    owner = spans_around(refs, spans).groupBy("ref_id").agg(F.min_by("owner", F.struct(F.col("hi") - F.col("lo"), "owner")).alias("owner"))
     used = resolved.join(owner, "ref_id", "left").select(F.coalesce(sym("owner"), file("path")).alias("src"), sym("target").alias("dst"), F.col("kind"))
     edges = contains.unionByName(exports).unionByName(links).unionByName(used).distinct()
     return nodes.dropDuplicates(["id"]), edges

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed as X
 
+#: Bands that the values of a key are cut into to find a place among them.
+BANDS_OF_VALUES = 10_000
+
 #: Provenance as a number, so that the worst is the greatest.
 ACTUAL, ESTIMATED, UNKNOWN = 0, 1, 2
 
@@ -44,8 +47,8 @@ def normalize_usage(events: DataFrame) -> DataFrame:
 
 
 def price_usage(usage: DataFrame, price_table: DataFrame) -> DataFrame:
-    """usage with currency and prices; null where a model has no price. prices is a dimension, broadcast."""
-    return usage.join(F.broadcast(price_table), ["provider", "model"], "left")
+    """usage with currency and prices; null where a model has no price. Spark broadcasts prices where they are small."""
+    return usage.join(price_table, ["provider", "model"], "left")
 
 
 def compute_cost(priced: DataFrame) -> DataFrame:
@@ -86,12 +89,21 @@ def usage_statistics(usage: DataFrame) -> DataFrame:
 def latency_stats(events: DataFrame, key: str, value: str) -> DataFrame:
     """samples, avg (rounded half up), max and p95 = the sorted value number floor((n-1) * 0.95), from 0.
 
-    Counts by distinct value come first, so no task sorts all values of a key; the running count is over them.
+    Counts by distinct value come first. A key's values are cut into bands of equal width between its least and greatest; the
+    band that holds the wanted place is found from the bands' counts, and only that band's values are put in order.
     """
     hist = events.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(key).orderBy(value)
-    run = hist.withColumn("cum", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
-    return run.groupBy(key).agg(F.max("n").alias("samples"), F.floor(F.sum(F.col(value) * F.col("c")) / F.max("n") + 0.5).cast("long").alias("avg"), F.max(value).alias("max"), F.min(F.when(F.col("cum") > F.floor((F.col("n") - 1) * 0.95), F.col(value))).alias("p95"))
+    facts = hist.groupBy(key).agg(F.sum("c").alias("samples"), F.floor(F.sum(F.col(value) * F.col("c")) / F.sum("c") + 0.5).cast("long").alias("avg"), F.min(value).alias("least"), F.max(value).alias("max"))
+    width = (F.col("max") - F.col("least")) / BANDS_OF_VALUES
+    band = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("least")) / width), F.lit(BANDS_OF_VALUES - 1))).otherwise(F.lit(0).cast("long"))
+    facts = facts.withColumn("__k", F.col(key)).drop(key)
+    placed = hist.join(facts, F.col(key).eqNullSafe(F.col("__k"))).select(key, value, "c", "samples", "avg", "max", F.floor((F.col("samples") - 1) * 0.95).alias("at"), band.alias("band"))
+    before = Window.partitionBy(key).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = placed.groupBy(key, "band").agg(F.sum("c").alias("n"), F.max("at").alias("at"))
+    wanted = bands.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before <= at and at < before + n").select(F.col(key).alias("__k"), F.col("band").alias("__b"), "before")
+    inside = placed.join(wanted, F.col(key).eqNullSafe(F.col("__k")) & (F.col("band") == F.col("__b")))
+    run = inside.withColumn("cum", F.col("before") + F.sum("c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    return run.where("cum > at").groupBy(key).agg(F.max("samples").alias("samples"), F.max("avg").alias("avg"), F.max("max").alias("max"), F.min(value).alias("p95"))
 
 
 def latency_stats_approx(events: DataFrame, key: str, value: str) -> DataFrame:
@@ -106,7 +118,7 @@ def scope_consumption(usage: DataFrame, scopes: DataFrame) -> DataFrame:
     kinds = {k: c for k, c in SCOPES.items() if c in usage.columns}
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("scope_kind"), F.col(c).cast("string").alias("scope_value")) for k, c in kinds.items()]))
     each = usage.select("total_tokens", "cost", pairs.alias("s")).select("total_tokens", "cost", "s.*")
-    wanted = each.join(F.broadcast(scopes.select("scope_kind", "scope_value").distinct()), ["scope_kind", "scope_value"], "left_semi")
+    wanted = each.join(scopes.select("scope_kind", "scope_value").distinct(), ["scope_kind", "scope_value"], "left_semi")
     return wanted.groupBy("scope_kind", "scope_value").agg(F.sum("total_tokens").alias("tokens"), round6(F.sum("cost")).alias("cost"))
 
 
@@ -125,7 +137,7 @@ def check_limits(usage: DataFrame, limits: DataFrame, requests: DataFrame) -> Da
     Denied when what was consumed and is projected would exceed a limit; reaching it is allowed, and no limit allows all.
     """
     status = budget_status(usage, limits)
-    j = requests.join(F.broadcast(status), ["scope_kind", "scope_value"], "left")
+    j = requests.join(status, ["scope_kind", "scope_value"], "left")
     over_t = F.coalesce(F.col("tokens") + F.col("projected_tokens") > F.col("token_limit"), F.lit(False))
     over_c = F.coalesce(F.col("cost") + F.col("projected_cost") > F.col("cost_limit"), F.lit(False))
     return j.select("request_id", (~(over_t | over_c)).alias("allowed"), F.when(over_t, "tokens").when(over_c, "cost").alias("reason"))

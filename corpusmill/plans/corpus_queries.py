@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,9 +14,13 @@ from ..operators import filters as P
 from ..operators import scan as C
 from ..operators import snapshots as N
 from ..operators import usage as U
-from .tables import ACTIVITY, FILES, SNAPSHOTS, SYMBOLS, USAGE, activity, files, raw_usage, read, snapshots, symbols
+from ..operators.stored import shared_folder
+from ..sources import corpus
+from .tables import ACTIVITY, EDGES, FILES, SNAPSHOTS, SYMBOLS, USAGE, activity, edges, files, raw_usage, read, snapshots, symbols
 
 Q, SQL = {}, {}
+_COUNTERS = ", ".join(f"count(*) FILTER (kind = '{k}') AS {c}" for k, c in A.COUNTERS.items())
+_SAVED = "sum(greatest(0, baseline_tokens - used_tokens))::BIGINT"
 
 
 def query(sql: str | None = None):
@@ -224,6 +229,77 @@ def path_of():
     return path_expr().alias("path")
 
 
+# --- sources and sinks: what is written is read back ---
+
+
+def _scratch(spark) -> str:
+    return f"{shared_folder(spark)}/cm-{uuid.uuid4().hex}"
+
+
+def _tree(spark, d) -> str:
+    """The documents as text files in twenty folders."""
+    root = _scratch(spark)
+    read(spark, d, "documents").select(F.concat(F.lit("d"), (F.col("doc_id") % 20).cast("string")).alias("dir"), "text").write.partitionBy("dir").text(root)
+    return root
+
+
+@query("SELECT 'dir=d' || (doc_id % 20) AS dir, 'txt' AS extension, NULL::VARCHAR AS language, sum(strlen(text) + 1)::BIGINT AS size_bytes FROM documents GROUP BY 1")
+def s1_scan_corpus(spark, d):
+    found = corpus.scan_corpus(spark, _tree(spark, d))
+    return found.groupBy(F.regexp_extract("path", "^([^/]*)/", 1).alias("dir"), "extension", "language").agg(F.sum("size_bytes").alias("size_bytes"))
+
+
+@query("SELECT 'dir=d' || (doc_id % 20) AS dir, sum(length(text) + 1)::BIGINT AS characters, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY 1")
+def s2_read_corpus(spark, d):
+    found = corpus.read_corpus(spark, _tree(spark, d))
+    return found.groupBy(F.regexp_extract("path", "^([^/]*)/", 1).alias("dir")).agg(F.sum(F.length("content")).alias("characters"), F.sum(F.size(F.split("content", "\n", -1)) - 1).alias("lines"))
+
+
+@query(f"WITH {SNAPSHOTS} SELECT path, hash FROM cur")
+def s4_hash_snapshot(spark, d):
+    root = _scratch(spark)
+    corpus.write_hash_snapshot(snapshots(spark, d)[1], root)
+    return corpus.read_hash_snapshot(spark, root)
+
+
+@query(f"WITH {SYMBOLS} SELECT s.path, s.name, s.start_line, o_orderstatus = 'O' AS changed FROM symbols s JOIN orders ON s.path = 'src/o' || o_orderkey || '.ts' WHERE o_orderstatus <> 'P'")
+def s5_s8_stored_context(spark, d):
+    """A version of everything; then changes: files of status O are written again, files of status P lose their symbols."""
+    root, o = _scratch(spark), read(spark, d, "orders")
+    f = o.select(F.concat(F.lit("src/o"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("path"), "o_orderstatus")
+    sym = symbols(spark, d).select("path", "name", "start_line", "start_col").withColumn("changed", F.lit(False))
+    corpus.save_context(spark, {"files": f, "symbols": sym}, root)
+    again = sym.join(f.where("o_orderstatus = 'O'").select("path"), "path", "left_semi").withColumn("changed", F.lit(True))
+    corpus.save_context(spark, {"files": f.where("o_orderstatus in ('O', 'P')"), "symbols": again}, root, changes=True)
+    return corpus.ordered_symbols(corpus.load_context(spark, root)["symbols"]).select("path", "name", "start_line", "changed")
+
+
+@query(f"WITH {ACTIVITY} SELECT ts::DATE AS date, {_COUNTERS}, sum(used_tokens)::BIGINT AS tokens_used, sum(baseline_tokens)::BIGINT AS baseline_tokens, {_SAVED} AS saved_tokens FROM activity GROUP BY 1 ORDER BY 1 DESC LIMIT 90")
+def s9_export_daily_csv(spark, d):
+    root = _scratch(spark)
+    corpus.export_daily_csv(A.daily_activity(activity(spark, d)), root)
+    return spark.read.option("header", True).schema("date date, " + ", ".join(f"{c} long" for c in corpus.DAILY_COLUMNS[1:])).csv(root)
+
+
+@query(f"WITH {EDGES} SELECT 'edge' AS record_type, kind, count(*) AS n, count(DISTINCT src) AS ids FROM edges GROUP BY kind UNION ALL SELECT 'node', p_brand, count(*), count(DISTINCT p_partkey) FROM part GROUP BY p_brand")
+def s10_export_graph_json(spark, d):
+    root = _scratch(spark)
+    corpus.export_graph_json(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind")), edges(spark, d), root)
+    back = spark.read.schema("record_type string, kind string, id long, src long, dst long, version int").json(root).where("version = 1")
+    return back.groupBy("record_type", "kind").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("id", "src")).alias("ids"))
+
+
+@query("SELECT event_id::VARCHAR AS id, event_type AS provider, ts AS occurred_at, event_id % 100 AS input_tokens, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def s12_usage_source(spark, d):
+    """Events as JSON lines, read with the source's schema and appended to a table by day."""
+    raw, kept = _scratch(spark), _scratch(spark)
+    e = read(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("provider"), F.col("ts").cast("timestamp").alias("occurred_at"), (F.col("event_id") % 100).alias("input_tokens"))
+    e.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(raw)
+    corpus.append_usage(corpus.usage_source(spark, raw), kept)
+    back = spark.read.parquet(kept)
+    return back.select("id", "provider", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "input_tokens", F.col("day").cast("string").alias("day"))
+
+
 # --- usage ---
 
 
@@ -316,9 +392,6 @@ def e10_extract_usage(spark, d):
 
 # --- activity ---
 
-_COUNTERS = ", ".join(f"count(*) FILTER (kind = '{k}') AS {c}" for k, c in A.COUNTERS.items())
-_SAVED = "sum(greatest(0, baseline_tokens - used_tokens))::BIGINT"
-
 
 @query(f"WITH {ACTIVITY} SELECT ts::DATE AS date, {_COUNTERS}, sum(used_tokens)::BIGINT AS tokens_used, sum(baseline_tokens)::BIGINT AS baseline_tokens, {_SAVED} AS saved_tokens FROM activity GROUP BY 1 ORDER BY 1 DESC LIMIT 90")
 def a16_daily_activity(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ..operators import policy as L
 from ..operators import scan as C
 from ..operators import search as R
 from ..operators import snapshots as N
+from ..operators.stored import shared_folder
+from ..sources import corpus
 from ..streaming import streams as ST
 from .scalar_queries import _CONTENT_SQL, _DENIED_SQL, _NEG, _POS, _STATEMENT_SQL, TERMS
 from .tables import EDGES, FILES, IMPORTS, REFS, SYMBOLS, edges, files, imports, order_files, read, refs, snapshots, symbols
@@ -538,7 +541,7 @@ _PACKAGES = """pk AS (SELECT c_custkey AS i, CASE WHEN c_custkey % 13 = 0 THEN c
 
 
 @query(f"WITH {_PACKAGES} SELECT tool_name, risk, status, status = 'unverified' AS override_required, CASE WHEN bad THEN 'unsafe tool name' END AS error FROM a")
-def a17_assess_policy_packages(spark, d):
+def a17_assess_packages(spark, d):
     return L.assess_packages(_policy_packages(spark, d)).select("tool_name", "risk", "status", "override_required", "error")
 
 
@@ -587,7 +590,7 @@ def a21_distinct_categories(spark, d):
 
 
 @query(
-    f"WITH s AS (SELECT o_custkey AS group_id, 'r' || (o.o_orderkey % 8) AS role_id, x.s, regexp_matches(lower(x.s), '\\b(?:not|no|never|hardly|no longer|isn''?t|doesn''?t|won''?t)\\b') AS neg, regexp_matches(lower(x.s), '{_NEG}') AS bad, regexp_matches(lower(x.s), '{_POS}') AS good FROM orders o JOIN ({_STATEMENT_SQL}) x USING (o_orderkey)"
+    f"WITH s AS (SELECT o_custkey AS group_id, 'r' || (o.o_orderkey % 8) AS role_id, x.s, regexp_matches(lower(x.s), '\\b(?:not|no|never|hardly|no longer|isn''?t|doesn''?t|won''?t)\\b') AS neg, regexp_matches(lower(x.s), '{_NEG}') AS bad, regexp_matches(lower(x.s), '{_POS}') AS good FROM orders o JOIN ({_STATEMENT_SQL}) x USING (o_orderkey) WHERE o_orderkey % 5 <> 0"
     "), p AS (SELECT *, CASE WHEN neg AND bad THEN 'positive' WHEN bad AND NOT good THEN 'negative' WHEN good AND NOT bad THEN 'positive' ELSE 'neutral' END AS polarity, "
     "unnest(list_distinct(regexp_extract_all(s, '`([^`]{1,60})`', 1) || regexp_extract_all(s, '\\b[A-Z][A-Za-z0-9_]{1,60}\\b'))) AS topic FROM s) "
     "SELECT group_id, topic, count(*) FILTER (polarity = 'positive') AS positive, count(*) FILTER (polarity = 'negative') AS negative, list_sort(list(DISTINCT role_id)) AS roles FROM p WHERE polarity <> 'neutral' GROUP BY 1, 2 "
@@ -596,12 +599,13 @@ def a21_distinct_categories(spark, d):
 def a20_detect_conflicts(spark, d):
     from .scalar_queries import _statements
 
-    s = _statements(spark, d)
-    reports = s.select(F.col("o_custkey").alias("group_id"), F.concat(F.lit("r"), (F.col("o_orderkey") % 8).cast("string")).alias("role_id"), F.col("o_orderkey").alias("pos"), F.col("s").alias("sentence"))
-    return L.detect_conflicts(reports).select("group_id", "topic", "positive", "negative", "roles")
+    s, k = _statements(spark, d), F.col("o_orderkey")
+    status = F.when(k % 5 == 0, "failed").when(k % 5 == 1, "stopped").otherwise("succeeded")
+    reports = s.select(F.col("o_custkey").alias("group_id"), F.concat(F.lit("r"), (k % 8).cast("string")).alias("role_id"), status.alias("status"), F.concat("s", F.lit("!\nThe end. ")).alias("text"))
+    return L.detect_conflicts(L.statements(reports)).select("group_id", "topic", "positive", "negative", "roles")
 
 
-# --- streams, run as batch twins here; tests run them as streams ---
+# --- streams: batch twins, and below them those that keep state, run as streams until all is read ---
 
 
 def _events(spark, d):
@@ -640,3 +644,44 @@ def d10_ttl_filter(spark, d):
 @query(f"WITH {FILES} SELECT kind, count(*) AS n FROM (SELECT 'file' AS kind FROM files UNION ALL SELECT 'symbol' FROM part) WHERE kind = 'symbol' GROUP BY 1")
 def p7_filter_kinds(spark, d):
     return P.filter_kinds(_entities(spark, d), ["symbol"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _streamed(spark, df, transform, mode="append"):
+    """df written to the shared folder, read as a stream through transform in one micro-batch, and what comes out read back.
+
+    Not availableNow: a query whose state has a time to live would run empty micro-batches for ever."""
+    root = f"{shared_folder(spark)}/cm-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/in")
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, rocks)
+    try:
+        out = transform(spark.readStream.schema(df.schema).parquet(f"{root}/in"))
+        out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(once=True).start(f"{root}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@query("""WITH RECURSIVE r AS (SELECT event_type AS kind, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS ord, value FROM events
+), e AS (SELECT kind, event_id, ord, value AS ema FROM r WHERE ord = 1
+UNION ALL SELECT r.kind, r.event_id, r.ord, CASE WHEN e.ema = 0 THEN r.value ELSE floor(0.7::DOUBLE * e.ema + 0.3::DOUBLE * r.value + 0.5::DOUBLE) END FROM e JOIN r ON r.kind = e.kind AND r.ord = e.ord + 1) SELECT kind, event_id, ema FROM e""")
+def d7_stream_latency_ema(spark, d):
+    return _streamed(spark, _events(spark, d).select("kind", "event_id", "ts", "value"), ST.stream_latency_ema)
+
+
+@query("SELECT user_id::VARCHAR AS scope, 3000::DOUBLE AS token_limit FROM events GROUP BY user_id HAVING sum(floor(value)) > 3000")
+def d8_stream_limit_alerts(spark, d):
+    usage = _events(spark, d).select(F.col("user_id").cast("string").alias("scope"), "tokens")
+    limits = usage.select("scope").distinct().withColumn("token_limit", F.lit(3000.0))
+    return _streamed(spark, usage, lambda s: ST.stream_limit_alerts(s, limits)).select("scope", "token_limit")
+
+
+@query("SELECT 'src/p' || p_partkey || '.ts' AS path, b.name, b.kind FROM part, LATERAL (VALUES ('Part' || p_partkey, 'class'), ('size', 'method'), ('make' || p_partkey, 'function'), ('x', 'constant')) AS b(name, kind)")
+def d3_stream_incremental_index(spark, d):
+    """Every file arrives twice; the stored context is what one indexing of all gives."""
+    root = f"{shared_folder(spark)}/cm-{uuid.uuid4().hex}"
+    src = _sources(spark, d).select("path", "content")
+    src.unionByName(src).write.parquet(f"{root}/in")
+    ST.stream_incremental_index(spark.readStream.schema(src.schema).parquet(f"{root}/in"), E.extract_symbols, f"{root}/store", f"{root}/state").awaitTermination()
+    return corpus.load_context(spark, f"{root}/store")["symbols"].select("path", "name", "kind")
