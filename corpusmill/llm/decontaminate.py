@@ -310,7 +310,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0
     made = []
     for block in _blocks(benchmark, block_items, block_words):
         index = spark.sparkContext.broadcast(Index(block, edit_share, recall))
-        made.append(src.mapInArrow(partial(_search, index=index), out.schema))
+        made.append(C.mapped(src, partial(_search, index=index), out.schema))
     for m in made:
         out = out.unionByName(m)
     return out.select("doc_id", "item_id", F.greatest(F.lit(0), F.col("end_word") - F.col("item_words")).alias("start_word"), "end_word", "item_words", "distance")

@@ -100,7 +100,7 @@ def train(trusted: DataFrame) -> DataFrame:
     value is log p of the k-gram, or log gamma of the context. No text gives no rows: every byte then has 1/256.
     """
     C.prepare(trusted.sparkSession)
-    counts = C.table(C.plain(trusted, "text").mapInArrow(_count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")), "grams")
+    counts = C.table(C.mapped(C.plain(trusted, "text"), _count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")), "grams")
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # a lower order counts the different bytes seen before a gram
         levels[k] = C.table(levels[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count("*").alias("c")), "grams")
@@ -200,7 +200,7 @@ def perplexities(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS
         # grams and contexts too short to have those two bytes go to every shard
         rows = model.where(F.col("kind").between(-1, 2) | (own == s)) if shards > 1 else model
         shared = spark.sparkContext.broadcast(Model(rows.toArrow()))
-        before, out = out, C.table(out.mapInArrow(partial(_score, model=shared, shard=s, shards=shards), _SCORES_DDL), "scores")
+        before, out = out, C.table(C.mapped(out, partial(_score, model=shared, shard=s, shards=shards), _SCORES_DDL), "scores")
         shared.destroy()
         C.drop(before)
     return out.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"))

@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     C.prepare(docs.sparkSession)
     docs = C.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = C.table(docs.mapInArrow(_sign, _SIGNED_DDL), "signed")
+    signed = C.table(C.mapped(docs, _sign, _SIGNED_DDL), "signed")
     some = signed.where("f1 is not null")
     classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first(F.struct("s1", "s2", "bands")).alias("sig"))
     classes = C.table(classes.select("f1", "f2", "rep", "n", "sig.*").withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     prints = wanted.select("node", "f1", "f2")
     ids = C.broadcast_if_small(C.table(wanted.select("rep").distinct(), "rep_ids"))  # a null stands for all rows without an id
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = C.table(texts.mapInArrow(_sets, _SETS_DDL).join(C.broadcast_if_small(prints), ["f1", "f2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+    sets = C.table(C.mapped(texts, _sets, _SETS_DDL).join(C.broadcast_if_small(prints), ["f1", "f2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
     # shingles that no other candidate has can be in no link; those of two or three nodes only in a few, all known
     rare = C.table(_rare(sets), "rare")
     facts = reps.join(wanted.select("node"), "node", "left_semi").join(rare.where("b is null").select(F.col("a").alias("node"), "r1", "r3"), "node", "left")

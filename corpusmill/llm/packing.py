@@ -30,58 +30,57 @@ class Ids:
     """Ids of texts, as bytes. ranks: a .tiktoken file; pattern: the pieces' pattern; kind: u2 or u4, little-endian.
 
     vocabulary: the same vocabulary as a json file of tokenizers, which encodes what tiktoken cannot: texts that hold
-    an added token of the json, where added_tokens says that these count as such, and texts on which tiktoken panics
-    (white space of a million characters). A dictionary of words seen before costs more than it saves: most misses are
-    words that occur once.
+    one of added (added tokens of the json that count as such), and texts on which tiktoken panics (white space of a million
+    characters). It is read when the first such text comes. A dictionary of words seen before costs more than it saves: most
+    misses are words that occur once.
     """
 
-    def __init__(self, ranks: str, pattern: str, kind: str, vocabulary: str | None = None, added_tokens: bool = False):
+    def __init__(self, ranks: str, pattern: str, kind: str, vocabulary: str | None = None, added: tuple[str, ...] = ()):
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.code = {"<u2": "H", "<u4": "I"}[kind]
-        self.added: list[str] = []
-        self.slow = None
-        if vocabulary:
-            from tokenizers import Tokenizer
-
-            self.slow = Tokenizer.from_file(vocabulary)
-            self.slow.encode_special_tokens = not added_tokens
-            self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()] if added_tokens else []
+        self.vocabulary, self.added, self.slow = vocabulary, added, None
 
     def of(self, text: str) -> bytes:
         if not any(t in text for t in self.added):
             try:
                 return array(self.code, self.encode(text)).tobytes()
             except BaseException as e:  # pyo3's PanicException is no Exception and cannot be imported
-                if type(e).__name__ != "PanicException" or self.slow is None:
+                if type(e).__name__ != "PanicException" or self.vocabulary is None:
                     raise
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.vocabulary)
+            self.slow.encode_special_tokens = not self.added
         return array(self.code, self.slow.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-def id_kind(ranks: str, vocabulary: str | None) -> str:
+def added_tokens_of(vocabulary: str) -> dict[int, str]:
+    """The added tokens of a json file of tokenizers, by id."""
+    from tokenizers import Tokenizer
+
+    return {i: t.content for i, t in Tokenizer.from_file(vocabulary).get_added_tokens_decoder().items()}
+
+
+def id_kind(ranks: str, added: dict[int, str]) -> str:
     """The narrowest of u2 and u4 that holds every id of the vocabulary."""
     with open(ranks, "rb") as f:
         most = max((int(line.split()[1]) for line in f), default=0)
-    if vocabulary:
-        from tokenizers import Tokenizer
-
-        most = max([most, *Tokenizer.from_file(vocabulary).get_added_tokens_decoder()])
-    return "<u2" if most < 1 << 16 else "<u4"
+    return "<u2" if max([most, *added]) < 1 << 16 else "<u4"
 
 
 _IDS = pa.schema([("row", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("ids", pa.binary()), ("n", pa.int64())])
 _IDS_DDL = "row long, part long, doc_id long, source string, ids binary, n long"
-_kept: dict[tuple, Ids] = {}
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str, kind: str, vocabulary: str | None, added_tokens: bool) -> Iterator[pa.RecordBatch]:
+def _tokenise(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str, kind: str, vocabulary: str | None, added: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    key = (ranks, pattern, kind, vocabulary, added_tokens)
-    ids = _kept.get(key) or _kept.setdefault(key, Ids(*key))
+    ids = Ids(ranks, pattern, kind, vocabulary, added)  # made in a tenth of a second, and gone with the task
     part, at, end = TaskContext.get().partitionId(), 0, np.array([END_ID], kind).tobytes()
     size = len(end)
     for b in batches:
@@ -138,9 +137,10 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
         ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     if added_tokens and not vocabulary:
         raise ValueError("added_tokens needs the vocabulary's json file")
-    kind = id_kind(ranks, vocabulary)
+    added = added_tokens_of(vocabulary) if vocabulary else {}
+    kind, taken = id_kind(ranks, added), tuple(added.values()) if added_tokens else ()
     src = C.plain(docs, "doc_id", "text", "source").withColumn("doc_id", F.col("doc_id").cast("long"))
-    ids = C.table(src.mapInArrow(partial(_tokenise, ranks=ranks, pattern=pattern, kind=kind, vocabulary=vocabulary, added_tokens=added_tokens), _IDS_DDL), "ids")
+    ids = C.table(C.mapped(src, partial(_tokenise, ranks=ranks, pattern=pattern, kind=kind, vocabulary=vocabulary, added=taken), _IDS_DDL), "ids")
     lengths = ids.select("row", "part", F.coalesce("source", F.lit("")).alias("queue"), "n")
     by_queue = lengths.groupBy("queue").agg(F.sum("n").alias("tokens"))
     total = by_queue.agg(F.sum("tokens")).first()[0] or 0
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
     laid = C.running_total(packets, [], "block", ["round", "queue", "before", "start"], "length", "at")
     runs = laid.groupBy("row").agg(F.collect_list(F.struct("start", "length", "at")).alias("runs"))  # at most n / packet of a document
     both = ids.select("row", "doc_id", "source", "ids", "n").join(runs.hint("shuffle_hash"), "row")
-    return both.select("doc_id", "source", "ids", "n", "runs").mapInArrow(partial(_cut, kind=kind, window=window), _PIECES_DDL)
+    return C.mapped(both.select("doc_id", "source", "ids", "n", "runs"), partial(_cut, kind=kind, window=window), _PIECES_DDL)
 
 
 def _quantum(total: int, window: int, shares: dict[str, float] | None) -> Column:

@@ -202,7 +202,7 @@ def repeated_spans(docs: DataFrame, by_content: bool = False) -> DataFrame:
     the groups of a hash are only counted and joined, so that no task holds a hot one.
     """
     C.prepare(docs.sparkSession)
-    found = C.table(_tagged(docs).mapInArrow(partial(_emit_spans, by_content=by_content), _SPANS_DDL), "spans")
+    found = C.table(C.mapped(_tagged(docs), partial(_emit_spans, by_content=by_content), _SPANS_DDL), "spans")
     firsts = found.where("not again").groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("h", "keeper")
     firsts = C.table(firsts, "firsts")
     later = found.where("not again").join(firsts, "h").where("doc_id > keeper").select("doc_id", "place")
@@ -226,4 +226,4 @@ def drop_repeated_spans(docs: DataFrame, by_content: bool = False) -> DataFrame:
     """
     cut = repeated_spans(docs, by_content)
     changed = _tagged(docs).where("text is not null")
-    return changed.join(cut, ["doc_id", "tag"]).select("doc_id", "text", "cut").mapInArrow(partial(_remove, by_content=by_content), _CLEAN_DDL)
+    return C.mapped(changed.join(cut, ["doc_id", "tag"]).select("doc_id", "text", "cut"), partial(_remove, by_content=by_content), _CLEAN_DDL)

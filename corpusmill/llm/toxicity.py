@@ -33,6 +33,9 @@ SHARD_FEATURES = 400_000
 #: The logistic model is fitted on this many training texts at most (by hash of the id).
 FIT_ROWS = 50_000
 
+#: Words that a Python worker remembers as restored.
+WORDS_HELD = 400_000
+
 EDGE = "\x02"
 
 
@@ -122,13 +125,13 @@ def disguised(word: str) -> bool:
 
 
 class Words(dict):
-    """Written word -> the plain word it stands for ('' for none), remembered up to C.CACHE_WORDS words."""
+    """Written word -> the plain word it stands for ('' for none), remembered up to WORDS_HELD words."""
 
     def __init__(self, model: CharModel | None):
         self.model = model
 
     def __missing__(self, written: str) -> str:
-        if len(self) >= C.CACHE_WORDS:
+        if len(self) >= WORDS_HELD:
             self.clear()
         plain = written.strip(_EDGES)
         if self.model:
@@ -191,7 +194,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column("text").to_pylist():
             if t:
                 held.update(t.lower().split())
-        if len(held) > C.CACHE_WORDS:
+        if len(held) > WORDS_HELD:
             spill()
     spill()
     yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
@@ -199,7 +202,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def trigrams(docs: DataFrame) -> dict[str, int]:
     """The letter trigrams of all words of docs: a table that the alphabets bound."""
-    counted = C.plain(docs, "text").mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = C.mapped(C.plain(docs, "text"), _trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return _fetched(counted)
 
 
@@ -248,7 +251,7 @@ def _weigh(batches: Iterator[pa.RecordBatch], model, weights, last: bool) -> Ite
 
 def _lexicon(toxic: DataFrame, clean: DataFrame, letters, bad: int, good: int) -> DataFrame:
     """(feature, sure): the log ratio of rates, less two standard errors, of every feature where that is over 0.3."""
-    counted = lambda df, n: df.mapInArrow(partial(_feature_counts, model=letters), "feature string, n long").groupBy("feature").agg(F.sum("n").alias(n))
+    counted = lambda df, n: C.mapped(df, partial(_feature_counts, model=letters), "feature string, n long").groupBy("feature").agg(F.sum("n").alias(n))
     both = counted(toxic, "n").where("n >= 3").join(counted(clean, "m").hint("merge"), "feature", "left")
     n, m = F.col("n") + 0.5, F.coalesce("m", F.lit(0)) + 0.5
     sure = F.log((n / bad) / (m / good)) - 2 * F.sqrt(1 / n + 1 / m)
@@ -296,7 +299,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for k in range(shards):
         weights = spark.sparkContext.broadcast(_fetched(lexicon.where(F.pmod(F.xxhash64("feature"), F.lit(shards)) == k)))
         last = k + 1 == shards
-        before, raw = raw, C.table(raw.mapInArrow(partial(_weigh, model=letters, weights=weights, last=last), _RAW_DDL if last else _PART_DDL), "raw")
+        before, raw = raw, C.table(C.mapped(raw, partial(_weigh, model=letters, weights=weights, last=last), _RAW_DDL if last else _PART_DDL), "raw")
         weights.destroy()
         C.drop(before)
     letters.destroy()

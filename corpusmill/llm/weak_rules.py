@@ -164,7 +164,7 @@ def quality_votes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     C.prepare(spark)
     facts = C.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    facts = C.table(facts.mapInArrow(_facts, _FACTS_DDL), "facts")
+    facts = C.table(C.mapped(facts, _facts, _FACTS_DDL), "facts")
     names = list(rules())
     voted = facts.withColumns({f"v_{r}": v for r, v in rules().items()})
     patterns = voted.groupBy(*[f"v_{r}" for r in names]).count().collect()
