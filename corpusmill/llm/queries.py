@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, line_dedup, minhash, packing, resharding, span_dedup, toxicity, warc, weak_rules
+from . import decontaminate, kneser_ney, line_dedup, minhash, mixing, packing, resharding, span_dedup, toxicity, warc, weak_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,8 +61,12 @@ def op10_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_benchmark_leaks, op2_mixture_packing, op3_site_line_dedup, op4_perplexity_quality, op5_sentence_span_dedup, op6_warc_derivatives, op7_min_cost_resharding, op8_minhash_near_duplicates, op9_toxicity, op10_weak_quality_rules)
+    own = (op1_benchmark_leaks, op2_mixture_packing, op3_site_line_dedup, op4_perplexity_quality, op5_sentence_span_dedup, op6_warc_derivatives, op7_min_cost_resharding, op8_minhash_near_duplicates, op9_toxicity, op10_weak_quality_rules, op11_source_mix)
     return {f.__name__: f for f in own}
 
 
