@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 
 #: Rows in an Arrow batch handed to Python; keeps a batch of long texts small.
 ARROW_ROWS = 512
+#: Bytes in one, about: a batch ends with the row that passes them.
+ARROW_BYTES = 4 << 20
 #: A table may be broadcast only up to this many bytes, as measured by broadcast_if_small(). Beyond it both sides are shuffled.
 BROADCAST_BYTES = 16 << 20
 #: Words remembered by a Python worker before its cache is emptied.
@@ -45,6 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches; and this package's folder for Python workers that were started elsewhere."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

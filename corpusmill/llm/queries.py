@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, line_dedup, minhash, mixing, packing, resharding, span_dedup, toxicity, warc, weak_rules
+from . import decontaminate, hard_negatives, kneser_ney, line_dedup, minhash, mixing, packing, resharding, span_dedup, toxicity, warc, weak_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,8 +65,12 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_benchmark_leaks, op2_mixture_packing, op3_site_line_dedup, op4_perplexity_quality, op5_sentence_span_dedup, op6_warc_derivatives, op7_min_cost_resharding, op8_minhash_near_duplicates, op9_toxicity, op10_weak_quality_rules, op11_source_mix)
+    own = (op1_benchmark_leaks, op2_mixture_packing, op3_site_line_dedup, op4_perplexity_quality, op5_sentence_span_dedup, op6_warc_derivatives, op7_min_cost_resharding, op8_minhash_near_duplicates, op9_toxicity, op10_weak_quality_rules, op11_source_mix, op13_hard_negatives)
     return {f.__name__: f for f in own}
 
 
@@ -132,5 +136,24 @@ FROM b
 """
 
 
+_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER w)::INTEGER AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_site_line_dedup": _LINES_SQL, "op6_warc_derivatives": _WARC_SQL}
+    return {"op13_hard_negatives": _NEGATIVES_SQL, "op3_site_line_dedup": _LINES_SQL, "op6_warc_derivatives": _WARC_SQL}
