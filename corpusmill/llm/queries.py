@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, kneser_ney, line_dedup, minhash, mixing, packing, resharding, span_dedup, toxicity, warc, weak_rules
+from . import collocations, decontaminate, hard_negatives, kneser_ney, line_dedup, minhash, mixing, packing, resharding, span_dedup, toxicity, warc, weak_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,12 +65,16 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_benchmark_leaks, op2_mixture_packing, op3_site_line_dedup, op4_perplexity_quality, op5_sentence_span_dedup, op6_warc_derivatives, op7_min_cost_resharding, op8_minhash_near_duplicates, op9_toxicity, op10_weak_quality_rules, op11_source_mix, op13_hard_negatives)
+    own = (op1_benchmark_leaks, op2_mixture_packing, op3_site_line_dedup, op4_perplexity_quality, op5_sentence_span_dedup, op6_warc_derivatives, op7_min_cost_resharding, op8_minhash_near_duplicates, op9_toxicity, op10_weak_quality_rules, op11_source_mix, op12_collocations, op13_hard_negatives)
     return {f.__name__: f for f in own}
 
 
@@ -136,6 +140,26 @@ FROM b
 """
 
 
+_PHRASES_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents
+), w AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM d)
+), n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM w, range(1, 6) x(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT lang, phrase, string_split(phrase, ' ') AS p, k, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+), s AS (
+  SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(p[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(p[cut + 1:], ' ') JOIN n ON n.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1
+), stay AS (
+  SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = s.lang AND f.f >= s.a AND len(f.phrase) > len(s.phrase) AND contains(' ' || f.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM stay QUALIFY rank <= 2000
+"""
+
 _NEGATIVES_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
@@ -156,4 +180,4 @@ QUALIFY row_number() OVER w <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_hard_negatives": _NEGATIVES_SQL, "op3_site_line_dedup": _LINES_SQL, "op6_warc_derivatives": _WARC_SQL}
+    return {"op12_collocations": _PHRASES_SQL, "op13_hard_negatives": _NEGATIVES_SQL, "op3_site_line_dedup": _LINES_SQL, "op6_warc_derivatives": _WARC_SQL}
