@@ -47,7 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
             docs = common.table(docs, name.replace(" ", "_"))
+            common.drop(before)  # the stage before's table; the documents themselves are none
     return docs

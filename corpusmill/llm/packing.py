@@ -120,7 +120,8 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
 
     A document is the ids of its text (null: none) and END_ID; every id lies in exactly one piece, sequences are full
     but for the last. shares: a source's part of each window; the default is its part of all tokens, so that queues run
-    dry together. Sources missing from shares get what is left over evenly. At any window's end a source is behind or
+    dry together. Sources missing from shares get what is left over in equal parts; shares that are not positive, or above 1 together, are an
+    error. At any window's end a source is behind or
     ahead of its share by less than a packet and a quantum, as long as no queue is empty. Null and
     repeated doc_ids are packed row by row, null sources as one queue; texts of any length are packed whole; an empty
     table gives no rows; extra columns are ignored, whatever their names. vocabulary: see Ids. added_tokens:
@@ -143,8 +144,8 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
     ids = C.table(C.mapped(src, partial(_tokenise, ranks=ranks, pattern=pattern, kind=kind, vocabulary=vocabulary, added=taken), _IDS_DDL), "ids")
     lengths = ids.select("row", "part", F.coalesce("source", F.lit("")).alias("queue"), "n")
     by_queue = lengths.groupBy("queue").agg(F.sum("n").alias("tokens"))
-    total = by_queue.agg(F.sum("tokens")).first()[0] or 0
-    by_queue = by_queue.withColumn("quantum", _quantum(total, window, shares))
+    total, others = by_queue.agg(F.sum("tokens"), F.count_if(~F.col("queue").isin(list(shares or ())))).first()
+    by_queue = by_queue.withColumn("quantum", _quantum(total or 0, window, shares, others))
     # docs of a part and source in line; then the round in which each packet's deficit is covered
     lined = C.running_total(lengths, ["queue"], "part", ["row"], "n", "before")
     lined = lined.join(by_queue.select("queue", "quantum"), "queue")
@@ -159,11 +160,12 @@ def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None,
     return C.mapped(both.select("doc_id", "source", "ids", "n", "runs"), partial(_cut, kind=kind, window=window), _PIECES_DDL)
 
 
-def _quantum(total: int, window: int, shares: dict[str, float] | None) -> Column:
+def _quantum(total: int, window: int, shares: dict[str, float] | None, others: int) -> Column:
     if not shares:
         return F.col("tokens") * F.lit(float(window)) / F.lit(float(max(total, 1)))
-    left = max(1e-6, 1 - sum(shares.values()))
-    share = F.lit(left)
+    if min(shares.values()) <= 0 or sum(shares.values()) > 1 + 1e-9:
+        raise ValueError("shares must be positive and add up to 1 at most")
+    share = F.lit(max(1e-6, 1 - sum(shares.values())) / max(1, others))  # what is left over, by the sources that have no share
     for source, part in shares.items():
         share = F.when(F.col("queue") == source, part).otherwise(share)
     return share * window

@@ -30,7 +30,7 @@ def test_packing_is_a_plain_deficit_round_robin(spark, shares):
     for i, _, s in docs:
         queues[s or ""] += [(i, at, min(256, n[i] - at)) for at in range(0, n[i], 256)]
     total = sum(n.values())
-    part = {q: sum(k for _, _, k in ps) / total for q, ps in queues.items()} if shares is None else {q: shares.get(q, 1 - sum(shares.values())) for q in queues}
+    part = {q: sum(k for _, _, k in ps) / total for q, ps in queues.items()} if shares is None else {q: shares.get(q, (1 - sum(shares.values())) / len(queues.keys() - shares.keys())) for q in queues}
     stream, earned, sent = [], dict.fromkeys(queues, 0), dict.fromkeys(queues, 0)
     left = {q: list(ps) for q, ps in queues.items()}
     rounds = 0
@@ -50,6 +50,18 @@ def test_packing_is_a_plain_deficit_round_robin(spark, shares):
     assert got == want
 
 
+def test_packing_reaches_given_shares(spark):
+    """Two sources without a share halve what is left over, as long as no queue is dry."""
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, prose(rnd, 300), "abcd"[i % 4]) for i in range(400)], "doc_id long, text string, source string")
+    rows = packing.pack(df, shares={"a": 0.4, "b": 0.3}).where("sequence_id < 100").groupBy("source").agg({"length": "sum"}).collect()
+    got = {r.source: r["sum(length)"] / (100 * 1024) for r in rows}
+    assert all(abs(got[s] - x) < 0.01 for s, x in {"a": 0.4, "b": 0.3, "c": 0.15, "d": 0.15}.items())
+    for wrong in ({"a": 0.7, "b": 0.4}, {"a": 0.0}):
+        with pytest.raises(ValueError):
+            packing.pack(df, shares=wrong)
+
+
 @pytest.mark.skipif(not os.path.isdir(REAL), reason="the given tables are not here")
 def test_ids_of_the_given_texts_are_those_of_tokenizers(spark):
     import public_tokenizers

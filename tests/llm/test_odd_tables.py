@@ -9,9 +9,14 @@ from corpusmill.llm import decontaminate, kneser_ney, line_dedup, minhash, packi
 LINE = "the rules of the house and the garden are for all of us to keep in mind today."
 PROSE = "\n".join(f"{LINE} so it goes in the {n} part of the book, and that is how they found it." for n in ("first", "second", "third", "fourth", "fifth"))
 ITEM = "when does the copper kettle sing its low song to the seven sleeping wardens of the northern gate"
+GOOD = """The ferry left the harbour before dawn, and the two sisters stood at the rail to watch the lights of the town grow small behind them.
+They had packed only what they could carry: some bread, a blanket, the letters from their uncle and a map that was older than either of them.
+By noon the wind had turned, so the captain told everyone to go below and wait; nobody was afraid, because the sea was known to be kind in that month.
+In the evening they saw the island for the first time, green and steep, with a single road that led up from the quay to the houses on the hill."""
 ROWS = [
     (1, PROSE, "en", "s"), (1, PROSE, "en", "s"), (1, PROSE + " Another text of the same id.", "en", "s"), (2, PROSE, None, None), (3, None, "en", "s"), (4, "", None, "s"), (None, PROSE, "en", "s"), (None, None, None, None),
     (5, " \n\t ", "de", "t"), (6, "one", "en", "t"), (7, "long words of text " * 60_000, "en", "t"), (8, "é" * 400_000, "fr", "t"), (9, PROSE + "\n" + ITEM + ".", "en", "s"), (10, "idi0t " * 60 + PROSE, "en", "s"),
+    (11, GOOD, "en", "t"),
 ]
 COLUMNS = ["doc_id", "text", "lang", "source"]
 #: Names that operators use for columns of their own, and names that differ in case only.
@@ -95,11 +100,13 @@ def test_stages_keep_columns_and_rows(spark, plain, clashing, name):
     assert sorted(str(r[: len(COLUMNS)]) for r in rows) == sorted(str(tuple(r)) for r in base.collect())
     assert f(spark, clashing.limit(0)).count() == 0 and f(spark, clashing.limit(0)).columns == clashing.columns
     if name == "near":
-        assert sorted(r[0] for r in rows if r[0]) == [1, 1, 1, 3, 4, 5, 6, 7, 8, 9, 10]
+        # 10 shares 55 of 60 shingles with PROSE
+        assert sorted(r[0] for r in rows if r[0]) == [1, 1, 1, 3, 4, 5, 6, 7, 8, 9, 11]
     if name == "leaks":
         assert len(rows) == len(ROWS) - 1 and 9 not in {r[0] for r in rows}
     if name == "quality":
-        assert not {3, 4, 5, 6} & {r[0] for r in rows} and {1, 2, 9} <= {r[0] for r in rows}
+        # 170 of the 175 words of PROSE stand in repeated windows, so all that holds it fails the base rules
+        assert {r[0] for r in rows} == {11} and rows[0][1] == GOOD
 
 
 def test_warc_does_not_see_other_columns(spark, plain):
