@@ -286,21 +286,49 @@ def _extensions(batches: Iterator[pa.RecordBatch], shard, k: int) -> Iterator[pa
     yield from out()
 
 
-_COUNT_DDL = "id long, n long"
-_COUNT = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+#: States whose counts lie in one row on their way to the sum.
+STATES = 1 << 13
+_REACHED_DDL = "part int, counts binary"
+_REACHED = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
 
-def _counts(batches: Iterator[pa.RecordBatch], shard) -> Iterator[pa.RecordBatch]:
-    """How often each phrase of the shard stands in the chunks."""
+def _reached(batches: Iterator[pa.RecordBatch], shard) -> Iterator[pa.RecordBatch]:
+    """How often each state of the trie is reached in the task's chunks, STATES to a row."""
     of = shard.value
     reached = np.zeros(len(of.trie.base), np.int64)
     for b in batches:
         for starts, words in zip(b.column("starts").to_pylist(), b.column("words").to_pylist()):
             for where, state in of.trie.walk(of.symbols(np.frombuffer(words, np.int32)), of.depth):
                 reached += np.bincount(state[where < starts], minlength=len(reached))
-    hit = np.nonzero((reached > 0) & (of.trie.value >= 0))[0]
-    for i in range(0, len(hit), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(of.trie.value[hit[i : i + 100_000]]), pa.array(reached[hit[i : i + 100_000]])], schema=_COUNT)
+    for part in range(-(-len(reached) // STATES)):
+        own = reached[part * STATES : (part + 1) * STATES]
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.tobytes()], pa.binary())], schema=_REACHED)
+
+
+_COUNT_DDL = "id long, n long"
+_COUNT = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], shard) -> Iterator[pa.RecordBatch]:
+    """The rows of a part summed one by one as they come; then a row for each phrase."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, counts in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
+            own = np.frombuffer(counts, np.int64)
+            sums[part] = sums[part] + own if part in sums else own
+    value = shard.value.trie.value
+    for part, own in sums.items():
+        phrase = value[part * STATES : part * STATES + len(own)]
+        hit = np.nonzero((own > 0) & (phrase >= 0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(phrase[hit]), pa.array(own[hit])], schema=_COUNT)
+
+
+def _counted(coded: DataFrame, shard) -> DataFrame:
+    """(id, n): how often each phrase of the shard stands in the chunks. Tasks' counts are dealt out by part of the trie and summed there."""
+    parts = max(1, -(-len(shard.value.trie.base) // STATES))
+    reached = C.mapped(coded, partial(_reached, shard=shard), _REACHED_DDL).repartition(min(parts, int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
+    return C.table(C.mapped(reached, partial(_summed, shard=shard), _COUNT_DDL), "counts")
 
 
 def _numbered(df: DataFrame, key: list[str]) -> DataFrame:
@@ -358,12 +386,12 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) -
         levels.append(_longer(spark, coded, levels[-1], words, k, least))
     # one numbering over all lengths
     several = [t.select((F.col("id") * longest + k).alias("id"), "lang", "phrase", "numbers") for k, t in enumerate(levels[1:], 1)]
-    counts = [C.table(C.mapped(coded, partial(_counts, shard=s), _COUNT_DDL).groupBy("id").agg(F.sum("n").alias("f")), "counts") for s in _shards(spark, several)]
+    counts = [_counted(coded, s) for s in _shards(spark, several)]
     found = words.select("lang", "phrase", F.lit(1).alias("words"), "f")
     if counts:
         f = spark.read.schema(counts[0].schema).parquet(*[t.table_path for t in counts])
         for k, t in enumerate(several, 2):
-            found = found.unionByName(t.join(f, "id").select("lang", "phrase", F.lit(k).alias("words"), "f"))
+            found = found.unionByName(t.join(f, "id").select("lang", "phrase", F.lit(k).alias("words"), F.col("n").alias("f")))
     found = C.table(found, "phrases")
     C.drop(coded, *levels, *counts)
     return found, totals
