@@ -13,6 +13,7 @@ from ..operators import context as K
 from ..operators import extract as E
 from ..operators import filters as P
 from ..operators import graph as G
+from ..operators import index as I
 from ..operators import policy as L
 from ..operators import scan as C
 from ..operators import search as R
@@ -188,14 +189,72 @@ _SEARCH = f"""WITH {ENTITIES}, q AS (
 ), hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(def_kind NOT IN ('import', 'export'), false) DESC, kind, key)::INTEGER AS rank FROM total JOIN ent USING (key) QUALIFY rank <= 20)"""
 
 
+_indexes: dict[tuple[str, str], I.Index] = {}
+
+
+def _index(spark, d) -> I.Index:
+    """The tables' entities, indexed once in an application."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _indexes:
+        _indexes[at] = I.build_index(_entities(spark, d), f"{shared_folder(spark)}/cm-index-{uuid.uuid4().hex}")
+    return _indexes[at]
+
+
+def _found(spark, d):
+    return I.search_index(_index(spark, d), _queries(spark, d))
+
+
 @query(_SEARCH + " SELECT query_id, rank, score, kind, key, path FROM hits")
 def r1_r4_w1_search(spark, d):
-    return R.search(_entities(spark, d), _queries(spark, d)).select("query_id", "rank", "score", "kind", "key", "path")
+    return _found(spark, d).select("query_id", "rank", "score", "kind", "key", "path")
+
+
+@query(_SEARCH + " SELECT query_id, rank, score, kind, key FROM hits")
+def r1_search_without_index(spark, d):
+    """The same rows from entities that are searched once only."""
+    return R.search(_entities(spark, d), _queries(spark, d)).select("query_id", "rank", "score", "kind", "key")
+
+
+_PHRASES = _SEARCH.replace("), hits AS (", f"""), ph AS (SELECT query_id, {_WORDS.format('lower(trim(q))')} AS w FROM q
+), full_text AS (SELECT key, array_to_string({_WORDS.format('search_text')}, ' ') || ' ' AS t, array_to_string({_WORDS.format('lower(name)')}, ' ') || ' ' AS n FROM ent
+), bonus AS (
+  SELECT query_id, key, CASE WHEN n = p THEN 1.0 WHEN starts_with(n, p) THEN 0.8 WHEN contains(' ' || n, ' ' || p) THEN 0.6 ELSE 0.5 END::DOUBLE AS b
+  FROM (SELECT query_id, array_to_string(w, ' ') || ' ' AS p FROM ph WHERE len(w) > 1) JOIN full_text ON contains(' ' || t, ' ' || p)
+), better AS (SELECT query_id, key, greatest(coalesce(score, 0), coalesce(b, 0)) AS score FROM total FULL JOIN bonus USING (query_id, key)
+), hits AS (""").replace("FROM total JOIN ent USING (key) QUALIFY", "FROM better JOIN ent USING (key) QUALIFY").replace(
+    # half of the items ask for three words in a row
+    "|| CASE item_id % 3 WHEN 0 THEN ' widgit' WHEN 1 THEN ' smal' ELSE '' END AS q", "|| CASE item_id % 4 WHEN 0 THEN ' widgit' WHEN 1 THEN ' smal' ELSE '' END AS q")
+
+
+@query(_PHRASES + " SELECT query_id, rank, score, key FROM hits")
+def r4_phrase_search(spark, d):
+    """Words of a query that stand side by side count as a phrase."""
+    words = F.split("text", " ")
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.array_join(F.slice(words, 3, 3), " "), F.when(F.col("item_id") % 4 == 0, "widgit").when(F.col("item_id") % 4 == 1, "smal")).alias("q"))
+    return I.search_index(_index(spark, d), q, phrase=True).select("query_id", "rank", "score", "key")
+
+
+_CHANGED = _SEARCH.replace("text AS content, doc_id FROM documents", "CASE WHEN doc_id % 50 = 7 THEN 'smaller widgets ' || text WHEN doc_id % 50 = 8 THEN 'of nothing' ELSE text END AS content, doc_id FROM documents WHERE doc_id % 50 <> 13")
+
+
+@query(_CHANGED + " SELECT query_id, rank, score, kind, key, path FROM hits")
+def r2_changed_index(spark, d):
+    """An index of all documents, then changes and deletions; it answers as one built of what is there in the end."""
+    docs = read(spark, d, "documents")
+    from .tables import path_expr
+
+    def entities(rows, text):
+        return R.build_search_entities(corpus.corpus_from_table(rows, path_expr(), text, None, F.lit("r")))
+
+    first = I.build_index(_entities(spark, d), f"{shared_folder(spark)}/cm-index-{uuid.uuid4().hex}")
+    second = I.update_index(first, entities(docs.where("doc_id % 50 = 7"), F.concat(F.lit("smaller widgets "), "text")), docs.where("doc_id % 50 = 13").select(path_expr().alias("key")))
+    third = I.update_index(second, entities(docs.where("doc_id % 50 = 8"), F.lit("of nothing")))
+    return I.search_index(third, _queries(spark, d)).select("query_id", "rank", "score", "kind", "key", "path")
 
 
 @query(_SEARCH + ", b AS (SELECT query_id, path, max(score) AS score, min(rank) AS first FROM hits GROUP BY 1, 2) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first, b.path)::INTEGER AS ord, b.path, score FROM b JOIN files f ON f.path = b.path")
 def r6_j11_build_context(spark, d):
-    hits = R.search(_entities(spark, d), _queries(spark, d))
+    hits = _found(spark, d)
     return K.hits_to_context(hits, files(spark, d)).select("query_id", "ord", "path", "score")
 
 
@@ -224,7 +283,7 @@ _NEAR = f""", {EDGES}, linked AS (SELECT DISTINCT n, other, kind, direction FROM
 @query(_SEARCH + _NEAR + """ SELECT query_id, rank, h.key, 'hit' AS part, NULL AS other, NULL AS relation, NULL AS direction, substr(f.content, 1, 30) AS overview FROM hits h LEFT JOIN (SELECT * FROM files WHERE doc_id % 4 <> 0) f ON f.path = h.path
 UNION ALL SELECT query_id, rank, h.key, 'dependency', other, dep.kind, direction, NULL FROM hits h JOIN dep ON h.kind = 'symbol' AND dep.n = 'n:' || substr(h.key, 8)""")
 def r7_relevant_context(spark, d):
-    hits = R.search(_entities(spark, d), _queries(spark, d))
+    hits = _found(spark, d)
     known = read(spark, d, "documents").where("doc_id % 4 <> 0")
     from .tables import path_expr
 
@@ -262,7 +321,7 @@ def r10_explain_targets(spark, d):
 
 def _items(spark, d):
     """The context items of each query: what search found, and one instruction."""
-    ctx = K.hits_to_context(R.search(_entities(spark, d), _queries(spark, d)), files(spark, d))
+    ctx = K.hits_to_context(_found(spark, d), files(spark, d))
     found = ctx.select(F.col("query_id").alias("task_id"), F.col("path").alias("id"), "path", "content", "score")
     rules = _queries(spark, d).select(F.col("query_id").alias("task_id"), F.lit("rules").alias("id"), F.lit("RULES.md").alias("path"), F.concat(F.lit("Answer: "), "q").alias("content"), F.lit(1.0).alias("score"))
     return K.assemble_items({"instructions": rules, "search": found})
