@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from .graph import spans_around
+from .stored import stored, together
 
 _DECLARATION = r"^\s*(export\s+)?(default\s+)?((?:(?:public|private|protected|static|async|abstract|readonly|declare)\s+)*)(class|interface|enum|function|type|namespace|const|let|var|def)\s+\*?([A-Za-z_$][\w$]*)"
 _METHOD = r"^\s+((?:(?:public|private|protected|static|async|readonly|get|set)\s+)*)([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*(?::[^{;]+)?\{\s*$"
@@ -17,39 +19,78 @@ _NO_METHODS = ["if", "for", "while", "switch", "catch", "return", "function"]
 _KIND = {"type": "type-alias", "const": "constant", "let": "variable", "var": "variable", "def": "function"}
 
 
-def source_lines(files: DataFrame) -> DataFrame:
-    """path, line (from 1), text."""
-    return files.select("path", F.posexplode(F.split("content", "\r?\n", -1)).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line"), "text")
+#: Strings, templates and comments, whole or up to where they are left open: a string to the end of its line, the others to the end of the file. Possessive, so that none is too long.
+_SINGLE, _DOUBLE = r"'(?:[^'\\\r\n]|\\[^\r\n])*+'?", r'"(?:[^"\\\r\n]|\\[^\r\n])*+"?'
+_HOLE = rf"\$\{{(?:[^{{}}'\"`]|{_SINGLE}|{_DOUBLE}|\{{[^{{}}`]*+\}})*+\}}"
+_QUIET = rf"//[^\r\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?|{_DOUBLE}|{_SINGLE}|`(?:[^`\\$]|\\[\s\S]|{_HOLE}|\$)*+`?"
+
+
+def code_only(content: Column) -> Column:
+    """The content with what stands in strings, templates and comments taken out; line breaks stay where they are.
+
+    One expression finds them from left to right, so a quote in a comment opens no string and a comment sign in a string no
+    comment. A template's holes go with it, braces one deep among them; templates inside holes and the language's own regular expressions
+    are not told apart.
+    """
+    between, quiet = F.split(content, _QUIET, -1), F.regexp_extract_all(content, F.lit(_QUIET), 0)
+    breaks = F.transform(quiet, lambda q: F.regexp_replace(q, r"[^\n]++", ""))
+    return F.array_join(F.zip_with(between, breaks, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+
+def source_lines(files: DataFrame, code: bool = False) -> DataFrame:
+    """path, line (from 1), text; and with code, the line without strings, templates and comments."""
+    cut = lambda c: F.split(c, "\r?\n", -1)
+    if not code:
+        return files.select("path", F.posexplode(cut(F.col("content"))).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line"), "text")
+    both = files.select("path", F.posexplode(F.arrays_zip(cut(F.col("content")).alias("text"), cut(code_only(F.col("content"))).alias("code"))).alias("pos", "x"))
+    return both.select("path", (F.col("pos") + 1).alias("line"), "x.text", "x.code")
 
 
 def brace_depth(lines: DataFrame) -> DataFrame:
-    """lines with the depth of open braces before (depth) and after (depth_after) each: a running sum within a file."""
-    delta = F.length(F.regexp_replace("text", r"[^{]", "")) - F.length(F.regexp_replace("text", r"[^}]", ""))
+    """lines with the depth of open braces before (depth) and after (depth_after) each: a running sum within a file. Braces are those of code, where lines have it, else of text."""
+    of = "code" if "code" in lines.columns else "text"
+    delta = F.length(F.regexp_replace(of, r"[^{]", "")) - F.length(F.regexp_replace(of, r"[^}]", ""))
     w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("depth_after", F.sum(delta).over(w)).withColumn("depth", F.col("depth_after") - delta)
 
 
+def block_ends(openers: DataFrame, lines: DataFrame) -> DataFrame:
+    """openers (path, line, depth), lines of brace_depth() -> path, line, end_line: the first later line that closes down to the opener's depth.
+
+    A line that closes braces meets every depth that it goes down to; openers and closers of one depth in a file are read once,
+    backwards, instead of every opener against every closing line.
+    """
+    of = "code" if "code" in lines.columns else "text"
+    closing = lines.where(F.contains(of, F.lit("}")))
+    braces = F.split(F.regexp_replace(of, r"[^{}]", ""), "")
+    step = lambda s, c: F.struct(*[x.alias(n) for n, x in (("at", s["at"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)), ("low", F.least(s["low"], s["at"] + F.when(c == "}", -1).otherwise(0))))])
+    low = F.aggregate(braces, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), step)["low"]
+    closers = closing.withColumn("low", low).where("low < 0").select("path", F.explode(F.sequence(F.col("depth") + F.col("low"), F.col("depth") - 1)).alias("depth"), "line", F.col("line").alias("close"))
+    both = openers.select("path", "depth", "line", F.lit(None).cast("int").alias("close")).unionByName(closers)
+    later = Window.partitionBy("path", "depth").orderBy(F.desc("line")).rangeBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("end_line", F.last("close", ignorenulls=True).over(later)).where("close IS NULL AND end_line IS NOT NULL").select("path", "line", "end_line")
+
+
 def extract_symbols(files: DataFrame) -> DataFrame:
     """Declarations found line by line: id, path, name, kind, start_line, start_col, end_line, parent_id, visibility,
-    exported, modifiers, documentation. A rule of thumb over lines and braces, not a parser of any language."""
-    lines = brace_depth(source_lines(files))
-    kind = F.regexp_extract("text", _DECLARATION, 4)
-    method = F.regexp_extract("text", _METHOD, 2)
+    exported, modifiers, documentation. A rule of thumb over lines and braces, not a parser of any language; braces and
+    declarations in strings, templates and comments do not count."""
+    lines = brace_depth(source_lines(files, code=True))
+    kind = F.regexp_extract("code", _DECLARATION, 4)
+    method = F.regexp_extract("code", _METHOD, 2)
     is_method = (kind == "") & (method != "") & ~method.isin(_NO_METHODS) & (F.col("depth") > 0)
     doc = F.lag("text").over(Window.partitionBy("path").orderBy("line"))
     mapped = kind
     for a, b in _KIND.items():
         mapped = F.when(kind == a, b).otherwise(mapped)
     named = lines.withColumns({
-        "kind": F.when(is_method, "method").otherwise(mapped), "name": F.when(is_method, method).otherwise(F.regexp_extract("text", _DECLARATION, 5)),
-        "words": F.when(is_method, F.regexp_extract("text", _METHOD, 1)).otherwise(F.regexp_extract("text", _DECLARATION, 3)),
-        "exported": F.regexp_extract("text", _DECLARATION, 1) != "", "is_default": F.regexp_extract("text", _DECLARATION, 2) != "", "before": doc,
+        "kind": F.when(is_method, "method").otherwise(mapped), "name": F.when(is_method, method).otherwise(F.regexp_extract("code", _DECLARATION, 5)),
+        "words": F.when(is_method, F.regexp_extract("code", _METHOD, 1)).otherwise(F.regexp_extract("code", _DECLARATION, 3)),
+        "exported": F.regexp_extract("code", _DECLARATION, 1) != "", "is_default": F.regexp_extract("code", _DECLARATION, 2) != "", "before": doc,
     })
     found = named.where((F.col("kind") != "") & (F.col("name") != ""))
     opens = F.col("depth_after") > F.col("depth")
-    # a block ends on the first later line that brings the depth back to where the declaration stood
-    ends = lines.where("depth_after < depth or text like '%}%'").select("path", F.col("line").alias("end_at"), "depth_after")
-    closed = found.where(opens).select("path", "line", "depth").join(ends, "path").where("end_at > line and depth_after <= depth").groupBy("path", "line").agg(F.min("end_at").alias("end_line"))
+    closed = block_ends(found.where(opens), lines)
     found = found.join(closed, ["path", "line"], "left").withColumn("end_line", F.coalesce("end_line", "line"))
     modifiers = F.filter(F.concat(F.split(F.trim("words"), r"\s+"), F.when(F.col("is_default"), F.array(F.lit("default"))).otherwise(F.array(F.lit("")))), lambda m: m != "")
     visibility = F.when(F.array_contains(modifiers, "private"), "private").when(F.array_contains(modifiers, "protected"), "protected").otherwise("public")
@@ -59,8 +100,9 @@ def extract_symbols(files: DataFrame) -> DataFrame:
         S.symbol_id(F.col("path"), F.col("name"), F.col("line"), column).alias("id"), "path", "name", "kind", F.col("line").alias("start_line"), column.alias("start_col"), "end_line",
         visibility.alias("visibility"), "exported", modifiers.alias("modifiers"), F.nullif(note, F.lit("")).alias("documentation"),
     )
-    boxes = out.where(F.col("kind").isin("class", "interface", "enum", "namespace") & (F.col("end_line") > F.col("start_line"))).select("path", F.col("id").alias("box"), F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
-    parent = out.select("id", "path", "start_line").join(boxes, "path").where("start_line > lo and start_line <= hi").groupBy("id").agg(F.max_by("box", F.struct("lo", "box")).alias("parent_id"))
+    boxes = out.where(F.col("kind").isin("class", "interface", "enum", "namespace") & (F.col("end_line") > F.col("start_line"))).select("path", F.col("id").alias("box"), (F.col("start_line") + 1).alias("lo"), F.col("end_line").alias("hi"))
+    inside = spans_around(out.select(F.col("id").alias("ref_id"), "path", F.col("start_line").alias("line")), boxes)
+    parent = inside.groupBy(F.col("ref_id").alias("id")).agg(F.max_by("box", F.struct("lo", "box")).alias("parent_id"))
     return out.join(parent, "id", "left")
 
 
@@ -128,6 +170,34 @@ def cache_key(kind: Column, text: Column) -> Column:
     return F.concat(F.lit("summary:"), kind, F.lit(":"), S.content_hash(text))
 
 
+def scope_keys(files: DataFrame) -> DataFrame:
+    """files (path, hash) -> target, kind (file, folder), depth, key: a key for each file and for each folder above one, '' the root.
+
+    A file's key is the SHA-256 of its path, '|' and its hash; a folder's that of its path, '|' and its children's keys, sorted and put together. Level by level,
+    the deepest first: a changed file changes its own folders' keys and no others.
+    """
+    parent = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
+    deep = lambda c: F.size(F.split(c, "/", -1))
+    leaves = files.select(F.col("path").alias("target"), F.lit("file").alias("kind"), deep(F.col("path")).alias("depth"), F.sha2(F.concat_ws("|", "path", "hash"), 256).alias("key"))
+    levels, below = [stored(leaves)], None
+    for depth in range(levels[0].agg(F.max("depth")).first()[0] or 0, 0, -1):
+        here = levels[0].where(F.col("depth") == depth).select("target", "key")
+        here = here.unionByName(below.select("target", "key")) if below is not None else here
+        up = here.groupBy(F.when(F.contains("target", F.lit("/")), parent(F.col("target"))).otherwise("").alias("target")).agg(F.array_join(F.sort_array(F.collect_list("key")), "").alias("keys"))
+        below = stored(up.select("target", F.lit("folder").alias("kind"), F.lit(depth - 1).alias("depth"), F.sha2(F.concat_ws("|", "target", "keys"), 256).alias("key")))
+        levels.append(below)
+    return together(levels)
+
+
+def roll_up(files: DataFrame, contents: DataFrame, cache: DataFrame, fn: Callable[[str], str], now) -> DataFrame:
+    """A value of each folder by enrich_with_cache(), under its scope key: id, key, value, cache_hit, error.
+
+    contents (target, content) says what fn sees of a folder. Only folders above something that changed since the cache was filled are computed.
+    """
+    scopes = scope_keys(files).where("kind = 'folder'").join(contents, "target").select(F.col("target").alias("id"), F.concat(F.lit("scope:"), "key").alias("key"), "content")
+    return enrich_with_cache(scopes, cache, fn, now)
+
+
 def live_entries(cache: DataFrame, now) -> DataFrame:
     """Cache entries (key, value, expires_at) without an end or with one still to come."""
     return cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now)))

@@ -18,7 +18,7 @@ from ..operators import policy as L
 from ..operators import scan as C
 from ..operators import search as R
 from ..operators import snapshots as N
-from ..operators.stored import shared_folder
+from ..operators.stored import shared_folder, stored
 from ..sources import corpus
 from ..streaming import streams as ST
 from .scalar_queries import _CONTENT_SQL, _DENIED_SQL, _NEG, _POS, _STATEMENT_SQL, TERMS
@@ -215,7 +215,7 @@ def r1_search_without_index(spark, d):
     return R.search(_entities(spark, d), _queries(spark, d)).select("query_id", "rank", "score", "kind", "key")
 
 
-_PHRASES = _SEARCH.replace("), hits AS (", f"""), ph AS (SELECT query_id, {_WORDS.format('lower(trim(q))')} AS w FROM q
+_PHRASES = _SEARCH.replace("), hits AS (", f"""), ph AS (SELECT query_id, {_WORDS.format('lower(trim(q))')} AS w FROM q WHERE query_id IN (SELECT query_id FROM terms)
 ), full_text AS (SELECT key, array_to_string({_WORDS.format('search_text')}, ' ') || ' ' AS t, array_to_string({_WORDS.format('lower(name)')}, ' ') || ' ' AS n FROM ent
 ), bonus AS (
   SELECT query_id, key, CASE WHEN n = p THEN 1.0 WHEN starts_with(n, p) THEN 0.8 WHEN contains(' ' || n, ' ' || p) THEN 0.6 ELSE 0.5 END::DOUBLE AS b
@@ -550,6 +550,16 @@ def e4_extract_links(spark, d):
     return E.extract_links(read(spark, d, "pages"))
 
 
+@query("""SELECT 'src/q' || p_partkey || '.ts' AS path, b.name, b.kind, b.l AS start_line, b.e AS end_line
+FROM part, LATERAL (VALUES ('f' || p_partkey, 'function', 1, 5 + p_size), ('A', 'class', 6 + p_size, 10 + p_size), ('m', 'method', 7 + p_size, 9 + p_size)) AS b(name, kind, l, e)""")
+def e1_quoted_braces(spark, d):
+    """Braces and declarations in strings, templates and comments, as many lines of them as a part has size, change nothing."""
+    p = read(spark, d, "part")
+    n = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("function f"), n, F.lit("() {\n  g('}', \"{{\"); // }\n  h(`\n"), F.repeat(F.lit("} class X {\n"), F.col("p_size")), F.lit("`);\n  /* } */ }\nclass A {\n  m() {\n    return '// }';\n  }\n}\n"))
+    return E.extract_symbols(p.select(F.concat(F.lit("src/q"), n, F.lit(".ts")).alias("path"), text.alias("content"))).select("path", "name", "kind", "start_line", "end_line")
+
+
 @query(f"WITH {FILES} SELECT path, CASE WHEN language = 'typescript' THEN NULL WHEN language = 'python' THEN 'ValueError: cannot read' ELSE 'unsupported language: ' || coalesce(language, 'None') END AS reason FROM files")
 def e5_extract_with(spark, d):
     def first_line(path, content):
@@ -572,6 +582,42 @@ def e8_enrich_with_cache(spark, d):
     return E.enrich_with_cache(items, cache, lambda text: f"{len(text)} characters", now)
 
 
+_TREE = """f AS (SELECT p_partkey AS k, 'src/d' || (p_partkey % 9) || '/p' || p_partkey || '.ts' AS path, p_name AS content, p_partkey % 50 = 7 AS changed FROM part)"""
+_SCOPES = _TREE + """, h AS (SELECT *, sha256(path || '|' || sha256(content)) AS old, sha256(path || '|' || sha256(content || CASE WHEN changed AND k % 9 < 3 THEN '!' ELSE '' END)) AS key, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f
+), d1 AS (SELECT dir AS target, sha256(dir || '|' || string_agg(key, '' ORDER BY key)) AS key, sha256(dir || '|' || string_agg(old, '' ORDER BY old)) AS old FROM h GROUP BY dir
+), d2 AS (SELECT 'src' AS target, sha256('src|' || string_agg(key, '' ORDER BY key)) AS key, sha256('src|' || string_agg(old, '' ORDER BY old)) AS old FROM d1
+), d3 AS (SELECT '' AS target, sha256('|' || key) AS key, sha256('|' || old) AS old FROM d2), scopes AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3)"""
+
+
+@query(f"WITH {_SCOPES} SELECT target AS id, 'scope:' || key AS key, CASE WHEN key = old THEN 'kept' ELSE 'made of ' || target END AS value, key = old AS cache_hit FROM scopes")
+def e8_scope_roll_up(spark, d):
+    """Folders' values under their scope keys: some files have changed since the cache was filled, only folders above them are computed."""
+    p, k = read(spark, d, "part"), F.col("p_partkey")
+    f = p.select(F.concat(F.lit("src/d"), (k % 9).cast("string"), F.lit("/p"), k.cast("string"), F.lit(".ts")).alias("path"), S.content_hash(F.col("p_name")).alias("old"), S.content_hash(F.when((k % 50 == 7) & (k % 9 < 3), F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))).alias("hash"))
+    before = E.scope_keys(f.select("path", F.col("old").alias("hash"))).where("kind = 'folder'")
+    cache = before.select(F.concat(F.lit("scope:"), "key").alias("key"), F.lit("kept").alias("value"), F.lit(None).cast("timestamp").alias("expires_at"))
+    contents = before.select("target", F.col("target").alias("content"))
+    return E.roll_up(f.select("path", "hash"), contents, cache, lambda target: f"made of {target}", datetime.datetime(2024, 1, 2)).select("id", "key", "value", "cache_hit")
+
+
+@query("""WITH f AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 50 <> 3), t AS (
+  SELECT a.k, s.n, CASE WHEN s.n < 2 AND b.k IS NOT NULL THEN 'src/p' || b.k || '.ts' END AS target FROM f a, (VALUES (0), (1), (2)) s(n) LEFT JOIN f b ON b.k = a.k + 1)
+SELECT 'link' AS what, 'src/p' || k || '.ts' AS path, target, 1::BIGINT AS n FROM t WHERE target IS NOT NULL
+UNION ALL SELECT 'symbols', 'src/p' || k || '.ts', NULL, CASE WHEN k % 50 = 7 THEN 5 ELSE 4 END FROM f
+UNION ALL SELECT 'module', 'src', NULL, count(*) FROM f""")
+def e6_index_tables(spark, d):
+    """Tables of an index after files have come, changed and gone: links between files, symbols and folders as of a rebuild."""
+    src = _sources(spark, d).select("path", "content").withColumn("k", F.regexp_extract("path", r"(\d+)", 1).cast("long"))
+    old, _ = N.apply_changes(None, src.where("k % 50 <> 11").drop("k"), None, E.extract_symbols)
+    old = {n: stored(t) for n, t in old.items()}
+    now = src.where("k % 50 <> 3").withColumn("content", F.when(F.col("k") % 50 == 7, F.concat("content", F.lit("enum Late {\n}\n"))).otherwise(F.col("content"))).drop("k")
+    t = N.incremental_index(old, now, E.extract_symbols)
+    none = F.lit(None).cast("string")
+    links = t["links"].select(F.lit("link").alias("what"), F.col("from_path").alias("path"), "target", F.lit(1).cast("long").alias("n"))
+    counts = t["symbols"].groupBy("path").agg(F.count("*").alias("n")).select(F.lit("symbols").alias("what"), "path", none.alias("target"), "n")
+    return links.unionByName(counts).unionByName(t["modules"].select(F.lit("module").alias("what"), "path", none.alias("target"), F.col("files").alias("n")))
+
+
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n))::INTEGER AS line, (sum(o) OVER (PARTITION BY doc_id ORDER BY n))::BIGINT AS depth_after FROM (SELECT doc_id, unnest(range(0, len(l))) AS n, (len(unnest(l)) - len(replace(unnest(l), '|', '')))::BIGINT AS o FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
 def w8_brace_depth(spark, d):
     f = read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.translate("text", "|{}", "{").alias("content"))
@@ -664,7 +710,7 @@ def a20_detect_conflicts(spark, d):
     return L.detect_conflicts(L.statements(reports)).select("group_id", "topic", "positive", "negative", "roles")
 
 
-# --- streams: batch twins, and below them those that keep state, run as streams until all is read ---
+# --- streams, run until all is read; tests hold them against their batch twins ---
 
 
 def _events(spark, d):
@@ -674,24 +720,25 @@ def _events(spark, d):
 
 @query("SELECT ts::DATE AS day, event_type AS kind, count(*) AS events, sum(floor(value))::BIGINT AS tokens FROM events GROUP BY 1, 2")
 def d4_daily_activity(spark, d):
-    return ST.stream_daily_activity(_events(spark, d))
+    return _streamed(spark, _events(spark, d), ST.stream_daily_activity, "complete")
 
 
 @query("SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, ts, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS gap FROM events)) GROUP BY 1, 2) GROUP BY 1")
 def d9_activity_sessions(spark, d):
-    return ST.activity_sessions(_events(spark, d)).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
+    sessions = _streamed(spark, _events(spark, d), lambda s: ST.activity_sessions(s, late="1 day"), "complete")
+    return sessions.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS provider, count(*) AS events, sum(floor(value)) AS total_tokens FROM events GROUP BY 1, 2")
 def d5_usage_windows(spark, d):
     e = _events(spark, d).select(F.col("ts").alias("occurred_at"), F.col("kind").alias("provider"), F.col("tokens").cast("double").alias("total_tokens"), F.lit(0).alias("total_src"), F.lit(1.0).alias("cost"), F.lit(1).alias("cost_src"), F.lit("USD").alias("currency"))
-    return ST.stream_usage_windows(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "provider", "events", "total_tokens")
+    return _streamed(spark, e, ST.stream_usage_windows, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "provider", "events", "total_tokens")
 
 
 @query("SELECT event_id, event_type FROM events")
 def d6_dedup(spark, d):
     e = _events(spark, d)  # every event is delivered twice
-    return ST.stream_dedup(e.unionByName(e)).select("event_id", F.col("kind").alias("event_type"))
+    return _streamed(spark, e.unionByName(e), ST.stream_dedup).select("event_id", F.col("kind").alias("event_type"))
 
 
 @query("SELECT event_id AS key, ts AS expires_at FROM events WHERE ts > TIMESTAMP '2024-01-10' OR event_id % 5 = 0")
@@ -716,7 +763,11 @@ def _streamed(spark, df, transform, mode="append"):
     spark.conf.set(key, rocks)
     try:
         out = transform(spark.readStream.schema(df.schema).parquet(f"{root}/in"))
-        out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(once=True).start(f"{root}/out").awaitTermination()
+        w = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(once=True)
+        if mode == "append":
+            w.format("parquet").start(f"{root}/out").awaitTermination()
+        else:  # all groups so far, each time
+            w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out")).start().awaitTermination()
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
     return spark.read.schema(out.schema).parquet(f"{root}/out")

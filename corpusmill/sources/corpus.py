@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import suppress
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import filters
+from .versions import Conflict, last_version, put_version
 
 SNAPSHOT_VERSION = 1
 SNAPSHOT_DDL = "path string, hash string"
@@ -65,47 +68,75 @@ def read_hash_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return found.where(F.col("version") == SNAPSHOT_VERSION).select("path", "hash")
 
 
-_POINTER_DDL = "seq long, version string, tables map<string, array<string>>"
 #: A table of so many folders is written anew as one.
 MOST_FOLDERS = 16
+#: The column by which a table's rows belong to a path.
+PATH_OF = {"imports": "from_path", "candidates": "from_path", "links": "from_path"}
+_TOUCHED = "_touched"
 
 
 def _pointer(spark: SparkSession, root: str) -> tuple[int, dict[str, list[str]]]:
     """Number and tables (name -> folders, the oldest first) of the last version; (0, {}) where nothing is stored."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return 0, {}
-    last = spark.read.schema(_POINTER_DDL).json(f"{root}/current").orderBy(F.desc("seq"), F.desc("version")).first()
-    return (last[0], dict(last[2])) if last else (0, {})
+    number, what = last_version(spark, f"{root}/versions")
+    return number, what or {}
 
 
-def save_context(spark: SparkSession, tables: dict[str, DataFrame], root: str, changes: bool = False) -> str:
-    """Stores a version of the context: tables go to a new folder, then one small row with the next number points to them.
+def save_context(spark: SparkSession, tables: dict[str, DataFrame], root: str, changes: bool = False, touched: dict[str, DataFrame] | None = None) -> str:
+    """Stores a version of the context: tables go to a new folder, then one small file with the next number points to them.
 
     The tables given are the whole context. With changes, they hold the rows of changed paths only: those of a path replace
-    all that it had, and tables that are not given stay as they are.
+    all that it had, and tables that are not given stay as they are. touched: of each table, the paths (path) whose rows are replaced, deleted paths
+    among them; by default the paths of files. Of two writers at once the later one's changes are put on top of the earlier one's;
+    a whole context that another writer has overtaken raises Conflict instead of hiding what that one stored.
     """
     seq, have = _pointer(spark, root)
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    now = {name: (have.get(name, []) if changes else []) + [f"{version}/{name}"] for name in tables} | ({n: f for n, f in have.items() if n not in tables} if changes else {})
-    spark.createDataFrame([(seq + 1, version, now)], _POINTER_DDL).coalesce(1).write.mode("append").json(f"{root}/current")
+    if changes:
+        paths = touched or dict.fromkeys(tables, tables["files"])
+        each = [paths[n].select(F.lit(n).alias("table_name"), "path").distinct() for n in tables if n in paths]
+        reduce(DataFrame.unionByName, each).write.parquet(f"{root}/{version}/{_TOUCHED}")
+    mine = {name: f"{version}/{name}" for name in tables}
+    for _ in range(20):
+        now = {name: [f"{seq + 1}:{at}"] for name, at in mine.items()}
+        if changes:
+            now[_TOUCHED] = [f"{seq + 1}:{version}/{_TOUCHED}"]
+            now = have | {name: have.get(name, []) + f for name, f in now.items()}
+        try:
+            put_version(spark, f"{root}/versions", seq + 1, now)
+            break
+        except Conflict:
+            if not changes:
+                raise
+            seq, have = _pointer(spark, root)
+    else:
+        raise Conflict(f"{root} is written to all the time")
     if any(len(f) > MOST_FOLDERS for f in now.values()):
-        return save_context(spark, load_context(spark, root), root)
+        with suppress(Conflict):  # another writer has come: it will see to that
+            return save_context(spark, load_context(spark, root), root)
     return version
 
 
 def load_context(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the last version; none where nothing is stored. Of a path in several folders the newest rows count."""
     _, tables = _pointer(spark, root)
-    read = lambda name: [spark.read.parquet(f"{root}/{f}").withColumn("__at", F.lit(int(i))) for i, f in enumerate(tables[name])]
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]), allowMissingColumns=True)
-    many = {n for n, f in tables.items() if len(f) > 1}
-    if not many:
-        return {n: spark.read.parquet(f"{root}/{f[0]}") for n, f in tables.items()}
-    newest = union(read("files")).groupBy("path").agg(F.max("__at").alias("__at"))  # every change has the files it is about
-    return {n: (union(read(n)).join(newest, ["path", "__at"]).drop("__at") if n in many else spark.read.parquet(f"{root}/{f[0]}")) for n, f in tables.items()}
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def read(name: str) -> DataFrame:
+        cut = [f.split(":", 1) for f in tables[name]]
+        return union([spark.read.parquet(f"{root}/{at}").withColumn("__at", F.lit(int(seq))) for seq, at in cut])
+
+    out, last = {}, read(_TOUCHED).groupBy("table_name", "path").agg(F.max("__at").alias("__last")) if _TOUCHED in tables else None
+    for name in tables:
+        if name == _TOUCHED:
+            continue
+        df, path = read(name), PATH_OF.get(name, "path")
+        if last is not None and path in df.columns:
+            newest = last.where(F.col("table_name") == name).select(F.col("path").alias(path), "__last")
+            df = df.join(newest, path, "left").where("__last IS NULL OR __at = __last").drop("__last")
+        out[name] = df.drop("__at")
+    return out
 
 
 def ordered_symbols(symbols: DataFrame) -> DataFrame:

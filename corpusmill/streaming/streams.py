@@ -95,26 +95,35 @@ def stream_limit_alerts(usage: DataFrame, limits: DataFrame, ttl_ms: int = 40 *
 
 
 def stream_incremental_index(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, once: bool = True):
-    """Files that arrive (path, content and, if known, modified_at) are merged into the stored context under root.
+    """Files that arrive (path, content and, if known, modified_at and deleted) are merged into the stored context under root.
 
-    Of several arrivals of a path in a micro-batch the newest counts; without modified_at, the greatest content. Only files
-    whose hash is new go through extract and are written, as changes of files, hashes and symbols; every other stored table
-    stays as it is. A micro-batch that runs twice changes nothing.
+    Of several arrivals of a path in a micro-batch the newest counts; without modified_at, the greatest content. Rows that are deleted take their file
+    away. Only files whose hash is new go through extract, and what apply_changes() says they touch is written: their own rows, and links of
+    importers whose targets came or went. Every other stored table stays as it is. A micro-batch that runs twice changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = F.max_by("content", "modified_at") if "modified_at" in batch.columns else F.max("content")
-        files = batch.groupBy("path").agg(newest.alias("content"))
+        row = F.struct(F.col("content"), (F.col("deleted") if "deleted" in batch.columns else F.lit(False)).alias("deleted"))
+        newest = F.max_by(row, "modified_at") if "modified_at" in batch.columns else F.max(row)
+        arrived = stored(batch.groupBy("path").agg(newest.alias("r")).select("path", "r.content", F.coalesce("r.deleted", F.lit(False)).alias("deleted")))
+        files, gone = arrived.where("not deleted").select("path", "content"), arrived.where("deleted").select("path")
         have = corpus.load_context(spark, root)
-        new = snapshots.hash_snapshot(files)
-        again = (new.join(have["hashes"].select("path", "hash"), ["path", "hash"], "left_anti") if have else new).select("path", "hash")
-        again = stored(again)
-        if again.isEmpty():
-            return
+        hashes = snapshots.hash_snapshot(files)
+        again = hashes.join(have["hashes"].select("path", "hash"), ["path", "hash"], "left_anti") if have else hashes
         fresh = stored(files.join(again.select("path"), "path", "left_semi"))
-        corpus.save_context(spark, {"files": fresh, "hashes": again, "symbols": extract(fresh)}, root, changes=True)
-        forget(again, fresh)
+        if have:
+            gone = gone.join(have["files"].select("path"), "path", "left_semi")
+        if not (fresh.isEmpty() and (not have or gone.isEmpty())):
+            whole = "candidates" not in have
+            prev = have if not whole else ({**snapshots.apply_changes(None, have["files"], None, extract)[0], **have} if have else None)
+            tables, touched = snapshots.apply_changes(prev, fresh, gone, extract)
+            if whole:
+                corpus.save_context(spark, have | tables, root)
+            else:
+                rows = {n: tables[n].join(touched[n].withColumnRenamed("path", p), p, "left_semi") for n in snapshots.INDEX_TABLES for p in [corpus.PATH_OF.get(n, "path")]}
+                corpus.save_context(spark, rows, root, changes=True, touched=touched)
+        forget(arrived, fresh)
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
