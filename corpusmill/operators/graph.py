@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from .stored import stored as _settle
-from .stored import together
+from .stored import forget, together
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -171,22 +173,57 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000)
     return pairs.select("pair_id").join(ends.select("pair_id", "distance"), "pair_id", "left").join(way.select("pair_id", "step", "node"), "pair_id", "left")
 
 
+def _compressed(e: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Edges without their chains: nodes of one edge in and one out are passed over, whole runs of them at once.
+
+    Also what was passed over (node, before, after: the ends of its run), and the nodes of rings that are nothing but chain (node, color: the
+    ring's greatest node). Pointers double in each round, so a run of n nodes takes log2(n) of them.
+    """
+    ends = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("after")).where("n = 1")
+    starts = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("before")).where("n = 1")
+    chain = _settle(ends.select("node", "after").join(starts.select("node", "before"), "node"))
+    size = chain.count()
+    if not size:
+        return e, None, None
+    own = chain.select("node", F.lit(True).alias("inner"))
+    both = lambda df: df.join(own.toDF("after", "more"), "after", "left").join(own.toDF("before", "less"), "before", "left").select("node", "before", "after", "color", F.coalesce("less", F.lit(False)).alias("less"), F.coalesce("more", F.lit(False)).alias("more"))
+    at, hops = _settle(both(chain.withColumn("color", F.greatest("node", "after")))), 1
+    while hops < 2 * size and not at.where("less or more").isEmpty():
+        ahead = at.select(F.col("node").alias("after"), F.col("after").alias("after2"), F.col("more").alias("more2"), F.col("color").alias("color2"))
+        back = at.select(F.col("node").alias("before"), F.col("before").alias("before2"), F.col("less").alias("less2"))
+        step = at.join(ahead, "after", "left").join(back, "before", "left")
+        new = _settle(step.select("node", F.coalesce("before2", "before").alias("before"), F.coalesce("after2", "after").alias("after"), F.greatest("color", F.coalesce("color2", "color")).alias("color"), F.coalesce("less2", "less").alias("less"), F.coalesce("more2", "more").alias("more")))
+        forget(at)
+        at, hops = new, hops * 2
+    rings = at.where("more").select("node", "color")  # a run that never ends
+    passed = at.where("not more").select("node", "before", "after")
+    gone = own.select("node")
+    left = e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    runs = passed.select(F.col("before").alias("src"), F.col("after").alias("dst")).where("src <> dst")
+    return _settle(left.select("src", "dst").unionByName(runs).distinct()), passed, rings
+
+
 def scc(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """(node, component): strongly connected components with more than one node, named by their greatest node.
 
-    Nodes without way in or out are trimmed. Then, round by round, each node takes the greatest name that reaches it;
-    those that a name's own node can be reached from, inside the name, are its component and leave.
+    Nodes without way in or out are trimmed and chains passed over until that no longer shrinks the graph by a tenth: trees and long ways and rings
+    take a logarithm of their length in rounds. Then, round by round, each node takes the greatest name that reaches it;
+    those that a name's own node can be reached from, inside the name, are its component and leave. In the end a node that was passed over
+    belongs to the component of both ends of its run, where that is one.
     """
     e = _settle(edges.select("src", "dst").where("src <> dst").distinct())
-    out = None
+    parts, passed_over = [], []
     for _ in range(max_rounds):
         while True:
             n = e.count()
             live = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
             e = _settle(e.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-            if e.count() == n:
+            e, passed, rings = _compressed(e)
+            if passed is not None:
+                passed_over.append(passed), parts.append(rings)
+            if e.count() > 0.9 * n or n == 0:
                 break
-        if n == 0:
+        if e.isEmpty():
             break
         color = _settle(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("color", F.col("node")))
         while True:
@@ -207,15 +244,24 @@ def scc(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
             if front.isEmpty():
                 break
             found = _settle(found.unionByName(front))
-        out = found if out is None else out.unionByName(found)
+        parts.append(found)
         gone = found.select("node")
         e = _settle(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
-    if out is None:
+    if not parts:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    sizes = out.groupBy("color").agg(F.count("*").alias("n")).where("n > 1").select("color")
-    return out.join(sizes, "color").select("node", F.col("color").alias("component"))
+    known = _settle(reduce(DataFrame.unionByName, parts))
+    for passed in reversed(passed_over):  # the last passed over first: its ends are settled
+        ends = passed
+        for end in ("before", "after"):
+            ends = ends.join(known.select(F.col("node").alias(end), F.col("color").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+        inside = _settle(ends.where("of_before = of_after").select("node", F.col("of_before").alias("color")))
+        # an end that was alone so far has its own name now
+        alone = inside.select(F.col("color").alias("node"), "color").distinct().join(known, "node", "left_anti")
+        known = _settle(known.unionByName(inside).unionByName(alone))
+    named = known.groupBy("color").agg(F.max("node").alias("component"), F.count("*").alias("n")).where("n > 1").select("color", "component")
+    return known.join(named, "color").select("node", "component")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
