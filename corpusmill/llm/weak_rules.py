@@ -79,12 +79,13 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def _defect(bad: Column) -> Column:
-    """For rules that look for one fault: a text without it is not good for that, so they abstain."""
+    """For rules that look for one fault (FAULTS): they vote bad or abstain."""
     return _vote(F.lit(False), bad)
 
 
 def rules() -> dict[str, Column]:
-    """Each rule votes 1 (good), -1 (bad) or abstains with 0. A text too short for a rule makes it abstain."""
+    """Each rule votes 1 (good), -1 (bad) or abstains with 0. A text too short for a rule makes it abstain, and
+    variety abstains over 2,000 words, where the share of different words falls by itself."""
     words, lines = F.col("n_words"), F.col("n_lines")
     marked, function = _share("n_marked", "n_words"), _share("n_function", "n_words")
     length, symbols = _share("word_chars", "n_words"), _share("n_symbols", "n_words")
@@ -92,7 +93,7 @@ def rules() -> dict[str, Column]:
     dup, ended = _share("n_dup_lines", "n_lines"), _share("n_ended", "n_lines")
     repeat, distinct, shouts = _share("n_repeat_words", "n_words"), _share("n_distinct", "n_words"), _share("n_shouts", "n_words")
     return {
-        "length": _vote(words.between(80, 200_000), words < 20),
+        "length": _vote(words >= 80, words < 20),
         "word_length": _vote((length >= 3) & (length <= 12) & (words >= 20), (length < 2) | (length > 20)),
         "symbols": _defect(symbols > 0.1),
         "marked_words": _defect(marked > 0.1),
@@ -107,17 +108,15 @@ def rules() -> dict[str, Column]:
     }
 
 
-#: Where expectation-maximisation starts: chances of (bad, abstain, good) for a bad and for a good document.
-START = ((0.30, 0.55, 0.15), (0.03, 0.57, 0.40))
+#: Rules that look for one fault: not finding it is what they observe of a text. The others observe nothing where they abstain.
+FAULTS = ("symbols", "marked_words", "lines", "repeats", "capitals", "letters", "shouting")
+#: Where expectation-maximisation starts: the chance that a rule which observes a text votes bad, for a bad and for a good document.
+START = {"fault": (0.30, 0.03), "other": (0.65, 0.07)}
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """prior: log odds of good before any vote. weight[rule][vote]: what a vote adds to the log odds.
-
-    The posterior is that of the fitted accuracies with two restrictions, which keep rules in their sense where data say
-    little: no vote counts against its own side, and an abstention counts for neither.
-    """
+    """prior: log odds of good before any vote. weight[rule][vote]: what a vote adds to the log odds; their sum is the fitted posterior's."""
 
     prior: float
     weight: dict[str, dict[int, float]]
@@ -132,25 +131,26 @@ class LabelModel:
 def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 100, pseudo: float = 20.0) -> LabelModel:
     """Expectation-maximisation over vote patterns and how many documents cast each.
 
-    A rule has, for each class, the chances of voting bad, abstaining and voting good. Pseudo-counts hold each rule
-    near START where data say little, and a vote may never come to count against its own side, so the classes cannot
-    swap. No documents: START.
+    A rule that observes a document votes bad with one chance for each class. An abstention is no observation, in the
+    fit as in the posterior; of FAULTS it is the observation that the fault is not there. Pseudo-counts hold each rule near START where
+    data say little. A bad vote may not be likelier of good documents: where counts say so, both classes share the pooled chance, which is the
+    likeliest one under that condition, so classes cannot swap and no vote counts against its own side. No documents: START.
     """
     votes = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), len(names))
     n = np.array([c for _, c in patterns], float)
-    cast = np.stack([(votes == v).astype(float) for v in (-1, 0, 1)])  # vote, pattern, rule
-    held = pseudo * np.repeat(np.array(START)[:, None, :], len(names), axis=1)  # class, rule, vote
-    good, chance = 0.8, held / pseudo
+    bad = (votes == -1).astype(float)
+    seen = ((votes != 0) | np.array([r in FAULTS for r in names])).astype(float)
+    start = np.array([START["fault" if r in FAULTS else "other"] for r in names]).T  # class, rule
+    good, chance = 0.8, start.copy()
     for _ in range(rounds if len(patterns) else 0):
-        at = np.einsum("vpr,crv->cp", cast, np.log(chance))
-        post = 1 / (1 + np.exp(-np.clip(math.log(good / (1 - good)) + at[1] - at[0], -500, 500)))
+        at = bad @ np.log(chance).T + (seen - bad) @ np.log1p(-chance).T  # pattern, class
+        post = 1 / (1 + np.exp(-np.clip(math.log(good / (1 - good)) + at[:, 1] - at[:, 0], -500, 500)))
         good = float(((post * n).sum() + 4 * pseudo) / (n.sum() + 5 * pseudo))
-        chance = held + np.stack([np.einsum("vpr,p->rv", cast, p * n) for p in (1 - post, post)])
-        chance /= chance.sum(axis=2, keepdims=True)
-    w = np.log(chance[1] / chance[0])
-    w[:, 0], w[:, 2] = np.minimum(w[:, 0], 0), np.maximum(w[:, 2], 0)
-    w[:, 1] = 0  # in the fit an abstention has its chances; in the verdict it says nothing
-    return LabelModel(math.log(good / (1 - good)), {r: {v: float(w[i, v + 1]) for v in (-1, 0, 1)} for i, r in enumerate(names)})
+        of = np.stack([(1 - post) * n, post * n])  # class, pattern
+        hits, all_ = pseudo * start + of @ bad, pseudo + of @ seen
+        chance = np.where(hits[1] / all_[1] > hits[0] / all_[0], hits.sum(0) / all_.sum(0), hits / all_)
+    w = {-1: np.log(chance[1] / chance[0]), 1: np.log1p(-chance[1]) - np.log1p(-chance[0])}
+    return LabelModel(math.log(good / (1 - good)), {r: {-1: float(w[-1][i]), 1: float(w[1][i]), 0: float(w[1][i]) if r in FAULTS else 0.0} for i, r in enumerate(names)})
 
 
 def quality_votes(docs: DataFrame) -> DataFrame:

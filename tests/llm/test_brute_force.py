@@ -131,28 +131,31 @@ def test_label_model_is_plain_expectation_maximisation(spark):
     out = weak_rules.quality_votes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     names = list(weak_rules.rules())
     votes = [{n: r[f"v_{n}"] for n in names} for r in out]
-    start = [dict(zip((-1, 0, 1), weak_rules.START[c])) for c in (0, 1)]
-    chance = {(c, n, v): start[c][v] for c in (0, 1) for n in names for v in (-1, 0, 1)}
-    good, pseudo = 0.8, 20.0
+    start = {n: weak_rules.START["fault" if n in weak_rules.FAULTS else "other"] for n in names}
+    assert {n for n in names if all(v[n] != 1 for v in votes)} <= set(weak_rules.FAULTS) | {"variety", "endings"}
+    observed = [[n for n in names if v[n] or n in weak_rules.FAULTS] for v in votes]
+    chance, good, pseudo = {(c, n): start[n][c] for c in (0, 1) for n in names}, 0.8, 20.0
+
+    def odds_of(v, seen):
+        out = math.log(good) - math.log(1 - good)
+        for n in seen:
+            out += math.log(chance[1, n] / chance[0, n]) if v[n] == -1 else math.log((1 - chance[1, n]) / (1 - chance[0, n]))
+        return out
+
     for _ in range(100):
-        post = []
-        for v in votes:
-            a = math.log(good) + sum(math.log(chance[1, n, v[n]]) for n in names)
-            b = math.log(1 - good) + sum(math.log(chance[0, n, v[n]]) for n in names)
-            post.append(1 / (1 + math.exp(min(500, b - a))))
+        post = [1 / (1 + math.exp(min(500, -odds_of(v, seen)))) for v, seen in zip(votes, observed)]
         good = (sum(post) + 4 * pseudo) / (len(post) + 5 * pseudo)
-        for c in (0, 1):
-            for n in names:
-                mass = {x: pseudo * start[c][x] + sum(q if c else 1 - q for q, v in zip(post, votes) if v[n] == x) for x in (-1, 0, 1)}
-                for x in mass:
-                    chance[c, n, x] = mass[x] / sum(mass.values())
-    for r, v in zip(out, votes):
-        odds = math.log(good / (1 - good))
         for n in names:
-            if v[n]:
-                w = math.log(chance[1, n, v[n]] / chance[0, n, v[n]])
-                odds += max(0, w) if v[n] > 0 else min(0, w)
-        want = 1 / (1 + math.exp(-odds))
+            mass = {}
+            for c in (0, 1):
+                share = [(q if c else 1 - q, v[n] == -1) for q, v, seen in zip(post, votes, observed) if n in seen]
+                mass[c] = (pseudo * start[n][c] + sum(q for q, is_bad in share if is_bad), pseudo + sum(q for q, _ in share))
+            rate = {c: a / b for c, (a, b) in mass.items()}
+            if rate[1] > rate[0]:
+                rate[0] = rate[1] = (mass[0][0] + mass[1][0]) / (mass[0][1] + mass[1][1])
+            chance[0, n], chance[1, n] = rate[0], rate[1]
+    for r, v, seen in zip(out, votes, observed):
+        want = 1 / (1 + math.exp(-odds_of(v, seen)))
         assert math.isclose(r.p_good, want, abs_tol=1e-6) and r.kept == (not r.base_failed and r.p_good >= 0.5)
 
 
