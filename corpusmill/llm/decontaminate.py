@@ -26,6 +26,8 @@ SIZES = (1, 2, 4, 8, 16, 32)
 #: Items and words in one broadcast index (some hundred bytes a word). More are taken in blocks of so many, one pass over
 #: the documents each; an item with more words is a block of its own.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 500_000
+#: Windows of one key, or an item's offsets of one, so many words apart at most are one run.
+RUN = 64
 #: A window size at which a length of items needs more is not taken for it.
 MAX_REPETITIONS = 20
 #: Edited copies on which a length of items is measured.
@@ -154,7 +156,7 @@ def plan(items: list[list[int]], edit_share: float, recall: float) -> tuple[dict
     """(length -> window size, window size -> repetitions) that reach recall at every length of items.
 
     A length takes window_size() or the next smaller one, whichever makes fewer passes over the documents in all, and
-    still smaller ones where neither reaches recall. ValueError where none does.
+    still smaller ones where neither reaches recall. A length that none brings there is left out: its items are looked for without windows.
     """
     pools: dict[int, list[list[int]]] = {}
     for x in sorted(items, key=len):
@@ -169,7 +171,7 @@ def plan(items: list[list[int]], edit_share: float, recall: float) -> tuple[dict
             if found:
                 need[n][size] = found
         if not need[n]:
-            raise ValueError(f"items of {n} words: no window finds copies with {edit_share:.0%} of words edited at a recall of {recall} in {MAX_REPETITIONS} repetitions")
+            del need[n]
     best: tuple[int, dict[int, int], dict[int, int]] | None = None
     for most in range(1, MAX_REPETITIONS + 1):
         sizes = {n: max((s for s, r in by.items() if r <= most), default=0) for n, by in need.items()}
@@ -193,10 +195,13 @@ class Index:
         self.word_sets = [frozenset(w) for _, w in self.items]
         self.edit_share = edit_share
         sizes, self.reps = plan([w for _, w in self.items], edit_share, recall)
-        self.tables: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        #: Window size, repetition; by key, then item, then place: runs of offsets of one item with one key.
+        self.tables: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         by_size: dict[int, list[int]] = {}
+        self.without: list[int] = []  # items that no window finds often enough: every document is asked for their words
         for k, (_, w) in enumerate(self.items):
-            by_size.setdefault(sizes[_length(len(w))], []).append(k)
+            size = sizes.get(_length(len(w)))
+            (by_size.setdefault(size, []) if size else self.without).append(k)
         for size, ks in by_size.items():
             for rep in range(self.reps[size]):
                 made = [(keys(padded(self.items[k][1]), np.arange(len(self.items[k][1]) - size + 1), size, rep), k) for k in ks]
@@ -205,17 +210,24 @@ class Index:
                 offset = np.concatenate([np.arange(len(x)) for x, _ in made])
                 order = np.argsort(key, kind="stable")
                 key, item, offset = key[order], item[order], offset[order]
+                new = np.append(True, (key[1:] != key[:-1]) | (item[1:] != item[:-1]) | (offset[1:] - offset[:-1] > RUN))
+                first, last = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True))
+                key, item, low, high = key[first], item[first], offset[first], offset[last]
                 seen = np.zeros(1 << max(12, min(22, (16 * len(key)).bit_length())), bool)
                 seen[(key & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-                self.tables.append((size, rep, key, item, offset, seen))
+                self.tables.append((size, rep, key, item, low, high, seen))
 
     @property
     def by_rep(self):
         return [(rep, [t for t in self.tables if t[1] == rep]) for rep in range(max(self.reps.values(), default=0))]
 
-    def candidates(self, h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, item, where the item would start) for documents h[begin:end]; the place is kept to 4 words."""
-        found: set[tuple[int, int, int]] = set()
+    def candidates(self, h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """(document, item) -> where the item would start, first and last place of each run, for documents h[begin:end].
+
+        A document's windows of one key that lie close together are one run, like an item's offsets: a text that says the same words
+        over and over meets an item that does so once, not window by offset.
+        """
+        found: list[np.ndarray] = []
         places = {}
         for size in {t[0] for t in self.tables}:
             step = max(1, size // 2)
@@ -225,34 +237,56 @@ class Index:
             places[size] = doc, begins[doc] + nth * step
         for rep, tables in self.by_rep:
             bits = walk_bits(h, rep)
-            for size, _, key, item, offset, seen in tables:
+            for size, _, key, item, low, high, seen in tables:
                 doc, starts = places[size]
                 mine = keys(h, starts, size, rep, bits)
-                maybe = np.flatnonzero(seen[(mine & np.uint64(len(seen) - 1)).view(np.int64)])
-                lo, hi = np.searchsorted(key, mine[maybe], "left"), np.searchsorted(key, mine[maybe], "right")
-                for m, a, b in zip(maybe[lo < hi], lo[lo < hi], hi[lo < hi]):
-                    d = int(doc[m])
-                    found.update((d, int(item[x]), (int(starts[m] - begins[d]) - int(offset[x])) // 4) for x in range(a, b))
-        return found
+                at = np.flatnonzero(seen[(mine & np.uint64(len(seen) - 1)).view(np.int64)])
+                at = at[np.isin(mine[at], key)]
+                if not len(at):
+                    continue
+                at = at[np.lexsort([starts[at], mine[at], doc[at]])]
+                d, k, s = doc[at], mine[at], starts[at] - begins[doc[at]]
+                new = np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (s[1:] - s[:-1] > RUN))
+                first, last = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True))
+                lo, hi = np.searchsorted(key, k[first], "left"), np.searchsorted(key, k[first], "right")
+                run = np.repeat(np.arange(len(first)), hi - lo)
+                x = np.arange(len(run)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[run]
+                found.append(np.unique(np.stack([d[first][run], item[x], s[first][run] - high[x], s[last][run] - low[x]]), axis=1))
+        if not found:
+            return {}
+        doc, item, low, high = np.unique(np.concatenate(found, axis=1), axis=1)
+        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for d, k, a, b in zip(*(v.tolist() for v in (doc, item, low, high))):
+            runs = out.setdefault((d, k), [])
+            if runs and a <= runs[-1][1] + RUN // 4:
+                runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+            else:
+                runs.append((a, b))
+        return out
 
     def leaks(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item id, end word, item words, edit distance): the best place of each item in each document."""
         sizes = np.array([len(d) for d in docs])
         ends = np.cumsum(sizes)
-        h = padded(np.concatenate(docs))
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for d, k, place in sorted(self.candidates(h, ends - sizes, ends)):
-            words = self.items[k][1]
+        asked = self.candidates(padded(np.concatenate(docs)), ends - sizes, ends) if self.tables else {}
+        for d, words in enumerate(docs):
+            own = set(words.tolist()) if self.without else set()
+            for k in self.without:
+                if len(self.word_sets[k] & own) >= len(self.word_sets[k]) - int(self.edit_share * len(self.items[k][1])):
+                    asked[d, k] = [(0, len(words))]
+        for (d, k), runs in sorted(asked.items()):
+            words, best = self.items[k][1], None
             limit = int(self.edit_share * len(words))
-            lo = max(0, place * 4 - limit - 2)
-            region = docs[d][lo : place * 4 + len(words) + limit + 8].tolist()
-            if sum(map(self.word_sets[k].__contains__, region)) < len(words) - limit:
-                continue  # an item within the limit keeps that many of its words
-            m = best_match(words, region, limit)
-            if m and m[0] < best.get((d, k), (limit + 1, 0))[0]:
-                best[d, k] = (m[0], lo + m[1])
-        for (d, k), (distance, end) in best.items():
-            yield d, self.items[k][0], end, len(self.items[k][1]), distance
+            for first, last in runs:
+                lo = max(0, first - limit - 2)
+                region = docs[d][lo : max(0, last + len(words) + limit + 8)].tolist()
+                if sum(map(self.word_sets[k].__contains__, region)) < len(words) - limit:
+                    continue  # an item within the limit keeps that many of its words
+                m = best_match(words, region, limit)
+                if m and (best is None or m[0] < best[0]):
+                    best = (m[0], lo + m[1])
+            if best:
+                yield d, self.items[k][0], best[1], len(words), best[0]
 
 
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("end_word", pa.int64()), ("item_words", pa.int64()), ("distance", pa.int64())])
@@ -301,7 +335,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0
     match nothing; items of the same text each match; rows repeating a doc_id give their own rows; extra columns are
     ignored, whatever their names. A text of any length is searched whole, in memory of its own length. The benchmark is
     the stated query set: it is read in blocks of block_items and block_words, each a broadcast index of bounded size and
-    one pass over the documents.
+    one pass over the documents. Items of lengths at which no window reaches recall are looked for in every text that holds enough of their words.
     """
     spark: SparkSession = docs.sparkSession
     C.prepare(spark)
@@ -310,9 +344,10 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0
     made = []
     for block in _blocks(benchmark, block_items, block_words):
         index = spark.sparkContext.broadcast(Index(block, edit_share, recall))
-        made.append(C.mapped(src, partial(_search, index=index), out.schema))
-    for m in made:
-        out = out.unionByName(m)
+        made.append(C.table(C.mapped(src, partial(_search, index=index), out.schema), "leaks"))
+        index.destroy()
+    if made:
+        out = spark.read.schema(out.schema).parquet(*[t.table_path for t in made])
     return out.select("doc_id", "item_id", F.greatest(F.lit(0), F.col("end_word") - F.col("item_words")).alias("start_word"), "end_word", "item_words", "distance")
 
 

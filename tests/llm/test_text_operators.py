@@ -218,9 +218,32 @@ def test_leaks_of_every_length_reach_the_recall():
         text = own(rnd.randrange(40, 80)) + copy + own(40)
         found[len(words)].append(i in {x[1] for x in ix.leaks([hashes.array(text)])})
     assert all(sum(x) >= 0.93 * len(x) for x in found.values()), {n: sum(x) / len(x) for n, x in found.items()}
-    with pytest.raises(ValueError):
-        decontaminate.plan([[1, 2, 3, 4]], 1.0, 1.0)
-    assert decontaminate.plan([], 0.15, 0.95) == ({}, {})
+    assert decontaminate.plan([[1, 2, 3, 4]], 1.0, 1.0) == decontaminate.plan([], 0.15, 0.95) == ({}, {})
+
+
+def test_lengths_without_a_window_are_looked_for_word_by_word(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_REPETITIONS", 0)
+    rnd = random.Random(3)
+    items = [(i, [f"v{rnd.randrange(300)}" for _ in range(20)]) for i in range(30)]
+    ix = decontaminate.Index([(i, " ".join(w)) for i, w in items], 0.15, 0.95)
+    hashes = common.WordHashes()
+    assert not ix.tables and len(ix.without) == 30
+    docs = [["x"] * 5 + w[:7] + ["edit"] + w[8:] + ["y"] * 9 for _, w in items] + [[f"v{rnd.randrange(300)}" for _ in range(2000)]]
+    got = {(d, i): (end, dist) for d, i, end, _, dist in ix.leaks([hashes.array(" ".join(x).encode().split()) for x in docs])}
+    assert all(got[n, i] == (25, 1) for n, (i, _) in enumerate(items)) and all(d < 30 for d, _ in got)
+
+
+def test_texts_of_repeated_words_take_seconds():
+    """One item of 2,000 equal words and one that repeats a sentence; a text of 200,000 such words, one that stops short, one without."""
+    import time
+
+    sentence = "the lamp of the old mill is lit again tonight by nobody".split()
+    ix = decontaminate.Index([(1, "word " * 2000), (2, " ".join(sentence * 60))], 0.15, 0.95)
+    hashes = common.WordHashes()
+    docs = ["word " * 200_000, " ".join(sentence * 18_000), "word " * 1500, "other words here " * 3000]
+    began = time.time()
+    got = {(d, i): dist for d, i, _, _, dist in ix.leaks([hashes.array(x.encode().split()) for x in docs])}
+    assert got == {(0, 1): 0, (1, 2): 0} and time.time() - began < 40
 
 
 def brute_facts(text):
