@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed as X
 from ..functions import scalars as S
+from .stored import stored
 
 #: Kinds of activity and the counter of each.
 COUNTERS = {"scan": "scans", "context_build": "context_builds", "search": "searches", "summary": "summaries", "agent_run": "agent_runs", "error": "errors"}
@@ -44,26 +47,129 @@ def activity_snapshot(events: DataFrame) -> DataFrame:
     return one.withColumn("s", S.calculate_savings(F.col("baseline"), F.col("used"))).select("*", "s.saved", "s.percent").drop("s")
 
 
+#: Events in a block of the moving average, and blocks in a block of blocks.
+EMA_BLOCK = 4096
+#: Start states looked at together.
+EMA_STATES = 1 << 20
+
+
+def _ema_parts(lo: int, hi: int) -> tuple[Callable, Callable]:
+    """(ends, through) for averages from lo to hi; functions of a function, so that workers need no package of ours."""
+    slice_ = EMA_STATES
+
+    def after(now, value):
+        """The average after one more value; now is 0 where it starts anew."""
+        return np.where(now == 0, value, np.trunc(0.7 * now + 0.3 * value + 0.5))
+
+    def ends(values: np.ndarray) -> tuple[list[int], list[float], float]:
+        """Where whole numbers lo to hi lead past the first value: the first of each run of starts with one end, and the ends. Rounding lets most
+        states meet soon. And where the first value itself leads."""
+        firsts, out = [], []
+        raw = np.float64(values[0])
+        for v in values[1:]:
+            raw = after(raw, v)
+        for at in range(lo, hi + 1, slice_):
+            starts = np.arange(at, min(at + slice_, hi + 1))
+            state, where = starts.astype(float), np.arange(len(starts))
+            for i, v in enumerate(values[1:]):
+                state = after(state, v)
+                if len(state) > 8 and i % 4 == 3:
+                    state, back = np.unique(state, return_inverse=True)
+                    where = back[where]
+            end = state[where]
+            new = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
+            firsts += starts[new].tolist()
+            out += end[new].tolist()
+        return firsts, out, float(raw)
+
+    def through(start: float, first: float, raw_end: float, firsts: list, out: list) -> float:
+        """The average after a block: its first value is taken by itself, what comes out is a whole number or that value."""
+        return raw_end if start == 0 else out[bisect_right(firsts, float(after(np.float64(start), first))) - 1]
+
+    return ends, through
+
+
 def latency_ema(events: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """The moving average after each event: the first value, then round(0.7 * before + 0.3 * value); restarts after 0.
+    """The moving average after each event: the first value, then round(0.7 * before + 0.3 * value); restarts after 0. Columns key, ord, value, ema.
 
-    Each key's events are read in order, one batch at a time, with one number of state.
+    Events lie in blocks of EMA_BLOCK in order of key and order. A block is a map from the average before it to that after it: rounding
+    makes its whole-number starts lead to few ends. Blocks' maps are composed in blocks of blocks, and those one after the other;
+    then each block, knowing where it starts, is gone through by itself. No task sees more of a key than a block.
     """
-    schema = f"{key} string, ord long, {value} double, ema double"
-
-    def fold(batches: Iterator) -> Iterator:
-        last, now = None, 0.0
+    rows = events.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"), F.struct(*order).alias("o"))
+    span = rows.agg(F.floor(F.min("v")), F.ceil(F.max("v"))).first()
+    if span[0] is None:
+        return rows.select(F.col("k").alias(key), F.lit(0).cast("long").alias("ord"), F.col("v").alias(value), F.col("v").alias("ema"))
+    lo, hi, size = min(0, span[0]) - 1, max(0, span[1]) + 1, EMA_BLOCK
+    ends_of, through = _ema_parts(lo, hi)
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(batches: Iterator) -> Iterator:
+        from pyspark import TaskContext
+
+        block, at, last = (TaskContext.get().partitionId() << 32) - 1, size, ""
         for pdf in batches:
-            out = []
-            for k, v in zip(pdf[key], pdf[value]):
-                if k != last:
-                    last, now = k, 0.0
-                now = float(v) if now == 0 else float(int(0.7 * now + 0.3 * float(v) + 0.5))
-                out.append(now)
-            yield pdf.assign(ema=out)
-
-    rows = events.where(F.col(value).isNotNull()).withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
-    return rows.select(F.col(key).cast("string").alias(key), "ord", F.col(value).cast("double").alias(value)).repartition(key).sortWithinPartitions(key, "ord").mapInPandas(fold, schema)
+            blocks, places = [], []
+            for k in pdf["k"].astype(object).where(pdf["k"].notna(), None):
+                if k != last or at == size:
+                    block, at, last = block + 1, 0, k
+                blocks.append(block), places.append(at)
+                at += 1
+            yield pdf[["k", "v"]].assign(block=blocks, i=places)
+
+    lined = stored(rows.repartitionByRange(parts, F.col("k").asc_nulls_first(), "o").sortWithinPartitions(F.col("k").asc_nulls_first(), "o").select("k", "v").mapInPandas(dealt, "k string, v double, block long, i int"))
+
+    def summed(pdf):
+        import pandas as pd
+
+        v = pdf.sort_values("i")["v"].to_numpy()
+        firsts, ends, raw = ends_of(v)
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "block": [pdf["block"].iloc[0]], "n": [len(v)], "first": [v[0]], "raw_end": [raw], "firsts": [firsts], "ends": [ends]})
+
+    ddl = "k string, block long, n long, first double, raw_end double, firsts array<long>, ends array<double>"
+    maps = stored(lined.groupBy("block").applyInPandas(summed, ddl))
+    # blocks of blocks: a key's blocks of one part of the order, size of them at most
+    tops = maps.withColumn("top", F.floor(F.col("block") / size))
+
+    def composed(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("block")
+        each = list(zip(pdf["first"], pdf["raw_end"], pdf["firsts"].map(list), pdf["ends"].map(list)))
+        firsts, ends = each[0][2], [float(x) for x in each[0][3]]
+        raw = each[0][1]
+        for m in each[1:]:
+            raw, ends = through(raw, *m), [through(x, *m) for x in ends]
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "top": [pdf["top"].iloc[0]], "n": [int(pdf["n"].sum())], "first": [each[0][0]], "raw_end": [raw], "firsts": [firsts], "ends": [ends]})
+
+    big = tops.groupBy("k", "top").applyInPandas(composed, ddl.replace("block long", "top long"))
+
+    def chained(id_: str):
+        def of(pdf):
+            import pandas as pd
+
+            pdf, state, n, out = pdf.sort_values(id_), None, None, []
+            for r in pdf.itertuples(index=False):
+                state, n = (getattr(r, "start0", 0.0), int(getattr(r, "ord0", 0))) if state is None else (state, n)
+                out.append((r.k, getattr(r, id_), state, n))
+                state, n = through(state, r.first, r.raw_end, list(r.firsts), list(r.ends)), n + int(r.n)
+            return pd.DataFrame(out, columns=["k", id_, "start", "ord"])
+
+        return of
+
+    heads = big.groupBy("k").applyInPandas(chained("top"), "k string, top long, start double, ord long")
+    begun = tops.join(heads.select(F.col("k").alias("hk"), F.col("top").alias("ht"), F.col("start").alias("start0"), F.col("ord").alias("ord0")), F.col("k").eqNullSafe(F.col("hk")) & (F.col("top") == F.col("ht")))
+    starts = begun.drop("hk", "ht").groupBy("k", "top").applyInPandas(chained("block"), "k string, block long, start double, ord long")
+
+    def walked(pdf):
+        pdf, now, out = pdf.sort_values("i"), float(pdf["start"].iloc[0]), []
+        for v in pdf["v"]:
+            now = float(v) if now == 0 else float(int(0.7 * now + 0.3 * float(v) + 0.5))
+            out.append(now)
+        return pdf.assign(ema=out, ord=pdf["ord"] + pdf["i"] + 1)[["k", "ord", "v", "ema"]]
+
+    each = lined.join(starts.select("block", "start", "ord"), "block")
+    return each.groupBy("block").applyInPandas(walked, "k string, ord long, v double, ema double").select(F.col("k").alias(key), "ord", F.col("v").alias(value), "ema")
 
 
 def latency_ema_unrounded(events: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
