@@ -199,6 +199,30 @@ def score_answers(answers: DataFrame, expected: DataFrame) -> DataFrame:
     return cov.select("task_id", "mode", "coverage", F.when(F.col("failed"), -1).when(F.col("coverage") == 1, 2).when(F.col("coverage") > 0, 1).otherwise(0).alias("points"))
 
 
+def answer_totals(scored: DataFrame, modes: list[str]) -> DataFrame:
+    """score_answers() with one row for each task: points and coverage of each mode side by side, and the mode that won; and in the row
+    without a task the sums of points and mean coverages over all."""
+    pick = lambda m, c: F.max(F.when(F.col("mode") == m, F.col(c)))
+    rows = scored.groupBy("task_id").agg(*[pick(m, c).alias(f"{m}_{c}") for m in modes for c in ("points", "coverage")])
+    best = F.greatest(*[F.coalesce(f"{m}_points", F.lit(-2)) for m in modes])
+    leaders = F.filter(F.array(*[F.when(F.coalesce(f"{m}_points", F.lit(-2)) == best, F.lit(m)) for m in modes]), lambda m: m.isNotNull())
+    rows = rows.withColumn("winner", F.when(F.size(leaders) == 1, leaders[0]).otherwise("tie"))
+    total = rows.agg(*[(F.sum if c == "points" else F.avg)(f"{m}_{c}").alias(f"{m}_{c}") for m in modes for c in ("points", "coverage")])
+    total = total.select(F.lit(None).cast(rows.schema["task_id"].dataType).alias("task_id"), *[F.col(f"{m}_{c}").cast(rows.schema[f"{m}_{c}"].dataType) for m in modes for c in ("points", "coverage")], F.lit("all").alias("winner"))
+    return rows.unionByName(total)
+
+
+def run_step_details(steps: DataFrame) -> DataFrame:
+    """steps (task_id, mode, at, event as JSON) -> for each run all kinds of tokens (input, output, reasoning, cache_read, cache_write), cost,
+    steps, and the time of a call: from each step to the next (mean and longest, in seconds). Missing kinds count as 0."""
+    kinds = ("input", "output", "reasoning", "cache_read", "cache_write")
+    e = F.from_json("event", ", ".join(f"{k} long" for k in kinds) + ", cost double")
+    w = Window.partitionBy("task_id", "mode").orderBy("at", "event")
+    rows = steps.select("task_id", "mode", "at", "event", e.alias("e")).withColumn("took", F.unix_micros(F.lead("at").over(w).cast("timestamp")) / 1e6 - F.unix_micros(F.col("at").cast("timestamp")) / 1e6)
+    sums = [F.sum(F.coalesce(f"e.{k}", F.lit(0))).alias(k) for k in kinds]
+    return rows.groupBy("task_id", "mode").agg(*sums, F.round(F.sum("e.cost"), 6).alias("cost"), F.count("*").alias("steps"), F.round(F.avg("took"), 3).alias("mean_seconds"), F.max("took").alias("longest_seconds"))
+
+
 def rollup_run_steps(steps: DataFrame) -> DataFrame:
     """steps (task_id, mode, event as JSON with tokens and cost) -> sums for each task, the two modes side by side, savings."""
     e = F.from_json("event", "input long, output long, cost double")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeResult
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
@@ -166,6 +168,35 @@ def extract_with(files: DataFrame, parsers: dict[str, Callable[[str, str], list[
     return done.where("reason is null").select("row.*"), done.where("reason is not null").select("path", "reason")
 
 
+def register_parsers(spark: SparkSession, parsers: dict[str, tuple[str, dict[str, Callable[[str, str], list[dict]]]]], name: str = "parse_source") -> None:
+    """Registers a table function for SQL: FROM files, LATERAL name('kind', path, language, content).
+
+    parsers: kind -> (schema, parser of each language). The kind, a constant, decides the columns; `skipped` comes last: why a file has no row of
+    its own, as in extract_with(). A file that is skipped is one row with nulls in the parser's columns.
+    """
+    made = {kind: (T._parse_datatype_string(schema), of) for kind, (schema, of) in parsers.items()}
+    made = {kind: (T.StructType([T.StructField(f.name, f.dataType, True) for f in row] + [T.StructField("skipped", T.StringType())]), of) for kind, (row, of) in made.items()}
+
+    class Parse:
+        @staticmethod
+        def analyze(kind, path, language, content):
+            if not kind.isConstantExpression or kind.value not in made:
+                raise ValueError(f"the first argument must be one of {sorted(made)}")
+            return AnalyzeResult(schema=made[kind.value][0])
+
+        def eval(self, kind, path, language, content):
+            row, of = made[kind]
+            names = row.names[:-1]
+            try:
+                rows = list(of[language](path, content))
+            except Exception as e:
+                rows = [f"unsupported language: {language}" if language not in of else f"{type(e).__name__}: {e}"]
+            for r in rows:
+                yield (None,) * len(names) + (r,) if isinstance(r, str) else tuple(r.get(n) for n in names) + (None,)
+
+    spark.udtf.register(name, udtf(Parse))
+
+
 def cache_key(kind: Column, text: Column) -> Column:
     return F.concat(F.lit("summary:"), kind, F.lit(":"), S.content_hash(text))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed as X
 from ..functions import scalars as S
@@ -91,13 +92,38 @@ def project_manifest(files: DataFrame, frameworks: DataFrame, managers: DataFram
     return out.select("repo_id", "languages", "framework", "package_manager", "total_files", "total_folders", F.coalesce("__c", F.lit(now)).alias("created_at"), F.lit(now).alias("updated_at"))
 
 
-def project_overview(tables: dict[str, DataFrame]) -> DataFrame:
-    """repo_id and the number of rows of each table."""
+def project_overview(tables: dict[str, DataFrame], saved: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """A row for each repo_id: the number of rows of each table (n_files, ...), the languages of files with their numbers, when it was saved
+    (repo_id, saved_at) and its summary (repo_id, overview)."""
     out = None
     for name, df in tables.items():
         n = df.groupBy("repo_id").agg(F.count("*").alias(f"n_{name}"))
         out = n if out is None else out.join(n, "repo_id", "full_outer")
-    return out.na.fill(0)
+    out = out.na.fill(0)
+    if "files" in tables and "language" in tables["files"].columns:
+        by = tables["files"].where("language is not null").groupBy("repo_id", "language").agg(F.count("*").alias("n"))
+        out = out.join(by.groupBy("repo_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "n")))).alias("languages")), "repo_id", "left")
+    if saved is not None:
+        out = out.join(saved.groupBy("repo_id").agg(F.max("saved_at").alias("saved_at")), "repo_id", "left")
+    if summaries is not None:
+        out = out.join(summaries.select("repo_id", "overview"), "repo_id", "left")
+    return out
+
+
+def top_of_modules(files: DataFrame, symbols: DataFrame, modules: DataFrame, summaries: DataFrame, n: int = 3) -> DataFrame:
+    """What explain_modules() counts, shown: for each module (dir) its summary (target, overview), its n files with most symbols and its n commonest
+    names. Ties by path and name."""
+    inside = join_ancestors(files.select("path").distinct(), modules)
+    sizes = inside.join(symbols.groupBy("path").agg(F.count("*").alias("n")), "path", "left").na.fill(0, ["n"])
+    names = inside.join(symbols.select("path", "name"), "path").groupBy("dir", "name").agg(F.count("*").alias("n"))
+
+    def best(df: DataFrame, what: str, out: str) -> DataFrame:
+        w = Window.partitionBy("dir").orderBy(F.desc("n"), what)
+        top = df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
+        return top.groupBy("dir").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", what))), lambda x: x[what]).alias(out))
+
+    out = modules.select("dir").distinct().join(best(sizes, "path", "top_files"), "dir", "left").join(best(names, "name", "top_names"), "dir", "left")
+    return out.join(summaries.select(F.col("target").alias("dir"), "overview"), "dir", "left")
 
 
 def explain_modules(files: DataFrame, symbols: DataFrame, edges: DataFrame, modules: DataFrame) -> DataFrame:

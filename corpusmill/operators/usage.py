@@ -106,10 +106,6 @@ def latency_stats(events: DataFrame, key: str, value: str) -> DataFrame:
     return run.where("cum > at").groupBy(key).agg(F.max("samples").alias("samples"), F.max("avg").alias("avg"), F.max("max").alias("max"), F.min(value).alias("p95"))
 
 
-def latency_stats_approx(events: DataFrame, key: str, value: str) -> DataFrame:
-    return events.groupBy(key).agg(F.count(value).alias("samples"), F.avg(value).alias("avg"), F.max(value).alias("max"), F.percentile_approx(value, 0.95, 10_000).alias("p95"))
-
-
 SCOPES = {"provider": "provider", "agent": "agent", "session": "session_id", "task": "task_id", "user": "user_id"}
 
 

@@ -88,7 +88,7 @@ def a6_file_tree(spark, d):
 @query(f"WITH {FILES} SELECT repo_id, count(*) AS n_files, count(language) AS n_known, count(DISTINCT language) AS n_languages FROM files GROUP BY 1")
 def a7_project_overview(spark, d):
     f = files(spark, d)
-    return C.project_overview({"files": f, "known": f.where("language is not null"), "languages": f.where("language is not null").select("repo_id", "language").distinct()})
+    return C.project_overview({"files": f, "known": f.where("language is not null"), "languages": f.where("language is not null").select("repo_id", "language").distinct()}).drop("languages")
 
 
 def _links(spark, d):
@@ -448,3 +448,57 @@ def a24_rollup_run_steps(spark, d):
     k = F.col("o_orderkey")
     event = F.to_json(F.struct((k % 1000).alias("input"), (k % 300).alias("output"), ((k % 7) / 100).alias("cost")))
     return A.rollup_run_steps(read(spark, d, "orders").select(F.col("o_custkey").alias("task_id"), F.when(k % 2 == 0, "baseline").otherwise("treatment").alias("mode"), event.alias("event")))
+
+
+@query(f"""WITH {FILES}, l AS (SELECT repo_id, language, count(*) AS n FROM files WHERE language IS NOT NULL GROUP BY 1, 2
+) SELECT repo_id, count(*) AS n_files, (SELECT string_agg(language || ' ' || n, ', ' ORDER BY language) FROM l WHERE l.repo_id = f.repo_id) AS languages, max(doc_id % 1000) AS saved_at, 'about ' || repo_id AS overview FROM files f GROUP BY repo_id""")
+def a7_overview_details(spark, d):
+    f = files(spark, d)
+    saved = read(spark, d, "documents").select(F.concat(F.lit("r"), (F.col("doc_id") % 4).cast("string")).alias("repo_id"), (F.col("doc_id") % 1000).alias("saved_at"))
+    about = f.select("repo_id").distinct().withColumn("overview", F.concat(F.lit("about "), "repo_id"))
+    out = C.project_overview({"files": f}, saved, about)
+    return out.withColumn("languages", F.array_join(F.transform(F.map_entries("languages"), lambda x: F.concat_ws(" ", x["key"], x["value"].cast("string"))), ", "))
+
+
+@query(f"""WITH {FILES}, {_DIRS}, sym AS (SELECT path, 'w' || (doc_id % 7 + k) AS name FROM files, range(0, 3) r(k) WHERE k < doc_id % 4
+), c AS (SELECT d, x.path, count(name) AS n FROM dirs x LEFT JOIN sym USING (path) GROUP BY 1, 2
+), t AS (SELECT d, string_agg(path, ',' ORDER BY n DESC, path) AS top_files FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC, path) <= 3) GROUP BY 1
+), m AS (SELECT d, name, count(*) AS n FROM dirs JOIN sym USING (path) GROUP BY 1, 2
+), w AS (SELECT d, string_agg(name, ',' ORDER BY n DESC, name) AS top_names FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC, name) <= 3) GROUP BY 1)
+SELECT d AS dir, top_files, top_names, CASE WHEN contains(d, '/') THEN 'folder ' || d END AS overview FROM t LEFT JOIN w USING (d)""")
+def a8_module_tops(spark, d):
+    f = files(spark, d)
+    i = F.regexp_extract("path", r"/f(\d+)", 1).cast("long")
+    sym = f.select("path", i.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).where("k < i % 4").select("path", F.concat(F.lit("w"), (F.col("i") % 7 + F.col("k")).cast("string")).alias("name"))
+    mods = C.folder_modules(f).select(F.col("path").alias("dir"))
+    about = mods.where(F.contains("dir", F.lit("/"))).select(F.col("dir").alias("target"), F.concat(F.lit("folder "), "dir").alias("overview"))
+    return C.top_of_modules(f, sym, mods, about).select("dir", F.array_join("top_files", ",").alias("top_files"), F.array_join("top_names", ",").alias("top_names"), "overview")
+
+
+@query("""WITH w AS (SELECT item_id AS task_id, string_split(text, ' ') AS w FROM benchmark), e AS (SELECT DISTINCT task_id, unnest(w[1:4]) AS term FROM w
+), a AS (SELECT task_id, 'baseline' AS mode, array_to_string(w[1:2], ' ') AS text FROM w UNION ALL SELECT task_id, 'treatment', CASE WHEN task_id % 3 <> 0 THEN array_to_string(w, ' ') END FROM w
+), s AS (SELECT task_id, mode, avg(coalesce(contains(lower(text), lower(term)), false)::INTEGER) AS coverage, bool_and(text IS NULL) AS failed FROM a JOIN e USING (task_id) GROUP BY 1, 2
+), p AS (SELECT task_id, mode, coverage, CASE WHEN failed THEN -1 WHEN coverage = 1 THEN 2 WHEN coverage > 0 THEN 1 ELSE 0 END AS points FROM s
+), r AS (SELECT task_id, max(points) FILTER (mode = 'baseline') AS bp, max(coverage) FILTER (mode = 'baseline') AS bc, max(points) FILTER (mode = 'treatment') AS tp, max(coverage) FILTER (mode = 'treatment') AS tc FROM p GROUP BY 1)
+SELECT task_id::VARCHAR AS task_id, bp AS baseline_points, round(bc, 6) AS baseline_coverage, tp AS treatment_points, round(tc, 6) AS treatment_coverage, CASE WHEN bp > tp THEN 'baseline' WHEN tp > bp THEN 'treatment' ELSE 'tie' END AS winner FROM r
+UNION ALL SELECT 'all', sum(bp)::INTEGER, round(avg(bc), 6), sum(tp)::INTEGER, round(avg(tc), 6), 'all' FROM r""")
+def a23_answer_totals(spark, d):
+    """Expected terms are each item's first words; one mode answers with half of them, the other with all or fails."""
+    w = read(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), F.split("text", " ").alias("w"))
+    expected = w.select("task_id", F.explode(F.slice("w", 1, 4)).alias("term")).distinct()
+    base = w.select("task_id", F.lit("baseline").alias("mode"), F.array_join(F.slice("w", 1, 2), " ").alias("text"))
+    other = w.select("task_id", F.lit("treatment").alias("mode"), F.when(F.col("task_id") % 3 != 0, F.array_join("w", " ")).alias("text"))
+    out = A.answer_totals(A.score_answers(base.unionByName(other), expected), ["baseline", "treatment"])
+    return out.select(F.coalesce(F.col("task_id").cast("string"), F.lit("all")).alias("task_id"), "baseline_points", F.round("baseline_coverage", 6).alias("baseline_coverage"), "treatment_points", F.round("treatment_coverage", 6).alias("treatment_coverage"), "winner")
+
+
+@query("""WITH s AS (SELECT o_custkey AS task_id, CASE WHEN o_orderkey % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS mode, o_orderkey AS k, o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 3600) AS moment FROM orders
+), t AS (SELECT *, epoch(lead(moment) OVER (PARTITION BY task_id, mode ORDER BY moment, k)) - epoch(moment) AS took FROM s)
+SELECT task_id, mode, sum(k % 1000)::BIGINT AS input, sum(k % 300)::BIGINT AS output, sum(CASE WHEN k % 3 = 0 THEN k % 50 ELSE 0 END)::BIGINT AS reasoning, sum(k % 70)::BIGINT AS cache_read, 0::BIGINT AS cache_write,
+round(sum((k % 7) / 100.0)::DOUBLE, 6) AS cost, count(*) AS steps, round(avg(took), 3) AS mean_seconds, max(took)::DOUBLE AS longest_seconds FROM t GROUP BY 1, 2""")
+def a24_run_step_details(spark, d):
+    k = F.col("o_orderkey")
+    event = F.to_json(F.struct((k % 1000).alias("input"), (k % 300).alias("output"), F.when(k % 3 == 0, k % 50).alias("reasoning"), (k % 70).alias("cache_read"), ((k % 7) / 100).alias("cost"), k.alias("k")))
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + k % 3600)
+    steps = read(spark, d, "orders").select(F.col("o_custkey").alias("task_id"), F.when(k % 2 == 0, "baseline").otherwise("treatment").alias("mode"), at.alias("at"), event.alias("event"))
+    return A.run_step_details(steps)

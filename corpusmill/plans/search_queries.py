@@ -209,6 +209,20 @@ def r1_r4_w1_search(spark, d):
     return _found(spark, d).select("query_id", "rank", "score", "kind", "key", "path")
 
 
+@query(_SEARCH + " SELECT query_id, rank, score, key FROM hits")
+def r4_lexical_score(spark, d):
+    """The same scores from the texts of all candidates instead of postings."""
+    return R.search(_entities(spark, d), _queries(spark, d), scorer=R.lexical_score).select("query_id", "rank", "score", "key")
+
+
+@query(f"""WITH {ENTITIES}, s AS (SELECT 'part' AS query_id, key, kind, def_kind, length(name) % 5 / 4.0::DOUBLE AS score FROM ent WHERE kind = 'symbol' UNION ALL SELECT 'all', key, kind, def_kind, length(name) % 5 / 4.0::DOUBLE FROM ent)
+SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(def_kind NOT IN ('import', 'export'), false) DESC, kind, key)::INTEGER AS rank FROM s WHERE score >= 0.5 QUALIFY rank <= 40""")
+def w1_rank_hits(spark, d):
+    e = _entities(spark, d).select("key", "kind", "def_kind", (F.length("name") % 5 / 4.0).alias("score"))
+    scored = P.filter_kinds(e, ["symbol"]).withColumn("query_id", F.lit("part")).unionByName(e.withColumn("query_id", F.lit("all")))
+    return R.rank_hits(P.min_score(scored, 0.5), 40).select("query_id", "key", "score", "rank")
+
+
 @query(_SEARCH + " SELECT query_id, rank, score, kind, key FROM hits")
 def r1_search_without_index(spark, d):
     """The same rows from entities that are searched once only."""
@@ -572,6 +586,20 @@ def e5_extract_with(spark, d):
     return rows.select("path", F.lit(None).cast("string").alias("reason")).unionByName(skipped)
 
 
+@query(f"WITH {FILES} SELECT path, CASE WHEN language = 'typescript' THEN NULL WHEN language = 'python' THEN 'ValueError: cannot read' ELSE 'unsupported language: ' || coalesce(language, 'None') END AS reason FROM files")
+def e5_parser_function(spark, d):
+    """The same parsers as a table function in SQL, joined laterally; their kind decides the columns."""
+
+    def first_line(path, content):
+        return [{"path": path, "line": content.split("\n", 1)[0][:80]}]
+
+    def broken(path, content):
+        raise ValueError("cannot read")
+
+    E.register_parsers(spark, {"lines": ("path string, line string", {"typescript": first_line, "python": broken}), "sizes": ("size int", {})})
+    return spark.sql("SELECT f.path, p.skipped AS reason FROM {files} f, LATERAL parse_source('lines', f.path, f.language, f.content) p", files=files(spark, d))
+
+
 @query("""WITH i AS (SELECT conv_id || '/' || turn AS id, turn, 'summary:turn:' || sha256(text) AS key, text FROM conversations), c AS (SELECT DISTINCT key FROM i WHERE turn = 0)
 SELECT id, key, CASE WHEN c.key IS NOT NULL THEN 'kept' ELSE length(text) || ' characters' END AS value, c.key IS NOT NULL AS cache_hit, NULL::VARCHAR AS error FROM i LEFT JOIN c USING (key)""")
 def e8_enrich_with_cache(spark, d):

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import activity, context, extract, filters, graph, policy, scan, search, snapshots, usage
@@ -199,3 +200,33 @@ def test_exports(spark, tmp_path):
     u = spark.createDataFrame([("1", datetime.datetime(2024, 1, 2))], "id string, occurred_at timestamp")
     corpus.append_usage(u, str(tmp_path / "usage"))
     assert spark.read.parquet(str(tmp_path / "usage")).where("day = date'2024-01-02'").count() == 1
+
+
+def test_parser_table_function(spark):
+    from corpusmill.operators import extract as E
+
+    def words(path, content):
+        return [{"path": path, "n": len(w)} for w in content.split()]
+
+    E.register_parsers(spark, {"words": ("path string, n int", {"text": words, "broken": lambda p, c: [{}["x"]]}), "sizes": ("size long", {"text": lambda p, c: [{"size": len(c)}]})}, "parse_test")
+    files = spark.createDataFrame([("a", "text", "one three"), ("b", "broken", "x"), ("c", "other", "y"), ("d", "text", "")], "path string, language string, content string")
+    rows = lambda kind: spark.sql(f"SELECT f.path AS file, p.* FROM {{f}} f, LATERAL parse_test('{kind}', f.path, f.language, f.content) p", f=files)
+    assert sorted(map(str, map(tuple, rows("words").collect()))) == ["('a', 'a', 3, None)", "('a', 'a', 5, None)", "('b', None, None, \"KeyError: 'x'\")", "('c', None, None, 'unsupported language: other')"]
+    assert rows("sizes").columns == ["file", "size", "skipped"] and {(r.file, r.size) for r in rows("sizes").collect()} == {("a", 9), ("b", None), ("c", None), ("d", 0)}
+    with pytest.raises(Exception):
+        rows("nothing").collect()
+
+
+def test_answer_totals_and_run_details(spark):
+    import datetime
+
+    from corpusmill.operators import activity as A
+
+    answers = spark.createDataFrame([(1, "a", "x y"), (1, "b", "x"), (2, "a", None), (2, "b", "none"), (3, "a", "p"), (3, "b", "p")], "task_id long, mode string, text string")
+    expected = spark.createDataFrame([(1, "x"), (1, "y"), (2, "q"), (3, "p")], "task_id long, term string")
+    out = {r.task_id: (r.a_points, r.b_points, r.winner) for r in A.answer_totals(A.score_answers(answers, expected), ["a", "b"]).collect()}
+    assert out == {1: (2, 1, "a"), 2: (-1, 0, "b"), 3: (2, 2, "tie"), None: (3, 3, "all")}
+    t = datetime.datetime(2024, 1, 1)
+    steps = spark.createDataFrame([(1, "a", t, '{"input": 5, "reasoning": 2, "cost": 0.5}'), (1, "a", t + datetime.timedelta(seconds=4), '{"input": 1, "cache_read": 7}'), (1, "a", t + datetime.timedelta(seconds=10), "broken")], "task_id long, mode string, at timestamp, event string")
+    r = A.run_step_details(steps).first()
+    assert (r.input, r.output, r.reasoning, r.cache_read, r.cost, r.steps, r.mean_seconds, r.longest_seconds) == (6, 0, 2, 7, 0.5, 3, 5.0, 6.0)
