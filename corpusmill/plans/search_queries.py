@@ -201,7 +201,8 @@ def _index(spark, d) -> I.Index:
 
 
 def _found(spark, d):
-    return I.search_index(_index(spark, d), _queries(spark, d))
+    """Entities that are searched once only need no stored index."""
+    return R.search(_entities(spark, d), _queries(spark, d))
 
 
 @query(_SEARCH + " SELECT query_id, rank, score, kind, key, path FROM hits")
@@ -224,9 +225,9 @@ def w1_rank_hits(spark, d):
 
 
 @query(_SEARCH + " SELECT query_id, rank, score, kind, key FROM hits")
-def r1_search_without_index(spark, d):
-    """The same rows from entities that are searched once only."""
-    return R.search(_entities(spark, d), _queries(spark, d)).select("query_id", "rank", "score", "kind", "key")
+def r1_indexed_search(spark, d):
+    """The same rows from the stored index, which later searches of the application share."""
+    return I.search_index(_index(spark, d), _queries(spark, d)).select("query_id", "rank", "score", "kind", "key")
 
 
 _PHRASES = _SEARCH.replace("), hits AS (", f"""), ph AS (SELECT query_id, {_WORDS.format('lower(trim(q))')} AS w FROM q WHERE query_id IN (SELECT query_id FROM terms)
