@@ -145,32 +145,50 @@ def transitive_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """pairs (pair_id, src, dst) -> pair_id, distance (null where there is no way), step, node: the nodes of one shortest way.
 
-    Breadth first for all pairs at once; of several parents the smallest is kept. Ways are read backwards by joins.
+    Breadth first from both ends of all pairs at once: each round takes one step on either side, so a way of n edges takes n / 2 rounds, and a
+    pair whose sides have met, or one of whose sides has ended, goes no further. Read backwards from dst, the way takes the smallest of several parents.
     """
-    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    columns = ["pair_id", "node", "parent", "distance"]
-    frontier, d = _settle(pairs.select("pair_id", F.col("src").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("distance"))), 0
+    both = _settle(
+        edges.select(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(edges.select(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("next"))).distinct()
+    )
+    end = lambda side, c: pairs.select("pair_id", F.lit(side).alias("side"), F.col(c).alias("node"), F.lit(0).alias("distance"))
+    frontier, d = _settle(end(0, "src").unionByName(end(1, "dst"))), 0
     found, seen = [frontier], frontier
-    goals = _settle(pairs.select("pair_id", F.col("dst").alias("node")))
-    while d < max_rounds:
+    while not frontier.isEmpty():
+        if d == max_rounds:
+            raise RuntimeError(f"not settled after {max_rounds} rounds")
         d += 1
-        # a pair whose goal is in the frontier has its way; its frontier goes no further
-        open_ = frontier.join(frontier.join(goals, ["pair_id", "node"], "left_semi").select("pair_id"), "pair_id", "left_anti")
-        step = open_.join(e, "node").groupBy("pair_id", F.col("next").alias("node")).agg(F.min(F.col("node").cast("string")).alias("parent"))
-        frontier = _settle(step.join(seen, ["pair_id", "node"], "left_anti").withColumn("distance", F.lit(d)).select(*columns))
-        if frontier.isEmpty():
-            break
+        # the sides meet in a node of this round on both, or of this one and the one before
+        near = together(found[-2:])
+        one, other = (near.where(F.col("side") == k).select("pair_id", "node") for k in (0, 1))
+        alive = frontier.groupBy("pair_id").agg(F.count_distinct("side").alias("sides")).where("sides = 2").select("pair_id")
+        going = alive.join(one.join(other, ["pair_id", "node"]).select("pair_id"), "pair_id", "left_anti")
+        step = frontier.join(going, "pair_id", "left_semi").join(both, ["side", "node"]).select("pair_id", "side", F.col("next").alias("node")).distinct()
+        frontier = _settle(step.join(seen, ["pair_id", "side", "node"], "left_anti").withColumn("distance", F.lit(d)))
         found.append(frontier)
         seen = together(found)
-    ends = _settle(seen.join(goals, ["pair_id", "node"]))
-    longest = ends.agg(F.max("distance")).first()[0] or 0
-    steps = [_settle(ends.select("pair_id", F.col("distance").alias("step"), F.col("node").cast("string").alias("node"), "parent"))]
-    for _ in range(longest):
-        before = steps[-1].where("parent is not null").select("pair_id", (F.col("step") - 1).alias("step"), F.col("parent").alias("node"))
-        # a node's parent was found one round earlier
-        steps.append(_settle(before.join(seen.select("pair_id", F.col("node").cast("string").alias("node"), F.col("distance").alias("step"), "parent"), ["pair_id", "step", "node"]).select("pair_id", "step", "node", "parent")))
-    way = together(steps)
-    return pairs.select("pair_id").join(ends.select("pair_id", "distance"), "pair_id", "left").join(way.select("pair_id", "step", "node"), "pair_id", "left")
+    fore = seen.where("side = 0").select("pair_id", "node", F.col("distance").alias("before"))
+    back = seen.where("side = 1").select("pair_id", "node", F.col("distance").alias("left"))
+    met = _settle(fore.join(back, ["pair_id", "node"]))
+    best = met.groupBy("pair_id").agg(F.min(F.col("before") + F.col("left")).alias("distance"))
+    middle = F.expr("before + left = distance AND before - left IN (0, 1)")
+    # down from all nodes in the middle, each node with the way that reads backwards over smallest parents: at dst one is left
+    text = F.col("node").cast("string")
+    ways = [_settle(met.join(best, "pair_id").where(middle).select("pair_id", "node", "before", "left", F.array(text).alias("way")))]
+    out = both.where("side = 0").select("node", "next")
+    for _ in range(ways[0].agg(F.max("left")).first()[0] or 0):
+        step = ways[-1].where("left > 0").join(out, "node").groupBy("pair_id", F.col("next").alias("node"), "before", (F.col("left") - 1).alias("left")).agg(F.min_by("way", text).alias("way"))
+        ways.append(_settle(step.join(back, ["pair_id", "node", "left"], "left_semi").select("pair_id", "node", "before", "left", F.concat("way", F.array(text)).alias("way"))))
+    ends = together(ways).where("left = 0").select("pair_id", "before", "way")
+    # up from the node in the middle to src
+    whole = [_settle(ends.select("pair_id", F.col("before").alias("step"), F.col("way")[0].alias("node")))]
+    into, fore = both.where("side = 1").select(text.alias("node"), F.col("next").alias("parent")), fore.withColumnsRenamed({"node": "parent", "before": "step"})
+    for _ in range(whole[0].agg(F.max("step")).first()[0] or 0):
+        up = whole[-1].where("step > 0").join(into, "node").select("pair_id", (F.col("step") - 1).alias("step"), "parent").join(fore, ["pair_id", "parent", "step"], "left_semi")
+        whole.append(_settle(up.groupBy("pair_id", "step").agg(F.min(F.col("parent").cast("string")).alias("node"))))
+    lower = ends.select("pair_id", F.posexplode(F.expr("slice(way, 2, size(way))")).alias("at", "node"), "before").select("pair_id", (F.col("before") + F.col("at") + 1).alias("step"), "node")
+    way = together(whole).unionByName(lower)
+    return pairs.select("pair_id").join(best, "pair_id", "left").join(way, "pair_id", "left").select("pair_id", "distance", "step", "node")
 
 
 def _compressed(e: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:

@@ -42,3 +42,41 @@ def test_long_rings_and_ways_settle_in_few_rounds(spark, monkeypatch):
     got = G.scc(ring.union(way).union(loop)).groupBy("component").count().collect()
     assert {(r.component, r["count"]) for r in got} == {(n - 1, n), (3 * n + 500, 501)}
     assert len(tables) < 70
+
+
+def ways(edges, pairs):
+    """Breadth first, one pair at a time: the way read backwards over smallest parents."""
+    out = []
+    for k, a, b in pairs:
+        level, at = {a: 0}, {a}
+        while at and b not in level:
+            at = {y for s, y in edges if s in at} - set(level)
+            level |= dict.fromkeys(at, max(level.values()) + 1)
+        if b not in level:
+            out.append((k, None, None, None))
+            continue
+        way = [b]
+        while level[way[-1]]:
+            way.append(min((s for s, y in edges if y == way[-1] and level.get(s) == level[way[-1]] - 1), key=str))
+        out += [(k, level[b], i, str(n)) for i, n in enumerate(reversed(way))]
+    return sorted(out, key=str)
+
+
+def test_ways_from_both_ends(spark):
+    rnd = random.Random(1)
+    edges = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(75)} | {(100 + i, 101 + i) for i in range(9)}
+    pairs = [(k, rnd.randrange(40), rnd.randrange(40)) for k in range(60)] + [(90, 100, 109), (91, 100, 108), (92, 109, 100), (93, 5, 5), (94, 777, 777), (95, 0, 777)]
+    got = G.shortest_paths(spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame(pairs, "pair_id int, src long, dst long"))
+    assert sorted(map(tuple, got.collect()), key=str) == ways(edges, pairs)
+
+
+def test_a_long_way_takes_half_as_many_rounds(spark, monkeypatch):
+    rounds = []
+    real = G._settle
+    monkeypatch.setattr(G, "_settle", lambda df: rounds.append("distance" in df.columns) or real(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
+    got = G.shortest_paths(edges, spark.createDataFrame([(1, 0, 30), (2, 30, 0)], "pair_id int, src long, dst long")).collect()
+    assert sorted(r.step for r in got if r.pair_id == 1) == list(range(31)) and [r.distance for r in got if r.pair_id == 2] == [None]
+    assert sum(rounds) == 17  # the ends, fifteen rounds, and one that finds nothing open
+    none = spark.createDataFrame([], "pair_id int, src long, dst long")
+    assert G.shortest_paths(edges, none).count() == 0 and G.shortest_paths(edges.limit(0), none).count() == 0
