@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -781,24 +782,31 @@ def p7_filter_kinds(spark, d):
     return P.filter_kinds(_entities(spark, d), ["symbol"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@contextmanager
+def _rocks(spark):
+    """Streams with states of their own keep them in RocksDB."""
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, rocks)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def _streamed(spark, df, transform, mode="append"):
     """df written to the shared folder, read as a stream through transform in one micro-batch, and what comes out read back.
 
     Not availableNow: a query whose state has a time to live would run empty micro-batches for ever."""
     root = f"{shared_folder(spark)}/cm-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/in")
-    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, rocks)
-    try:
+    with _rocks(spark):
         out = transform(spark.readStream.schema(df.schema).parquet(f"{root}/in"))
         w = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(once=True)
         if mode == "append":
             w.format("parquet").start(f"{root}/out").awaitTermination()
         else:  # all groups so far, each time
             w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out")).start().awaitTermination()
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
@@ -806,7 +814,17 @@ def _streamed(spark, df, transform, mode="append"):
 ), e AS (SELECT kind, event_id, ord, value AS ema FROM r WHERE ord = 1
 UNION ALL SELECT r.kind, r.event_id, r.ord, CASE WHEN e.ema = 0 THEN r.value ELSE floor(0.7::DOUBLE * e.ema + 0.3::DOUBLE * r.value + 0.5::DOUBLE) END FROM e JOIN r ON r.kind = e.kind AND r.ord = e.ord + 1) SELECT kind, event_id, ema FROM e""")
 def d7_stream_latency_ema(spark, d):
-    return _streamed(spark, _events(spark, d).select("kind", "event_id", "ts", "value"), ST.stream_latency_ema)
+    """Events in four files, dealt out without regard to time, a micro-batch each; an event far in the future then moves the watermark past all."""
+    e = _events(spark, d).select("kind", "event_id", "ts", "value")
+    root = f"{shared_folder(spark)}/cm-{uuid.uuid4().hex}"
+    dealt = e.withColumn("file", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    for k in range(4):
+        dealt.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    e.agg(F.lit("end").alias("kind"), F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 730 DAYS")).alias("ts"), F.lit(1.0).alias("value")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    with _rocks(spark):
+        source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        ST.write_averages(ST.stream_latency_ema(source, late="365 days"), f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out/averages").where("event_id >= 0").select("kind", "event_id", "ema")
 
 
 @query("SELECT user_id::VARCHAR AS scope, 3000::DOUBLE AS token_limit FROM events GROUP BY user_id HAVING sum(floor(value)) > 3000")

@@ -41,28 +41,91 @@ def activity_sessions(events: DataFrame, user: str = "user_id", time: str = "ts"
     return e.groupBy(user, F.session_window(time, gap)).agg(F.count("*").alias("events")).select(user, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
+def _ms(micros: int) -> int:
+    return -(-micros // 1000)
+
+
 class _Ema(StatefulProcessor):
+    """Rows wait in a list until the watermark has passed them; a timer a key, at the earliest of them, lets out all that it has passed, in order."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "ema double")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, value double")
+        self.last = handle.getValueState("last", "at long, event_id long, ema double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        now = self.now.get()[0] if self.now.exists() else 0.0
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # the rows of one key in one micro-batch
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, event_id, _ = self.last.get() if self.last.exists() else (None, None, 0.0)
+        first, late = None, []
+        for pdf in rows:
+            for row in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["value"].tolist()):
+                if at is not None and row[:2] < (at, event_id):  # one that comes after it has been averaged already
+                    late.append(row[1])
+                else:
+                    self.waiting.appendValue(row)
+                    first = row[0] if first is None else min(first, row[0])
+        if first is not None:
+            at, timers = _ms(first), list(self.handle.listTimers())
+            if all(t > at for t in timers):
+                for t in timers:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(at)
+        yield self._out(key, late, [None] * len(late), True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        now = self.last.get()[2] if self.last.exists() else 0.0
         out = []
-        for v in batch["value"]:
-            now = float(v) if now == 0 else float(int(0.7 * now + 0.3 * float(v) + 0.5))
+        for _, _, v in due:
+            now = v if now == 0 else float(int(0.7 * now + 0.3 * v + 0.5))
             out.append(now)
-        self.now.update((now,))
-        yield pd.DataFrame({"kind": key[0], "event_id": batch["event_id"].to_numpy(), "ema": out})
+        if due:
+            self.last.update((due[-1][0], due[-1][1], now))
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:  # the timer that has run out goes by itself
+            self.handle.registerTimer(_ms(rest[0][0]))
+        yield self._out(key, [r[1] for r in due], out, False)
+
+    @staticmethod
+    def _out(key, ids: list, averages: list, late: bool) -> pd.DataFrame:
+        n = len(ids)
+        return pd.DataFrame({"kind": pd.Series([key[0]] * n, dtype=object), "event_id": pd.Series(ids, dtype="int64"), "ema": pd.Series(averages, dtype="float64"), "late": pd.Series([late] * n, dtype=bool)})
 
     def close(self) -> None:
         pass
 
 
-def stream_latency_ema(events: DataFrame) -> DataFrame:
-    """events (kind, event_id, ts, value) -> kind, event_id, ema: one number of state a kind; within a micro-batch rows
-    are taken in event time, across micro-batches as they arrive."""
-    return events.groupBy("kind").transformWithStateInPandas(_Ema(), "kind string, event_id long, ema double", "append", "none")
+def stream_latency_ema(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """events (kind, event_id, ts, value) -> kind, event_id, ema, late: the rounded moving average of each kind in event time, however rows arrive.
+
+    A row goes in when the watermark, `late` behind the newest ts, has passed it; until then it is state, and so is one number a kind. Late rows,
+    those that come after a later one of their kind has gone in, change no average: they come out with late set and no ema (count them by
+    late_counts). Rows of one (ts, event_id) go in by value; rows without ts, event_id or value take no part. The newest rows come out
+    when newer ones have moved the watermark.
+    """
+    e = events.where("ts IS NOT NULL AND event_id IS NOT NULL AND value IS NOT NULL").withWatermark("ts", late)
+    # without the time column itself, or Spark would drop late rows before they could be told
+    rows = e.select("kind", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"))
+    return rows.groupBy("kind").transformWithStateInPandas(_Ema(), "kind string, event_id long, ema double, late boolean", "append", "eventTime")
+
+
+def write_averages(averages: DataFrame, root: str, checkpoint: str, once: bool = True):
+    """What stream_latency_ema gives, to two tables under root: averages and late. Each micro-batch writes its own folder, so one that runs twice counts once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = stored(batch)
+        for name, which in (("averages", "NOT late"), ("late", "late")):
+            rows.where(which).drop("late").write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        forget(rows)
+
+    w = averages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
+def late_counts(late: DataFrame) -> DataFrame:
+    """The late table of write_averages -> batch, kind, late_rows."""
+    return late.groupBy("batch", "kind").agg(F.count("*").alias("late_rows"))
 
 
 class _Alerts(StatefulProcessor):
@@ -72,7 +135,7 @@ class _Alerts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("used", "used double, told boolean", ttlDurationMs=self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         used, told = self.state.get() if self.state.exists() else (0.0, False)
         out = []
         for pdf in rows:

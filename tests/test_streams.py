@@ -1,6 +1,7 @@
 """Streams give what their batch twins give."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,12 +128,30 @@ def rocks(spark):
 def test_latency_ema(spark, events, tmp_path, rocks):
     from corpusmill.operators import activity
 
-    batch, stream = events
-    drain(streams.stream_latency_ema(stream), "ema", tmp_path, "append")
-    got = {(r.kind, r.event_id): r.ema for r in spark.table("ema").collect()}
-    assert len(got) == batch.count()
-    want = activity.latency_ema(batch, "kind", "value", ["ts", "event_id"]).where("kind = 'view'").orderBy("ord").collect()
-    assert [v for (k, _), v in sorted(got.items()) if k == "view"] == [r.ema for r in want]
+    batch, _ = events
+    src, rnd = tmp_path / "in", random.Random(3)
+    data = [tuple(r) for r in batch.select("event_id", "ts", "kind", "value").collect()]
+    data.append((7, data[7][1], data[7][2], 3.0))  # the same event once more
+    schema = "event_id long, ts timestamp, kind string, value double"
+    data.sort(key=lambda r: r[1] + datetime.timedelta(minutes=rnd.randrange(600)))  # up to ten hours out of order
+    odd = [(None, T0, "view", 1.0), (9_000, None, "view", 1.0), (9_001, T0, "view", None)]
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        out = streams.stream_latency_ema(spark.readStream.schema(schema).parquet(str(src)), late="11 hours")
+        streams.write_averages(out, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+
+    for k in range(3):
+        run(data[k * len(data) // 3 : (k + 1) * len(data) // 3] + (odd if k == 1 else []))
+    run([(-1, T0 + datetime.timedelta(days=30), "end", 1.0)])
+    run([(9_002, T0, "view", 5.0), (9_003, T0 + datetime.timedelta(days=29), "view", 7.0), (9_004, T0, "new", 2.0), (-2, T0 + datetime.timedelta(days=60), "end", 1.0)])
+    got = spark.read.parquet(str(tmp_path / "out/averages"))
+    whole = spark.createDataFrame(data + [(9_003, T0 + datetime.timedelta(days=29), "view", 7.0), (9_004, T0, "new", 2.0), (-1, T0 + datetime.timedelta(days=30), "end", 1.0)], schema)
+    want = activity.latency_ema(whole, "kind", "value", ["ts", "event_id", "value"])
+    assert sorted((r.kind, r.ema) for r in got.collect()) == sorted((r.kind, r.ema) for r in want.collect())
+    assert {(r.event_id, r.kind) for r in got.collect()} == {(r[0], r[2]) for r in whole.select(*schema.replace(",", "").split()[::2]).collect()}
+    late = streams.late_counts(spark.read.parquet(str(tmp_path / "out/late"))).collect()
+    assert [(r.kind, r.late_rows) for r in late] == [("view", 1)]
 
 
 def test_limit_alerts(spark, events, tmp_path, rocks):
