@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from contextlib import suppress
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import filters
+from .tree import CorpusTree
 from .versions import Conflict, last_version, put_version
 
 SNAPSHOT_VERSION = 1
@@ -47,6 +49,27 @@ def read_corpus(spark: SparkSession, root: str, ignored: list[str] | None = None
     return files.select("path", S.detect_language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("content"))
 
 
+def scan_tree(spark: SparkSession, root: str, ignored: list[str] | None = None, max_depth: int | None = None, rules: str = "", ignore_file: str | None = None, content: bool = False) -> DataFrame:
+    """scan_corpus by a source that never enters what is ignored, by name or by ignore rules; with content, as UTF-8, if wanted.
+
+    Hidden files count too. Directories are dealt out to tasks; the driver lists the topmost ones only.
+    """
+    spark.dataSource.register(CorpusTree)
+    options = {"content": str(content).lower(), "rules": rules, "ignored": None if ignored is None else json.dumps(ignored), "max_depth": max_depth, "ignore_file": ignore_file}
+    found = spark.read.format("corpus_tree").options(**{k: v for k, v in options.items() if v is not None}).load(root)
+    path = F.col("path")
+    columns = ["path", S.basename(path).alias("name"), S.extension_of(path).alias("extension"), S.detect_language(path).alias("language"), "size_bytes", "modified_at"]
+    return found.select(*columns, *([F.decode("content", "UTF-8").alias("content")] if content else []))
+
+
+def tree_changes(now: DataFrame, before: DataFrame) -> DataFrame:
+    """Two listings (path, size_bytes, modified_at) -> path, deleted, modified_at of files that are new, look different or are gone."""
+    b = before.select("path", F.col("size_bytes").alias("__size"), F.col("modified_at").alias("__at"), F.lit(True).alias("__had"))
+    n = now.select("path", "size_bytes", "modified_at", F.lit(True).alias("__has"))
+    both = n.join(b, "path", "full_outer").where("__has IS NULL OR __had IS NULL OR NOT (size_bytes <=> __size) OR NOT (modified_at <=> __at)")
+    return both.select("path", F.col("__has").isNull().alias("deleted"), F.coalesce("modified_at", "__at").alias("modified_at"))
+
+
 def corpus_from_table(df: DataFrame, path: Column, text: Column, lang: Column | None = None, repo: Column | None = None) -> DataFrame:
     """A document table as files: repo_id, path, language (the path's where lang is null), content, size_bytes."""
     language = S.detect_language(path) if lang is None else F.coalesce(lang, S.detect_language(path))
