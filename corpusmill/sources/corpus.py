@@ -41,16 +41,16 @@ def _quoted(text: str) -> str:
 
 
 def read_corpus(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
-    """path, language, content of the files below root, decoded as UTF-8."""
+    """path, language, content of the files below root, decoded as UTF-8 (bytes that are none become U+FFFD)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = root.rstrip("/").removeprefix("file://")
     relative = F.regexp_replace(F.col("path"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:/{0,2})?" + _quoted(prefix) + "/", "")
     files = filters.drop_ignored_dirs(found.select(relative.alias("path"), "content"), ignored)
-    return files.select("path", S.detect_language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("content"))
+    return files.select("path", S.detect_language(F.col("path")).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def scan_tree(spark: SparkSession, root: str, ignored: list[str] | None = None, max_depth: int | None = None, rules: str = "", ignore_file: str | None = None, content: bool = False) -> DataFrame:
-    """scan_corpus by a source that never enters what is ignored, by name or by ignore rules; with content, as UTF-8, if wanted.
+    """scan_corpus by a source that never enters what is ignored, by name or by ignore rules; with content, as UTF-8 (bytes that are none become U+FFFD), if wanted.
 
     Hidden files count too. Directories are dealt out to tasks; the driver lists the topmost ones only.
     """
@@ -59,7 +59,7 @@ def scan_tree(spark: SparkSession, root: str, ignored: list[str] | None = None,
     found = spark.read.format("corpus_tree").options(**{k: v for k, v in options.items() if v is not None}).load(root)
     path = F.col("path")
     columns = ["path", S.basename(path).alias("name"), S.extension_of(path).alias("extension"), S.detect_language(path).alias("language"), "size_bytes", "modified_at"]
-    return found.select(*columns, *([F.decode("content", "UTF-8").alias("content")] if content else []))
+    return found.select(*columns, *([F.make_valid_utf8(F.col("content").cast("string")).alias("content")] if content else []))
 
 
 def tree_changes(now: DataFrame, before: DataFrame) -> DataFrame:

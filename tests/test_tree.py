@@ -55,3 +55,8 @@ def test_changes_with_deletions(spark):
     now = spark.createDataFrame([("same", 1, t0), ("size", 2, t0), ("time", 1, t1), ("new", 1, t1), ("null", None, None)], ddl)
     got = corpus.tree_changes(now, before).select("path", "deleted", F.col("modified_at") == t1).collect()
     assert sorted(map(tuple, got)) == [("gone", True, False), ("new", False, True), ("size", False, False), ("time", False, True)]
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "a.ts").write_bytes(b"class A\xff {}")
+    assert [r.content for r in corpus.scan_tree(spark, str(tmp_path), content=True).collect()] == [r.content for r in corpus.read_corpus(spark, str(tmp_path)).collect()] == ["class A� {}"]
