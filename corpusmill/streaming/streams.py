@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,24 +46,43 @@ def _ms(micros: int) -> int:
     return -(-micros // 1000)
 
 
+#: Rows that share one entry of waiting state: an entry is a call to the state store, so rows do not go there one by one.
+EMA_CHUNK = 8192
+
+
 class _Ema(StatefulProcessor):
-    """Rows wait in a list until the watermark has passed them; a timer a key, at the earliest of them, lets out all that it has passed, in order."""
+    """Rows wait in a list of chunks until the watermark has passed them; a timer a key, at the earliest of them, lets out all that it has passed, in order."""
+
+    def __init__(self, chunk: int):
+        self.chunk = chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, event_id long, value double")
+        self.waiting = handle.getListState("waiting", "at array<long>, event_id array<long>, value array<double>")
         self.last = handle.getValueState("last", "at long, event_id long, ema double")
 
+    def _chunks(self, rows: list) -> list[tuple]:
+        """rows (arrays of at, event_id, value) in entries of the list."""
+        return [tuple(c[i : i + self.chunk].tolist() for c in rows) for i in range(0, len(rows[0]), self.chunk)]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, event_id, _ = self.last.get() if self.last.exists() else (None, None, 0.0)
-        first, late = None, []
+        last = self.last.get() if self.last.exists() else None
+        first, late, held, n = None, [], [], 0
         for pdf in rows:
-            for row in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["value"].tolist()):
-                if at is not None and row[:2] < (at, event_id):  # one that comes after it has been averaged already
-                    late.append(row[1])
-                else:
-                    self.waiting.appendValue(row)
-                    first = row[0] if first is None else min(first, row[0])
+            new = [pdf[c].to_numpy() for c in ("at", "event_id", "value")]
+            if last is not None:  # one that comes after them has been averaged already
+                gone = (new[0] < last[0]) | ((new[0] == last[0]) & (new[1] < last[1]))
+                late += new[1][gone].tolist()
+                new = [c[~gone] for c in new]
+            if len(new[0]):
+                least = int(new[0].min())
+                first = least if first is None else min(first, least)
+                held, n = held + [new], n + len(new[0])
+            if n >= self.chunk:
+                self.waiting.appendList(self._chunks([np.concatenate(c) for c in zip(*held)]))
+                held, n = [], 0
+        if n:
+            self.waiting.appendList(self._chunks([np.concatenate(c) for c in zip(*held)]))
         if first is not None:
             at, timers = _ms(first), list(self.handle.listTimers())
             if all(t > at for t in timers):
@@ -73,19 +93,25 @@ class _Ema(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        parts = [[np.asarray(c, t) for c, t in zip(r, ("int64", "int64", "float64"))] for r in self.waiting.get()] if self.waiting.exists() else []
+        if not parts:
+            return
+        at, ids, values = (np.concatenate(c) for c in zip(*parts))
+        wait = at > passed
+        rest, due = [c[wait] for c in (at, ids, values)], [c[~wait] for c in (at, ids, values)]
+        order = np.lexsort(due[::-1])
+        due = [c[order] for c in due]
         now = self.last.get()[2] if self.last.exists() else 0.0
         out = []
-        for _, _, v in due:
+        for v in due[2].tolist():
             now = v if now == 0 else float(int(0.7 * now + 0.3 * v + 0.5))
             out.append(now)
-        if due:
-            self.last.update((due[-1][0], due[-1][1], now))
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if rest:  # the timer that has run out goes by itself
-            self.handle.registerTimer(_ms(rest[0][0]))
-        yield self._out(key, [r[1] for r in due], out, False)
+        if out:
+            self.last.update((int(due[0][-1]), int(due[1][-1]), now))
+            self.waiting.put(self._chunks(rest)) if wait.any() else self.waiting.clear()
+        if wait.any():  # the timer that has run out goes by itself
+            self.handle.registerTimer(_ms(int(rest[0].min())))
+        yield self._out(key, due[1].tolist(), out, False)
 
     @staticmethod
     def _out(key, ids: list, averages: list, late: bool) -> pd.DataFrame:
@@ -107,7 +133,7 @@ def stream_latency_ema(events: DataFrame, late: str = "1 hour") -> DataFrame:
     e = events.where("ts IS NOT NULL AND event_id IS NOT NULL AND value IS NOT NULL").withWatermark("ts", late)
     # without the time column itself, or Spark would drop late rows before they could be told
     rows = e.select("kind", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"))
-    return rows.groupBy("kind").transformWithStateInPandas(_Ema(), "kind string, event_id long, ema double, late boolean", "append", "eventTime")
+    return rows.groupBy("kind").transformWithStateInPandas(_Ema(EMA_CHUNK), "kind string, event_id long, ema double, late boolean", "append", "eventTime")
 
 
 def write_averages(averages: DataFrame, root: str, checkpoint: str, once: bool = True):

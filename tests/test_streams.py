@@ -161,3 +161,61 @@ def test_limit_alerts(spark, events, tmp_path, rocks):
     drain(streams.stream_limit_alerts(used, limits), "alerts", tmp_path, "append", once=True)  # with a time to live, availableNow runs empty batches for ever
     out = spark.table("alerts").collect()
     assert [r.scope for r in out] == ["view"] and out[0].used > 100
+
+
+def test_waiting_rows_share_entries_of_state():
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.rows = name, []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            calls.append(self.name)
+            return iter(self.rows) if self.name == "waiting" else self.rows[0]
+
+        def appendList(self, rows):
+            calls.append(self.name)
+            self.rows += rows
+
+        def put(self, rows):
+            calls.append(self.name)
+            self.rows = list(rows)
+
+        def appendValue(self, row):
+            self.appendList([row])
+
+        def update(self, row):
+            self.put([row])
+
+        def clear(self):
+            self.put([])
+
+    class Handle:
+        timers = []
+        getListState = getValueState = lambda self, name, ddl: State(name)
+        listTimers = lambda self: list(self.timers)
+        registerTimer = lambda self, t: self.timers.append(t)
+        deleteTimer = lambda self, t: self.timers.remove(t)
+
+    class Passed:
+        def getCurrentWatermarkInMs(self):
+            return 15
+
+    ema = streams._Ema(streams.EMA_CHUNK)
+    ema.init(Handle())
+    rows = [(at, i, float(i % 97)) for i, at in enumerate(random.Random(5).sample(range(20_000), 20_000))]
+    pdfs = [pd.DataFrame(rows[i : i + 500], columns=["at", "event_id", "value"]) for i in range(0, len(rows), 500)]
+    assert sum(len(p) for p in ema.handleInputRows(("k",), iter(pdfs), None)) == 0
+    (out,) = ema.handleExpiredTimer(("k",), Passed(), None)
+    want, now = [], 0.0
+    for _, _, v in (due := sorted(r for r in rows if r[0] <= 15_000)):
+        now = v if now == 0 else float(int(0.7 * now + 0.3 * v + 0.5))
+        want.append(now)
+    assert out["event_id"].tolist() == [r[1] for r in due] and out["ema"].tolist() == want
+    assert sum(len(c[0]) for c in ema.waiting.rows) == 20_000 - len(due) and len(calls) < 20
