@@ -189,6 +189,18 @@ def test_no_cartesian_product_in_search(spark, capsys):
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
 
 
+def test_scorer_is_told_whole_words(spark):
+    f = spark.createDataFrame([("r", "a/auth.ts", "ts", "login code, log in"), ("r", "b/login.ts", "ts", "helper_login x"), ("r", "c/c.ts", "ts", None)], "repo_id string, path string, language string, content string")
+    q = spark.createDataFrame([(1, "where is the logn"), (2, "login auth.ts"), (3, "code log help")], "query_id int, q string")
+    e = search.build_search_entities(f)
+    told = lambda term, name, text, sim, word: search.lexical_score(term, name, text, sim, word)
+    split = lambda term, name, text, sim: search.lexical_score(term, name, text, sim)
+    want = rows(search.search(e, q), "query_id", "rank", "score", "key")
+    assert want == rows(search.search(e, q, scorer=told), "query_id", "rank", "score", "key") == rows(search.search(e, q, scorer=split), "query_id", "rank", "score", "key")
+    whole = lambda term, name, text, sim, word: F.when(word, 1.0).otherwise(0.0)
+    assert rows(search.search(e, q, fuzzy=False, scorer=whole), "query_id", "path", "score") == [(2, "a/auth.ts", 0.5), (2, "b/login.ts", 0.5), (3, "a/auth.ts", 0.666667)]
+
+
 def test_exports(spark, tmp_path):
     daily = spark.createDataFrame([("2024-01-01", 2, 5)], "date string, scans int, tokens_used int")
     corpus.export_daily_csv(daily, str(tmp_path / "csv"))
