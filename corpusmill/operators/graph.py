@@ -195,28 +195,42 @@ def _compressed(e: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame |
     """Edges without their chains: nodes of one edge in and one out are passed over, whole runs of them at once.
 
     Also what was passed over (node, before, after: the ends of its run), and the nodes of rings that are nothing but chain (node, color: the
-    ring's greatest node). Pointers double in each round, so a run of n nodes takes log2(n) of them.
+    ring's greatest node). Pointers double in each round, so a run of n nodes takes log2(n) of them, and a node that knows its run takes part in
+    no more. In a ring, a node sees the greatest of the nodes ahead; where the stretch behind those has the same greatest, the two stretches
+    have gone round the ring. The next round the whole ring knows, so such a node answers for one round yet and leaves.
     """
-    ends = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("after")).where("n = 1")
-    starts = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("before")).where("n = 1")
-    chain = _settle(ends.select("node", "after").join(starts.select("node", "before"), "node"))
-    size = chain.count()
-    if not size:
+    ends = e.select(F.col("src").alias("node"), F.col("dst").alias("after"), F.lit(None).cast(e.schema["src"].dataType).alias("before"))
+    starts = e.select(F.col("dst").alias("node"), F.lit(None).cast(e.schema["src"].dataType).alias("after"), F.col("src").alias("before"))
+    near = ends.unionByName(starts).groupBy("node").agg(F.count("after").alias("n_out"), F.count("before").alias("n_in"), F.min("after").alias("after"), F.min("before").alias("before"))
+    chain = _settle(near.where("n_out = 1 and n_in = 1").select("node", "before", "after"))
+    if chain.isEmpty():
         return e, None, None
-    own = chain.select("node", F.lit(True).alias("inner"))
-    both = lambda df: df.join(own.toDF("after", "more"), "after", "left").join(own.toDF("before", "less"), "before", "left").select("node", "before", "after", "color", F.coalesce("less", F.lit(False)).alias("less"), F.coalesce("more", F.lit(False)).alias("more"))
-    at, hops = _settle(both(chain.withColumn("color", F.greatest("node", "after")))), 1
-    while hops < 2 * size and not at.where("less or more").isEmpty():
-        ahead = at.select(F.col("node").alias("after"), F.col("after").alias("after2"), F.col("more").alias("more2"), F.col("color").alias("color2"))
-        back = at.select(F.col("node").alias("before"), F.col("before").alias("before2"), F.col("less").alias("less2"))
-        step = at.join(ahead, "after", "left").join(back, "before", "left")
-        new = _settle(step.select("node", F.coalesce("before2", "before").alias("before"), F.coalesce("after2", "after").alias("after"), F.greatest("color", F.coalesce("color2", "color")).alias("color"), F.coalesce("less2", "less").alias("less"), F.coalesce("more2", "more").alias("more")))
-        forget(at)
-        at, hops = new, hops * 2
-    rings = at.where("more").select("node", "color")  # a run that never ends
-    passed = at.where("not more").select("node", "before", "after")
-    gone = own.select("node")
-    left = e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    own = chain.select("node")
+    gone = own.withColumn("inner", F.lit(True))
+    both = chain.join(gone.withColumnsRenamed({"node": "after", "inner": "more"}), "after", "left").join(gone.withColumnsRenamed({"node": "before", "inner": "less"}), "before", "left")
+    at = _settle(both.select("node", "before", "after", F.col("node").alias("color"), F.coalesce("less", F.lit(False)).alias("less"), F.coalesce("more", F.lit(False)).alias("more"), F.lit(False).alias("round")))
+    tables = [at]
+    while not (going := at.where("less or more")).isEmpty():
+        # each tells the node at its one end what lies at its other; pointers between chain nodes are mutual
+        tell = F.array(
+            F.struct("node", "before", "after", "color", "less", "more", F.col("round").alias("old"), F.lit(0).alias("role")),
+            F.when(F.col("more"), F.struct(F.col("after").alias("node"), "before", F.lit(None).alias("after"), F.lit(None).alias("color"), "less", F.lit(None).alias("more"), F.lit(None).alias("old"), F.lit(1).alias("role"))),
+            F.when(F.col("less"), F.struct(F.col("before").alias("node"), F.lit(None).alias("before"), "after", "color", F.lit(None).alias("less"), "more", F.lit(None).alias("old"), F.lit(2).alias("role"))),
+        )
+        told = going.select(F.explode(tell).alias("m")).where("m is not null").select("m.*")
+        of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+        heard = told.groupBy("node").agg(
+            *[of(0, c).alias(c) for c in ("before", "after", "color", "less", "more", "old")], of(1, "before").alias("before2"), of(1, "less").alias("less2"), of(2, "after").alias("after2"), of(2, "color").alias("color2"), of(2, "more").alias("more2"),
+        ).where("not old")
+        at = _settle(heard.select(
+            "node", F.coalesce("before2", "before").alias("before"), F.coalesce("after2", "after").alias("after"), F.greatest("color", "color2").alias("color"),
+            F.coalesce("less2", "less").alias("less"), F.coalesce("more2", "more").alias("more"), F.coalesce(F.col("color") == F.col("color2"), F.lit(False)).alias("round"),
+        ))
+        tables.append(at)
+    known = together(tables)
+    rings = known.where("round").select("node", "color")
+    passed = known.where("not less and not more").select("node", "before", "after")
+    left = e.join(own.withColumnRenamed("node", "src"), "src", "left_anti").join(own.withColumnRenamed("node", "dst"), "dst", "left_anti")
     runs = passed.select(F.col("before").alias("src"), F.col("after").alias("dst")).where("src <> dst")
     return _settle(left.select("src", "dst").unionByName(runs).distinct()), passed, rings
 

@@ -80,3 +80,16 @@ def test_a_long_way_takes_half_as_many_rounds(spark, monkeypatch):
     assert sum(rounds) == 17  # the ends, fifteen rounds, and one that finds nothing open
     none = spark.createDataFrame([], "pair_id int, src long, dst long")
     assert G.shortest_paths(edges, none).count() == 0 and G.shortest_paths(edges.limit(0), none).count() == 0
+
+
+def test_many_short_rings_take_no_more_rounds_than_a_few(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(G, "_settle", lambda df, real=G._settle: tables.append(1) or real(df))
+    rounds = []
+    for n in (3, 3000):
+        tables.clear()
+        rings = spark.range(n * 10).selectExpr("id AS src", "id - id % 10 + (id + 1) % 10 AS dst")
+        got = G.scc(rings)
+        assert got.count() == n * 10 and got.where("component <> node - node % 10 + 9").isEmpty()
+        rounds.append(len(tables))
+    assert rounds[0] == rounds[1]
