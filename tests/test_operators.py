@@ -242,3 +242,21 @@ def test_answer_totals_and_run_details(spark):
     steps = spark.createDataFrame([(1, "a", t, '{"input": 5, "reasoning": 2, "cost": 0.5}'), (1, "a", t + datetime.timedelta(seconds=4), '{"input": 1, "cache_read": 7}'), (1, "a", t + datetime.timedelta(seconds=10), "broken")], "task_id long, mode string, at timestamp, event string")
     r = A.run_step_details(steps).first()
     assert (r.input, r.output, r.reasoning, r.cache_read, r.cost, r.steps, r.mean_seconds, r.longest_seconds) == (6, 0, 2, 7, 0.5, 3, 5.0, 6.0)
+
+
+def test_references_move_once_for_their_spans_and_once_for_each_table_of_names(spark):
+    symbols = spark.createDataFrame([("c", "f", "C", "class", None, 1, 9, 0, True), ("m", "f", "go", "method", "c", 2, 4, 0, False), ("t", "f", "go", "function", None, 300, 300, 0, False), ("u", "f", "up", "function", None, 10, 12, 0, False)], "id string, path string, name string, kind string, parent_id string, start_line int, end_line int, start_col int, exported boolean")
+    refs = spark.createDataFrame([("1", "f", "go", "calls", 3), ("1", "f", "go", "calls", 3), ("2", "f", "go", "calls", 11), ("3", "f", "up", "reads", 11), ("4", "f", "no", "reads", 3), ("5", "f", "up", "reads", 600), ("6", None, "up", "reads", 3), ("7", "f", "go", "calls", 12), ("7", "f", "up", "reads", 3)], "ref_id string, path string, name string, kind string, line int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = graph.resolve_references(refs, symbols)
+        assert sorted(map(tuple, got.collect())) == [("1", "m"), ("1", "m"), ("2", "t"), ("3", "u"), ("5", "u"), ("7", "t"), ("7", "u")]
+        assert got._jdf.queryExecution().sparkPlan().toString().count("Join") == 3
+        assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    imports = spark.createDataFrame([], "import_id string, from_path string, specifier string")
+    edges = graph.build_graph(symbols, refs, imports, spark.createDataFrame([("f",)], "path string"))[1]
+    used = sorted((r.src, r.dst, r.kind) for r in edges.where("kind in ('calls', 'reads')").collect())
+    # rows of one ref_id are references of their own: the seventh gives no edge that crosses its two rows
+    assert used == [("n:file:f", "n:u", "reads"), ("n:m", "n:m", "calls"), ("n:m", "n:u", "reads"), ("n:u", "n:t", "calls"), ("n:u", "n:u", "reads")]
