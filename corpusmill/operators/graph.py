@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from .stored import stored as _settle
-from .stored import forget, together
+from .stored import shared_folder, together
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -165,15 +166,25 @@ def transitive_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return k_hop(edges, seeds)
 
 
+def _both_ways(edges: DataFrame) -> tuple[DataFrame, str]:
+    """Edges from either end: side (0 from src, 1 from dst), node, next, each once; a table bucketed by side and node, and its name.
+
+    It moves once; each round's nodes go to its buckets. The catalog entry is to be dropped in the end, the files are the shared folder's.
+    """
+    spark, name = edges.sparkSession, "cm_" + uuid.uuid4().hex
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = edges.select(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(edges.select(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("next")))
+    both.repartition(n, "side", "node").distinct().write.bucketBy(n, "side", "node").sortBy("side", "node").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name), name
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """pairs (pair_id, src, dst) -> pair_id, distance (null where there is no way), step, node: the nodes of one shortest way.
 
     Breadth first from both ends of all pairs at once: each round takes one step on either side, so a way of n edges takes n / 2 rounds, and a
     pair whose sides have met, or one of whose sides has ended, goes no further. Read backwards from dst, the way takes the smallest of several parents.
     """
-    both = _settle(
-        edges.select(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(edges.select(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("next"))).distinct()
-    )
+    both, name = _both_ways(edges)
     end = lambda side, c: pairs.select("pair_id", F.lit(side).alias("side"), F.col(c).alias("node"), F.lit(0).alias("distance"))
     frontier, d = _settle(end(0, "src").unionByName(end(1, "dst"))), 0
     found, seen = [frontier], frontier
@@ -197,20 +208,21 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000)
     middle = F.expr("before + left = distance AND before - left IN (0, 1)")
     # down from all nodes in the middle, each node with the way that reads backwards over smallest parents: at dst one is left
     text = F.col("node").cast("string")
-    ways = [_settle(met.join(best, "pair_id").where(middle).select("pair_id", "node", "before", "left", F.array(text).alias("way")))]
-    out = both.where("side = 0").select("node", "next")
+    ways = [_settle(met.join(best, "pair_id").where(middle).select("pair_id", F.lit(0).alias("side"), "node", "before", "left", F.array(text).alias("way")))]
     for _ in range(ways[0].agg(F.max("left")).first()[0] or 0):
-        step = ways[-1].where("left > 0").join(out, "node").groupBy("pair_id", F.col("next").alias("node"), "before", (F.col("left") - 1).alias("left")).agg(F.min_by("way", text).alias("way"))
-        ways.append(_settle(step.join(back, ["pair_id", "node", "left"], "left_semi").select("pair_id", "node", "before", "left", F.concat("way", F.array(text)).alias("way"))))
+        step = ways[-1].where("left > 0").join(both, ["side", "node"]).groupBy("pair_id", "side", F.col("next").alias("node"), "before", (F.col("left") - 1).alias("left")).agg(F.min_by("way", text).alias("way"))
+        ways.append(_settle(step.join(back, ["pair_id", "node", "left"], "left_semi").select("pair_id", "side", "node", "before", "left", F.concat("way", F.array(text)).alias("way"))))
     ends = together(ways).where("left = 0").select("pair_id", "before", "way")
     # up from the node in the middle to src
-    whole = [_settle(ends.select("pair_id", F.col("before").alias("step"), F.col("way")[0].alias("node")))]
-    into, fore = both.where("side = 1").select(text.alias("node"), F.col("next").alias("parent")), fore.withColumnsRenamed({"node": "parent", "before": "step"})
+    node = F.col("way")[0].cast(both.schema["node"].dataType)
+    whole = [_settle(ends.select("pair_id", F.lit(1).alias("side"), F.col("before").alias("step"), node.alias("node")))]
+    fore = fore.withColumnsRenamed({"node": "parent", "before": "step"})
     for _ in range(whole[0].agg(F.max("step")).first()[0] or 0):
-        up = whole[-1].where("step > 0").join(into, "node").select("pair_id", (F.col("step") - 1).alias("step"), "parent").join(fore, ["pair_id", "parent", "step"], "left_semi")
-        whole.append(_settle(up.groupBy("pair_id", "step").agg(F.min(F.col("parent").cast("string")).alias("node"))))
+        up = whole[-1].where("step > 0").join(both, ["side", "node"]).select("pair_id", "side", (F.col("step") - 1).alias("step"), F.col("next").alias("parent")).join(fore, ["pair_id", "parent", "step"], "left_semi")
+        whole.append(_settle(up.groupBy("pair_id", "side", "step").agg(F.min_by("parent", F.col("parent").cast("string")).alias("node"))))
+    both.sparkSession.sql(f"DROP TABLE {name}")  # what follows reads stored tables only
     lower = ends.select("pair_id", F.posexplode(F.expr("slice(way, 2, size(way))")).alias("at", "node"), "before").select("pair_id", (F.col("before") + F.col("at") + 1).alias("step"), "node")
-    way = together(whole).unionByName(lower)
+    way = together(whole).select("pair_id", "step", text.alias("node")).unionByName(lower)
     return pairs.select("pair_id").join(best, "pair_id", "left").join(way, "pair_id", "left").select("pair_id", "distance", "step", "node")
 
 

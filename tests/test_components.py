@@ -93,3 +93,23 @@ def test_many_short_rings_take_no_more_rounds_than_a_few(spark, monkeypatch):
         assert got.count() == n * 10 and got.where("component <> node - node % 10 + 9").isEmpty()
         rounds.append(len(tables))
     assert rounds[0] == rounds[1]
+
+
+def test_rounds_of_shortest_paths_do_not_move_the_edges(spark, monkeypatch):
+    plans = []
+    real = G._settle
+    monkeypatch.setattr(G, "_settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]) or real(df))
+    before = {t.name for t in spark.catalog.listTables()}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)] * 2, "src long, dst long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = G.shortest_paths(edges, spark.createDataFrame([(1, 0, 4)], "pair_id int, src long, dst long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.step, r.node) for r in got) == [(i, str(i)) for i in range(5)]
+    rounds = [p for p in plans if "cm_" in p and "Join" in p]
+    # an exchange is for what comes to the buckets; the scan of the edges has none of its own
+    lines = [p.split("\n") for p in rounds]
+    scans = [(x, k) for x in lines for k, line in enumerate(x) if "Scan parquet" in line and "next" in line]
+    assert scans and all("Exchange" not in "".join(x[max(0, k - 3):k]) for x, k in scans)
+    assert {t.name for t in spark.catalog.listTables()} == before
