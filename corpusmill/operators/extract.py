@@ -12,7 +12,6 @@ from pyspark.sql.udtf import AnalyzeResult
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from .graph import spans_around
 from .stored import stored, together
 
 _DECLARATION = r"^\s*(export\s+)?(default\s+)?((?:(?:public|private|protected|static|async|abstract|readonly|declare)\s+)*)(class|interface|enum|function|type|namespace|const|let|var|def)\s+\*?([A-Za-z_$][\w$]*)"
@@ -73,39 +72,81 @@ def block_ends(openers: DataFrame, lines: DataFrame) -> DataFrame:
     return both.withColumn("end_line", F.last("close", ignorenulls=True).over(later)).where("close IS NULL AND end_line IS NOT NULL").select("path", "line", "end_line")
 
 
+def _lines_that_count(files: DataFrame) -> DataFrame:
+    """A row for each line that declares something or has braces: path, line, text, before (the line before it), delta and low (what its braces add to
+    the depth, and the least they reach on their way), d (what a declaration says) and m (what may be a method).
+
+    Files move once, to their path's partition, and all that extract_symbols() does is done there: lines are looked at once, and no line moves.
+    """
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = lambda c: F.split(c, "\r?\n", -1)
+    whole = files.select("path", "content").repartition(n, "path").select("path", cut(F.col("content")).alias("texts"), cut(code_only(F.col("content"))).alias("codes"))
+    group = lambda code, pattern, i: F.regexp_extract(code, pattern, i)
+    step = lambda s, c: F.struct(*[x.alias(k) for k, x in (("at", s["at"] + F.when(c == "{", 1).otherwise(-1)), ("low", F.least(s["low"], s["at"] + F.when(c == "}", -1).otherwise(0))))])
+
+    def line(code, i):
+        declared = F.when(code.rlike(_DECLARATION), F.struct(
+            *[group(code, _DECLARATION, k).alias(name) for k, name in ((4, "kind"), (5, "name"), (3, "words"))],
+            (group(code, _DECLARATION, 1) != "").alias("exported"), (group(code, _DECLARATION, 2) != "").alias("is_default"),
+        ))
+        method = F.when(code.rlike(_METHOD), F.struct(group(code, _METHOD, 2).alias("name"), group(code, _METHOD, 1).alias("words")))
+        braces = F.when(F.contains(code, F.lit("{")) | F.contains(code, F.lit("}")), F.regexp_replace(code, r"[^{}]++", "")).otherwise("")
+        return F.struct(i.alias("pos"), declared.alias("d"), method.alias("m"), braces.alias("braces"))
+
+    counts = lambda x: x["d"].isNotNull() | (x["braces"] != "")  # noqa: E731 - a method opens a brace
+    at = lambda x, i: F.when(x["d"].isNotNull() | x["m"].isNotNull(), F.get("texts", i))
+    told = lambda x: F.struct(x["pos"].alias("pos"), x["d"].alias("d"), x["m"].alias("m"), x["braces"].alias("braces"), at(x, x["pos"]).alias("text"), at(x, x["pos"] - 1).alias("before"))
+    each = whole.select("path", F.explode(F.transform(F.filter(F.transform("codes", line), counts), told)).alias("x"))
+    low = F.aggregate(F.split("x.braces", ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda s, c: F.when(c == "", s).otherwise(step(s, c)))["low"]
+    falls = F.when(F.contains("x.braces", F.lit("}")), low).otherwise(0)
+    delta = 2 * F.length(F.translate("x.braces", "}", "")) - F.length("x.braces")
+    return each.select("path", (F.col("x.pos") + 1).alias("line"), "x.text", "x.before", delta.alias("delta"), falls.alias("low"), "x.d", "x.m")
+
+
 def extract_symbols(files: DataFrame) -> DataFrame:
     """Declarations found line by line: id, path, name, kind, start_line, start_col, end_line, parent_id, visibility,
     exported, modifiers, documentation. A rule of thumb over lines and braces, not a parser of any language; braces and
     declarations in strings, templates and comments do not count."""
-    lines = brace_depth(source_lines(files, code=True))
-    kind = F.regexp_extract("code", _DECLARATION, 4)
-    method = F.regexp_extract("code", _METHOD, 2)
-    is_method = (kind == "") & (method != "") & ~method.isin(_NO_METHODS) & (F.col("depth") > 0)
-    doc = F.lag("text").over(Window.partitionBy("path").orderBy("line"))
-    mapped = kind
+    running = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    lines = _lines_that_count(files).withColumn("depth_after", F.sum("delta").over(running)).withColumn("depth", F.col("depth_after") - F.col("delta"))
+    mapped = F.col("d.kind")
     for a, b in _KIND.items():
-        mapped = F.when(kind == a, b).otherwise(mapped)
-    named = lines.withColumns({
-        "kind": F.when(is_method, "method").otherwise(mapped), "name": F.when(is_method, method).otherwise(F.regexp_extract("code", _DECLARATION, 5)),
-        "words": F.when(is_method, F.regexp_extract("code", _METHOD, 1)).otherwise(F.regexp_extract("code", _DECLARATION, 3)),
-        "exported": F.regexp_extract("code", _DECLARATION, 1) != "", "is_default": F.regexp_extract("code", _DECLARATION, 2) != "", "before": doc,
-    })
-    found = named.where((F.col("kind") != "") & (F.col("name") != ""))
+        mapped = F.when(F.col("d.kind") == a, b).otherwise(mapped)
+    is_method = F.col("d").isNull() & ~F.col("m.name").isin(_NO_METHODS) & (F.col("depth") > 0)
+    declared = F.coalesce(F.col("d").isNotNull() | is_method, F.lit(False))
+    symbol = F.struct(
+        F.when(F.col("d").isNull(), "method").otherwise(mapped).alias("kind"), F.coalesce("d.name", "m.name").alias("name"), F.coalesce("d.words", "m.words").alias("words"),
+        F.coalesce("d.exported", F.lit(False)).alias("exported"), F.coalesce("d.is_default", F.lit(False)).alias("is_default"), "text", "before", "depth",
+    )
+    # a line goes to the depth that it opens, if it declares something there, and to every depth that it closes down to; the next closer of a depth ends what opened it
     opens = F.col("depth_after") > F.col("depth")
-    closed = block_ends(found.where(opens), lines)
-    found = found.join(closed, ["path", "line"], "left").withColumn("end_line", F.coalesce("end_line", "line"))
+    own = F.when(declared, F.array(F.struct(F.when(opens, F.col("depth")).alias("level"), symbol.alias("s"))))
+    closes = F.when(F.col("low") < 0, F.transform(F.sequence(F.col("depth") + F.col("low"), F.col("depth") - 1), lambda k: F.struct(k.alias("level"), F.when(F.lit(False), symbol).alias("s"))))
+    events = lines.select("path", "line", F.explode(F.concat(F.coalesce(own, F.array()), F.coalesce(closes, F.array()))).alias("e")).select("path", "line", "e.level", "e.s")
+    later = Window.partitionBy("path", "level").orderBy(F.desc("line")).rangeBetween(Window.unboundedPreceding, -1)
+    ended = events.withColumn("end_line", F.last(F.when(F.col("s").isNull(), F.col("line")), ignorenulls=True).over(later)).where("s IS NOT NULL")
+    ended = ended.select("path", F.col("line").alias("start_line"), "level", "s.*", F.when(F.col("level").isNull(), F.col("line")).otherwise(F.coalesce("end_line", "line")).alias("end_line"))
     modifiers = F.filter(F.concat(F.split(F.trim("words"), r"\s+"), F.when(F.col("is_default"), F.array(F.lit("default"))).otherwise(F.array(F.lit("")))), lambda m: m != "")
-    visibility = F.when(F.array_contains(modifiers, "private"), "private").when(F.array_contains(modifiers, "protected"), "protected").otherwise("public")
+    visibility = F.when(F.array_contains("modifiers", "private"), "private").when(F.array_contains("modifiers", "protected"), "protected").otherwise("public")
     column = F.length(F.regexp_extract("text", r"^\s*", 0))
     note = F.regexp_extract("before", r"^\s*(?://+|#|\*+|/\*\*?)\s*(.*?)\s*(?:\*/)?\s*$", 1)
-    out = found.select(
-        S.symbol_id(F.col("path"), F.col("name"), F.col("line"), column).alias("id"), "path", "name", "kind", F.col("line").alias("start_line"), column.alias("start_col"), "end_line",
-        visibility.alias("visibility"), "exported", modifiers.alias("modifiers"), F.nullif(note, F.lit("")).alias("documentation"),
+    is_box = F.col("kind").isin("class", "interface", "enum", "namespace") & (F.col("end_line") > F.col("start_line"))
+    out = ended.withColumns({"modifiers": modifiers, "start_col": column}).select(
+        S.symbol_id(F.col("path"), F.col("name"), F.col("start_line"), F.col("start_col")).alias("id"), "path", "name", "kind", "start_line", "start_col", "end_line",
+        visibility.alias("visibility"), "exported", "modifiers", F.nullif(note, F.lit("")).alias("documentation"), "depth", F.when(is_box, F.col("level")).alias("box"),
     )
-    boxes = out.where(F.col("kind").isin("class", "interface", "enum", "namespace") & (F.col("end_line") > F.col("start_line"))).select("path", F.col("id").alias("box"), (F.col("start_line") + 1).alias("lo"), F.col("end_line").alias("hi"))
-    inside = spans_around(out.select(F.col("id").alias("ref_id"), "path", F.col("start_line").alias("line")), boxes)
-    parent = inside.groupBy(F.col("ref_id").alias("id")).agg(F.max_by("box", F.struct("lo", "box")).alias("parent_id"))
-    return out.join(parent, "id", "left")
+    # what holds a symbol was opened at a lesser depth, and what of each depth was opened last has not ended: each symbol asks the depths of its file's classes
+    levels = F.collect_set("box").over(Window.partitionBy("path"))
+    row = F.struct(*[c for c in out.columns if c not in ("depth", "box", "path")])
+    asked = F.transform(F.filter(F.col("levels"), lambda k: k < F.col("depth")), lambda k: F.struct(k.alias("level"), F.lit(False).alias("opened")))
+    tells = F.when(F.col("box").isNotNull(), F.array(F.struct(F.col("box").alias("level"), F.lit(True).alias("opened")))).otherwise(F.array())
+    none = F.array(F.struct(F.lit(None).cast("bigint").alias("level"), F.lit(False).alias("opened")))  # each symbol has a row of its own
+    events = out.withColumn("levels", levels).select("path", F.col("start_line").alias("line"), row.alias("s"), F.explode(F.concat(none, asked, tells)).alias("e")).select("path", "line", "s", "e.level", "e.opened")
+    sooner = Window.partitionBy("path", "level").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    box = F.last(F.when(F.col("opened"), F.struct("line", F.col("s.end_line").alias("hi"), F.col("s.id").alias("id"))), ignorenulls=True).over(sooner)
+    held = events.withColumn("b", F.when(F.col("level").isNotNull(), box)).where("not opened")
+    inner = F.max_by("b.id", F.when(F.col("b.hi") >= F.col("line"), F.col("b.line")))
+    return held.groupBy("path", "line").agg(F.first(F.when(F.col("level").isNull(), F.col("s")), ignorenulls=True).alias("s"), inner.alias("parent_id")).select("s.id", "path", *[f"s.{c}" for c in out.columns if c not in ("id", "path", "depth", "box")], "parent_id")
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
