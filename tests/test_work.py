@@ -3,7 +3,7 @@
 import contextlib
 import io
 
-from corpusmill.operators import extract
+from corpusmill.operators import extract, search
 
 
 def plan(df):
@@ -19,3 +19,12 @@ def test_symbols_move_files_once(spark):
     assert plan(found).count("Exchange") == 1
     rows = {r.name: (r.start_line, r.end_line, r.parent_id and r.parent_id.split("#")[1]) for r in found.collect()}
     assert rows == {"A": (1, 8, None), "m": (2, 7, "A@1:0"), "B": (3, 6, "A@1:0"), "x": (4, 5, "B@3:4"), "C": (10, 11, None), "D": (11, 13, "C@10:0"), "y": (12, 12, "D@11:2")}
+
+
+def test_one_tasks_entities_are_dealt_out(spark):
+    files = spark.createDataFrame([(f"a/f{i}.ts", f"word{i % 3} common") for i in range(200)], "path string, content string").coalesce(1)
+    for made in (search.build_postings, search.search_postings):
+        cut = made(search.build_search_entities(files))
+        parts = cut.select("key").rdd.mapPartitions(lambda rows: [len({r.key for r in rows})]).collect()
+        assert max(parts) < 150 and sum(n > 0 for n in parts) > 1, made
+    assert {(r.token, r.in_name) for r in search.build_postings(search.build_search_entities(files)).where("key = 'a/f4.ts'").collect()} == {("word1", False), ("common", False), ("a", False), ("f4", True), ("ts", True)}
