@@ -368,8 +368,13 @@ def dead_files(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def duplicate_names(symbols: DataFrame) -> DataFrame:
-    """Names that stand in several files: name, files, symbols."""
-    return symbols.groupBy("name").agg(F.count_distinct("path").alias("files"), F.count("*").alias("symbols")).where("files > 1")
+    """Names that stand in several files: name, files, symbols.
+
+    A name and a path are rarely met twice in a task, so they are not put together before they have moved, to small parts in a fixed number.
+    """
+    n = 4 * int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = symbols.select("name", "path").repartition(n, "name", "path").groupBy("name", "path").agg(F.count("*").alias("n"))
+    return each.groupBy("name").agg(F.count("path").alias("files"), F.sum("n").alias("symbols")).where("files > 1")
 
 
 def duplicate_content(files: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import contextlib
 import io
 
-from corpusmill.operators import extract, search
+from corpusmill.operators import extract, graph, search
 
 
 def plan(df):
@@ -28,3 +28,11 @@ def test_one_tasks_entities_are_dealt_out(spark):
         parts = cut.select("key").rdd.mapPartitions(lambda rows: [len({r.key for r in rows})]).collect()
         assert max(parts) < 150 and sum(n > 0 for n in parts) > 1, made
     assert {(r.token, r.in_name) for r in search.build_postings(search.build_search_entities(files)).where("key = 'a/f4.ts'").collect()} == {("word1", False), ("common", False), ("a", False), ("f4", True), ("ts", True)}
+
+
+def test_duplicate_names_in_small_parts(spark):
+    symbols = spark.createDataFrame([("a", "f"), ("a", "g"), ("a", "g"), ("b", "f"), ("b", None), (None, "f"), (None, "g"), ("c", "f"), ("c", "f")], "name string, path string")
+    found = graph.duplicate_names(symbols)
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", 2, 3), (None, 2, 2)]
+    text = plan(found)  # names and paths are put together once, after they have moved to a fixed number of parts
+    assert "REPARTITION_BY_NUM" in text and text.index("partial_count") < text.index("REPARTITION_BY_NUM")
