@@ -92,7 +92,7 @@ def j13_dead_files(spark, d):
 
 @query(f"WITH {SYMBOLS} SELECT name, count(DISTINCT path) AS files, count(*) AS symbols FROM symbols GROUP BY name HAVING count(DISTINCT path) > 1")
 def j14_duplicate_names(spark, d):
-    return G.duplicate_names(symbols(spark, d))
+    return G.duplicate_names(symbols(spark, d, small_parts=True))
 
 
 @query(f"WITH {FILES} SELECT path, sha256(content) AS hash, count(*) OVER (PARTITION BY sha256(content)) AS copies FROM files QUALIFY copies > 1")

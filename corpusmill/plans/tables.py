@@ -56,11 +56,14 @@ SNAPSHOTS = FILES + """, prev AS (SELECT repo_id, path, sha256(CASE WHEN doc_id
 ), cur AS (SELECT repo_id, path, sha256(content) AS hash FROM files WHERE doc_id % 13 <> 0)"""
 
 
-def symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Each line of an order is a symbol of the order's file; the first is a class that holds the second and third."""
+def symbols(spark: SparkSession, d: str, small_parts: bool = False) -> DataFrame:
+    """Each line of an order is a symbol of the order's file; the first is a class that holds the second and third.
+
+    small_parts: lines go to a fixed number of parts, four times the usual, of which none is large to sort; that shuffles and writes somewhat more.
+    """
     li = read(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("ln"), "l_returnflag")
-    # in a fixed number of parts, four times the usual: few large ones would be sorted in one task's memory each
-    li = li.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    if small_parts:
+        li = li.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     heads = li.where("ln = 1").select("l_orderkey", F.col("part").alias("head"))
     # keys are joined and texts made of them afterwards: numbers are what moves
     s = li.join(heads, "l_orderkey", "left").withColumn("path", F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit(".ts")))
