@@ -226,48 +226,55 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000)
     return pairs.select("pair_id").join(best, "pair_id", "left").join(way, "pair_id", "left").select("pair_id", "distance", "step", "node")
 
 
-def _compressed(e: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Edges without their chains: nodes of one edge in and one out are passed over, whole runs of them at once.
-
-    Also what was passed over (node, before, after: the ends of its run), and the nodes of rings that are nothing but chain (node, color: the
-    ring's greatest node). Pointers double in each round, so a run of n nodes takes log2(n) of them, and a node that knows its run takes part in
-    no more. In a ring, a node sees the greatest of the nodes ahead; where the stretch behind those has the same greatest, the two stretches
-    have gone round the ring. The next round the whole ring knows, so such a node answers for one round yet and leaves.
+def _compressed(e: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """Edges without their chains and dead ends, or None: nodes of one edge in and one out are passed over, whole runs of them at once; nodes
+    without way in or out go. Edges may be repeated.
+
+    Also what was passed over (node, before, after: the ends of its run), and the nodes of rings that are nothing but chain (node, least:
+    the ring's smallest node, step: how far the node lies behind that, size). Pointers double in each round, so a run of n nodes takes
+    log2(n) of them, and a node that knows its run takes part in no more. In a ring, a node sees the smallest of the nodes ahead; where the stretch
+    behind those has the same smallest, the two stretches have gone round the ring, and how far that node lies ahead in both tells the ring's size. The
+    next round the whole ring knows, so such a node answers for one round yet and leaves.
     """
-    ends = e.select(F.col("src").alias("node"), F.col("dst").alias("after"), F.lit(None).cast(e.schema["src"].dataType).alias("before"))
-    starts = e.select(F.col("dst").alias("node"), F.lit(None).cast(e.schema["src"].dataType).alias("after"), F.col("src").alias("before"))
-    near = ends.unionByName(starts).groupBy("node").agg(F.count("after").alias("n_out"), F.count("before").alias("n_in"), F.min("after").alias("after"), F.min("before").alias("before"))
-    chain = _settle(near.where("n_out = 1 and n_in = 1").select("node", "before", "after"))
-    if chain.isEmpty():
-        return e, None, None
-    own = chain.select("node")
-    gone = own.withColumn("inner", F.lit(True))
-    both = chain.join(gone.withColumnsRenamed({"node": "after", "inner": "more"}), "after", "left").join(gone.withColumnsRenamed({"node": "before", "inner": "less"}), "before", "left")
-    at = _settle(both.select("node", "before", "after", F.col("node").alias("color"), F.coalesce("less", F.lit(False)).alias("less"), F.coalesce("more", F.lit(False)).alias("more"), F.lit(False).alias("round")))
-    tables = [at]
-    while not (going := at.where("less or more")).isEmpty():
-        # each tells the node at its one end what lies at its other; pointers between chain nodes are mutual
-        tell = F.array(
-            F.struct("node", "before", "after", "color", "less", "more", F.col("round").alias("old"), F.lit(0).alias("role")),
-            F.when(F.col("more"), F.struct(F.col("after").alias("node"), "before", F.lit(None).alias("after"), F.lit(None).alias("color"), "less", F.lit(None).alias("more"), F.lit(None).alias("old"), F.lit(1).alias("role"))),
-            F.when(F.col("less"), F.struct(F.col("before").alias("node"), F.lit(None).alias("before"), "after", "color", F.lit(None).alias("less"), "more", F.lit(None).alias("old"), F.lit(2).alias("role"))),
-        )
-        told = going.select(F.explode(tell).alias("m")).where("m is not null").select("m.*")
-        of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    nothing = F.lit(None).cast(e.schema["src"].dataType)
+    both = e.select(F.col("src").alias("node"), F.col("dst").alias("after"), nothing.alias("before")).unionByName(e.select(F.col("dst").alias("node"), nothing.alias("after"), F.col("src").alias("before")))
+    near = both.repartition("node").groupBy("node").agg(*[f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("low", F.min), ("high", F.max))]).where("low_before is not null and low_after is not null")
+    near = _settle(near.select("node", F.col("low_before").alias("before"), F.col("low_after").alias("after"), F.expr("low_before = high_before and low_after = high_after").alias("chain")))
+    live = _settle(near.where("not chain").select("node"))
+    start = near.where("chain").select(
+        "node", "before", "after", F.col("node").alias("least"), F.lit(0).cast("long").alias("ahead"), F.lit(None).cast("long").alias("size"), F.lit(True).alias("less"), F.lit(True).alias("more")
+    )
+    tables, going, stretch = [], start, 1
+    while not going.isEmpty():
+        # each tells the node at its one end what lies at its other; pointers between chain nodes are mutual, and what others are told in the first round is lost
+        own = F.struct("node", F.lit(0).alias("role"), F.col("before").alias("far"), F.col("after").alias("next"), "least", "ahead", F.col("size").isNotNull().alias("flag"))
+        ahead = F.struct(F.col("after").alias("node"), F.lit(1).alias("role"), F.col("before").alias("far"), nothing.alias("next"), nothing.alias("least"), F.lit(None).cast("long").alias("ahead"), F.col("less").alias("flag"))
+        behind = F.struct(F.col("before").alias("node"), F.lit(2).alias("role"), F.col("after").alias("far"), nothing.alias("next"), "least", "ahead", F.col("more").alias("flag"))
+        told = going.select(F.explode(F.array(own, F.when(F.col("more"), ahead), F.when(F.col("less"), behind))).alias("m")).where("m is not null").select("m.*").repartition("node")
+        of = lambda role, c, name: F.max(F.when(F.col("role") == role, F.col(c))).alias(name)
         heard = told.groupBy("node").agg(
-            *[of(0, c).alias(c) for c in ("before", "after", "color", "less", "more", "old")], of(1, "before").alias("before2"), of(1, "less").alias("less2"), of(2, "after").alias("after2"), of(2, "color").alias("color2"), of(2, "more").alias("more2"),
+            of(0, "far", "before"), of(0, "next", "after"), *[of(0, c, c) for c in ("least", "ahead")], of(0, "flag", "old"),
+            of(1, "far", "before2"), of(1, "flag", "less"), of(2, "far", "after2"), of(2, "flag", "more"), *[of(2, c, f"{c}2") for c in ("least", "ahead")],
         ).where("not old")
-        at = _settle(heard.select(
-            "node", F.coalesce("before2", "before").alias("before"), F.coalesce("after2", "after").alias("after"), F.greatest("color", "color2").alias("color"),
-            F.coalesce("less2", "less").alias("less"), F.coalesce("more2", "more").alias("more"), F.coalesce(F.col("color") == F.col("color2"), F.lit(False)).alias("round"),
-        ))
-        tables.append(at)
-    known = together(tables)
-    rings = known.where("round").select("node", "color")
-    passed = known.where("not less and not more").select("node", "before", "after")
-    left = e.join(own.withColumnRenamed("node", "src"), "src", "left_anti").join(own.withColumnRenamed("node", "dst"), "dst", "left_anti")
-    runs = passed.select(F.col("before").alias("src"), F.col("after").alias("dst")).where("src <> dst")
-    return _settle(left.select("src", "dst").unionByName(runs).distinct()), passed, rings
+        tables.append(_settle(heard.select(
+            "node", F.coalesce("before2", "before").alias("before"), F.coalesce("after2", "after").alias("after"), F.least("least", "least2").alias("least"),
+            F.when(F.col("least2") < F.col("least"), F.col("ahead2") + stretch).otherwise(F.col("ahead")).alias("ahead"), F.when(F.col("least2") == F.col("least"), F.col("ahead2") + stretch - F.col("ahead")).alias("size"),
+            F.coalesce("less", F.lit(False)).alias("less"), F.coalesce("more", F.lit(False)).alias("more"),
+        )))
+        going, stretch = tables[-1].where("less or more"), 2 * stretch
+    passed = rings = None
+    if tables:
+        known = together(tables)
+        rings = known.where("size is not null").select("node", "least", F.expr("(size - ahead) % size").alias("step"), "size")
+        passed = known.where("not less and not more").select("node", "before", "after")
+    if live.isEmpty():
+        return None, passed, rings
+    left = e.select("src", "dst")
+    if passed is not None:
+        left = left.unionByName(passed.select(F.col("before").alias("src"), F.col("after").alias("dst")).where("src <> dst"))
+    for end in ("src", "dst"):
+        left = left.join(live.withColumnRenamed("node", end), end, "left_semi")
+    return _settle(left.select("src", "dst").distinct()), passed, rings
 
 
 def scc(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
@@ -278,19 +285,31 @@ def scc(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     those that a name's own node can be reached from, inside the name, are its component and leave. In the end a node that was passed over
     belongs to the component of both ends of its run, where that is one.
     """
-    e = _settle(edges.select("src", "dst").where("src <> dst").distinct())
-    parts, passed_over = [], []
+    rest, rings = _components(_settle(edges.select("src", "dst").where("src <> dst")), max_rounds)
+    if rings is not None:
+        rings = rings.select("node", F.max("node").over(Window.partitionBy("least")).alias("component"))
+    found = [t for t in (rest, rings) if t is not None]
+    return reduce(DataFrame.unionByName, found) if found else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+
+
+def _components(e: DataFrame, max_rounds: int = 1_000) -> tuple[DataFrame | None, DataFrame | None]:
+    """scc() of stored edges without self-loops, in two parts, each None where there are none: node, component; and of _compressed() the rings that
+    no other edge touches."""
+    alone_rings, parts, passed_over, first = None, [], [], True
     for _ in range(max_rounds):
-        while True:
+        while e is not None:
             n = e.count()
-            live = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
-            e = _settle(e.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"))
             e, passed, rings = _compressed(e)
             if passed is not None:
-                passed_over.append(passed), parts.append(rings)
-            if e.count() > 0.9 * n or n == 0:
+                passed_over.append(passed)
+                if first:
+                    alone_rings = rings
+                else:
+                    parts.append(rings.select("node", F.col("least").alias("color")))
+            first = False
+            if e is not None and e.count() > 0.9 * n:
                 break
-        if e.isEmpty():
+        if e is None or e.isEmpty():
             break
         color = _settle(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("color", F.col("node")))
         while True:
@@ -316,27 +335,43 @@ def scc(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
         e = _settle(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
-    if not parts:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    known = _settle(reduce(DataFrame.unionByName, parts))
+    known = _settle(reduce(DataFrame.unionByName, parts)) if parts else None
     for passed in reversed(passed_over):  # the last passed over first: its ends are settled
-        ends = passed
-        for end in ("before", "after"):
-            ends = ends.join(known.select(F.col("node").alias(end), F.col("color").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+        ends = passed.withColumns({"of_before": F.col("before"), "of_after": F.col("after")})
+        if known is not None:
+            for end in ("before", "after"):
+                ends = ends.drop(f"of_{end}").join(known.select(F.col("node").alias(end), F.col("color").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
         inside = _settle(ends.where("of_before = of_after").select("node", F.col("of_before").alias("color")))
+        if inside.isEmpty():
+            continue
         # an end that was alone so far has its own name now
-        alone = inside.select(F.col("color").alias("node"), "color").distinct().join(known, "node", "left_anti")
-        known = _settle(known.unionByName(inside).unionByName(alone))
+        alone = inside.select(F.col("color").alias("node"), "color").distinct()
+        if known is not None:
+            alone = alone.join(known, "node", "left_anti")
+            inside = known.unionByName(inside)
+        known = _settle(inside.unionByName(alone))
+    if known is None:
+        return None, alone_rings
     named = known.groupBy("color").agg(F.max("node").alias("component"), F.count("*").alias("n")).where("n > 1").select("color", "component")
-    return known.join(named, "color").select("node", "component")
+    return known.join(named, "color").select("node", "component"), alone_rings
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """cycle_id, step, node: one shortest cycle through the smallest node of each component, closed, and every self-loop."""
+    """cycle_id, step, node: one shortest cycle through the smallest node of each component, closed, and every self-loop.
+
+    A ring that no other edge touches is its own cycle, and its nodes know their places in it; only what else there is is searched.
+    """
+    edges = _settle(edges.select("src", "dst"))
     loops = edges.where("src = dst").select(F.col("src").cast("string").alias("cycle_id")).distinct()
     loops = loops.select("cycle_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("step"), F.col("cycle_id").alias("node"))
-    comp = _settle(scc(edges))
+    comp, rings = _components(edges.where("src <> dst"))
+    if rings is not None:
+        at = F.when(F.col("step") == 0, F.array(F.lit(0), F.col("size").cast("int"))).otherwise(F.array(F.col("step").cast("int")))
+        loops = loops.unionByName(rings.select(F.col("least").cast("string").alias("cycle_id"), F.explode(at).alias("step"), F.col("node").cast("string").alias("node")))
+    if comp is None or (comp := _settle(comp)).isEmpty():
+        return loops
     inner = edges.where("src <> dst").join(comp.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(comp.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").where("a = b").select("src", "dst")
+    inner = _settle(inner.distinct())  # one edge given twice is no second first edge
     starts = comp.groupBy("component").agg(F.min("node").alias("start"))
     # a shortest cycle is a first edge and a shortest way back from its end; the smallest of the shortest is taken
     first = inner.join(starts, inner["src"] == starts["start"]).select(F.concat_ws(">", "src", "dst").alias("pair_id"), F.col("dst").alias("src"), F.col("start").alias("dst"))

@@ -113,3 +113,29 @@ def test_rounds_of_shortest_paths_do_not_move_the_edges(spark, monkeypatch):
     scans = [(x, k) for x in lines for k, line in enumerate(x) if "Scan parquet" in line and "next" in line]
     assert scans and all("Exchange" not in "".join(x[max(0, k - 3):k]) for x, k in scans)
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_lone_rings_are_their_own_cycles_without_a_search(spark, monkeypatch):
+    rings = [[7, 3, 9, 5], [20, 30], [41, 40, 43, 42, 45, 44, 46], [60, 61, 62], [70, 71]]
+    edges = [(a, b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])] * 2 + [(7, 7), (80, 80), (90, 91), (91, 92), (61, 95), (71, 70)]
+    searched = []
+    real = G.shortest_paths
+    monkeypatch.setattr(G, "shortest_paths", lambda e, pairs: searched.extend(tuple(r) for r in e.distinct().collect()) or real(e, pairs))
+    got = G.cycles(spark.createDataFrame(edges, "src long, dst long"))
+    assert dict(got.dtypes) == {"cycle_id": "string", "step": "int", "node": "string"}
+    want = [("7", 0, "7"), ("7", 1, "7"), ("80", 0, "80"), ("80", 1, "80")]
+    for ring in rings:
+        k = ring.index(min(ring))
+        turned = ring[k:] + ring[:k]
+        want += [(str(turned[0]), i, str(n)) for i, n in enumerate(turned + turned[:1])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sorted(searched) == [(60, 61), (61, 62), (62, 60)]  # the one that another edge leaves
+
+
+def test_a_round_of_pointers_moves_narrow_rows(spark, monkeypatch):
+    plans, real = [], G._settle
+    monkeypatch.setattr(G, "_settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    ring = spark.createDataFrame([(i, (i + 1) % 9) for i in range(9)], "src long, dst long")
+    assert G.scc(ring).count() == 9
+    rounds = [p for p in plans if "role" in p]
+    assert len(rounds) == 6 and all("Join" not in p for p in plans) and all("Repartition" in p for p in rounds)
