@@ -12,7 +12,7 @@ from pyspark.sql.udtf import AnalyzeResult
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from .stored import stored, together
+from .stored import dealt, stored, together
 
 _DECLARATION = r"^\s*(export\s+)?(default\s+)?((?:(?:public|private|protected|static|async|abstract|readonly|declare)\s+)*)(class|interface|enum|function|type|namespace|const|let|var|def)\s+\*?([A-Za-z_$][\w$]*)"
 _METHOD = r"^\s+((?:(?:public|private|protected|static|async|readonly|get|set)\s+)*)([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*(?::[^{;]+)?\{\s*$"
@@ -78,9 +78,8 @@ def _lines_that_count(files: DataFrame) -> DataFrame:
 
     Files move once, to their path's partition, and all that extract_symbols() does is done there: lines are looked at once, and no line moves.
     """
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = lambda c: F.split(c, "\r?\n", -1)
-    whole = files.select("path", "content").repartition(n, "path").select("path", cut(F.col("content")).alias("texts"), cut(code_only(F.col("content"))).alias("codes"))
+    whole = dealt(files.select("path", "content")).select("path", cut(F.col("content")).alias("texts"), cut(code_only(F.col("content"))).alias("codes"))
     group = lambda code, pattern, i: F.regexp_extract(code, pattern, i)
     step = lambda s, c: F.struct(*[x.alias(k) for k, x in (("at", s["at"] + F.when(c == "{", 1).otherwise(-1)), ("low", F.least(s["low"], s["at"] + F.when(c == "}", -1).otherwise(0))))])
 
@@ -163,18 +162,22 @@ def extract_imports(files: DataFrame) -> DataFrame:
 
 
 def extract_references(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """ref_id, path, name, kind, line of uses of known names: construct, extends, implements, property, call, write, read."""
+    """ref_id, path, name, kind, line of uses of known names: construct, extends, implements, property, call, write, read.
+
+    A word may stand in every file, so its uses are never sorted or held: they pass by the known names, which are.
+    """
+    symbols = stored(symbols.select("path", "name", F.col("start_line").alias("line")))  # read twice
     one = r"(?:\b(new|extends|implements)\s+)?(\.)?([A-Za-z_$][\w$]*)(\s*\(|\s*=(?![=>]))?"
     m = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(one), i).alias(k) for i, k in ((1, "before"), (2, "dot"), (3, "name"), (4, "after"))])
-    uses = source_lines(files).select("path", "line", F.posexplode(m).alias("n", "m")).select("path", "line", "n", "m.*")
+    uses = source_lines(dealt(files.select("path", "content"))).select("path", "line", F.posexplode(m).alias("n", "m")).select("path", "line", "n", "m.*")
     known = symbols.select("name").distinct()
-    uses = uses.join(known, "name", "left_semi")
+    uses = uses.join(known.hint("shuffle_hash"), "name", "left_semi")
     kind = (
         F.when(F.col("before") == "new", "construct").when(F.col("before") != "", F.col("before")).when(F.col("after").rlike(r"\("), "call")
         .when(F.col("dot") != "", "property").when(F.col("after") != "", "write").otherwise("read")
     )
-    own = symbols.select("path", "name", F.col("start_line").alias("line")).distinct()
-    uses = uses.join(own, ["path", "name", "line"], "left_anti")
+    own = symbols.distinct()
+    uses = uses.join(own.hint("shuffle_hash"), ["path", "name", "line"], "left_anti")
     return uses.select(F.concat_ws(":", "path", "line", "n").alias("ref_id"), "path", "name", kind.alias("kind"), "line")
 
 

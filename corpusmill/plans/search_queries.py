@@ -539,8 +539,8 @@ def e1_extract_symbols(spark, d):
 
 
 def _sources(spark, d):
-    """A small source file for each part, whose names and sizes come from the table."""
-    p = read(spark, d, "part")
+    """A small source file for each part, whose names and sizes come from the table; parts are dealt out before files are made of them."""
+    p = read(spark, d, "part").select("p_partkey", "p_name", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     n = F.col("p_partkey").cast("string")
     text = F.concat(
         F.lit("import { helper as h, util } from './p"), (F.col("p_partkey") + 1).cast("string"), F.lit("';\nimport base from '../lib';\n// about "), "p_name", F.lit("\nexport class Part"), n,

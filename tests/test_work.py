@@ -36,3 +36,13 @@ def test_duplicate_names_in_small_parts(spark):
     assert sorted(map(tuple, found.collect()), key=str) == [("a", 2, 3), (None, 2, 2)]
     text = plan(found)  # names and paths are put together once, after they have moved to a fixed number of parts
     assert "REPARTITION_BY_NUM" in text and text.index("partial_count") < text.index("REPARTITION_BY_NUM")
+
+
+def test_uses_of_a_word_are_not_sorted(spark):
+    code = "class A {\n  size() {\n  }\n}\nconst b = new A();\nb.size();\nother.size\n"
+    files = spark.createDataFrame([("a.ts", code), ("b.ts", "import A\nx = A"), ("none.ts", None)], "path string, content string")
+    found = extract.extract_references(files, extract.extract_symbols(files))
+    rows = sorted(tuple(r) for r in found.select("path", "name", "kind", "line").collect())
+    assert rows == [("a.ts", "A", "construct", 5), ("a.ts", "b", "read", 6), ("a.ts", "size", "call", 6), ("a.ts", "size", "property", 7), ("b.ts", "A", "read", 1), ("b.ts", "A", "read", 2)]
+    text = plan(found)
+    assert text.count("ShuffledHashJoin") == 2 and "Sort " not in text and text.count("REPARTITION_BY_NUM") == 1
