@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import snapshots
 from ..operators import usage as U
-from ..operators.stored import forget, stored
+from ..operators.stored import dealt, forget, stored
 from ..sources import corpus
 
 
@@ -195,7 +195,7 @@ def stream_incremental_index(stream: DataFrame, extract: Callable[[DataFrame], D
         spark = batch.sparkSession
         row = F.struct(F.col("content"), (F.col("deleted") if "deleted" in batch.columns else F.lit(False)).alias("deleted"))
         newest = F.max_by(row, "modified_at") if "modified_at" in batch.columns else F.max(row)
-        arrived = stored(batch.groupBy("path").agg(newest.alias("r")).select("path", "r.content", F.coalesce("r.deleted", F.lit(False)).alias("deleted")))
+        arrived = stored(dealt(batch).groupBy("path").agg(newest.alias("r")).select("path", "r.content", F.coalesce("r.deleted", F.lit(False)).alias("deleted")))
         files, gone = arrived.where("not deleted").select("path", "content"), arrived.where("deleted").select("path")
         have = corpus.load_context(spark, root)
         hashes = snapshots.hash_snapshot(files)

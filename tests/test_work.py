@@ -3,7 +3,10 @@
 import contextlib
 import io
 
-from corpusmill.operators import extract, graph, search
+from pyspark.sql import functions as F
+
+from corpusmill.functions import scalars as S
+from corpusmill.operators import extract, graph, search, snapshots
 
 
 def plan(df):
@@ -46,3 +49,18 @@ def test_uses_of_a_word_are_not_sorted(spark):
     assert rows == [("a.ts", "A", "construct", 5), ("a.ts", "b", "read", 6), ("a.ts", "size", "call", 6), ("a.ts", "size", "property", 7), ("b.ts", "A", "read", 1), ("b.ts", "A", "read", 2)]
     text = plan(found)
     assert text.count("ShuffledHashJoin") == 2 and "Sort " not in text and text.count("REPARTITION_BY_NUM") == 1
+
+
+def test_index_tables_are_made_by_many_tasks_and_once(spark):
+    files = spark.createDataFrame([(f"src/f{i}.ts", f"import {{ a }} from './f{i + 1}';\nfunction g{i}() {{\n}}\n") for i in range(60)], "path string, content string").coalesce(1)
+    tables, _ = snapshots.apply_changes(None, files, None, extract.extract_symbols)
+    parts = tables["files"].groupBy(F.input_file_name()).count().collect()
+    assert len(parts) > 8 and max(r["count"] for r in parts) < 20
+    assert "explode" not in plan(tables["links"]).lower()  # candidates are read back, not worked out again
+    assert tables["links"].count() == 59 and tables["candidates"].count() == 300
+
+
+def test_candidates_work_the_path_out_once(spark):
+    where = spark.createDataFrame([("src/a/b.ts", "../c")], "f string, s string").select(S.module_candidates(S.resolve_relative(F.col("f"), F.col("s"))).alias("c"))
+    assert plan(where).count("regexp_extract") == 1
+    assert where.first().c == ["src/c", "src/c.ts", "src/c.tsx", "src/c/index.ts", "src/c/index.tsx"]
