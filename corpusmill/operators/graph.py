@@ -144,40 +144,56 @@ def dependencies(edges: DataFrame, requests: DataFrame, direction: str = "out",
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int | None = None, max_rounds: int = 10_000) -> DataFrame:
-    """seeds (node) -> seed, node, distance for everything within k edges (any number where k is None), the seed at 0."""
-    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    frontier, d = _settle(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance")).distinct()), 0
+    """seeds (node) -> seed, node, distance for everything within k edges (any number where k is None), the seed at 0.
+
+    Edges move once, to their node's bucket. A node that one edge enters is reached from a seed once, by way of the node before it, so only nodes that several
+    edges enter are compared with what was seen.
+    """
+    spark, e = edges.sparkSession, edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    into = Window.partitionBy("next")
+    both_known = F.col("node").isNotNull() & F.col("next").isNotNull()
+    e, name = _bucketed(e.where(both_known).withColumn("many", F.min("node").over(into) < F.max("node").over(into)).unionByName(e.where("node IS NOT NULL AND next IS NULL").withColumn("many", F.lit(True))), ["node"])
+    some = not e.where("many").isEmpty()
+    frontier, d = _settle(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance"), F.lit(False).alias("many")).distinct()), 0
     found = [frontier]
-    seen = frontier
     while d < (max_rounds if k is None else k):
         d += 1
-        step = frontier.join(e, "node").select("seed", F.col("next").alias("node")).distinct()
-        frontier = _settle(step.join(seen, ["seed", "node"], "left_anti").withColumn("distance", F.lit(d)))
+        step = frontier.join(e, "node").select("seed", F.col("next").alias("node"), F.lit(d).alias("distance"), e["many"]).where("NOT seed <=> node")
+        if some:
+            step = _settle(step)
+            step = step.where("NOT many").unionByName(step.where("many").distinct().join(together(found).where("many").select("seed", "node"), ["seed", "node"], "left_anti"))
+        frontier = _settle(step)
         if frontier.isEmpty():
-            return seen
+            break
         found.append(frontier)
-        seen = together(found)
-    if k is None:
-        raise RuntimeError(f"not settled after {max_rounds} rounds")
-    return seen
+    else:
+        if k is None:
+            raise RuntimeError(f"not settled after {max_rounds} rounds")
+    spark.sql(f"DROP TABLE {name}")  # what follows reads stored tables only
+    return together(found).select("seed", "node", "distance")
 
 
 def transitive_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return k_hop(edges, seeds)
 
 
-def _both_ways(edges: DataFrame) -> tuple[DataFrame, str]:
-    """Edges from either end: side (0 from src, 1 from dst), node, next, each once; a table bucketed by side and node, and its name.
+def _bucketed(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    """Distinct edges as a table bucketed by keys, and its name.
 
     It moves once; each round's nodes go to its buckets. The catalog entry is to be dropped in the end, the files are the shared folder's.
     """
     spark, name = edges.sparkSession, "cm_" + uuid.uuid4().hex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = edges.select(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(edges.select(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("next")))
-    both.repartition(n, "side", "node").distinct().write.bucketBy(n, "side", "node").sortBy("side", "node").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    edges.repartition(n, *keys).distinct().write.bucketBy(n, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
     return spark.table(name), name
 
 
+def _both_ways(edges: DataFrame) -> tuple[DataFrame, str]:
+    """Edges from either end, bucketed: side (0 from src, 1 from dst), node, next, each once; and the table's name."""
+    both = edges.select(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(edges.select(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("next")))
+    return _bucketed(both, ["side", "node"])
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """pairs (pair_id, src, dst) -> pair_id, distance (null where there is no way), step, node: the nodes of one shortest way.
 

@@ -139,3 +139,31 @@ def test_a_round_of_pointers_moves_narrow_rows(spark, monkeypatch):
     assert G.scc(ring).count() == 9
     rounds = [p for p in plans if "role" in p]
     assert len(rounds) == 6 and all("Join" not in p for p in plans) and all("Repartition" in p for p in rounds)
+
+
+def test_everything_within_reach(spark, monkeypatch):
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(25), rnd.randrange(25)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(6)] + [(106, 103), (3, 3), (200, 201), (201, 200), (4, None), (5, None), (6, None), (None, 4)]
+    seeds = [0, 3, 7, 12, 100, 200, 777]
+    plans, real = [], G._settle
+    monkeypatch.setattr(G, "_settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+
+    def plain(start, k):
+        level, todo = {start: 0}, [start]
+        for at in todo:
+            for y in sorted({y for x, y in edges if x == at and y is not None}):
+                if y not in level and level[at] < k:
+                    level[y] = level[at] + 1
+                    todo.append(y)
+        return level
+
+    frame = lambda e: spark.createDataFrame(e * 2, "src long, dst long")
+    for k in (None, 2):
+        got = G.k_hop(frame(edges), spark.createDataFrame([(s,) for s in seeds], "node long"), k).where("node IS NOT NULL").collect()
+        assert sorted(map(tuple, got)) == sorted((s, n, d) for s in seeds for n, d in plain(s, 99 if k is None else k).items())
+    assert any("LeftAnti" in p for p in plans)
+    plans.clear()
+    chain = [(i, i + 1) for i in range(5)]  # one way to each node: rounds compare nothing with what was seen, and make no edges anew
+    got = G.k_hop(frame(chain), spark.createDataFrame([(0,), (2,)], "node long")).collect()
+    assert sorted(map(tuple, got)) == [(s, n, n - s) for s in (0, 2) for n in range(s, 6)]
+    assert plans and not any("LeftAnti" in p for p in plans) and all("cm_" in p for p in plans if "Join" in p)
