@@ -6,7 +6,7 @@ import io
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scalars as S
-from corpusmill.operators import extract, graph, search, snapshots
+from corpusmill.operators import extract, graph, search, snapshots, stored
 
 
 def plan(df):
@@ -64,3 +64,24 @@ def test_candidates_work_the_path_out_once(spark):
     where = spark.createDataFrame([("src/a/b.ts", "../c")], "f string, s string").select(S.module_candidates(S.resolve_relative(F.col("f"), F.col("s"))).alias("c"))
     assert plan(where).count("regexp_extract") == 1
     assert where.first().c == ["src/c", "src/c.ts", "src/c.tsx", "src/c/index.ts", "src/c/index.tsx"]
+
+
+def test_search_moves_only_the_best_of_a_bucket(spark, monkeypatch):
+    files = spark.createDataFrame([(f"a/f{i}.ts", f"shared words small{i} and smaller things" if i % 2 else "shared words") for i in range(300)], "path string, content string")
+    entities = search.build_search_entities(files)
+    queries = spark.createDataFrame([(1, "shared small"), (2, "f17"), (3, "thinks"), (4, "f17.ts")], "query_id long, q string")
+    monkeypatch.setattr(stored, "BUCKET_ROWS", 50)
+    plans = []
+    monkeypatch.setattr(search, "stored", lambda df: plans.append(plan(df)) or stored.stored(df))
+    found = search.search(entities, queries, limit=5)
+    best = plans[-1]  # scores of terms, their sums and a bucket's best stay in one of six buckets
+    assert best.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 6 out of 6" in best
+    rows = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        rows.setdefault(r.query_id, []).append((r.rank, r.key, r.score))
+    odd = sorted(f"a/f{i}.ts" for i in range(1, 300, 2))
+    assert rows[1] == [(n + 1, k, 0.25) for n, k in enumerate(odd[:5])]
+    assert rows[2][0] == (1, "a/f17.ts", 0.8) and [k for _, k, _ in rows[2][1:]] == sorted(k for k in (f"a/f17{i}.ts" for i in range(10)))[:4]
+    assert 3 not in rows and rows[4] == [(1, "a/f17.ts", 1.0)] + rows[4][1:]
+    exact = search.search(entities, queries.where("query_id = 2"), fuzzy=False, scorer=lambda term, name, text, sim, word: F.when(word, 1.0).otherwise(0.0))
+    assert [(r.key, r.score) for r in exact.collect()] == [("a/f17.ts", 1.0)]
