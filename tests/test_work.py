@@ -85,3 +85,21 @@ def test_search_moves_only_the_best_of_a_bucket(spark, monkeypatch):
     assert 3 not in rows and rows[4] == [(1, "a/f17.ts", 1.0)] + rows[4][1:]
     exact = search.search(entities, queries.where("query_id = 2"), fuzzy=False, scorer=lambda term, name, text, sim, word: F.when(word, 1.0).otherwise(0.0))
     assert [(r.key, r.score) for r in exact.collect()] == [("a/f17.ts", 1.0)]
+
+
+def test_parts_of_a_graph_follow_its_symbols(spark, monkeypatch):
+    symbols = [(f"f{i}#C", f"f{i}", "C", "class", None, 1, 9, 0, True) for i in range(40)] + [(f"f{i}#m{k}", f"f{i}", f"m{k}", "method", f"f{i}#C", k, k + 1, 2, False) for i in range(40) for k in (2, 5)]
+    symbols = spark.createDataFrame(symbols, "id string, path string, name string, kind string, parent_id string, start_line int, end_line int, start_col int, exported boolean")
+    refs = spark.createDataFrame([(f"f{i}-{k}", f"f{i}", name, line, "calls") for i in range(40) for k, (name, line) in enumerate([("m2", 6), ("m2", 6), ("C", 20), ("none", 3)])], "ref_id string, path string, name string, line int, kind string")
+    imports = spark.createDataFrame([("1", "f1", "./f2", "C")], "import_id string, from_path string, specifier string, name string")
+    made = lambda: graph.build_graph(symbols, refs, imports, symbols.select("path").distinct())[1]
+    few = made()
+    monkeypatch.setattr(graph, "PART_ROWS", 10)
+    many, before = made(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # large tables are not broadcast
+    text = plan(many)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # references and their spans; with members, members, with tops, tops; edges: 120 symbols, 10 a part
+    assert len([line for line in text.splitlines() if "Exchange hashpartitioning(" in line and ", 12), " in line]) == 7
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and many.count() == 120 + 40 + 1 + 80
+    assert sorted(map(tuple, graph.resolve_references(refs, symbols).collect())) == sorted((f"f{i}-{k}", t) for i in range(40) for k, t in ((0, f"f{i}#m2"), (1, f"f{i}#m2"), (2, f"f{i}#C")))
